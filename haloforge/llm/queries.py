@@ -1,12 +1,13 @@
-"""The queries opN_<name> and pipeline, thin over the operators, with production parameters."""
+"""The queries opN_<name>, thin over the operators, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from haloforge.llm import packing, store, tokenfile
+from haloforge.llm import chunkdedup, decontam, linededup, nearcopies, packing, pii, quality, store, tokenfile, toxicity, urlrules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,14 +24,119 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
 
 
+def op2_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearcopies.near_copies(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size", "n_shingles")
+
+
 def op3_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = store.new_path(spark, "token-file")
     tokenfile.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
     return tokenfile.read_tokens(spark, path)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlrules.judge_pages(table(spark, sf_dir, "pages"), urlrules.rules_table(spark, urlrules.RULES))
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return found.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", *(f"n_{k}" for k in pii.KINDS), F.sha2("base_spans", 256).alias("base_sha256"), "spans")
+
+
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunkdedup.repeated_stretches(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "end"))), lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    return found.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum("n_words").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"), spans.alias("spans"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_near_copies": op2_near_copies,
     "op3_token_file": op3_token_file,
+    "op4_decontamination": op4_decontamination,
+    "op5_quality": op5_quality,
+    "op6_url_filter": op6_url_filter,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_personal_data": op9_personal_data,
+    "op10_repeats": op10_repeats,
+}
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+SQL: dict[str, str] = {
+    "op2_near_copies": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM d
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both_have FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT p.a, p.b FROM p JOIN n x ON x.doc_id = p.a JOIN n y ON y.doc_id = p.b WHERE both_have >= 0.8 * (x.n + y.n - both_have)
+  UNION SELECT a.doc_id, b.doc_id FROM documents a JOIN documents b ON coalesce(a.text, '') = coalesce(b.text, '') AND a.doc_id <> b.doc_id
+), reach AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT reach.node, e.b FROM reach JOIN e ON e.a = reach.seen
+), c AS (SELECT node, min(seen) AS class_id, count(*) AS class_size FROM reach GROUP BY node)
+SELECT c.node AS doc_id, c.class_id, c.class_size, coalesce(n.n, 0) AS n_shingles FROM c LEFT JOIN n ON n.doc_id = c.node
+""",
+    "op6_url_filter": rf"""
+WITH RECURSIVE u AS (
+  SELECT page_id, url, html, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
+), p AS (
+  SELECT page_id, regexp_extract(url, '(?s)^([^#]*)', 1) AS name, url, html,
+    coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
+    coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path FROM u
+), l AS (
+  SELECT url AS src, unnest([regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
+    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[^"''>;]*;\s*url\s*=\s*([^"''\s>]+)', 1)]) AS dst FROM u
+), e AS (
+  SELECT regexp_extract(src, '(?s)^([^#]*)', 1) AS a, regexp_extract(dst, '(?s)^([^#]*)', 1) AS b FROM l WHERE dst LIKE '%://%'
+), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e
+), reach AS (SELECT a AS name, b AS other FROM both_ways UNION SELECT reach.name, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.other
+), rules AS (
+  SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r(verdict, rule_host, rule_path)
+), places AS (
+  SELECT DISTINCT name, host, path FROM p
+), fits AS (
+  SELECT name, rule_host || rule_path AS rule, verdict,
+    row_number() OVER (PARTITION BY name ORDER BY length(rule_host || rule_path) DESC, verdict) AS k
+  FROM places JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+), best AS (SELECT name, rule, verdict FROM fits WHERE k = 1
+), aliased AS (SELECT DISTINCT reach.name FROM reach JOIN best ON best.name = reach.other AND best.verdict = 'block')
+SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, CASE WHEN aliased.name IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN best ON best.name = p.name LEFT JOIN aliased ON aliased.name = p.name
+""",
+    "op7_line_dedup": rf"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place FROM documents
+), k AS (SELECT doc_id, place, line, translate(trim(line, {_WHITE}), '{_UPPER}', '{_LOWER}') AS key FROM l
+), often AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10
+), m AS (SELECT k.*, often.key IS NOT NULL AS dropped FROM k LEFT JOIN often ON often.key = k.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+""",
 }
-SQL: dict[str, str] = {}

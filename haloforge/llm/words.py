@@ -72,22 +72,25 @@ def blocks(texts: Iterable[str | None], at_most: int = 1 << 21) -> Iterator[tupl
         yield first, held
 
 
-def hash_words(texts: list[str], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words of all texts, and where each text's words begin (one more entry than texts)."""
+def hash_words(texts: list[str], lower: bool = True, stem: int = 0) -> tuple[np.ndarray, ...]:
+    """Hashes of all words of all texts, and where each text's words begin (one more entry than texts); with ``stem``,
+    also the hashes of the words' first so many bytes."""
     raw = [(t.lower() if lower else t).encode("utf-8", "surrogatepass") for t in texts]
     buf = np.frombuffer(b"\n".join(raw), dtype=np.uint8)
     starts, ends = word_bounds(buf)
     sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1
     first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-    return span_hashes(prefix_hashes(buf), starts, ends), first
+    prefix = prefix_hashes(buf)
+    found = span_hashes(prefix, starts, ends), first
+    return (*found, span_hashes(prefix, starts, np.minimum(ends, starts + stem))) if stem else found
 
 
 #: Odd multipliers, one for each place in a run of words.
 PLACES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
 
 
-def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
-    """The sorted distinct hashes of all runs of ``size`` words of one text; a shorter text is one run, an empty one none."""
+def runs(words: np.ndarray, size: int = 5) -> np.ndarray:
+    """Hashes of all runs of ``size`` words of one text, in order; a shorter text is one run, an empty one none."""
     n = len(words)
     if n == 0:
         return np.zeros(0, dtype=np.uint64)
@@ -95,7 +98,12 @@ def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     total = np.zeros(n - size + 1, dtype=np.uint64)
     for j in range(size):
         total += words[j : n - size + 1 + j] * PLACES[j]
-    out = mix(total + np.uint64(size))
+    return mix(total + np.uint64(size))
+
+
+def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
+    """The sorted distinct hashes of ``runs``."""
+    out = runs(words, size)
     out.sort()
     keep = np.ones(len(out), dtype=bool)
     np.not_equal(out[1:], out[:-1], out=keep[1:])
