@@ -5,7 +5,8 @@ inserted or deleted so moves no later border, and a passage is cut the same way
 least or greatest size, as either would make borders depend on what came before.  Chunks average 32 bytes; those
 whose digest is found in several documents are joined into stretches, and a stretch of ``min_words`` words or more
 is a repeat.  The parts of a passage outside its first and last border are in chunks with its neighbours, so a
-stretch is shorter than its passage by about ten words; ``min_words`` is 25 to find passages of 50.
+stretch is shorter than its passage by about ten words; ``min_words`` is 20 to find passages of over 50.  Letters are
+lower-cased and runs of ASCII white space count as one space, so that a passage set in other lines is the same.
 
 Documents are cut twice, for counts and for places: nothing but (digest, document) is shuffled for unique chunks.
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haloforge.llm.arrow import keyed_texts, text_blocks
-from haloforge.llm.words import mix, prefix_hashes, span_hashes, word_bounds
+from haloforge.llm.words import WHITE, mix, prefix_hashes, span_hashes, word_bounds
 
 #: A pseudo-random number for each byte, made by rule.
 GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(0x67656172)) >> np.uint64(48)).astype(np.uint16)
@@ -41,24 +42,39 @@ def gear_hashes(buf: np.ndarray) -> np.ndarray:
 
 
 def chunk_ends(buf: np.ndarray, bits: int = 5) -> np.ndarray:
-    """One past the last byte of each chunk.  The high bits decide: all 16 bytes weigh on them."""
-    return np.flatnonzero(gear_hashes(buf) >> np.uint16(16 - bits) == 0) + 1
+    """One past the last byte of each chunk.  The high bits decide: all 16 bytes weigh on them.
+
+    Text of a short period may have no border at all.  Where none comes for eight times the average, the least hash
+    of that stretch decides in their place, wherever it is found: that depends on the stretch alone, too.
+    """
+    gear = gear_hashes(buf)
+    ends = np.flatnonzero(gear >> np.uint16(16 - bits) == 0) + 1
+    edges = np.concatenate([[0], ends, [len(buf)]])
+    more = []
+    for k in np.flatnonzero(np.diff(edges) > 8 << bits):
+        part = gear[edges[k] + 16 : edges[k + 1]]
+        more.append(edges[k] + 17 + np.flatnonzero(part == part.min()))
+    return np.unique(np.concatenate([ends, *more])) if more else ends
 
 
 def chunks(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, ...]]:
     """For each text: digest, first and one past the last code point, and words begun, of each chunk."""
     for text in texts:
-        raw = np.frombuffer(text.lower().encode("utf-8", "surrogatepass") if len(text.lower()) == len(text) else text.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        lower = text.lower()
+        raw = np.frombuffer((lower if len(lower) == len(text) else text).encode("utf-8", "surrogatepass"), dtype=np.uint8)
         if not len(raw):
             yield (np.zeros(0, dtype=np.int64),) * 4
             continue
-        ends = chunk_ends(raw, bits)
-        if not len(ends) or ends[-1] != len(raw):
-            ends = np.append(ends, len(raw))
+        white = WHITE[raw]
+        kept = np.flatnonzero(~(white & np.concatenate([[False], white[:-1]])))
+        even = np.where(white[kept], np.uint8(32), raw[kept])
+        ends = chunk_ends(even, bits)
+        if not len(ends) or ends[-1] != len(even):
+            ends = np.append(ends, len(even))
         starts = np.concatenate([[0], ends[:-1]])
         points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        words = np.searchsorted(word_bounds(raw)[0], ends)
-        yield span_hashes(prefix_hashes(raw), starts, ends).view(np.int64), points[starts], points[ends], np.diff(words, prepend=0)
+        words = np.searchsorted(word_bounds(even)[0], ends)
+        yield span_hashes(prefix_hashes(even), starts, ends).view(np.int64), points[kept[starts]], points[kept[ends - 1] + 1], np.diff(words, prepend=0)
 
 
 def _digests(bits: int) -> Callable:
@@ -84,7 +100,7 @@ def _placed(bits: int) -> Callable:
     return run
 
 
-def repeated_stretches(docs: DataFrame, min_words: int = 25, bits: int = 5) -> DataFrame:
+def repeated_stretches(docs: DataFrame, min_words: int = 20, bits: int = 5) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id): stretches of code points that other documents hold too.
     first_doc_id is the least document that holds one of the stretch's chunks."""
     texts = keyed_texts(docs).where("doc_id is not null")
@@ -98,7 +114,7 @@ def repeated_stretches(docs: DataFrame, min_words: int = 25, bits: int = 5) -> D
     return found.where(F.col("n_words") >= min_words).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words", "first_doc_id")
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 25, bits: int = 5) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = 20, bits: int = 5) -> DataFrame:
     """``docs`` without the stretches that a document of lesser id holds; spans are cut out of ``text`` by position."""
     cuts = repeated_stretches(docs, min_words, bits).where("first_doc_id < doc_id")
     lists = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts")).withColumnRenamed("doc_id", "__id")

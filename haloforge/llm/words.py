@@ -7,8 +7,8 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 
 #: Bytes that separate words: space and tab to carriage return.
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+WHITE = np.zeros(256, dtype=bool)
+WHITE[[0x20, *range(0x09, 0x0E)]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
 _UNBASE = pow(_BASE, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {}
@@ -51,7 +51,7 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
 
 def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     gap = np.ones(len(buf) + 2, dtype=bool)
-    np.take(_SPACE, buf, out=gap[1:-1])
+    np.take(WHITE, buf, out=gap[1:-1])
     edge = gap[1:] != gap[:-1]
     at = np.flatnonzero(edge)
     return at[0::2], at[1::2]
