@@ -44,16 +44,19 @@ def gear_hashes(buf: np.ndarray) -> np.ndarray:
 def chunk_ends(buf: np.ndarray, bits: int = 5) -> np.ndarray:
     """One past the last byte of each chunk.  The high bits decide: all 16 bytes weigh on them.
 
-    Text of a short period may have no border at all.  Where none comes for eight times the average, the least hash
-    of that stretch decides in their place, wherever it is found: that depends on the stretch alone, too.
+    Text of a short period may have no border at all.  Where none comes for eight times the average, the places whose
+    hash is the least of the 64 before and the 64 after are borders, too; that depends on the text around them alone.
     """
     gear = gear_hashes(buf)
     ends = np.flatnonzero(gear >> np.uint16(16 - bits) == 0) + 1
     edges = np.concatenate([[0], ends, [len(buf)]])
     more = []
     for k in np.flatnonzero(np.diff(edges) > 8 << bits):
-        part = gear[edges[k] + 16 : edges[k + 1]]
-        more.append(edges[k] + 17 + np.flatnonzero(part == part.min()))
+        part = gear[edges[k] : edges[k + 1]]
+        least = np.concatenate([np.full(64, 0xFFFF, dtype=part.dtype), part, np.full(64, 0xFFFF, dtype=part.dtype)])
+        for step in (1, 2, 4, 8, 16, 32, 64, 1):  # the least of 129 in a row, by doubling
+            least = np.minimum(least[:-step], least[step:])
+        more.append(edges[k] + 1 + np.flatnonzero(part == least[: len(part)]))
     return np.unique(np.concatenate([ends, *more])) if more else ends
 
 
