@@ -1,0 +1 @@
+"""Operators over canonical DataFrames."""

@@ -1,0 +1 @@
+"""Stand-in entities, the registered queries, and their SQL."""

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from haloforge.plans.queries import QUERIES
+from haloforge.plans.sql import SQL
+
+__all__ = ["QUERIES", "SQL"]

@@ -1,0 +1 @@
+"""Nothing here streams: there is no stream source, window or state among the operators."""
