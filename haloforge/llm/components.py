@@ -17,21 +17,35 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
 
+def _ordered(edges: DataFrame) -> DataFrame:
+    a, b = edges.columns[:2]
+    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
+    return now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+
+
+def _star(now: DataFrame) -> DataFrame:
+    """One large and one small star: (u, v), v < u, with the same components and shorter ways."""
+    both = now.union(now.select("v", "u"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
+    return small.select("e.u", "e.v").where("u <> v").distinct()
+
+
+def shorten(edges: DataFrame) -> DataFrame:
+    """edges (a, b) -> written edges (a, b), b < a, with the same components, after one round.  Every node but the least
+    of its component has an edge; most lead to that."""
+    return materialize(_star(_ordered(edges)), "edges").select(F.col("u").alias("a"), F.col("v").alias("b"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of any one ordered type -> (node, label): the smallest node of its component, for each node that
     has an edge to another.  Nulls and loops are left out; repeated edges count once; no edges give no rows."""
-    a, b = edges.columns[:2]
-    now = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    now = now.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    now = materialize(now, "edges")
+    now = materialize(_ordered(edges).distinct(), "edges")
     before = _mark(now)
     while before[0]:
-        both = now.union(now.select("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-        now = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+        now = materialize(_star(now), "edges")
         after = _mark(now)
         if after == before:
             break

@@ -2,11 +2,12 @@
 
 1. One pass over the texts makes each document's digest and band hashes.  Exact copies fall together by digest; from
    then on only one row for each distinct text matters.
-2. Texts that share a band's hash are a bucket.  In each round every bucket names a few leaders; a leader is compared
-   with all others of its bucket that aren't yet in its class.  Then leaders leave their buckets, and buckets with
-   one class left are done.  Rounds go on until no bucket is left, with more leaders each time, so every two texts
-   of a bucket are either compared or already in one class.  No round makes all pairs of a bucket.
-3. A comparison counts the shared distinct shingles of both whole texts.  A leader's comparisons are dealt over
+2. Texts that share a band's hash are a bucket.  Every bucket names ``LEADERS`` texts, and each text is compared with
+   the leaders of its buckets.  That joins most of each class, however large.
+3. Buckets whose texts aren't all joined yet are settled by prefix filtering: two sets of a similarity share one of
+   their rarest shingles, so only texts that do are compared, and of a bucket's pairs only those that lie in two
+   classes so far.  No pair of a bucket is lost, and in neither step are all pairs of a bucket made.
+4. A comparison counts the shared distinct shingles of both whole texts.  A leader's comparisons are dealt over
    several tasks.  Classes are connected components of the pairs at ``threshold`` or more.
 
 With 24 bands of 5 coordinates, a pair of similarity 0.8 shares a bucket with a chance of 0.9999; similar pairs of
@@ -25,16 +26,17 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haloforge.llm.arrow import keyed_texts, text_blocks
-from haloforge.llm.components import components
+from haloforge.llm.components import components, shorten
 from haloforge.llm.dartminhash import bands, signatures
 from haloforge.llm.store import materialize
 from haloforge.llm.words import hash_words, runs, shingles
 
 _SPREAD = 16
+LEADERS = 8
 
 
 def _digest(text: str) -> bytes:
@@ -107,6 +109,44 @@ def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     return rows.mapInArrow(_compare(threshold), "a binary, b binary")
 
 
+def _near_size(a: str, b: str, threshold: float) -> Column:
+    return (F.col(a) >= F.lit(threshold) * F.col(b) - 1e-6) & (F.col(b) >= F.lit(threshold) * F.col(a) - 1e-6)
+
+
+def _spell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, label, n, few, held) -> one row for each shingle."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, 64):
+            part = batch.slice(k, 64)
+            sets = [np.frombuffer(x, dtype=np.int64) for x in part.column(4).to_pylist()]
+            take = pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in sets]))
+            yield pa.RecordBatch.from_arrays([*(part.column(c).take(take) for c in range(4)), pa.array(np.concatenate(sets))], ["digest", "label", "n", "few", "shingle"])
+
+
+def _rest(members: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """members (bucket, digest, n, label) -> pairs (leader, member) of buckets with several labels that may be similar.
+
+    Of a bucket, texts of the commonest label are held against those of others alone.  Sets of n shingles that are
+    similar share one of their n - threshold n + 1 rarest, in one order for all.
+    """
+    sizes = members.select("label", "digest").distinct().groupBy("label").agg(F.count("*").alias("label_size"))
+    sized = members.join(sizes, "label")
+    ends = sized.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("label_size", "label")).alias("most"))
+    mixed = members.join(ends.where("low <> high").select("bucket", F.col("most.label").alias("common")), "bucket")
+    texts = mixed.groupBy("digest", "label", "n").agg(F.max(F.col("label") != F.col("common")).alias("few"))
+    spelled = texts.join(held, "digest").select("digest", "label", "n", "few", "held").mapInArrow(_spell, "digest binary, label binary, n long, few boolean, shingle long")
+    spelled = materialize(spelled, "spelled")
+    often = spelled.groupBy("shingle").agg(F.count("*").alias("found_in")).where("found_in > 1")
+    shared = spelled.join(often, "shingle")
+    by_text = Window.partitionBy("digest")
+    placed = shared.withColumn("rank", F.row_number().over(by_text.orderBy("found_in", "shingle"))).withColumn("alone", F.col("n") - F.count("*").over(by_text))
+    prefix = placed.where(F.col("rank") + F.col("alone") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-6) + 1).select("shingle", "digest", "label", "n", "few")
+    prefix = materialize(prefix, "prefix")
+    few = prefix.where("few").select("shingle", F.col("digest").alias("leader"), F.col("label").alias("leader_label"), F.col("n").alias("leader_n"))
+    met = prefix.join(few, "shingle").where((F.col("label") != F.col("leader_label")) & _near_size("n", "leader_n", threshold) & (~F.col("few") | (F.col("leader") < F.col("digest"))))
+    return met.select("leader", F.col("digest").alias("member")).distinct()
+
+
 def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands: int = 24, rows: int = 5, weighted: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, digest, class_key, class_id, class_size, n_shingles.
 
@@ -117,7 +157,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands:
     signed = materialize(texts.mapInArrow(_sign(size, n_bands, rows, weighted), "doc_id long, digest binary, n long, bands array<long>"), "signatures")
     distinct = signed.groupBy("digest").agg(F.min(F.struct("n", "bands")).alias("s")).select("digest", "s.n", F.explode("s.bands").alias("bucket"))
     shared = distinct.groupBy("bucket").count().where("count > 1").select("bucket")
-    members = materialize(distinct.join(shared, "bucket").select("bucket", "digest", "n", F.col("digest").alias("label")), "members")
+    members = materialize(distinct.join(shared, "bucket").select("bucket", "digest", "n"), "members")
     # Digests are hashed once more, so that no text's place in the order has to do with its label.
     order = F.xxhash64("digest")
     needed = members.select("digest").distinct()
@@ -125,25 +165,17 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands:
     once = with_digest.join(needed, "digest", "left_semi").mapInArrow(_shingle_rows(size), "digest binary, held binary")
     held = materialize(once.groupBy("digest").agg(F.min("held").alias("held")), "shingles")
 
-    spark = docs.sparkSession
-    edges, labels, leaders_each = None, None, 1
-    while not members.isEmpty():
-        sizes = members.select("label", "digest").distinct().groupBy("label").count().withColumnRenamed("count", "label_size")
-        ranked = members.join(sizes, "label").select("bucket", "label", F.struct("label_size", order, "digest", "n", "label").alias("who"), F.pmod(order, F.lit(leaders_each)).alias("slot"))
-        leaders = materialize(ranked.groupBy("bucket", "slot").agg(F.min("who").alias("who")).select("bucket", F.col("who.digest").alias("leader"), F.col("who.n").alias("leader_n"), F.col("who.label").alias("leader_label")), "leaders")
-        near_size = (F.col("n") >= F.lit(threshold) * F.col("leader_n") - 1e-6) & (F.col("leader_n") >= F.lit(threshold) * F.col("n") - 1e-6)
-        met = members.join(leaders, "bucket").where(F.col("label") != F.col("leader_label")).where(near_size)
-        pairs = materialize(met.select("leader", F.col("digest").alias("member")).distinct(), "pairs")
-        found = materialize(_verified(pairs, held, threshold), "similar")
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
-        left = members.join(leaders.select("bucket", F.col("leader").alias("digest")), ["bucket", "digest"], "left_anti").drop("label")
-        left = left.join(labels.withColumnRenamed("node", "digest"), "digest", "left").select("bucket", "digest", "n", F.coalesce("label", "digest").alias("label"))
-        mixed = left.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-        members = materialize(left.join(mixed, "bucket", "left_semi"), "members")
-        leaders_each = min(leaders_each * 4, 256)
-    if labels is None:
-        labels = spark.createDataFrame([], "node binary, label binary")
+    slot = F.pmod(order, F.lit(LEADERS))
+    leaders = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(order.alias("order"), "digest", "n")).alias("who")).select("bucket", F.col("who.digest").alias("leader"), F.col("who.n").alias("leader_n"))
+    met = members.join(leaders, "bucket").where((F.col("digest") != F.col("leader")) & _near_size("n", "leader_n", threshold))
+    pairs = materialize(met.select("leader", F.col("digest").alias("member")).distinct(), "pairs")
+    edges = shorten(_verified(pairs, held, threshold))
+    # A label between the steps is the least neighbour: always of the same class, if not yet the least of all.
+    first = edges.groupBy(F.col("a").alias("digest")).agg(F.min("b").alias("label"))
+    left = members.join(first, "digest", "left").select("bucket", "digest", "n", F.coalesce("label", "digest").alias("label"))
+    pairs = _rest(materialize(left, "labelled"), held, threshold)
+    edges = edges.union(_verified(materialize(pairs, "pairs"), held, threshold))
+    labels = components(edges)
     each = signed.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     each = each.withColumn("label", F.coalesce("label", "digest"))
     classes = each.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
