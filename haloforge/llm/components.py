@@ -33,12 +33,6 @@ def _star(now: DataFrame) -> DataFrame:
     return small.select("e.u", "e.v").where("u <> v").distinct()
 
 
-def shorten(edges: DataFrame) -> DataFrame:
-    """edges (a, b) -> written edges (a, b), b < a, with the same components, after one round.  Every node but the least
-    of its component has an edge; most lead to that."""
-    return materialize(_star(_ordered(edges)), "edges").select(F.col("u").alias("a"), F.col("v").alias("b"))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of any one ordered type -> (node, label): the smallest node of its component, for each node that
     has an edge to another.  Nulls and loops are left out; repeated edges count once; no edges give no rows."""

@@ -4,7 +4,7 @@
    then on only one row for each distinct text matters.
 2. Texts that share a band's hash are a bucket.  Every bucket names ``LEADERS`` texts, and each text is compared with
    the leaders of its buckets.  That joins most of each class, however large.
-3. Buckets whose texts aren't all joined yet are settled by prefix filtering: two sets of a similarity share one of
+3. Buckets whose other texts aren't all joined yet are settled by prefix filtering: two sets of a similarity share one of
    their rarest shingles, so only texts that do are compared, and of a bucket's pairs only those that lie in two
    classes so far.  No pair of a bucket is lost, and in neither step are all pairs of a bucket made.
 4. A comparison counts the shared distinct shingles of both whole texts.  A leader's comparisons are dealt over
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haloforge.llm.arrow import keyed_texts, text_blocks
-from haloforge.llm.components import components, shorten
+from haloforge.llm.components import components
 from haloforge.llm.dartminhash import bands, signatures
 from haloforge.llm.store import materialize
 from haloforge.llm.words import hash_words, runs, shingles
@@ -140,10 +140,14 @@ def _rest(members: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     shared = spelled.join(often, "shingle")
     by_text = Window.partitionBy("digest")
     placed = shared.withColumn("rank", F.row_number().over(by_text.orderBy("found_in", "shingle"))).withColumn("alone", F.col("n") - F.count("*").over(by_text))
-    prefix = placed.where(F.col("rank") + F.col("alone") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-6) + 1).select("shingle", "digest", "label", "n", "few")
+    placed = placed.withColumn("at", (F.col("rank") + F.col("alone")).cast("long"))
+    prefix = placed.where(F.col("at") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-6) + 1).select("shingle", "digest", "label", "n", "few", "at")
     prefix = materialize(prefix, "prefix")
-    few = prefix.where("few").select("shingle", F.col("digest").alias("leader"), F.col("label").alias("leader_label"), F.col("n").alias("leader_n"))
-    met = prefix.join(few, "shingle").where((F.col("label") != F.col("leader_label")) & _near_size("n", "leader_n", threshold) & (~F.col("few") | (F.col("leader") < F.col("digest"))))
+    few = prefix.where("few").select("shingle", F.col("digest").alias("leader"), F.col("label").alias("leader_label"), F.col("n").alias("leader_n"), F.col("at").alias("leader_at"))
+    # From their first shared shingle on, both must have enough left to share.
+    enough = F.least(F.col("n") - F.col("at"), F.col("leader_n") - F.col("leader_at")) + 1 >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("leader_n")) - 1e-6
+    other = (F.col("label") != F.col("leader_label")) & (~F.col("few") | (F.col("leader") < F.col("digest")))
+    met = prefix.join(few, "shingle").where(other & enough & _near_size("n", "leader_n", threshold))
     return met.select("leader", F.col("digest").alias("member")).distinct()
 
 
@@ -169,13 +173,15 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands:
     leaders = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(order.alias("order"), "digest", "n")).alias("who")).select("bucket", F.col("who.digest").alias("leader"), F.col("who.n").alias("leader_n"))
     met = members.join(leaders, "bucket").where((F.col("digest") != F.col("leader")) & _near_size("n", "leader_n", threshold))
     pairs = materialize(met.select("leader", F.col("digest").alias("member")).distinct(), "pairs")
-    edges = shorten(_verified(pairs, held, threshold))
-    # A label between the steps is the least neighbour: always of the same class, if not yet the least of all.
-    first = edges.groupBy(F.col("a").alias("digest")).agg(F.min("b").alias("label"))
-    left = members.join(first, "digest", "left").select("bucket", "digest", "n", F.coalesce("label", "digest").alias("label"))
+    edges = materialize(_verified(pairs, held, threshold), "similar")
+    first = materialize(components(edges).withColumnRenamed("node", "digest"), "labels")
+    # A leader has met all of its bucket.
+    left = members.join(leaders.select("bucket", F.col("leader").alias("digest")), ["bucket", "digest"], "left_anti")
+    left = left.join(first, "digest", "left").select("bucket", "digest", "n", F.coalesce("label", "digest").alias("label"))
     pairs = _rest(materialize(left, "labelled"), held, threshold)
-    edges = edges.union(_verified(materialize(pairs, "pairs"), held, threshold))
-    labels = components(edges)
+    found = materialize(_verified(materialize(pairs, "pairs"), held, threshold), "similar")
+    # Only what the second step found is joined anew.
+    labels = components(first.select("digest", "label").union(found))
     each = signed.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "digest"), "digest", "left")
     each = each.withColumn("label", F.coalesce("label", "digest"))
     classes = each.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
