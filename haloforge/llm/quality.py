@@ -27,7 +27,7 @@ from haloforge.llm.store import materialize
 WHITE = " \\t-\\r"
 #: The vector: ln of words, letters a word, ln of symbols a hundred words, of repeated lines and of repeated words a hundred words.
 VECTOR = ("v1", "v2", "v3", "v4", "v5")
-FLOORS = (0.5, 0.6, 0.5, 0.4, 0.8)
+FLOORS = (0.5, 0.6, 0.7, 0.4, 0.8)
 SUPPORT = 0.75
 STEPS = 3
 LEAST = 40
