@@ -1,13 +1,13 @@
 """Merger trees: branches, assembly statistics, orbits, edges.
 
 Nodes are rows (tree_id, node_id, ...) with pointers to other nodes of their tree, -1 where there is none.  A tree is
-small and complete in itself, so one shuffle by tree_id brings all pointers of a walk together; millions of trees are
-walked at once.  Link lists without trees are resolved by pointer doubling: a join for each power of two of the depth.
+small and complete in itself, so one shuffle and sort by tree_id brings all pointers of a walk together; a batch holds
+many whole trees.  Link lists without trees are resolved by pointer doubling: a join for each power of two of the depth.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -19,22 +19,48 @@ from haloforge.cosmology import r200
 from haloforge.functions.columns import wrap
 
 
+def _whole_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches sorted by tree_id -> frames of whole trees; the last tree of a batch waits for the next batch."""
+    held: list[pd.DataFrame] = []
+    for rows in batches:
+        if not len(rows):
+            continue
+        ids = rows["tree_id"].to_numpy()
+        cut = int(np.searchsorted(ids, ids[-1], side="left"))
+        if cut or (held and held[-1]["tree_id"].iloc[-1] != ids[-1]):
+            yield pd.concat([*held, rows.iloc[:cut]], ignore_index=True)
+            held = []
+        held.append(rows.iloc[cut:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _by_tree(rows: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema, *order: str) -> DataFrame:
+    """``f`` over frames of many whole trees each: one shuffle and sort, and no call for every single tree."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for trees in _whole_trees(batches):
+            yield f(trees)
+
+    return rows.where("tree_id is not null").repartition("tree_id").sortWithinPartitions("tree_id", *order).mapInPandas(run, schema)
+
+
 def _walk(pointer: str, include_terminal: bool, until: str | None) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        node, to = rows["node_id"].to_numpy(), rows[pointer].to_numpy()
-        place = {n: k for k, n in enumerate(node.tolist())}
-        stop = rows["snapnum"].to_numpy() <= rows[until].to_numpy() if until else None
+        trees, node, to = (rows[c].to_numpy().tolist() for c in ("tree_id", "node_id", pointer))
+        place = {key: k for k, key in enumerate(zip(trees, node, strict=True))}
+        stop = (rows["snapnum"].to_numpy() <= rows[until].to_numpy()).tolist() if until else None
         where, root, depth = [], [], []
-        for first in np.flatnonzero(rows["__root"].to_numpy(dtype=bool)):
-            k, d = int(first), 0
+        for first in np.flatnonzero(rows["__root"].to_numpy(dtype=bool)).tolist():
+            k, d = first, 0
             while True:
-                last = bool(stop[k]) if until else to[k] == -1
+                last = stop[k] if until else to[k] == -1
                 if last and not include_terminal:
                     break
                 where.append(k)
                 root.append(node[first])
                 depth.append(d)
-                following = None if last else place.get(int(to[k]))
+                following = None if last else place.get((trees[k], to[k]))
                 if following is None or d > len(node):
                     break
                 k, d = following, d + 1
@@ -61,7 +87,7 @@ def branches(nodes: DataFrame, roots: DataFrame | None = None, pointer: str = "m
         marked = nodes.join(given, ["tree_id", "node_id"], "left").withColumn("__root", F.coalesce("__given", F.lit(False))).drop("__given")
     marked = marked.select(*nodes.columns, "__root")
     schema = T.StructType([T.StructField("root_id", T.LongType()), T.StructField("depth", T.IntegerType()), *nodes.schema.fields])
-    return marked.groupBy("tree_id").applyInPandas(_walk(pointer, include_terminal, until), schema)
+    return _by_tree(marked, _walk(pointer, include_terminal, until), schema)
 
 
 def branches_by_snapshot(nodes: DataFrame) -> DataFrame:
@@ -94,15 +120,19 @@ _STATISTICS = "tree_id long, root_id long, n_nodes long, m0 double, zform double
 
 def _assembly(least: int) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("depth")
-        m, z = rows["m200"].to_numpy(), rows["redshift"].to_numpy()
-        zform = alpha = grown = 0.0
-        if len(m) > least:
-            share = m / m[0]
-            zform = float(np.interp(0.5, share[::-1], z[::-1]))
-            alpha = float(-np.interp(3.0, z, np.log(share)) / 3.0)
-            grown = float(1.0 - np.exp(np.interp(0.3, z, np.log(share))))
-        return pd.DataFrame({"tree_id": [rows["tree_id"].iloc[0]], "root_id": [rows["root_id"].iloc[0]], "n_nodes": [len(m)], "m0": [m[0]], "zform": [zform], "alpha": [alpha], "dm_over_m": [grown]})
+        trees, roots, m200, redshift = (rows[c].to_numpy() for c in ("tree_id", "root_id", "m200", "redshift"))
+        begin = np.flatnonzero(np.concatenate([[True], (trees[1:] != trees[:-1]) | (roots[1:] != roots[:-1])]))
+        out = []
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(rows)], strict=True):
+            m, z = m200[a:b], redshift[a:b]
+            zform = alpha = grown = 0.0
+            if len(m) > least:
+                share = m / m[0]
+                zform = float(np.interp(0.5, share[::-1], z[::-1]))
+                alpha = float(-np.interp(3.0, z, np.log(share)) / 3.0)
+                grown = float(1.0 - np.exp(np.interp(0.3, z, np.log(share))))
+            out.append((trees[a], roots[a], len(m), m[0], zform, alpha, grown))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in _STATISTICS.split(", ")])
 
     return run
 
@@ -110,7 +140,7 @@ def _assembly(least: int) -> Callable:
 def assembly_statistics(track: DataFrame, least: int = 10) -> DataFrame:
     """tree_id, root_id, n_nodes, m0, zform, alpha, dm_over_m of each branch: the redshift at half the last mass, the slope
     of ln M up to redshift 3, and the share gained since 0.3.  0 for branches of ``least`` nodes or fewer."""
-    return track.select("tree_id", "root_id", "depth", "m200", "redshift").groupBy("tree_id", "root_id").applyInPandas(_assembly(least), _STATISTICS)
+    return _by_tree(track.select("tree_id", "root_id", "depth", "m200", "redshift"), _assembly(least), _STATISTICS, "root_id", "depth")
 
 
 def fof_orbits(nodes: DataFrame, members: DataFrame, box: float, corrected: bool = False) -> DataFrame:
