@@ -112,7 +112,7 @@ def galaxy_totals(spark, d):
 def add_gas_particles(spark, d):
     p = load(spark, d, "particles").where("ptype <> 0").withColumn("row_id", F.col("pid")).dropDuplicates(["pid"])
     found = R.add_gas(p, HEADER, first_mass=10.0)
-    return rounded(found.select("pid", *bigint("ptype"), "x", "y", "z", "mass", "u"), x=7, y=7, z=7, mass=7, u=6)
+    return rounded(found.select("pid", *bigint("ptype"), "x", "y", "z", "mass", "u"), x=7, y=7, z=7, mass=12, u=6)
 
 
 # Selections ----------------------------------------------------------------------------------------------------------

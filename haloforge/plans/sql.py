@@ -60,9 +60,9 @@ add("mesh_cell", "select pid, " + ", ".join(f"trunc(8 * ({c} - {d(o)}) / 80.0::d
 add("galaxy_totals", "select row_id, " + ", ".join(f"{rnd(f'{k}_disk + {k}_bulge', 6)} as {k}_tot" for k in ("mstar", "mgas", "matom")) + " from galaxies", GAL)
 _FG, _D = 0.0491 / OMEGA0, (10.0 / OMEGA0 / 27.755) ** (1.0 / 3.0)
 add("add_gas_particles", f"""
-select row_number() over (order by pid) - 1 as pid, 0::bigint as ptype, {', '.join(rnd(f'{c} - {d((1 - _FG) * 0.25 * _D)}', 7) + f' as {c}' for c in 'xyz')}, {rnd(f'mass * {d(_FG)}', 7)} as mass, 100.0::double as u from k where ptype = 1
+select row_number() over (order by pid) - 1 as pid, 0::bigint as ptype, {', '.join(rnd(f'{c} - {d((1 - _FG) * 0.25 * _D)}', 7) + f' as {c}' for c in 'xyz')}, {rnd(f'mass * {d(_FG)}', 12)} as mass, 100.0::double as u from k where ptype = 1
 union all
-select pid + (select count(*) from k where ptype = 1), ptype::bigint, {', '.join(rnd(f'case when ptype = 1 then {c} - {d(0.25 * _D)} else {c} end', 7) for c in 'xyz')}, {rnd(f'case when ptype = 1 then mass * {d(1 - _FG)} else mass end', 7)}, {rnd('u', 6)} from k
+select pid + (select count(*) from k where ptype = 1), ptype::bigint, {', '.join(rnd(f'case when ptype = 1 then {c} - {d(0.25 * _D)} else {c} end', 7) for c in 'xyz')}, {rnd(f'case when ptype = 1 then mass * {d(1 - _FG)} else mass end', 12)}, {rnd('u', 6)} from k
 """, P, "k as (select distinct on (pid) * from particles where ptype <> 0)")
 
 # Selections
