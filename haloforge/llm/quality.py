@@ -6,12 +6,16 @@ and median deviations on, documents are ordered by Mahalanobis distance and the
 A document further than ``CUTOFF`` is an outlier.  Sums, products and quantile sketches are aggregated before they
 are shuffled, so a source with most of the rows is no burden; groups' estimates are joined, never collected.
 
+With ``pooled``, as the registered query has it, a language and source with fewer than ``LEAST`` documents that pass the
+base rules is judged by the estimate over its whole language, and where that has fewer, too, by the one over all rows,
+however few: every document is judged at every size.
+
 Scatter is never taken to be less than ``FLOORS``: where nearly all documents of a group have the same value, a small
 difference isn't an outlier.
 
 Defined results: a null or empty text has no word and fails the base rules; a null language or source is a group of
-its own; groups with fewer than ``LEAST`` documents that pass the base rules judge none of them; each row is judged,
-repeated rows alike; a null doc_id passes; other columns don't matter; an empty table gives no rows.
+its own; without ``pooled``, groups with fewer than ``LEAST`` documents that pass the base rules judge none of them;
+each row is judged, repeated rows alike; a null doc_id passes; other columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,6 +35,9 @@ FLOORS = (0.5, 0.6, 0.7, 0.4, 0.8)
 SUPPORT = 0.75
 STEPS = 3
 LEAST = 40
+#: Levels of estimates: 0 a language and source, 1 a language, 2 all rows.
+GROUP = ("g_level", "g_lang", "g_source")
+TOP = 2
 #: Fixed values for five dimensions: the chi-square quantile at 1 - 1e-7, and the factor that makes the scatter of the
 #: closest 75 % consistent for normal vectors.
 CUTOFF = 41.0
@@ -101,26 +108,31 @@ def _factor(groups: DataFrame) -> DataFrame:
         for j in range(i + 1):
             rest = F.col(f"s{i}{j}") - reduce(add, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.lit(0.0))
             groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}{j}"))
-    return groups.select("g_lang", "g_source", *[f"m{i}" for i in range(len(VECTOR))], *[f"l{i}{j}" for i in range(len(VECTOR)) for j in range(i + 1)])
+    return groups.select(*GROUP, *[f"m{i}" for i in range(len(VECTOR))], *[f"l{i}{j}" for i in range(len(VECTOR)) for j in range(i + 1)])
 
 
 def _joined(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
-    return rows.join(groups, F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source")), how)
+    """``rows`` have level, lang and source."""
+    same = (F.col("level") == F.col("g_level")) & F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
+    return rows.join(groups, same, how)
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """One row for each language and source with ``LEAST`` rows or more: its centre m_i and Cholesky factor l_ij."""
+    """One row for each level, language and source with ``LEAST`` rows or more, and for the top level whatever it has: its
+    centre m_i and Cholesky factor l_ij.  Rows without a level are all of level 0."""
     d = range(len(VECTOR))
-    name = [F.col("lang").alias("g_lang"), F.col("source").alias("g_source")]
-    middle = rows.groupBy(*name).agg(F.count("*").alias("n"), *[F.percentile_approx(v, 0.5, 10_000).alias(f"m{i}") for i, v in enumerate(VECTOR)]).where(F.col("n") >= LEAST)
-    spread = _joined(rows, middle).groupBy("g_lang", "g_source").agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 10_000).alias(f"mad{i}") for i, v in enumerate(VECTOR)])
+    if "level" not in rows.columns:
+        rows = rows.withColumn("level", F.lit(0))
+    name = [F.col(c[2:]).alias(c) for c in GROUP]
+    middle = rows.groupBy(*name).agg(F.count("*").alias("n"), *[F.percentile_approx(v, 0.5, 10_000).alias(f"m{i}") for i, v in enumerate(VECTOR)]).where((F.col("n") >= LEAST) | (F.col("g_level") == TOP))
+    spread = _joined(rows, middle).groupBy(*GROUP).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 10_000).alias(f"mad{i}") for i, v in enumerate(VECTOR)])
     start = [(F.pow(1.4826 * F.col(f"mad{i}"), F.lit(2)) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in d for j in range(i + 1)]
-    groups = materialize(_factor(spread.select("g_lang", "g_source", *[f"m{i}" for i in d], *start)), "groups")
+    groups = materialize(_factor(spread.select(*GROUP, *[f"m{i}" for i in d], *start)), "groups")
     for _ in range(STEPS):
-        far = _distance(_joined(rows, groups)).select("g_lang", "g_source", *VECTOR, "d2")
-        edge = far.groupBy("g_lang", "g_source").agg(F.percentile_approx("d2", SUPPORT, 10_000).alias("edge")).select(F.col("g_lang").alias("lang"), F.col("g_source").alias("source"), "edge")
+        far = _distance(_joined(rows, groups)).select(*GROUP, *VECTOR, "d2")
+        edge = far.groupBy(*GROUP).agg(F.percentile_approx("d2", SUPPORT, 10_000).alias("edge")).select(*[F.col(c).alias(c[2:]) for c in GROUP], "edge")
         near = _joined(edge, far).where(F.col("d2") <= F.col("edge"))
-        sums = near.groupBy("g_lang", "g_source").agg(
+        sums = near.groupBy(*GROUP).agg(
             *[F.avg(v).alias(f"m{i}") for i, v in enumerate(VECTOR)],
             *[(CONSISTENCY * F.covar_pop(VECTOR[i], VECTOR[j]) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i in d for j in range(i + 1)],
         )
@@ -128,11 +140,33 @@ def estimates(rows: DataFrame) -> DataFrame:
     return groups
 
 
-def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
+def _levels(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` that pass the base rules, at each level where an estimate is needed; and (own_lang, own_source, level,
+    to_lang, to_source), where each language and source is judged."""
+    sizes = rows.groupBy(F.col("lang").alias("own_lang"), F.col("source").alias("own_source")).agg(F.count_if(~F.col("base_failed")).alias("n"))
+    by_lang = sizes.groupBy(F.col("own_lang").alias("of_lang")).agg(F.sum("n").alias("n_lang"))
+    level = F.when(F.col("n") >= LEAST, 0).when(F.col("n_lang") >= LEAST, 1).otherwise(TOP)
+    places = sizes.join(by_lang, F.col("own_lang").eqNullSafe(F.col("of_lang"))).select("own_lang", "own_source", level.alias("level"))
+    places = materialize(places.withColumns({"to_lang": F.when(F.col("level") < TOP, F.col("own_lang")), "to_source": F.when(F.col("level") == 0, F.col("own_source"))}), "places")
+    passed, none = rows.where("not base_failed"), F.lit(None).cast("string")
+    out = passed.select(F.lit(0).alias("level"), "lang", "source", *VECTOR)
+    pooled = places.where("level = 1").select("own_lang").distinct()
+    out = out.unionByName(passed.join(pooled, F.col("lang").eqNullSafe(F.col("own_lang")), "left_semi").select(F.lit(1).alias("level"), "lang", none.alias("source"), *VECTOR))
+    if not places.where(F.col("level") == TOP).isEmpty():
+        out = out.unionByName(passed.select(F.lit(TOP).alias("level"), none.alias("lang"), none.alias("source"), *VECTOR))
+    return out, places
+
+
+def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, pooled: bool = False) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rows = materialize(statistics(docs).withColumn("base_failed", failed).select("*", *_vector()), "statistics")
-    groups = estimates(rows.where("not base_failed").select("lang", "source", *VECTOR))
-    judged = _distance(_joined(rows, groups, "left"))
+    if pooled:
+        chosen, places = _levels(rows)
+        at = rows.join(places, F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")))
+        rows = at.drop("lang", "source").withColumnsRenamed({"to_lang": "lang", "to_source": "source"})
+    else:
+        chosen, rows = rows.where("not base_failed").select("lang", "source", *VECTOR), rows.withColumn("level", F.lit(0))
+    judged = _distance(_joined(rows, estimates(chosen), "left"))
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance2"))

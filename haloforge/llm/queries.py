@@ -39,7 +39,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.judge(table(spark, sf_dir, "documents"))
+    return quality.judge(table(spark, sf_dir, "documents"), pooled=True)
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,6 +58,24 @@ def test_quality_finds_outliers_among_many(spark):
     assert all(found[k] for k in range(300)) and not any(found[1000 + k] for k in range(60)) and all(found[2000 + k] for k in range(10))
 
 
+def test_quality_judges_small_groups(spark):
+    """Groups too small for an estimate are judged by their language's, and small languages by that of all rows."""
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
+    rows = [(k, " ".join(word() for _ in range(r.randint(60, 300))), "en", f"s{k % 30}") for k in range(300)]
+    junk = {1000: ("en", "s1"), 1001: ("en", "rare"), 1002: (None, "b"), 1003: (None, None), 1004: ("de", "s1")}
+    rows += [(k, " ".join(word() + "###" for _ in range(150)), *group) for k, group in junk.items()]
+    rows += [(2000, " ".join(word() for _ in range(100)), "de", "s2")]
+    found = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), pooled=True).collect()}
+    assert len(found) == len(rows) and all(x.distance2 is not None for x in found.values())
+    assert {k for k, x in found.items() if not x.kept} == set(junk)
+
+
+def test_quality_query_judges_every_document(spark):
+    found = queries.op5_quality(spark, DATA).collect()
+    assert len(found) == spark.read.parquet(f"{DATA}/documents.parquet").count() and all(x.distance2 is not None for x in found)
+
+
 def test_quality_distance_as_numpy(spark):
     """The estimate is a fixed point: the mean and scatter of the rows that it has nearest."""
     rng = np.random.default_rng(3)
