@@ -1,16 +1,16 @@
 """Operator 5, quality rules: base rules and robust multivariate outliers, with DataFrame functions only.
 
 Each document's statistics become a vector.  For each language and source, the centre and the scatter of the
-``SUPPORT`` share of documents that lie closest together are sought (minimum covariance determinant): from medians
-and median deviations on, documents are ordered by Mahalanobis distance and the closest are averaged anew (C-steps).
-A document further than ``CUTOFF`` is an outlier.  Sums, products and quantile sketches are aggregated before they
+``SUPPORT`` share of documents that lie closest together are sought (minimum covariance determinant): from two starts on, medians with median deviations and the mean with the
+covariance of all, documents are ordered by Mahalanobis distance and the closest are averaged anew (C-steps), until no
+determinant falls any more; the start that ends at the lesser one counts.  A document further than ``CUTOFF`` is an outlier.  Sums, products and quantile sketches are aggregated before they
 are shuffled, so a source with most of the rows is no burden; groups' estimates are joined, never collected.
 
 With ``pooled``, as the registered query has it, a language and source with fewer than ``LEAST`` documents that pass the
 base rules is judged by the estimate over its whole language, and where that has fewer, too, by the one over all rows,
 however few: every document is judged at every size.
 
-Scatter is never taken to be less than ``FLOORS``: where nearly all documents of a group have the same value, a small
+A dimension's scatter counts as the larger of its own and ``FLOORS``, which adds nothing to a scatter above it: where nearly all documents of a group have the same value, a small
 difference isn't an outlier.
 
 Defined results: a null or empty text has no word and fails the base rules; a null language or source is a group of
@@ -33,14 +33,16 @@ WHITE = " \\t-\\r"
 VECTOR = ("v1", "v2", "v3", "v4", "v5")
 FLOORS = (0.5, 0.6, 0.7, 0.4, 0.8)
 SUPPORT = 0.75
-STEPS = 3
+#: Steps go on until no group's ln of the determinant falls by more than STILL; quantile sketches let it rise a little.
+STILL = 1e-3
+MOST_STEPS = 40
 LEAST = 40
 #: Levels of estimates: 0 a language and source, 1 a language, 2 all rows.
 GROUP = ("g_level", "g_lang", "g_source")
 TOP = 2
-#: Fixed values for five dimensions: the chi-square quantile at 1 - 1e-7, and the factor that makes the scatter of the
+#: Fixed values for five dimensions: the chi-square quantile at 0.999, and the factor that makes the scatter of the
 #: closest 75 % consistent for normal vectors.
-CUTOFF = 41.0
+CUTOFF = 20.515
 CONSISTENCY = 1.41
 _POS = 28
 
@@ -103,12 +105,12 @@ def _distance(rows: DataFrame) -> DataFrame:
 
 
 def _factor(groups: DataFrame) -> DataFrame:
-    """lang, source, m_i and the scatter s_ij -> lang, source, m_i, l_ij.  The floor on the diagonal makes it definite."""
+    """The keys, m_i and the scatter s_ij -> the keys, m_i, l_ij.  The bound on the diagonal makes it definite."""
     for i in range(len(VECTOR)):
         for j in range(i + 1):
             rest = F.col(f"s{i}{j}") - reduce(add, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.lit(0.0))
             groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}{j}"))
-    return groups.select(*GROUP, *[f"m{i}" for i in range(len(VECTOR))], *[f"l{i}{j}" for i in range(len(VECTOR)) for j in range(i + 1)])
+    return groups.select("start", *GROUP, *[f"m{i}" for i in range(len(VECTOR))], *[f"l{i}{j}" for i in range(len(VECTOR)) for j in range(i + 1)])
 
 
 def _joined(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
@@ -117,6 +119,18 @@ def _joined(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame
     return rows.join(groups, same, how)
 
 
+def _bounded(variance: Column, i: int) -> Column:
+    return F.greatest(variance, F.lit(FLOORS[i] ** 2))
+
+
+def _log_determinant() -> Column:
+    return reduce(add, [2 * F.log(f"l{i}{i}") for i in range(len(VECTOR))])
+
+
+def _same_keys(names: list[str], prefix: str) -> Column:
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in names])
+
+
 def estimates(rows: DataFrame) -> DataFrame:
     """One row for each level, language and source with ``LEAST`` rows or more, and for the top level whatever it has: its
     centre m_i and Cholesky factor l_ij.  Rows without a level are all of level 0."""
@@ -126,18 +140,29 @@ def estimates(rows: DataFrame) -> DataFrame:
     name = [F.col(c[2:]).alias(c) for c in GROUP]
     middle = rows.groupBy(*name).agg(F.count("*").alias("n"), *[F.percentile_approx(v, 0.5, 10_000).alias(f"m{i}") for i, v in enumerate(VECTOR)]).where((F.col("n") >= LEAST) | (F.col("g_level") == TOP))
     spread = _joined(rows, middle).groupBy(*GROUP).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 10_000).alias(f"mad{i}") for i, v in enumerate(VECTOR)])
-    start = [(F.pow(1.4826 * F.col(f"mad{i}"), F.lit(2)) + FLOORS[i] ** 2 if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in d for j in range(i + 1)]
-    groups = materialize(_factor(spread.select(*GROUP, *[f"m{i}" for i in d], *start)), "groups")
-    for _ in range(STEPS):
-        far = _distance(_joined(rows, groups)).select(*GROUP, *VECTOR, "d2")
-        edge = far.groupBy(*GROUP).agg(F.percentile_approx("d2", SUPPORT, 10_000).alias("edge")).select(*[F.col(c).alias(c[2:]) for c in GROUP], "edge")
-        near = _joined(edge, far).where(F.col("d2") <= F.col("edge"))
-        sums = near.groupBy(*GROUP).agg(
-            *[F.avg(v).alias(f"m{i}") for i, v in enumerate(VECTOR)],
-            *[(CONSISTENCY * F.covar_pop(VECTOR[i], VECTOR[j]) + (FLOORS[i] ** 2 if i == j else 0.0)).alias(f"s{i}{j}") for i in d for j in range(i + 1)],
-        )
-        groups = materialize(_factor(sums), "groups")
-    return groups
+    start = [(_bounded(F.pow(1.4826 * F.col(f"mad{i}"), F.lit(2)), i) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in d for j in range(i + 1)]
+    moments = [*[F.avg(v).alias(f"m{i}") for i, v in enumerate(VECTOR)], *[F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i in d for j in range(i + 1)]]
+
+    def scatter(of: DataFrame, factor: float) -> DataFrame:
+        return of.select("start", *GROUP, *[f"m{i}" for i in d], *[(_bounded(factor * F.col(f"c{i}{j}"), i) if i == j else factor * F.col(f"c{i}{j}")).alias(f"s{i}{j}") for i in d for j in range(i + 1)])
+
+    whole = rows.groupBy(*name).agg(F.count("*").alias("n"), *moments).where((F.col("n") >= LEAST) | (F.col("g_level") == TOP)).withColumn("start", F.lit(1))
+    groups = spread.select(F.lit(0).alias("start"), *GROUP, *[f"m{i}" for i in d], *start).unionByName(scatter(whole, 1.0))
+    groups = materialize(_factor(groups), "groups")
+    key = ["start", *GROUP]
+    for _ in range(MOST_STEPS):
+        far = _distance(_joined(rows, groups)).select(*key, *VECTOR, "d2")
+        edge = far.groupBy(*key).agg(F.percentile_approx("d2", SUPPORT, 10_000).alias("edge")).select(*[F.col(c).alias(f"e_{c}") for c in key], "edge")
+        near = far.join(edge, _same_keys(key, "e_")).where(F.col("d2") <= F.col("edge"))
+        before, groups = groups, materialize(_factor(scatter(near.groupBy(*key).agg(*moments), CONSISTENCY)), "groups")
+        old = before.select(*[F.col(c).alias(f"e_{c}") for c in key], _log_determinant().alias("old"))
+        falls = groups.join(old, _same_keys(key, "e_")).agg(F.max(F.col("old") - _log_determinant())).first()[0]
+        if falls is None or falls <= STILL:
+            break
+    # Of the starts, the one that ends at the lesser determinant.
+    columns = [c for c in groups.columns if c not in key]
+    best = groups.groupBy(*GROUP).agg(F.min_by(F.struct(*columns), F.struct(_log_determinant(), F.col("start"))).alias("b"))
+    return materialize(best.select(*GROUP, *[F.col(f"b.{c}").alias(c) for c in columns]), "groups")
 
 
 def _levels(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

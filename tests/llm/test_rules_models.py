@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -58,6 +59,25 @@ def test_quality_finds_outliers_among_many(spark):
     assert all(found[k] for k in range(300)) and not any(found[1000 + k] for k in range(60)) and all(found[2000 + k] for k in range(10))
 
 
+def test_quality_every_dimension_can_reject(spark):
+    """In a group without any scatter or correlation, each dimension alone rejects what passes the base rules."""
+    flat = [math.log(200), 5.0, 0.0, 0.0, 0.0]
+    rows = spark.createDataFrame([("en", "s", *flat)] * 100, "lang string, source string, v1 double, v2 double, v3 double, v4 double, v5 double")
+    g = quality.estimates(rows).first()
+    scatter = [g[f"l{i}{i}"] for i in range(5)]
+    far = (math.log(200 * 12), 9.0, math.log1p(30), math.log1p(30), math.log1p(45))
+    for i in range(5):
+        assert abs(scatter[i] - quality.FLOORS[i]) < 1e-6 and ((far[i] - flat[i]) / scatter[i]) ** 2 > quality.CUTOFF, i
+    # A scatter above the bound is as it is: nothing is added to it.
+    wide = spark.createDataFrame([("en", "s", *(3.0 * math.sin(7 * k * (i + 1) + i) for i in range(5))) for k in range(2000)], rows.schema)
+    g = quality.estimates(wide).first()
+    v = np.array([r[2:] for r in wide.collect()])
+    centre, low = np.array([g[f"m{i}"] for i in range(5)]), np.array([[g[f"l{i}{j}"] if j <= i else 0 for j in range(5)] for i in range(5)])
+    d2 = (np.linalg.solve(low, (v - centre).T) ** 2).sum(axis=0)
+    near = v[d2 <= np.quantile(d2, quality.SUPPORT)]
+    assert np.allclose(low @ low.T, quality.CONSISTENCY * np.cov(near.T, bias=True), atol=0.15)
+
+
 def test_quality_judges_small_groups(spark):
     """Groups too small for an estimate are judged by their language's, and small languages by that of all rows."""
     r = random.Random(1)
