@@ -84,6 +84,14 @@ def rank_from_zero(rows: DataFrame, key: str, out: str, width: int = 100_000) ->
     return running_sum(rows.withColumn("__one", F.lit(1).cast("long")), key, "__one", out, width).drop("__one")
 
 
+def rank_of_rows(rows: DataFrame, key: str, out: str, width: int) -> DataFrame:
+    """``out``: the rank of every row from 0 on, by an integer key and then by all other columns; repeated keys and rows
+    each have a rank of their own."""
+    starts = running_sum(rows.groupBy(key).agg(F.count("*").alias("__n")), key, "__n", "__start", width).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in rows.columns if c != key])) - 1
+    return rows.withColumn("__inside", inside).join(starts, key).withColumn(out, F.col("__start") + F.col("__inside")).drop("__start", "__inside")
+
+
 def type_counts(particles: DataFrame) -> DataFrame:
     return particles.groupBy("ptype").agg(F.count("*").alias("n"))
 

@@ -110,7 +110,7 @@ def galaxy_totals(spark, d):
 
 @query
 def add_gas_particles(spark, d):
-    p = load(spark, d, "particles").where("ptype <> 0").withColumn("row_id", F.col("pid")).dropDuplicates(["pid"])
+    p = R.rank_of_rows(load(spark, d, "particles").where("ptype <> 0"), "pid", "row_id", 10**13)  # stand-in ids may repeat
     found = R.add_gas(p, HEADER, first_mass=10.0)
     return rounded(found.select("pid", *bigint("ptype"), "x", "y", "z", "mass", "u"), x=7, y=7, z=7, mass=12, u=6)
 

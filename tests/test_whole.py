@@ -2,7 +2,7 @@
 
 import collections
 
-from haloforge.plans import whole
+from haloforge.plans import queries, whole
 from haloforge.plans.standins import load, members
 
 from .conftest import DATA
@@ -26,3 +26,12 @@ def test_joins_take_all_rows(spark, monkeypatch):
     assert any(tree[n] % 20 for n, _ in want)
     held = {r.pid for r in members(spark, DATA).collect()}
     assert sorted(r.pid for r in run("region_fof_all")) == sorted(p.pid for p in load(spark, DATA, "particles").select("pid").collect() if p.pid in held)
+
+
+def test_add_gas_keeps_rows_whose_ids_repeat(spark):
+    rows = load(spark, DATA, "particles").where("ptype <> 0").select("pid", "ptype").collect()
+    dark = sum(r.ptype == 1 for r in rows)
+    assert len({r.pid for r in rows}) < len(rows)
+    found = queries.QUERIES["add_gas_particles"](spark, DATA).collect()
+    assert sorted(r.pid for r in found if r.ptype == 0) == list(range(dark))
+    assert sorted((r.pid, r.ptype) for r in found if r.ptype) == sorted((r.pid + dark, r.ptype) for r in rows)
