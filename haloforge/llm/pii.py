@@ -2,7 +2,7 @@
 
 The field is trained on a small labelled table made by rule below, by gradient descent on the exact likelihood
 (forward and backward sums in numpy).  Its features are shapes of a word and its neighbours alone, so it knows no
-name or number.  It reads windows around words that hold a digit, ``@`` or ``+``, as every kind here does; a window is
+name or number.  It reads windows around digits, ``@``, ``+`` and dots, one of which every span has that is kept; a window is
 what lies within ``REACH`` words.  Windows of about one length are decoded together by Viterbi.  Found spans are kept
 where no base span touches them.
 
@@ -75,7 +75,8 @@ N_LABELS = 1 + 2 * len(KINDS)
 BUCKETS = 1 << 13
 REACH = 6
 _WORD = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_")
-_TRIGGER = re.compile(r"[0-9@+]")
+#: Whatever ``_plausible`` lets through holds one of these: emails a dot, the other kinds digits.
+_TRIGGER = re.compile(r"[0-9@+.]+")
 
 
 def shape(word: str) -> str:
@@ -262,20 +263,16 @@ def windows_of(text: str) -> Iterator[list[tuple]]:
     """Tokens around triggers; windows that touch are one."""
     edges: list[list[int]] = []
     for m in _TRIGGER.finditer(text):
-        at = m.start()
-        if edges and at < edges[-1][1]:
-            continue
         # REACH words to both sides, white space counted; marks may make more tokens of them.
-        a, b = at, at
+        a, b = m.start(), m.end() - 1
         for _ in range(REACH):
             a = max(text.rfind(" ", 0, a), text.rfind("\n", max(0, a - 400), a), 0) if a > 0 else 0
             b = next((x for x in [text.find(" ", b + 1, b + 400)] if x >= 0), min(len(text), b + 400))
-        a = max(a, at - 400, edges[-1][1] if edges else 0)
-        edges.append([a, min(b, at + 400)])
+        edges.append([max(a, m.start() - 400), min(b, m.end() + 400)])
     merged: list[list[int]] = []
     for a, b in edges:
         if merged and a <= merged[-1][1]:
-            merged[-1][1] = b
+            merged[-1][1] = max(b, merged[-1][1])
         else:
             merged.append([a, b])
     for a, b in merged:

@@ -235,6 +235,18 @@ def test_field_on_unseen_rows():
     assert hit >= 0.85 * total and wrong <= 0.15 * total
 
 
+def test_field_reads_emails_without_digit_or_at_sign():
+    crf, r = pii.train(), random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghilmnoprstuv") for _ in range(r.randint(3, 9)))
+    for spelling in ("{} (at) {}.com", "{}.{} (at) {}.org", "{} (at) {}.net"):
+        hit = 0
+        for _ in range(60):
+            mail = spelling.format(word(), word(), word())
+            before = " ".join(word() for _ in range(20)) + " "
+            hit += (len(before), 0, len(before) + len(mail)) in pii.find_spans([f"{before}{mail} " + " ".join(word() for _ in range(20))], crf)[0][1]
+        assert hit >= 48, (spelling, hit)
+
+
 def test_viterbi_as_brute_force():
     crf = pii.Crf()
     rng = np.random.default_rng(4)
