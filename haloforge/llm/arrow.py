@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 
 def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Only the key and the text, so that no other column is read or clashes."""
-    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
+    """Only the key and the text, so that no other column is read or clashes.  Keys are integers; text that spells one is
+    read as it, and what can't be is null."""
+    return docs.select(F.col(f"`{key}`").try_cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def text_blocks(batches: Iterable[pa.RecordBatch], at_most: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:

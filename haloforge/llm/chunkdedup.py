@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haloforge.llm.arrow import keyed_texts, text_blocks
-from haloforge.llm.words import WHITE, mix, prefix_hashes, span_hashes, word_bounds
+from haloforge.llm.words import WHITE, mix, span_hashes, word_bounds
 
 #: A pseudo-random number for each byte, made by rule.
 GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(0x67656172)) >> np.uint64(48)).astype(np.uint16)
@@ -77,7 +77,7 @@ def chunks(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, ...]]:
         starts = np.concatenate([[0], ends[:-1]])
         points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         words = np.searchsorted(word_bounds(even)[0], ends)
-        yield span_hashes(prefix_hashes(even), starts, ends).view(np.int64), points[kept[starts]], points[kept[ends - 1] + 1], np.diff(words, prepend=0)
+        yield span_hashes(even, starts, ends).view(np.int64), points[kept[starts]], points[kept[ends - 1] + 1], np.diff(words, prepend=0)
 
 
 def _digests(bits: int) -> Callable:

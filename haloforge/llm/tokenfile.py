@@ -12,7 +12,8 @@ Control bytes stand apart, so a reader learns from one table lookup for each of
 there.  Frequencies are counted over all of a segment's ids: a segment is read alone, and no pass over the corpus
 has to end before the first id can be written.
 
-Defined results: a null text is empty; each row is a document; ties in doc_id are ordered by nothing further; a
+Defined results: a null text is empty; each row is a document; rows of one doc_id are ordered by a hash of their text and
+then the text, so that a task that runs again writes the same; ids that aren't integers are cast, and those that can't be are null; a
 null doc_id comes first; an empty text has the end id alone; a document longer than a segment is a segment; an
 empty table gives no segments.
 """
@@ -89,8 +90,10 @@ def _write_segments(path: str, end_id: int, segment_tokens: int) -> Callable:
 
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, segment_tokens: int = 1 << 20) -> None:
     """Write the ids of all documents to ``path`` in ascending doc_id order."""
-    ordered = keyed_texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(_write_segments(tokenizer_path, end_id, segment_tokens), SCHEMA).write.option("compression", "zstd").parquet(path)
+    # The hash is a key of the ranges, too: rows that share a doc_id needn't lie in one.
+    keyed = keyed_texts(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
+    ordered = keyed.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text")
+    ordered.select("doc_id", "text").mapInArrow(_write_segments(tokenizer_path, end_id, segment_tokens), SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _read_segments(with_ids: bool) -> Callable:

@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-from haloforge.llm.words import prefix_hashes, span_hashes
+from haloforge.llm.words import span_hashes
 
 #: Byte classes: space 0, ASCII letter 1, mark 2, anything else 5.  Marks are ASCII punctuation but the apostrophe
 #: (contractions) and those that special tokens are written with.
@@ -24,9 +24,10 @@ class WordEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
     The tokenizers it takes split at white space and at borders between letters and marks before they merge, so a
-    text's ids are its words' ids in a row.  Words are looked up by a 64-bit hash of their bytes; the library
-    encodes those not met before.  The table holds ``most`` words at most and starts anew when full: that changes
-    the time, never a result.  Texts beyond Latin-1, or with the strings of special tokens, aren't lower-cased
+    text's ids are its words' ids in a row.  Words are found by a 64-bit hash, and their bytes are compared with those of
+    the word that the table holds under it; a text with a word whose hash is another's goes to the library whole.  The
+    library encodes words not met before.  The table holds ``most`` words, and ``most`` times 16 of their bytes, at most and
+    starts anew when full: that changes the time, never a result.  Texts beyond Latin-1, or with the strings of special tokens, aren't lower-cased
     first; the library does that.
     """
 
@@ -48,6 +49,10 @@ class WordEncoder:
         self.sizes = np.zeros(0, dtype=np.int64)
         self.ids = np.zeros(1 << 16, dtype=self.dtype)
         self.filled = 0
+        self.spelled = np.zeros(1 << 16, dtype=np.uint8)  # the words' bytes, one after another
+        self.written = 0
+        self.word_begins = np.zeros(0, dtype=np.int64)
+        self.word_sizes = np.zeros(0, dtype=np.int64)
 
     def _library(self, words: list[str]) -> list[list[int]]:
         """Ids of each word.  Single pre-tokens go together in one text: each ends with the first id that closes a word."""
@@ -67,8 +72,14 @@ class WordEncoder:
             out[k] = self.library.encode(words[k], add_special_tokens=False).ids
         return out
 
-    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
-        found = self._library(words)
+    def _learn(self, hashes: np.ndarray, raw: list[bytes]) -> None:
+        found = self._library([w.decode("utf-8", "surrogatepass") for w in raw])
+        letters = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
+        while self.written + letters.sum() > len(self.spelled):
+            self.spelled = np.concatenate([self.spelled, np.zeros_like(self.spelled)])
+        self.spelled[self.written : self.written + letters.sum()] = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        word_begins = self.written + np.cumsum(letters) - letters
+        self.written += int(letters.sum())
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
         flat = np.fromiter((x for ids in found for x in ids), dtype=self.dtype, count=int(sizes.sum()))
         while self.filled + len(flat) > len(self.ids):
@@ -80,6 +91,27 @@ class WordEncoder:
         self.hashes = np.insert(self.hashes, at, hashes)
         self.begins = np.insert(self.begins, at, begins)
         self.sizes = np.insert(self.sizes, at, sizes)
+        self.word_begins = np.insert(self.word_begins, at, word_begins)
+        self.word_sizes = np.insert(self.word_sizes, at, letters)
+
+    def _differ(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Which words of the block aren't, byte for byte, those of the table's rows."""
+        size = ends - starts
+        out = size != self.word_sizes[row]
+        step = 1 << 22
+        same = np.flatnonzero(~out)
+        upto = np.cumsum(size[same])
+        first = 0
+        while first < len(same):
+            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + step, side="right")))
+            some, n = same[first:last], size[same[first:last]]
+            stop = np.cumsum(n)
+            inner = np.arange(stop[-1]) - np.repeat(stop - n, n)
+            wrong = buf[np.repeat(starts[some], n) + inner] != self.spelled[np.repeat(self.word_begins[row[some]], n) + inner]
+            if wrong.any():
+                out[some[np.unique(np.searchsorted(stop, np.flatnonzero(wrong), side="right"))]] = True
+            first = last
+        return out
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more entry than texts)."""
@@ -105,21 +137,27 @@ class WordEncoder:
         first = np.searchsorted(starts, np.concatenate([[0], text_ends]))
         if not len(starts):
             return np.zeros(0, dtype=self.dtype), first
-        distinct, where, back = np.unique(span_hashes(prefix_hashes(buf), starts, ends), return_index=True, return_inverse=True)
-        if len(self.hashes) + len(distinct) > self.most:
+        hashes = span_hashes(buf, starts, ends)
+        distinct, where = np.unique(hashes, return_index=True)
+        if len(self.hashes) + len(distinct) > self.most or self.written + len(buf) > 16 * self.most:
             self._clear()
         row = np.searchsorted(self.hashes, distinct)
         new = row == len(self.hashes)
         new[~new] = self.hashes[row[~new]] != distinct[~new]
         if new.any():
-            words = [whole[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)]
-            self._learn(distinct[new], words)
-            row = np.searchsorted(self.hashes, distinct)
-        word = row[back]
+            self._learn(distinct[new], [whole[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
+        word = np.searchsorted(self.hashes, hashes)
         sizes = self.sizes[word]
         stops = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.begins[word] - (stops - sizes), sizes) + np.arange(stops[-1])]
-        return ids, np.concatenate([[0], stops])[first]
+        cuts = np.concatenate([[0], stops])[first]
+        differ = np.flatnonzero(self._differ(buf, starts, ends, word))
+        if not len(differ):
+            return ids, cuts
+        parts = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        for k in np.unique(np.searchsorted(first, differ, side="right") - 1).tolist():
+            parts[k] = np.array(self.library.encode(texts[k], add_special_tokens=False).ids, dtype=self.dtype)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
 
 
 def encoder(path: str) -> WordEncoder:

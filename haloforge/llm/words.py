@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -9,18 +10,10 @@ import numpy as np
 #: Bytes that separate words: space and tab to carriage return.
 WHITE = np.zeros(256, dtype=bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
-_BASE = 0x9E3779B97F4A7C15 | 1
-_UNBASE = pow(_BASE, -1, 1 << 64)
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int, key: str) -> np.ndarray:
-    known = _powers.get(key)
-    if known is None or len(known) < n:
-        step = np.full(max(n, 1 << 20), base, dtype=np.uint64)
-        step[0] = 1
-        _powers[key] = known = np.multiply.accumulate(step)
-    return known[:n]
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+#: Spans of more bytes than this are hashed one by one.
+_LONG = 256
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,19 +27,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hashes(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial over the bytes, modulo 2**64."""
-    out = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * _power(_BASE, len(buf), "p"), out=out[1:])
-    return out
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each byte span that depends on its bytes alone.
 
-
-def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each byte span that depends on its bytes alone."""
+    Eight bytes at a time are mixed into the state, for all spans that have so many at once.  Nothing here is linear in
+    the bytes, unlike a polynomial over them, whose hashes meet on words that are easily made.
+    """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    raw = (prefix[ends] - prefix[starts]) * _power(_UNBASE, len(prefix), "i")[starts]
-    return mix(raw ^ (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    held = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
+    eight = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=held, strides=(1,))
+    size = (ends - starts).astype(np.int64)
+    out = mix(size.astype(np.uint64) * _GOLD + np.uint64(1))
+    live = np.flatnonzero((size > 0) & (size <= _LONG))
+    for at in range(0, _LONG, 8):
+        if not len(live):
+            break
+        left = np.minimum(size[live] - at, 8).astype(np.uint64)
+        part = eight[starts[live] + at] & (_ALL >> (np.uint64(64) - left * np.uint64(8)))
+        out[live] = mix((out[live] ^ part) * _GOLD)
+        live = live[size[live] > at + 8]
+    raw = memoryview(held)
+    for k in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(raw[int(starts[k]) : int(ends[k])], digest_size=8).digest()
+        out[k] = np.uint64(int.from_bytes(digest, "little"))
+    return out
 
 
 def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -80,13 +85,12 @@ def hash_words(texts: list[str], lower: bool = True, stem: int = 0) -> tuple[np.
     starts, ends = word_bounds(buf)
     sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1
     first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-    prefix = prefix_hashes(buf)
-    found = span_hashes(prefix, starts, ends), first
-    return (*found, span_hashes(prefix, starts, np.minimum(ends, starts + stem))) if stem else found
+    found = span_hashes(buf, starts, ends), first
+    return (*found, span_hashes(buf, starts, np.minimum(ends, starts + stem))) if stem else found
 
 
 #: Odd multipliers, one for each place in a run of words.
-PLACES = mix(np.arange(1, 65, dtype=np.uint64) * np.uint64(_BASE)) | np.uint64(1)
+PLACES = mix(np.arange(1, 65, dtype=np.uint64) * _GOLD) | np.uint64(1)
 
 
 def runs(words: np.ndarray, size: int = 5) -> np.ndarray:

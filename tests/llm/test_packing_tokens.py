@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from haloforge.llm import packing, queries, store, tokenfile
+from haloforge.llm import packing, queries, store, tokenfile, tokens
 from haloforge.llm.tokens import WordEncoder, encoder
 
 from .conftest import DATA, ODD_TEXTS
@@ -26,6 +26,42 @@ def test_words_encode_as_whole_texts(texts):
         assert ids[first[k] : first[k + 1]].tolist() == mine.library.encode(text, add_special_tokens=False).ids
 
 
+def thue_morse(n):
+    """Two words whose hashes by any polynomial modulo 2**64 are equal."""
+    word = "".join("ab"[k.bit_count() & 1] for k in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_equal_polynomials(spark):
+    a, b = thue_morse(2048)
+    docs = spark.createDataFrame([(1, a), (2, b), (3, f"{b} {a}")], "doc_id long, text string")
+    path = store.new_path(spark, "test")
+    tokenfile.write_tokens(docs, path, queries.tokenizer_path(), 2)
+    for r in tokenfile.read_tokens(spark, path, with_ids=True).collect():
+        assert r.ids == whole({1: a, 2: b, 3: f"{b} {a}"}[r.doc_id], 2).tolist()
+    check_packing(packing.pack(docs, queries.tokenizer_path(), 1).toPandas(), {1: a, 2: b, 3: f"{b} {a}"}, 1)
+
+
+def test_words_whose_hashes_meet(monkeypatch):
+    """Hashes only find words; their bytes decide."""
+    mine = WordEncoder(queries.tokenizer_path())
+    monkeypatch.setattr(tokens, "span_hashes", lambda buf, starts, ends: ((ends - starts) % 3).astype(np.uint64))
+    for texts in (["one two three", "four five six", "seven"], ["eight nine one", "ten", ""]):
+        ids, first = mine.encode(texts)
+        for k, text in enumerate(texts):
+            assert ids[first[k] : first[k + 1]].tolist() == mine.library.encode(text, add_special_tokens=False).ids
+
+
+def test_token_file_orders_rows_of_one_id(spark):
+    rows = [(5, f"text {k}") for k in range(40)] + [(4, None), (6, "x")]
+    order = []
+    for n in (1, 7):
+        path = store.new_path(spark, "test")
+        tokenfile.write_tokens(spark.createDataFrame(rows[::-1] if n > 1 else rows, "doc_id long, text string").repartition(n), path, queries.tokenizer_path(), 2)
+        order.append([r.ids for r in tokenfile.read_tokens(spark, path, with_ids=True).orderBy("start").collect()])
+    assert order[0] == order[1] and len(order[0]) == 42
+
+
 def test_a_full_table_starts_anew():
     small = WordEncoder(queries.tokenizer_path(), most=8)
     for text in ["one two three", "four five six seven", "eight nine ten one two three four five six seven eleven"]:
