@@ -15,6 +15,14 @@ def keyed_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return docs.select(F.col(f"`{key}`").try_cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """``name``, or that with underscores before it: no column of ``docs`` is called so, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def text_blocks(batches: Iterable[pa.RecordBatch], at_most: int = 1 << 21) -> Iterator[tuple[list, list[str]]]:
     """(keys, texts) of consecutive rows of (key, text), about ``at_most`` characters together; null texts are empty."""
     keys: list = []

@@ -1,14 +1,19 @@
 """Operator 8, toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features are single words, their stems (the first ``STEM`` bytes, for inflected forms), pairs of neighbours and pairs
-with one word between (skip-grams), each present or not, hashed to ``2**BITS`` places.  Training goes over a bounded
-sample of labelled documents, in a fixed order, and over the features that ``least_docs`` of them have; per-coordinate
-rates and the L1 term leave few weights that aren't zero, and those, of bounded number, are broadcast.
+Features are single words, pairs of neighbours and pairs with one word between (skip-grams), and the beginnings of longer
+words (``STEMS`` bytes, for inflected forms), each present or not, hashed to ``2**BITS`` places.  Training goes over a
+bounded sample of labelled documents, in a fixed order, and over the features that ``least_docs`` of them have;
+per-coordinate rates and the L1 term leave few weights that aren't zero, and those, of bounded number, are broadcast.
+
+L1 pulls scores to the middle, and labels are unevenly many, so the raw score isn't a probability.  ``FOLDS`` further
+models, each without a part of the sample, score that part; a logistic curve over those margins (Platt scaling) is
+laid over the full model's, so that a score of 0.7 stands for about seven documents in ten.
 
 Defined results: words are lower-cased and split at ASCII white space without marks at their ends; null texts are
 empty; a text without a word scores by the bias alone; whole texts are scored, however long; repeated rows get
 repeated scores; a null doc_id isn't held out; rows of labels with a null, of documents they don't match, or without
-a 0 or 1 are left out of training; without labels every score is 0.5; an empty table gives no rows.
+a 0 or 1 are left out of training; of documents that share a doc_id the least text is learnt from; where labels are all
+alike nothing is scaled; without labels every score is 0.5; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,15 +24,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from haloforge.llm.arrow import keyed_texts, text_blocks
+from haloforge.llm.arrow import fresh, keyed_texts, text_blocks
 from haloforge.llm.decontam import plain
+from haloforge.llm.store import materialize
 from haloforge.llm.words import PLACES, hash_words, mix
 
 BITS = 22
 #: No more labelled documents than this are learnt from: those whose hashed ids come first.
 SAMPLE = 20_000
-STEM = 5
+#: So many first bytes of words that are longer.
+STEMS = (5, 6, 7, 8)
+FOLDS = 4
 
 
 def held_out(doc_id: Column) -> Column:
@@ -36,10 +45,13 @@ def held_out(doc_id: Column) -> Column:
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(text, place) of every feature of every text, in no order and with repeats."""
-    words, first, stems = hash_words([plain(t) for t in texts], stem=STEM)
+    words, first, stems = hash_words([plain(t) for t in texts], stems=STEMS)
     text = np.repeat(np.arange(len(texts)), np.diff(first))
     shift = np.uint64(64 - BITS)
-    out_text, out_place = [text, text], [mix(words) >> shift, mix(stems + PLACES[9]) >> shift]
+    out_text, out_place = [text], [mix(words) >> shift]
+    for longer, stem in stems:
+        out_text.append(text[longer])
+        out_place.append(mix(stem + PLACES[9]) >> shift)
     for gap in (1, 2):
         if len(words) > gap:
             inside = text[gap:] == text[:-gap]
@@ -48,14 +60,18 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_text), np.concatenate(out_place).astype(np.int64)
 
 
-def _distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(label, text) -> (label, distinct places)."""
-    for labels, texts in text_blocks(batches):
-        text, place = features(texts)
-        both = np.unique((text << BITS) | place)
-        cut = np.searchsorted(both >> BITS, np.arange(len(texts) + 1))
-        held = [(both[a:b] & ((1 << BITS) - 1)).astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array(held, pa.list_(pa.int32()))], ["label", "places"])
+def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, label, doc_id) -> label, doc_id, distinct places."""
+    for batch in batches:
+        at = 0
+        for _, texts in text_blocks([batch.select([2, 0])]):
+            text, place = features(texts)
+            both = np.unique((text << BITS) | place)
+            cut = np.searchsorted(both >> BITS, np.arange(len(texts) + 1))
+            held = [(both[a:b] & ((1 << BITS) - 1)).astype(np.int32) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            some = batch.slice(at, len(texts))
+            yield pa.RecordBatch.from_arrays([some.column(1), some.column(2), pa.array(held, pa.list_(pa.int32()))], ["label", "doc_id", "places"])
+            at += len(texts)
 
 
 class Ftrl:
@@ -80,71 +96,120 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def _train(epochs: int, least_docs: int, alpha: float, beta: float, l1: float, l2: float) -> Callable:
+def _train(fold: int | None, epochs: int, least_docs: int, alpha: float, beta: float, l1: float, l2: float) -> Callable:
+    """A model of all rows -> place, weight; of all rows but a fold -> place -1, and label and margin of the fold's rows."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ftrl(alpha, beta, l1, l2)
-        rows = [(int(x), np.asarray(v.values)) for b in batches for x, v in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+        rows = [(int(i), int(x), np.asarray(v.values)) for b in batches for x, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)]
+        place = mix(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))  # one order for all models, that no id's size has to do with
+        order = np.lexsort(([r[1] for r in rows], [r[0] for r in rows], place)).tolist()
+        part = np.arange(len(rows)) % FOLDS
+        known = [rows[k] for j, k in enumerate(order) if part[j] != fold]
         found_in = np.zeros((1 << BITS) + 1, dtype=np.int32)
-        for _, places in rows:
+        for _, _, places in known:
             found_in[places] += 1
-        rows = [(label, places[found_in[places] >= least_docs].astype(np.int64)) for label, places in rows]
-        for _ in range(epochs if rows else 0):
-            for label, places in rows:
+        known = [(label, places[found_in[places] >= least_docs].astype(np.int64)) for _, label, places in known]
+        model = Ftrl(alpha, beta, l1, l2)
+        for _ in range(epochs if known else 0):
+            for label, places in known:
                 model.learn(places, label)
         w = model.weights(np.arange((1 << BITS) + 1))
-        at = np.flatnonzero(w)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w[at], pa.float64())], ["place", "weight"])
+        if fold is None:
+            at = np.flatnonzero(w)
+            labels, values = np.full(len(at), -1), w[at]
+        else:
+            out = [rows[k] for j, k in enumerate(order) if part[j] == fold]
+            at, labels = np.full(len(out), -1), np.array([x for _, x, _ in out])
+            values = np.array([w[places].sum() + w[1 << BITS] for _, _, places in out])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(labels, pa.int64()), pa.array(values, pa.float64())], ["place", "label", "value"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = 10, least_docs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 4.0, l2: float = 0.1) -> DataFrame:
+def platt(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
+    """(slope, shift) of the logistic curve over margins that fits the labels best, by Newton's method; (1, 0) where only
+    one label is there.  Targets are a little inside 0 and 1, as Platt (1999) has them."""
+    ones = int(label.sum())
+    if not 0 < ones < len(label):
+        return 1.0, 0.0
+    target = np.where(label == 1, (ones + 1) / (ones + 2), 1 / (len(label) - ones + 2))
+    x = np.stack([margin, np.ones(len(margin))], axis=1)
+    ab = np.array([1.0, 0.0])
+    for _ in range(60):
+        p = 1.0 / (1.0 + np.exp(-np.clip(x @ ab, -35, 35)))
+        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + 1e-6 * np.eye(2), x.T @ (p - target))
+        ab = ab - np.clip(step, -1, 1)
+        if np.abs(step).max() < 1e-9:
+            break
+    return max(float(ab[0]), 1e-3), float(ab[1])
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int = 10, least_docs: int = 3, alpha: float = 1.0, beta: float = 1.0, l1: float = 3.0, l2: float = 0.1) -> DataFrame:
     """labels (doc_id, toxic), held-out rows left out -> (place, weight), of those that aren't 0; place 2**BITS is the bias."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("long").alias("label"))
-    known = known.where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id")))
-    order = F.xxhash64(F.lit("toxic"), "doc_id")
-    some = known.orderBy(order, "doc_id", "label").limit(sample)
-    texts = some.join(keyed_texts(docs), "doc_id").select("doc_id", "label", "text")
-    ready = texts.repartition("doc_id").select("label", "text", "doc_id")
-    places = ready.mapInArrow(_with_order, "label long, places array<int>, doc_id long")
-    # One pass by one learner over at most ``sample`` documents, in the order of their hashed ids.
-    ordered = places.repartition(1).sortWithinPartitions(order, "doc_id", "label").select("label", "places")
-    return ordered.mapInArrow(_train(epochs, least_docs, alpha, beta, l1, l2), "place long, weight double")
-
-
-def _with_order(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column(2).to_pylist()
-        at = 0
-        for out in _distinct([batch.select(["label", "text"])]):
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(ids[at : at + out.num_rows], pa.int64())], ["label", "places", "doc_id"])
-            at += out.num_rows
+    known = labels.select(F.col("doc_id").try_cast("long").alias("doc_id"), F.col("toxic").try_cast("long").alias("label"))
+    known = known.where("doc_id is not null and label in (0, 1)").where(~held_out(F.col("doc_id"))).distinct()
+    some = known.orderBy(F.xxhash64(F.lit("toxic"), "doc_id"), "doc_id", "label").limit(sample)
+    # At most ``sample`` ids are sent to the texts, so that no other text is moved.
+    texts = keyed_texts(docs).join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    ready = materialize(texts.select("text", "label", "doc_id").mapInArrow(_places, "label long, doc_id long, places array<int>"), "labelled")
+    # Each model is one task over the bounded sample, read where it is written; the tasks run side by side.
+    one = lambda fold: ready.coalesce(1).mapInArrow(_train(fold, epochs, least_docs, alpha, beta, l1, l2), "place long, label long, value double")
+    found = one(None)
+    for fold in range(FOLDS):
+        found = found.union(one(fold))
+    found = materialize(found, "model")
+    margins = found.where("place = -1").toPandas()  # at most ``sample`` rows
+    slope, shift = platt(margins["value"].to_numpy(), margins["label"].to_numpy())
+    model = found.where("place >= 0").select("place", (F.col("value") * slope).alias("weight"))
+    bias = found.sparkSession.createDataFrame([(1 << BITS, shift)], "place long, weight double")
+    return model.union(bias).groupBy("place").agg(F.sum("weight").alias("weight"))
+
+
+def _score(shared) -> Callable[[list[str]], np.ndarray]:
+    """The scores of texts."""
+    at, w = shared.value
+    weights = np.zeros((1 << BITS) + 1)
+    weights[at] = w
+    used = weights != 0
+
+    def run(texts: list[str]) -> np.ndarray:
+        text, place = features(texts)
+        live = used[place]
+        both = np.unique((text[live] << BITS) | place[live])
+        total = np.bincount(both >> BITS, weights[both & ((1 << BITS) - 1)], minlength=len(texts)) + weights[1 << BITS]
+        return 1.0 / (1.0 + np.exp(-np.clip(total, -35, 35)))
 
+    return run
 
-def _score(shared) -> Callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w = shared.value
-        weights = np.zeros((1 << BITS) + 1)
-        weights[at] = w
-        used = weights != 0
-        for keys, texts in text_blocks(batches):
-            text, place = features(texts)
-            live = used[place]
-            both = np.unique((text[live] << BITS) | place[live])
-            total = np.bincount(both >> BITS, weights[both & ((1 << BITS) - 1)], minlength=len(texts)) + weights[1 << BITS]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(1.0 / (1.0 + np.exp(-np.clip(total, -35, 35))))], ["doc_id", "score"])
 
-    return run
+def _broadcast(docs: DataFrame, model: DataFrame):
+    found = model.toPandas()  # at most 2**BITS + 1 rows, and by the L1 term far fewer
+    return docs.sparkSession.sparkContext.broadcast((found["place"].to_numpy("int64"), found["weight"].to_numpy("float64")))
 
 
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, score) of every row of ``docs``."""
-    found = model.toPandas()  # at most 2**BITS + 1 rows, and by the L1 term far fewer
-    shared = docs.sparkSession.sparkContext.broadcast((found["place"].to_numpy("int64"), found["weight"].to_numpy("float64")))
-    return keyed_texts(docs).mapInArrow(_score(shared), "doc_id long, score double")
+    shared = _broadcast(docs, model)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _score(shared)
+        for keys, texts in text_blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(score(texts))], ["doc_id", "score"])
+
+    return keyed_texts(docs).mapInArrow(run, "doc_id long, score double")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, learn_from: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``docs`` without those that score ``threshold`` or more; rows that share a doc_id go together."""
-    bad = score(docs, train(learn_from, labels)).where(F.col("score") >= threshold).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("__bad").eqNullSafe(F.col("doc_id")), "left_anti")
+    """``docs`` without rows that score ``threshold`` or more.  Rows are scored where they lie: nothing is shuffled."""
+    shared, name, at = _broadcast(docs, train(learn_from, labels)), fresh(docs, "score"), docs.columns.index("text")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = _score(shared)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 512):
+                some = batch.slice(k, 512)
+                found = score([x or "" for x in some.column(at).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(found)], [*some.schema.names, name])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.mapInArrow(run, schema).where(F.col(name) < threshold).drop(name)

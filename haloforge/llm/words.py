@@ -27,6 +27,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def by_eight(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    held = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
+    return np.ndarray((len(buf) + 1,), dtype="<u8", buffer=held, strides=(1,))
+
+
+def lane(eight: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The bytes at these places as numbers, 1 to 8 of each."""
+    return eight[at] & (_ALL >> (np.uint64(64) - size.astype(np.uint64) * np.uint64(8)))
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each byte span that depends on its bytes alone.
 
@@ -35,19 +46,17 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     """
     if not len(starts):
         return np.zeros(0, dtype=np.uint64)
-    held = np.concatenate([buf, np.zeros(8, dtype=np.uint8)])
-    eight = np.ndarray((len(buf) + 1,), dtype="<u8", buffer=held, strides=(1,))
+    eight = by_eight(buf)
     size = (ends - starts).astype(np.int64)
     out = mix(size.astype(np.uint64) * _GOLD + np.uint64(1))
     live = np.flatnonzero((size > 0) & (size <= _LONG))
     for at in range(0, _LONG, 8):
         if not len(live):
             break
-        left = np.minimum(size[live] - at, 8).astype(np.uint64)
-        part = eight[starts[live] + at] & (_ALL >> (np.uint64(64) - left * np.uint64(8)))
+        part = lane(eight, starts[live] + at, np.minimum(size[live] - at, 8))
         out[live] = mix((out[live] ^ part) * _GOLD)
         live = live[size[live] > at + 8]
-    raw = memoryview(held)
+    raw = memoryview(buf)
     for k in np.flatnonzero(size > _LONG).tolist():
         digest = hashlib.blake2b(raw[int(starts[k]) : int(ends[k])], digest_size=8).digest()
         out[k] = np.uint64(int.from_bytes(digest, "little"))
@@ -77,16 +86,22 @@ def blocks(texts: Iterable[str | None], at_most: int = 1 << 21) -> Iterator[tupl
         yield first, held
 
 
-def hash_words(texts: list[str], lower: bool = True, stem: int = 0) -> tuple[np.ndarray, ...]:
-    """Hashes of all words of all texts, and where each text's words begin (one more entry than texts); with ``stem``,
-    also the hashes of the words' first so many bytes."""
+def hash_words(texts: list[str], lower: bool = True, stems: tuple[int, ...] = ()) -> tuple:
+    """Hashes of all words of all texts, and where each text's words begin (one more entry than texts); with ``stems``, also
+    for each of these sizes the words that have more bytes, and the hashes of their first so many."""
     raw = [(t.lower() if lower else t).encode("utf-8", "surrogatepass") for t in texts]
     buf = np.frombuffer(b"\n".join(raw), dtype=np.uint8)
     starts, ends = word_bounds(buf)
     sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1
     first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
-    found = span_hashes(buf, starts, ends), first
-    return (*found, span_hashes(buf, starts, np.minimum(ends, starts + stem))) if stem else found
+    words = span_hashes(buf, starts, ends)
+    if not stems:
+        return words, first
+    found = []
+    for size in stems:
+        longer = np.flatnonzero(ends - starts > size)
+        found.append((longer, span_hashes(buf, starts[longer], starts[longer] + size)))
+    return words, first, found
 
 
 #: Odd multipliers, one for each place in a run of words.
