@@ -1,6 +1,8 @@
 """Near copies, decontamination, line dedup and repeated passages against brute force."""
 
 import collections
+import itertools
+import math
 import random
 import re
 
@@ -160,6 +162,68 @@ def test_decontamination_of_odd_rows(spark, odd_docs, no_docs):
     assert decontam.contaminated(no_docs, bench).count() == 0 and decontam.contaminated(odd_docs, bench.limit(0)).count() == 0
 
 
+def changed_places(n, changed):
+    """Passages of n words as numbers, a bit for each kept word: all ways to change so many inner ones."""
+    return [sum(1 << k for k in range(n) if k not in c) for c in itertools.combinations(range(1, n - 1), changed)]
+
+
+@pytest.mark.parametrize("n", [*range(4, 17), 20])
+def test_masks_find_every_admitted_passage(n):
+    masks = decontam.MASKS if n >= decontam.LEAST else decontam.short_masks(n)
+    bits = [(sum(1 << k for k, x in enumerate(m) if x == "1"), len(m)) for m in masks]
+    for kept in changed_places(n, n - math.ceil(0.75 * n)):
+        assert any(kept & m << k == m << k for m, span in bits for k in range(n - span + 1))
+
+
+def test_changed_passages_as_brute_force(spark):
+    """Items of 4 to 24 words, a quarter of their inner words changed at random places, hidden in other words: against laying
+    every item over every place of every document."""
+    r = random.Random(11)
+    items = {n: words(r, n) for n in range(4, 25)}
+    docs = {}
+    for n, text in items.items():
+        for k in range(12):
+            w = text.split()
+            for i in r.sample(range(1, n - 1), min(n - 2, n - math.ceil(0.75 * n) + (k % 4 == 3))):
+                w[i] = words(r, 1) + "x"
+            docs[100 * n + k] = f"{words(r, r.randint(0, 30))} {' '.join(w)} {words(r, r.randint(0, 30))}"
+    want = set()
+    for d, t in docs.items():
+        w = t.split()
+        for i, b in items.items():
+            b = b.split()
+            for s in range(-len(b) + 1, len(w)):
+                same = [0 <= s + j < len(w) and w[s + j] == x for j, x in enumerate(b)]
+                if any(same[a] and same[z - 1] and sum(same[a:z]) >= 0.75 * (z - a) for a in range(len(b)) for z in range(a + min(13, len(b)), len(b) + 1)):
+                    want.add((d, i))
+                    break
+    found = decontam.contaminated(spark.createDataFrame(list(docs.items()), SCHEMA), spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    got = {(x.doc_id, x.item_id) for x in found}
+    assert got == want and len(want) >= 9 * len(items)
+
+
+def test_periodic_texts_and_repeated_ids(spark):
+    """Equal words make no pair of windows each; several texts under one doc_id are laid over items each on its own."""
+    r = random.Random(12)
+    item = words(r, 30)
+    docs = [(1, "la " * 20_000), (2, "la li " * 9_000), (3, words(r, 60)), (3, f"{words(r, 20)} {item}"), (3, f"{words(r, 20)} {item}"), (3, None)]
+    bench = [(1, "la " * 400), (2, "li la " * 100), (3, item)]
+    found = decontam.contaminated(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(x.doc_id, x.item_id, x.n_words, x.n_same) for x in found} == {(1, 1, 400, 400), (2, 2, 200, 200), (3, 3, 30, 30)}
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        a, b = (np.unique(rng.integers(0, 60, rng.integers(1, 40))) for _ in range(2))
+        assert decontam.distinct_shifts(a, b).tolist() == sorted({int(x - y) for x in a for y in b})
+
+
+def test_drop_contaminated_with_clashing_names(spark):
+    r = random.Random(13)
+    item = words(r, 30)
+    docs = spark.createDataFrame([(1, item), (2, words(r, 30)), (None, item)], SCHEMA).selectExpr("*", "1 as bad", "2 as __bad", "3 as own", "4 as item")
+    kept = decontam.drop_contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and {x.doc_id for x in kept.collect()} == {2, None}
+
+
 @pytest.mark.parametrize("share", [0.6, 0.75, 0.9])
 def test_longest_stretch(share):
     rng = np.random.default_rng(8)
