@@ -36,11 +36,16 @@ def _hash(key: Column) -> list[Column]:
 
 
 def frequent_line_positions(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """(doc_id, text_hash, drop): where each document has lines that ``min_docs`` documents or more have."""
+    """(doc_id, text_hash, drop): where each document has lines that ``min_docs`` documents or more have.
+
+    Counts are added up before they are shuffled.  Lines meet the frequent ones in joins of written tables, so that a line
+    that most documents have can be split over tasks.
+    """
     rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     loose = F.transform(_lines(F.lower("text")), lambda line: F.btrim(line, F.lit(WHITE)))
     each = rows.select(F.explode(F.array_distinct(loose)).alias("key")).where(F.length("key") >= min_chars)
     often = each.select(*_hash(F.col("key"))).groupBy("h1", "h2").count().where(F.col("count") >= min_docs).select("h1", "h2")
+    often = materialize(often, "often")
     placed = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_lines(F.col("text"))).alias("at", "line"))
     loose_hash = _hash(F.btrim(F.lower("line"), F.lit(WHITE)))
     candidates = (
@@ -52,21 +57,22 @@ def frequent_line_positions(docs: DataFrame, min_docs: int = 10, min_chars: int
     )
     candidates = materialize(candidates, "line-candidates")
     frequent = candidates.select("h1", "h2", "doc_id", "text_hash").distinct().groupBy("h1", "h2").count().where(F.col("count") >= min_docs)
-    return candidates.join(frequent.select("h1", "h2"), ["h1", "h2"], "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("drop"))
+    frequent = materialize(frequent.select("h1", "h2"), "frequent")
+    found = candidates.join(frequent, ["h1", "h2"], "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("drop"))
+    return materialize(found, "drops")
 
 
 def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
-    """``docs`` with frequent lines taken out of ``text``, and the columns ``__n_lines`` and ``__n_dropped``."""
-    drops = frequent_line_positions(docs, min_docs, min_chars).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("drop").alias("__drop"))
-    whole = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("__text_hash", F.xxhash64("text"))
-    joined = whole.join(drops, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__hash") == F.col("__text_hash")), "left")
-    cut = joined.withColumn("__lines", F.when(F.col("__drop").isNotNull(), _lines(F.col("text"))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__drop"))
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("__lines"), i)), "\n"))
+    """``docs`` with frequent lines taken out of ``text``, and the columns ``__n_lines`` and ``__n_dropped``, which replace
+    any of these names.  Inside, a row of ``docs`` is one column, so no name clashes."""
+    drops = frequent_line_positions(docs, min_docs, min_chars).select(F.col("doc_id").alias("id"), "text_hash", "drop")
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("doc")).select("doc", F.xxhash64(text).alias("own_hash"))
+    joined = rows.join(drops, F.col("id").eqNullSafe(F.col("doc.doc_id")) & (F.col("text_hash") == F.col("own_hash")), "left")
+    cut = joined.select("doc", "drop", text.alias("text"), F.when(F.col("drop").isNotNull(), _lines(text)).alias("lines"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
+    left = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
     n_lines = F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1
-    return (
-        cut.withColumn("__n_lines", n_lines.cast("long"))
-        .withColumn("__n_dropped", F.coalesce(F.size("__drop"), F.lit(0)).cast("long"))
-        .withColumn("text", text)
-        .drop("__id", "__hash", "__drop", "__lines", "__text_hash")
-    )
+    counts = {"__n_lines": n_lines.cast("long"), "__n_dropped": F.coalesce(F.size("drop"), F.lit(0)).cast("long")}
+    others = [F.col("doc").getField(c).alias(c) if c != "text" else left.alias("text") for c in docs.columns if c not in counts]
+    return cut.select(*others, *[v.alias(k) for k, v in counts.items()])

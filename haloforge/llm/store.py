@@ -30,15 +30,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it again.  Losing executors afterwards costs a reread, not a recomputation."""
+    """Write ``df`` once and read it again.  Losing executors afterwards costs a reread, not a recomputation.
+
+    A join of tables read this way has a plain exchange at both sides, which adaptive execution can split where one key has
+    very many rows; a join with an aggregate keeps each key in one task.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a table of ``new_path`` that nothing will read again."""
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+def drop_table(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` made and nothing will read again."""
+    spark = df.sparkSession
+    jvm, home = spark._jvm, work_dir(spark).removeprefix("file://")
+    folders = {f.rpartition("/")[0] for f in df.inputFiles()}
+    for folder in folders:
+        target = jvm.org.apache.hadoop.fs.Path(folder)
+        if home in folder:
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
