@@ -1,8 +1,9 @@
 """Connected components over distributed edges: alternating large and small stars (Kiveris et al., 2014).
 
 Only built-in functions.  Each round leaves at most as many edges as it had, and few rounds are needed: about the
-square of the logarithm of a component's size.  Groups are aggregated before they are joined again, so a node with
-very many neighbours isn't gathered anywhere.
+square of the logarithm of a component's size.  Least neighbours are aggregated before they are shuffled, and joined
+again as written tables, so adaptive execution can split the edges of a node with very many neighbours.  Tables of a
+round are deleted when the next is there.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haloforge.llm.store import materialize
+from haloforge.llm.store import drop_table, materialize
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -26,11 +27,15 @@ def _ordered(edges: DataFrame) -> DataFrame:
 def _star(now: DataFrame) -> DataFrame:
     """One large and one small star: (u, v), v < u, with the same components and shorter ways."""
     both = now.union(now.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-    small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+    large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    large = materialize(large.distinct(), "large")
+    small_least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
     small = large.join(small_least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e"))
-    return small.select("e.u", "e.v").where("u <> v").distinct()
+    out = materialize(small.select("e.u", "e.v").where("u <> v").distinct(), "edges")
+    for old in (now, least, large, small_least):
+        drop_table(old)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,7 +44,7 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(_ordered(edges).distinct(), "edges")
     before = _mark(now)
     while before[0]:
-        now = materialize(_star(now), "edges")
+        now = _star(now)
         after = _mark(now)
         if after == before:
             break

@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 from haloforge.llm.arrow import keyed_texts, text_blocks
 from haloforge.llm.components import components
 from haloforge.llm.dartminhash import bands, signatures
-from haloforge.llm.store import materialize
+from haloforge.llm.store import drop_table, materialize
 from haloforge.llm.words import hash_words, runs, shingles
 
-_SPREAD = 16
+_SPREAD = 64
 LEADERS = 8
 
 
@@ -136,7 +136,7 @@ def _rest(members: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     texts = mixed.groupBy("digest", "label", "n").agg(F.max(F.col("label") != F.col("common")).alias("few"))
     spelled = texts.join(held, "digest").select("digest", "label", "n", "few", "held").mapInArrow(_spell, "digest binary, label binary, n long, few boolean, shingle long")
     spelled = materialize(spelled, "spelled")
-    often = spelled.groupBy("shingle").agg(F.count("*").alias("found_in")).where("found_in > 1")
+    often = materialize(spelled.groupBy("shingle").agg(F.count("*").alias("found_in")).where("found_in > 1"), "often")
     shared = spelled.join(often, "shingle")
     by_text = Window.partitionBy("digest")
     placed = shared.withColumn("rank", F.row_number().over(by_text.orderBy("found_in", "shingle"))).withColumn("alone", F.col("n") - F.count("*").over(by_text))
@@ -148,7 +148,10 @@ def _rest(members: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     enough = F.least(F.col("n") - F.col("at"), F.col("leader_n") - F.col("leader_at")) + 1 >= F.lit(threshold / (1 + threshold)) * (F.col("n") + F.col("leader_n")) - 1e-6
     other = (F.col("label") != F.col("leader_label")) & (~F.col("few") | (F.col("leader") < F.col("digest")))
     met = prefix.join(few, "shingle").where(other & enough & _near_size("n", "leader_n", threshold))
-    return met.select("leader", F.col("digest").alias("member")).distinct()
+    pairs = materialize(met.select("leader", F.col("digest").alias("member")).distinct(), "pairs")
+    for old in (spelled, often, prefix):
+        drop_table(old)
+    return pairs
 
 
 def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands: int = 24, rows: int = 5, weighted: bool = False) -> DataFrame:
@@ -160,17 +163,21 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands:
     texts = keyed_texts(docs)
     signed = materialize(texts.mapInArrow(_sign(size, n_bands, rows, weighted), "doc_id long, digest binary, n long, bands array<long>"), "signatures")
     distinct = signed.groupBy("digest").agg(F.min(F.struct("n", "bands")).alias("s")).select("digest", "s.n", F.explode("s.bands").alias("bucket"))
-    shared = distinct.groupBy("bucket").count().where("count > 1").select("bucket")
+    shared = materialize(distinct.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
     members = materialize(distinct.join(shared, "bucket").select("bucket", "digest", "n"), "members")
     # Digests are hashed once more, so that no text's place in the order has to do with its label.
     order = F.xxhash64("digest")
-    needed = members.select("digest").distinct()
-    with_digest = texts.select(F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), "text")
-    once = with_digest.join(needed, "digest", "left_semi").mapInArrow(_shingle_rows(size), "digest binary, held binary")
+    # Of a text's copies, one row is read again: that of the least doc_id.
+    needed = signed.join(members.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("id"))
+    needed = materialize(needed.select("id", F.col("digest").alias("own")), "needed")
+    with_digest = texts.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), "text")
+    once = with_digest.join(needed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own")), "left_semi").select("digest", "text")
+    once = once.mapInArrow(_shingle_rows(size), "digest binary, held binary")
     held = materialize(once.groupBy("digest").agg(F.min("held").alias("held")), "shingles")
 
     slot = F.pmod(order, F.lit(LEADERS))
     leaders = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(order.alias("order"), "digest", "n")).alias("who")).select("bucket", F.col("who.digest").alias("leader"), F.col("who.n").alias("leader_n"))
+    leaders = materialize(leaders, "leaders")
     met = members.join(leaders, "bucket").where((F.col("digest") != F.col("leader")) & _near_size("n", "leader_n", threshold))
     pairs = materialize(met.select("leader", F.col("digest").alias("member")).distinct(), "pairs")
     edges = materialize(_verified(pairs, held, threshold), "similar")
@@ -178,8 +185,11 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands:
     # A leader has met all of its bucket.
     left = members.join(leaders.select("bucket", F.col("leader").alias("digest")), ["bucket", "digest"], "left_anti")
     left = left.join(first, "digest", "left").select("bucket", "digest", "n", F.coalesce("label", "digest").alias("label"))
-    pairs = _rest(materialize(left, "labelled"), held, threshold)
-    found = materialize(_verified(materialize(pairs, "pairs"), held, threshold), "similar")
+    labelled = materialize(left, "labelled")
+    rest = _rest(labelled, held, threshold)
+    found = materialize(_verified(rest, held, threshold), "similar")
+    for old in (shared, members, needed, leaders, held, pairs, labelled, rest):
+        drop_table(old)
     # Only what the second step found is joined anew.
     labels = components(first.select("digest", "label").union(found))
     each = signed.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "digest"), "digest", "left")
@@ -189,10 +199,15 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands:
 
 
 def keep_one_of_each(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """``docs`` with one document of each class left: that of the least doc_id (one row of it, if rows repeat)."""
+    """``docs`` with one document of each class left: that of the least doc_id; of several rows under that id in the class, that of the
+    least digest, and of rows with equal texts, too, the first by a hash of all columns and the columns themselves.  Inside, a row of ``docs`` is one
+    column, so no name clashes."""
     found = near_copies(docs, threshold, size)
     firsts = found.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    keepers = firsts.groupBy("class_key", "class_id").agg(F.min("digest").alias("__digest")).select(F.col("class_id").alias("__id"), "__digest").distinct()
-    marked = docs.withColumn("__own", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    joined = marked.join(keepers, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__digest") == F.col("__own")))
-    return joined.dropDuplicates(["__id", "__digest"]).select(docs.columns)
+    keepers = materialize(firsts.groupBy("class_key", "class_id").agg(F.min("digest").alias("digest")).select(F.col("class_id").alias("id"), "digest").distinct(), "keepers")
+    rows = docs.select(F.struct("*").alias("doc")).select("doc", F.unhex(F.md5(F.coalesce("doc.text", F.lit("")))).alias("own"), F.col("doc.doc_id").try_cast("long").alias("key"))
+    kept = rows.join(keepers, F.col("id").eqNullSafe(F.col("key")) & (F.col("digest") == F.col("own")), "left_semi")
+    other = [c for c in docs.columns if c != "text"]
+    tie = F.to_json(F.struct(*[F.col("doc").getField(c).alias(f"c{k}") for k, c in enumerate(other)]))
+    first = kept.groupBy("key", "own").agg(F.min_by("doc", F.struct(F.xxhash64(tie), tie)).alias("doc"))
+    return first.select("doc.*").select(docs.columns)
