@@ -5,7 +5,7 @@ inserted or deleted so moves no later border, and a passage is cut the same way
 least or greatest size, as either would make borders depend on what came before.  Chunks average 32 bytes; those
 whose digest is found in several documents are joined into stretches, and a stretch of ``min_words`` words or more
 is a repeat.  The parts of a passage outside its first and last border are in chunks with its neighbours, so a
-stretch is shorter than its passage by about ten words; ``min_words`` is 20 to find passages of over 50.  Letters are
+stretch is shorter than its passage by about ten words; ``MIN_WORDS`` is 25 to find passages of over 50.  Letters are
 lower-cased and runs of ASCII white space count as one space, so that a passage set in other lines is the same.
 
 Documents are cut twice, for counts and for places: nothing but (digest, document) is shuffled for unique chunks.
@@ -25,12 +25,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haloforge.llm.arrow import keyed_texts, text_blocks
+from haloforge.llm.store import materialize
 from haloforge.llm.words import WHITE, mix, span_hashes, word_bounds
 
 #: A pseudo-random number for each byte, made by rule.
 GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(0x67656172)) >> np.uint64(48)).astype(np.uint16)
 
 
+MIN_WORDS = 25
+
+
 def gear_hashes(buf: np.ndarray) -> np.ndarray:
     """At each byte, the sum of (gear of the byte j places before) << j, modulo 2**16: by doubling, not byte by byte."""
     total = GEAR[buf]
@@ -61,10 +65,12 @@ def chunk_ends(buf: np.ndarray, bits: int = 5) -> np.ndarray:
 
 
 def chunks(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each text: digest, first and one past the last code point, and words begun, of each chunk."""
+    """For each text: digest, first code point, length in code points, and words begun, of each chunk."""
     for text in texts:
         lower = text.lower()
-        raw = np.frombuffer((lower if len(lower) == len(text) else text).encode("utf-8", "surrogatepass"), dtype=np.uint8)
+        if len(lower) != len(text):  # letters whose small form is longer stay
+            lower = "".join(small if len(small := c.lower()) == 1 else c for c in text)
+        raw = np.frombuffer(lower.encode("utf-8", "surrogatepass"), dtype=np.uint8)
         if not len(raw):
             yield (np.zeros(0, dtype=np.int64),) * 4
             continue
@@ -77,22 +83,26 @@ def chunks(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, ...]]:
         starts = np.concatenate([[0], ends[:-1]])
         points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
         words = np.searchsorted(word_bounds(even)[0], ends)
-        yield span_hashes(even, starts, ends).view(np.int64), points[kept[starts]], points[kept[ends - 1] + 1], np.diff(words, prepend=0)
+        yield span_hashes(even, starts, ends).view(np.int64), points[kept[starts]], points[kept[ends - 1] + 1] - points[kept[starts]], np.diff(words, prepend=0)
+
 
+def _digests(bits: int, within: bool) -> Callable:
+    """digest, doc_id and how often the document has it; at most once unless ``within``."""
 
-def _digests(bits: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_blocks(batches):
-            found = [np.unique(c[0]) for c in chunks(texts, bits)]
-            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64()), pa.array(np.repeat(np.array(keys, dtype=np.int64), sizes))], ["digest", "doc_id"])
+            found = [np.unique(c[0], return_counts=True) for c in chunks(texts, bits)]
+            sizes = np.fromiter((len(d) for d, _ in found), dtype=np.int64, count=len(found))
+            times = np.concatenate([n for _, n in found]) if within else np.ones(sizes.sum(), dtype=np.int64)
+            columns = [pa.array(np.concatenate([d for d, _ in found]), pa.int64()), pa.array(np.repeat(np.array(keys, dtype=np.int64), sizes)), pa.array(times)]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "doc_id", "times"])
 
     return run
 
 
 def _placed(bits: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["digest", "start", "end", "n_words"]
+        names = ["digest", "start", "length", "n_words"]
         for keys, texts in text_blocks(batches):
             found = list(chunks(texts, bits))
             sizes = np.fromiter((len(c[0]) for c in found), dtype=np.int64, count=len(found))
@@ -103,26 +113,33 @@ def _placed(bits: int) -> Callable:
     return run
 
 
-def repeated_stretches(docs: DataFrame, min_words: int = 20, bits: int = 5) -> DataFrame:
-    """(doc_id, start, end, n_words, first_doc_id): stretches of code points that other documents hold too.
-    first_doc_id is the least document that holds one of the stretch's chunks."""
+def repeated_stretches(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = 5, within: bool = False) -> DataFrame:
+    """(doc_id, start, end, n_words, first_doc_id): stretches of code points that other documents hold too, or, with ``within``,
+    that are found in any second place.  first_doc_id is the least document that holds one of the stretch's chunks."""
     texts = keyed_texts(docs).where("doc_id is not null")
-    each = texts.mapInArrow(_digests(bits), "digest long, doc_id long")
-    shared = each.groupBy("digest").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("first_doc < last_doc").select("digest", "first_doc")
-    placed = texts.mapInArrow(_placed(bits), "doc_id long, number int, digest long, start int, end int, n_words int")
-    met = placed.join(shared, "digest").select("doc_id", "number", "start", "end", "n_words", "first_doc").distinct()
-    island = F.col("number") - F.row_number().over(Window.partitionBy("doc_id").orderBy("number", "start", "end"))
+    each = texts.mapInArrow(_digests(bits, within), "digest long, doc_id long, times long")
+    # Rows of one doc_id are one document: without ``within``, a digest counts if two different ids have it.
+    ends = [F.min("doc_id").alias("first_doc"), *([F.sum("times").alias("places")] if within else [F.max("doc_id").alias("last_doc")])]
+    shared = each.groupBy("digest").agg(*ends).where("places > 1" if within else "first_doc < last_doc").select("digest", "first_doc")
+    # A written table, so that adaptive execution can split a digest that very many documents have.
+    shared = materialize(shared, "shared")
+    placed = texts.mapInArrow(_placed(bits), "doc_id long, number int, digest long, start int, length int, n_words int")
+    met = placed.join(shared, "digest").select("doc_id", "number", "start", "length", "n_words", "first_doc").distinct()
+    island = F.col("number") - F.row_number().over(Window.partitionBy("doc_id").orderBy("number", "start", "length"))
     runs = met.withColumn("island", island).groupBy("doc_id", "island")
-    found = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").cast("long").alias("n_words"), F.min("first_doc").alias("first_doc_id"))
+    found = runs.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("n_words").cast("long").alias("n_words"), F.min("first_doc").alias("first_doc_id"))
     return found.where(F.col("n_words") >= min_words).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words", "first_doc_id")
 
 
-def remove_repeats(docs: DataFrame, min_words: int = 20, bits: int = 5) -> DataFrame:
-    """``docs`` without the stretches that a document of lesser id holds; spans are cut out of ``text`` by position."""
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = 5) -> DataFrame:
+    """``docs`` without the stretches that a document of lesser id holds; spans are cut out of ``text`` by position.  Inside, a
+    row of ``docs`` is one column, so no name clashes."""
     cuts = repeated_stretches(docs, min_words, bits).where("first_doc_id < doc_id")
-    lists = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__cuts")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(lists, F.col("__id") == F.col("doc_id"), "left")
-    begin = F.transform(F.concat(F.array(F.struct(F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("end"))), F.col("__cuts")), lambda c: c["end"])
-    stop = F.concat(F.transform("__cuts", lambda c: c["start"]), F.array(F.length("text").cast("long")))
-    kept = F.array_join(F.zip_with(begin, stop, lambda a, b: F.substring(F.col("text"), (a + 1).cast("int"), (b - a).cast("int"))), "")
-    return joined.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(kept)).select(docs.columns)
+    lists = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
+    joined = docs.select(F.struct("*").alias("doc")).join(lists, F.col("doc_id") == F.col("doc.doc_id"), "left")
+    zero, text = F.lit(0).cast("long"), F.col("doc.text")
+    begin = F.transform(F.concat(F.array(F.struct(zero.alias("start"), zero.alias("end"))), F.col("cuts")), lambda c: c["end"])
+    stop = F.concat(F.transform("cuts", lambda c: c["start"]), F.array(F.length(text).cast("long")))
+    kept = F.array_join(F.zip_with(begin, stop, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))), "")
+    left = F.when(F.col("cuts").isNull(), text).otherwise(kept).alias("text")
+    return joined.select(*[F.col("doc").getField(c).alias(c) if c != "text" else left for c in docs.columns])

@@ -261,7 +261,7 @@ def test_chunks_resist_insertions():
     shared = len(set(a[0].tolist()) & set(b[0].tolist()))
     assert shared >= 0.9 * len(a[0])
     for text, c in ((passage, a), ("É é  ü\n" * 40, next(chunkdedup.chunks(["É é  ü\n" * 40], 5)))):
-        assert c[1][0] == 0 and (c[1][1:] >= c[2][:-1]).all() and c[2][-1] <= len(text) and c[3].sum() == len(text.split())
+        assert c[1][0] == 0 and (c[1][1:] >= (c[1] + c[2])[:-1]).all() and c[1][-1] + c[2][-1] <= len(text) and c[3].sum() == len(text.split())
 
 
 def test_repeats_as_brute_force(spark):
@@ -279,6 +279,57 @@ def test_repeats_as_brute_force(spark):
     assert len(repeats(55) - found) <= 0.02 * len(repeats(55)) and len(found - repeats(18)) <= 0.02 * len(found)
 
 
+def test_repeats_within_a_document(spark):
+    r = random.Random(14)
+    passage = words(r, 100)
+    docs = spark.createDataFrame([(1, f"{words(r, 30)} {passage} {words(r, 30)} {passage} {words(r, 9)}"), (2, words(r, 200))], SCHEMA)
+    assert chunkdedup.repeated_stretches(docs).count() == 0
+    found = chunkdedup.repeated_stretches(docs, within=True).collect()
+    assert [x.doc_id for x in found] == [1, 1] and all(x.n_words >= 80 and x.first_doc_id == 1 for x in found)
+
+
+def test_repeats_in_any_case(spark):
+    """A letter whose small form is longer changes nothing about the rest of its text."""
+    r = random.Random(15)
+    passage = words(r, 100)
+    docs = spark.createDataFrame([(1, f"İ {passage.upper()}"), (2, passage)], SCHEMA)
+    found = {x.doc_id: x for x in chunkdedup.repeated_stretches(docs).collect()}
+    assert set(found) == {1, 2} and docs.first().text[found[1].start : found[1].end].lower() == passage[found[2].start : found[2].end]
+
+
+def test_names_that_clash(spark):
+    """Columns called as those that operators use inside pass unchanged."""
+    names = ["id", "__id", "hash", "__hash", "drop", "__drop", "lines", "__lines", "own", "__own", "digest", "key", "doc", "cuts", "__cuts", "text_hash", "own_hash", "own_digest"]
+    r = random.Random(16)
+    a, b = words(r, 80), words(r, 80)
+    rows = [(1, f"same line\n{a}"), (1, f"same line\n{a}"), (2, f"same line\n{a}"), (3, f"same line\n{b}")]
+    docs = spark.createDataFrame(rows, SCHEMA).selectExpr("*", *[f"doc_id + {k} as `{n}`" for k, n in enumerate(names)])
+    lines = linededup.dedup_lines(docs, min_docs=3)
+    assert lines.columns == [*docs.columns, "__n_lines", "__n_dropped"] and sorted((x.doc_id, x.text, x.own) for x in lines.collect()) == [(1, a, 9), (1, a, 9), (2, a, 10), (3, b, 11)]
+    kept = nearcopies.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted((x.doc_id, x.own) for x in kept.collect()) == [(1, 9), (3, 11)]
+    cut = chunkdedup.remove_repeats(docs)
+    assert cut.columns == docs.columns and sorted(x.doc_id for x in cut.collect()) == [1, 1, 2, 3]
+
+
+def test_surviving_row_is_defined(spark):
+    """Of rows with one id and one text, the same one stays, however they come."""
+    rows = [(1, "one two three four five six", k) for k in range(20)] + [(None, "one two three four five six", 5)]
+    found = {nearcopies.keep_one_of_each(spark.createDataFrame(rows[::step], "doc_id long, text string, n int").repartition(n)).first().n for step, n in ((1, 1), (-1, 4), (1, 7))}
+    assert len(found) == 1
+
+
+def test_words_of_equal_polynomials(spark):
+    """Two words whose hashes by a polynomial modulo 2**64 are equal are two words to all operators that hash words."""
+    a = "".join("ab"[k.bit_count() & 1] for k in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, " ".join([a] * 9)), (2, " ".join([b] * 9))], SCHEMA)
+    assert {x.class_id for x in nearcopies.near_copies(docs).collect()} == {1, 2}
+    bench = docs.where("doc_id = 1").withColumnRenamed("doc_id", "item_id")
+    assert {x.doc_id for x in decontam.contaminated(docs, bench).collect()} == {1}
+    assert len(set(hash_words([f"{a} {b}"])[0].tolist())) == 2
+
+
 def test_repeats_of_odd_rows(spark, odd_docs, no_docs):
     r = random.Random(10)
     passage = words(r, 80)
