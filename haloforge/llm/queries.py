@@ -84,6 +84,65 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def _q(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _attribute(name: str) -> str:
+    return "concat(" + ", ".join(f"regexp_extract(tag, {_q(urlrules.ATTRIBUTE.format(name))}, {k})" for k in (1, 2, 3)) + ")"
+
+
+def _low(e: str) -> str:
+    return f"translate({e}, '{_UPPER}', '{_LOWER}')"
+
+
+def _dots(path: str) -> str:
+    folded = f"array_to_string(list_reduce(list_transform(string_split({path}, '/'), lambda x: [x]), lambda a, b: CASE WHEN b[1] = '.' THEN a WHEN b[1] = '..' THEN a[1:greatest(len(a) - 1, 1)] ELSE list_concat(a, b) END), '/')"
+    return f"CASE WHEN regexp_matches({path}, '/\\.\\.?$') THEN {folded} || '/' ELSE {folded} END"
+
+
+_NAME = (
+    "CASE WHEN regexp_matches({u}, '(?s)^[^:/?#]+://[^/?#]*') THEN "
+    + _low("regexp_extract({u}, '(?s)^([^:/?#]+://[^/?#]*)', 1)")
+    + " || CASE WHEN starts_with(regexp_extract({u}, '(?s)^[^:/?#]+://[^/?#]*([^#]*)', 1), '/') THEN '' ELSE '/' END || regexp_extract({u}, '(?s)^[^:/?#]+://[^/?#]*([^#]*)', 1)"
+    + " ELSE regexp_extract({u}, '(?s)^([^#]*)', 1) END"
+)
+_HOST = "coalesce(" + _low("regexp_extract(CASE WHEN {u} LIKE '%://%' THEN substr({u}, instr({u}, '://') + 3) END, '(?s)^([^/?#]*)', 1)") + ", '')"
+_PATH = "coalesce(regexp_extract(CASE WHEN {u} LIKE '%://%' THEN substr({u}, instr({u}, '://') + 3) END, '(?s)^[^/?#]*([^?#]*)', 1), '')"
+_URL_SQL = rf"""
+WITH RECURSIVE p AS (
+  SELECT page_id, url, html, {_NAME.format(u="url")} AS name, {_HOST.format(u="url")} AS host, {_PATH.format(u="url")} AS path FROM pages
+), tags AS (
+  SELECT url AS src, unnest(regexp_extract_all(html, {_q(urlrules.TAG)})) AS tag FROM pages WHERE url LIKE '%://%'
+), found AS (
+  SELECT src, replace(regexp_replace(CASE WHEN {_low("substr(tag, 1, 5)")} = '<link' THEN CASE WHEN regexp_matches({_attribute("rel")}, {_q(urlrules.CANONICAL)}) THEN {_attribute("href")} END
+    WHEN {_low("trim(" + _attribute("http-equiv") + ")")} = 'refresh' THEN regexp_extract({_attribute("content")}, {_q(urlrules.REFRESH)}, 1) END, {_q(urlrules.AROUND)}, '', 'g'), '&amp;', '&') AS t FROM tags
+), parts AS (
+  SELECT src, t, regexp_extract(t, '(?s)^([^?#]*)', 1) AS path, regexp_extract(t, '(?s)^[^?#]*(.*)$', 1) AS after, regexp_extract(src, '(?s)^([^:/?#]+://[^/?#]*)', 1) AS root,
+    CASE regexp_extract(src, '(?s)^[^:/?#]+://[^/?#]*(/[^?#]*/|/)', 1) WHEN '' THEN '/' ELSE regexp_extract(src, '(?s)^[^:/?#]+://[^/?#]*(/[^?#]*/|/)', 1) END AS folder FROM found WHERE t <> ''
+), l AS (
+  SELECT src, CASE WHEN regexp_matches(t, '{urlrules.SCHEME}') THEN t WHEN starts_with(t, '//') THEN regexp_extract(src, '({urlrules.SCHEME})//', 1) || t
+    WHEN starts_with(t, '?') THEN regexp_extract(src, '(?s)^([^?#]*)', 1) || t WHEN starts_with(t, '#') THEN src
+    WHEN starts_with(t, '/') THEN root || {_dots("path")} || after ELSE root || {_dots("(folder || path)")} || after END AS dst FROM parts
+), e AS (SELECT {_NAME.format(u="src")} AS a, {_NAME.format(u="dst")} AS b FROM l WHERE dst LIKE '%://%'
+), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e
+), reach AS (SELECT a AS name, b AS other FROM both_ways UNION SELECT reach.name, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.other
+), rules AS (
+  SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r(verdict, rule_host, rule_path)
+), linked AS (SELECT DISTINCT name, {_HOST.format(u="name")} AS host, {_PATH.format(u="name")} AS path FROM both_ways t(name, other)
+), places AS (SELECT host, path FROM p UNION SELECT host, path FROM linked
+), fits AS (
+  SELECT host, path, rule_host || rule_path AS rule, verdict, row_number() OVER (PARTITION BY host, path ORDER BY length(rule_host || rule_path) DESC, verdict) AS k
+  FROM places JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+), best AS (SELECT host, path, rule, verdict FROM fits WHERE k = 1
+), bad AS (SELECT name FROM linked JOIN best USING (host, path) WHERE verdict = 'block'
+), aliased AS (SELECT DISTINCT reach.name FROM reach JOIN bad ON bad.name = reach.other)
+SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, CASE WHEN aliased.name IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM p LEFT JOIN best ON best.host = p.host AND best.path = p.path LEFT JOIN aliased ON aliased.name = p.name
+"""
+
 SQL: dict[str, str] = {
     "op2_near_copies": r"""
 WITH RECURSIVE d AS (
@@ -102,33 +161,7 @@ WITH RECURSIVE d AS (
 ), c AS (SELECT node, min(seen) AS class_id, count(*) AS class_size FROM reach GROUP BY node)
 SELECT c.node AS doc_id, c.class_id, c.class_size, coalesce(n.n, 0) AS n_shingles FROM c LEFT JOIN n ON n.doc_id = c.node
 """,
-    "op6_url_filter": rf"""
-WITH RECURSIVE u AS (
-  SELECT page_id, url, html, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages
-), p AS (
-  SELECT page_id, regexp_extract(url, '(?s)^([^#]*)', 1) AS name, url, html,
-    coalesce(translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), '{_UPPER}', '{_LOWER}'), '') AS host,
-    coalesce(regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1), '') AS path FROM u
-), l AS (
-  SELECT url AS src, unnest([regexp_extract(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*\bcontent\s*=\s*["'']?[^"''>;]*;\s*url\s*=\s*([^"''\s>]+)', 1)]) AS dst FROM u
-), e AS (
-  SELECT regexp_extract(src, '(?s)^([^#]*)', 1) AS a, regexp_extract(dst, '(?s)^([^#]*)', 1) AS b FROM l WHERE dst LIKE '%://%'
-), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e
-), reach AS (SELECT a AS name, b AS other FROM both_ways UNION SELECT reach.name, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.other
-), rules AS (
-  SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) r(verdict, rule_host, rule_path)
-), places AS (
-  SELECT DISTINCT name, host, path FROM p
-), fits AS (
-  SELECT name, rule_host || rule_path AS rule, verdict,
-    row_number() OVER (PARTITION BY name ORDER BY length(rule_host || rule_path) DESC, verdict) AS k
-  FROM places JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
-), best AS (SELECT name, rule, verdict FROM fits WHERE k = 1
-), aliased AS (SELECT DISTINCT reach.name FROM reach JOIN best ON best.name = reach.other AND best.verdict = 'block')
-SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, CASE WHEN aliased.name IS NOT NULL THEN 'block' END, 'allow') AS verdict
-FROM p LEFT JOIN best ON best.name = p.name LEFT JOIN aliased ON aliased.name = p.name
-""",
+    "op6_url_filter": _URL_SQL,
     "op7_line_dedup": rf"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place FROM documents

@@ -153,6 +153,72 @@ def test_url_aliases(spark):
     assert found == {1: (None, "block"), 2: (None, "block"), 3: (None, "allow"), 4: ("org/fr/", "allow"), 5: (None, "allow"), 6: (None, "allow"), 7: (None, "block")}
 
 
+#: Links as pages spell them: page, html, and the names it is one page with.
+SPELLED_LINKS = [
+    ("http://s.com/a/b", '<link rel="canonical" href="http://t1.com/x">', ["http://t1.com/x"]),
+    ("http://s.com/a/b", "<link href='http://t2.com/x' rel='canonical'/>", ["http://t2.com/x"]),
+    ("http://s.com/a/b", "<LINK REL=CANONICAL HREF=HTTP://T3.com/X>", ["http://t3.com/X"]),
+    ("http://s.com/a/b", '<link rel="alternate canonical" href="//t4.com">', ["http://t4.com/"]),
+    ("http://S.com/a/b?q#f", '<link data-href="http://no.com/" rel=canonical href="c?x=1&amp;y=2#z">', ["http://s.com/a/c?x=1&y=2"]),
+    ("http://s.com/a/b", '<link rel=canonical href="../d/./e">', ["http://s.com/d/e"]),
+    ("http://s.com/a/b", '<link rel=canonical href="/../f/..">', ["http://s.com/"]),
+    ("http://s.com", '<link rel=canonical href="g">', ["http://s.com/g"]),
+    ("http://s.com/a/b?q", '<link rel=canonical href="?r">', ["http://s.com/a/b?r"]),
+    ("http://s.com/a/b", "<meta http-equiv='refresh' content=\"0; url='http://t5.com/1'\">", ["http://t5.com/1"]),
+    ("http://s.com/a/b", "<meta content='5;URL = \"t6\" ' http-equiv=Refresh>", ["http://s.com/a/t6"]),
+    ("http://s.com/a/b", "<meta http-equiv=refresh content=0;url=/t7>", ["http://s.com/t7"]),
+    ("http://s.com/a/b", '<link rel=canonical href="http://t8.com/"><p>x</p>\n<link\nrel=canonical\nhref="http://t9.com/"><meta http-equiv=refresh content="1;url=http://t10.com/">', ["http://t8.com/", "http://t9.com/", "http://t10.com/"]),
+    ("http://s.com/a/b", '<link rel=stylesheet href="http://no.com/"><meta name=refresh content="0;url=http://no.com/"><link rel=canonical href="mailto:x@no.com"><a href="http://no.com/">', []),
+    ("http://s.com/a/b", '<meta http-equiv=refresh content="30"><linkx rel=canonical href="http://no.com/"><link rel=canonical href="">', []),
+    ("s.com/a/b", '<link rel=canonical href="http://no.com/">', []), (None, '<link rel=canonical href="http://no.com/">', []), ("http://s.com/a/b", None, []),
+]
+
+
+def test_links_as_pages_spell_them(spark):
+    for url, html, want in SPELLED_LINKS:
+        pages = spark.createDataFrame([(url, html)], "url string, html string")
+        found = [r[0] for r in urlrules.page_links(pages).select(urlrules.name_of(F.col("dst"))).collect()]
+        assert found == want, (url, html)
+
+
+def random_web(r, n):
+    """Pages in chains, rings and stars of links, some of them to hosts that rules name, some only known from links."""
+    hosts = ["a.net", "Example.net", "b.org", "c.com", "d.de", "x.example.com"]
+    urls = [f"http://{r.choice(hosts)}/{r.choice(['en', 'de', 'fr', 'x'])}/{k}" for k in range(n)]
+    spell = ['<link rel="canonical" href="{}">', "<meta http-equiv=refresh content='0; url={}'>", "<link href={} rel=canonical>"]
+    links = [(r.randrange(n), r.randrange(n)) for _ in range(n // 3)] + [(k, k + 1) for k in range(0, n - 1, 7)] + [(k, 0) for k in range(0, n, 29)]
+    html = [""] * n
+    for a, b in links:
+        html[a] += r.choice(spell).format(urls[b].replace("http://", r.choice(["http://", "HTTP://"])))
+    return [(k, u, h) for k, (u, h) in enumerate(zip(urls, html, strict=True)) if r.random() < 0.8], links, urls
+
+
+def test_aliases_as_brute_force_and_sql(spark, tmp_path):
+    import duckdb
+
+    pages, links, urls = random_web(random.Random(8), 400)
+    held = {k for k, _, _ in pages}
+    group = list(range(len(urls)))
+    for _ in range(len(urls)):
+        before = list(group)
+        for a, b in links:
+            if a in held:
+                group[a] = group[b] = min(group[a], group[b])
+        if before == group:
+            break
+    verdict = [brute_rule(*brute_url(u)) for u in urls]
+    linked = {k for a, b in links if a in held for k in (a, b)}
+    blocked = {group[k] for k in linked if verdict[k][1] == "block"}
+    want = sorted((k, verdict[k][0], verdict[k][1] or ("block" if k in linked and group[k] in blocked else "allow")) for k in held)
+    docs = spark.createDataFrame([*pages, *((1000 + k, u, h) for k, (u, h, _) in enumerate(SPELLED_LINKS))], "page_id long, url string, html string")
+    docs.write.parquet(f"{tmp_path}/pages.parquet")
+    found = sorted(tuple(r) for r in queries.op6_url_filter(spark, str(tmp_path)).collect())
+    assert [(r[0], r[3], r[4]) for r in found if r[0] < 1000] == want and len({w[2] for w in want if w[1] is None}) == 2
+    duck = duckdb.connect()
+    duck.sql(f"create view pages as select * from '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(duck.sql(queries.SQL["op6_url_filter"]).fetchall()) == found
+
+
 # Toxicity
 
 
