@@ -7,7 +7,7 @@ import re
 
 import numpy as np
 
-from haloforge.llm.words import span_hashes
+from haloforge.llm.words import by_eight, lane, span_hashes
 
 #: Byte classes: space 0, ASCII letter 1, mark 2, anything else 5.  Marks are ASCII punctuation but the apostrophe
 #: (contractions) and those that special tokens are written with.
@@ -17,9 +17,18 @@ _CLASS[[c for c in range(128) if chr(c).isalpha()]] = 1
 _CLASS[[ord(c) for c in "!\"#$%&()*+,-./:;=?@[\\]^_`{}~"]] = 2
 #: Words that are surely one pre-token each.
 _SINGLE = re.compile("[a-zß-öø-ÿ]+|[!-&(-/:;=?@\\[-`{}~]+")
+_SLOT_BITS = 21
 _encoders: dict[tuple[str, int], WordEncoder] = {}
 
 
+def _first_sixteen(eight: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers that, with the size, spell words of up to sixteen bytes."""
+    following = np.zeros(len(starts), dtype=np.uint64)
+    longer = np.flatnonzero(size > 8)
+    following[longer] = lane(eight, starts[longer] + 8, np.minimum(size[longer] - 8, 8))
+    return lane(eight, starts, np.minimum(size, 8)), following
+
+
 class WordEncoder:
     """Ids of whole texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``.
 
@@ -44,15 +53,22 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.hashes = np.zeros(0, dtype=np.uint64)  # ascending
-        self.begins = np.zeros(0, dtype=np.int64)
-        self.sizes = np.zeros(0, dtype=np.int64)
-        self.ids = np.zeros(1 << 16, dtype=self.dtype)
-        self.filled = 0
-        self.spelled = np.zeros(1 << 16, dtype=np.uint8)  # the words' bytes, one after another
-        self.written = 0
-        self.word_begins = np.zeros(0, dtype=np.int64)
-        self.word_sizes = np.zeros(0, dtype=np.int64)
+        """Rows are words in the order in which they came: hash, bytes (the first sixteen as numbers, all in ``spelled``), ids."""
+        self.n = 0
+        self.hashes, self.head, self.next = (np.zeros(1 << 12, dtype=np.uint64) for _ in range(3))
+        self.begins, self.sizes, self.word_begins, self.word_sizes = (np.zeros(1 << 12, dtype=np.int64) for _ in range(4))
+        self.ids, self.filled = np.zeros(1 << 16, dtype=self.dtype), 0
+        self.spelled, self.written = np.zeros(1 << 16, dtype=np.uint8), 0
+        self.slots = np.zeros(1 << _SLOT_BITS, dtype=np.int32)  # the row that came last to each slot
+        self.sorted = np.zeros(0, dtype=np.uint64)
+        self.sorted_rows = np.zeros(0, dtype=np.int64)
+
+    def _append(self, name: str, used: int, values: np.ndarray) -> None:
+        held = getattr(self, name)
+        if used + len(values) > len(held):
+            held = np.concatenate([held, np.zeros(max(len(held), used + len(values) - len(held)), dtype=held.dtype)])
+            setattr(self, name, held)
+        held[used : used + len(values)] = values
 
     def _library(self, words: list[str]) -> list[list[int]]:
         """Ids of each word.  Single pre-tokens go together in one text: each ends with the first id that closes a word."""
@@ -75,43 +91,40 @@ class WordEncoder:
     def _learn(self, hashes: np.ndarray, raw: list[bytes]) -> None:
         found = self._library([w.decode("utf-8", "surrogatepass") for w in raw])
         letters = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-        while self.written + letters.sum() > len(self.spelled):
-            self.spelled = np.concatenate([self.spelled, np.zeros_like(self.spelled)])
-        self.spelled[self.written : self.written + letters.sum()] = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        word_begins = self.written + np.cumsum(letters) - letters
-        self.written += int(letters.sum())
         sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-        flat = np.fromiter((x for ids in found for x in ids), dtype=self.dtype, count=int(sizes.sum()))
-        while self.filled + len(flat) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.filled : self.filled + len(flat)] = flat
-        begins = self.filled + np.cumsum(sizes) - sizes
-        self.filled += len(flat)
-        at = np.searchsorted(self.hashes, hashes)
-        self.hashes = np.insert(self.hashes, at, hashes)
-        self.begins = np.insert(self.begins, at, begins)
-        self.sizes = np.insert(self.sizes, at, sizes)
-        self.word_begins = np.insert(self.word_begins, at, word_begins)
-        self.word_sizes = np.insert(self.word_sizes, at, letters)
-
-    def _differ(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Which words of the block aren't, byte for byte, those of the table's rows."""
+        spelled = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        at = np.cumsum(letters) - letters
+        head, following = _first_sixteen(by_eight(spelled), at, letters)
+        rows = np.arange(self.n, self.n + len(raw))
+        columns = {"hashes": hashes, "head": head, "next": following, "begins": self.filled + np.cumsum(sizes) - sizes, "sizes": sizes, "word_begins": self.written + at, "word_sizes": letters}
+        for name, values in columns.items():
+            self._append(name, self.n, values)
+        self._append("ids", self.filled, np.fromiter((x for ids in found for x in ids), dtype=self.dtype, count=int(sizes.sum())))
+        self._append("spelled", self.written, spelled)
+        self.n, self.filled, self.written = self.n + len(raw), self.filled + int(sizes.sum()), self.written + len(spelled)
+        self.slots[hashes >> np.uint64(64 - _SLOT_BITS)] = rows
+        place = np.searchsorted(self.sorted, hashes)
+        self.sorted, self.sorted_rows = np.insert(self.sorted, place, hashes), np.insert(self.sorted_rows, place, rows)
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each hash, and which have none."""
+        row = self.slots[hashes >> np.uint64(64 - _SLOT_BITS)].astype(np.int64)
+        other = np.flatnonzero((self.hashes[row] != hashes) | (row >= self.n))
+        place = np.searchsorted(self.sorted, hashes[other])
+        there = place < len(self.sorted)
+        there[there] = self.sorted[place[there]] == hashes[other][there]
+        row[other[there]] = self.sorted_rows[place[there]]
+        return row, other[~there]
+
+    def _differ(self, eight: np.ndarray, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The words of the block that aren't, byte for byte, those of the table's rows."""
         size = ends - starts
-        out = size != self.word_sizes[row]
-        step = 1 << 22
-        same = np.flatnonzero(~out)
-        upto = np.cumsum(size[same])
-        first = 0
-        while first < len(same):
-            last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + step, side="right")))
-            some, n = same[first:last], size[same[first:last]]
-            stop = np.cumsum(n)
-            inner = np.arange(stop[-1]) - np.repeat(stop - n, n)
-            wrong = buf[np.repeat(starts[some], n) + inner] != self.spelled[np.repeat(self.word_begins[row[some]], n) + inner]
-            if wrong.any():
-                out[some[np.unique(np.searchsorted(stop, np.flatnonzero(wrong), side="right"))]] = True
-            first = last
-        return out
+        head, following = _first_sixteen(eight, starts, size)
+        out = (size != self.word_sizes[row]) | (head != self.head[row]) | (following != self.next[row])
+        for k in np.flatnonzero(~out & (size > 16)).tolist():
+            begin = self.word_begins[row[k]]
+            out[k] = not np.array_equal(buf[starts[k] + 16 : ends[k]], self.spelled[begin + 16 : begin + size[k]])
+        return np.flatnonzero(out)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and where each text's begin (one more entry than texts)."""
@@ -138,20 +151,21 @@ class WordEncoder:
         if not len(starts):
             return np.zeros(0, dtype=self.dtype), first
         hashes = span_hashes(buf, starts, ends)
-        distinct, where = np.unique(hashes, return_index=True)
-        if len(self.hashes) + len(distinct) > self.most or self.written + len(buf) > 16 * self.most:
-            self._clear()
-        row = np.searchsorted(self.hashes, distinct)
-        new = row == len(self.hashes)
-        new[~new] = self.hashes[row[~new]] != distinct[~new]
-        if new.any():
-            self._learn(distinct[new], [whole[a:b] for a, b in zip(starts[where[new]].tolist(), ends[where[new]].tolist(), strict=True)])
-        word = np.searchsorted(self.hashes, hashes)
+        word, new = self._find(hashes)
+        if len(new):
+            distinct, where = np.unique(hashes[new], return_index=True)
+            if self.n + len(distinct) > self.most or self.written + len(buf) > 16 * self.most:
+                self._clear()
+                distinct, new_at = np.unique(hashes, return_index=True)
+            else:
+                new_at = new[where]
+            self._learn(distinct, [whole[a:b] for a, b in zip(starts[new_at].tolist(), ends[new_at].tolist(), strict=True)])
+            word, _ = self._find(hashes)
         sizes = self.sizes[word]
         stops = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.begins[word] - (stops - sizes), sizes) + np.arange(stops[-1])]
         cuts = np.concatenate([[0], stops])[first]
-        differ = np.flatnonzero(self._differ(buf, starts, ends, word))
+        differ = self._differ(by_eight(buf), buf, starts, ends, word)
         if not len(differ):
             return ids, cuts
         parts = [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
