@@ -75,20 +75,19 @@ def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Ftrl:
-    """FTRL-proximal (McMahan et al., 2013) with one rate for each coordinate."""
+    """FTRL-proximal (McMahan et al., 2013) with one rate for each coordinate; the last coordinate is the bias, without L1."""
 
-    def __init__(self, alpha: float, beta: float, l1: float, l2: float):
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
-        self.z = np.zeros((1 << BITS) + 1)
-        self.n = np.zeros((1 << BITS) + 1)
+    def __init__(self, size: int, alpha: float, beta: float, l1: float, l2: float):
+        self.alpha, self.beta, self.l2 = alpha, beta, l2
+        self.z, self.n, self.l1 = np.zeros(size + 1), np.zeros(size + 1), np.full(size + 1, l1)
+        self.l1[size] = 0.0
 
     def weights(self, at) -> np.ndarray:
-        z, n = self.z[at], self.n[at]
-        l1 = np.where(np.asarray(at) == 1 << BITS, 0.0, self.l1)
+        z, n, l1 = self.z[at], self.n[at], self.l1[at]
         return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
 
-    def learn(self, places: np.ndarray, label: int) -> None:
-        at = np.append(places, 1 << BITS)
+    def learn(self, at: np.ndarray, label: int) -> None:
+        """at: the coordinates that are 1, the bias among them."""
         w = self.weights(at)
         g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - label
         n = self.n[at]
@@ -108,12 +107,17 @@ def _train(fold: int | None, epochs: int, least_docs: int, alpha: float, beta: f
         found_in = np.zeros((1 << BITS) + 1, dtype=np.int32)
         for _, _, places in known:
             found_in[places] += 1
-        known = [(label, places[found_in[places] >= least_docs].astype(np.int64)) for _, label, places in known]
-        model = Ftrl(alpha, beta, l1, l2)
+        # Only places that are learnt from have a coordinate, so that all of them stay in the processor's cache.
+        live = np.flatnonzero(found_in >= least_docs)
+        coordinate = np.zeros((1 << BITS) + 1, dtype=np.int64)
+        coordinate[live] = np.arange(len(live))
+        known = [(label, np.append(coordinate[places[found_in[places] >= least_docs]], len(live))) for _, label, places in known]
+        model = Ftrl(len(live), alpha, beta, l1, l2)
         for _ in range(epochs if known else 0):
-            for label, places in known:
-                model.learn(places, label)
-        w = model.weights(np.arange((1 << BITS) + 1))
+            for label, at in known:
+                model.learn(at, label)
+        w = np.zeros((1 << BITS) + 1)
+        w[np.append(live, 1 << BITS)] = model.weights(slice(None))
         if fold is None:
             at = np.flatnonzero(w)
             labels, values = np.full(len(at), -1), w[at]

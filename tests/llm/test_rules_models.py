@@ -246,6 +246,60 @@ def test_toxicity_learns_and_holds_out(spark):
     assert {r.doc_id for r in toxicity.drop_toxic(docs, known, docs).collect()} == set(range(900)) - bad
 
 
+def test_learner_as_plain_loop():
+    """The published update, one coordinate at a time in plain Python."""
+    r = random.Random(3)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.3, 0.1
+    mine = toxicity.Ftrl(6, alpha, beta, l1, l2)
+    z, n = [0.0] * 7, [0.0] * 7
+
+    def weight(i):
+        own = 0.0 if i == 6 else l1
+        return 0.0 if abs(z[i]) <= own else -(z[i] - math.copysign(own, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(200):
+        at = [*sorted(r.sample(range(6), r.randint(0, 6))), 6]
+        label = int(r.random() < (0.9 if 2 in at else 0.2))
+        w = {i: weight(i) for i in at}
+        g = 1 / (1 + math.exp(-sum(w.values()))) - label
+        for i in at:
+            sigma = (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / alpha
+            z[i] += g - sigma * w[i]
+            n[i] += g * g
+        mine.learn(np.array(at), label)
+    assert np.allclose(mine.z, z) and np.allclose(mine.n, n) and np.allclose(mine.weights(slice(None)), [weight(i) for i in range(7)])
+    assert weight(2) > 0
+
+
+def test_platt_scaling():
+    """The curve that made the labels is found again, and it beats its neighbours in likelihood."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=20_000) * 2
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(1.7 * x + 0.8)))).astype(int)
+    a, b = toxicity.platt(x, y)
+    assert abs(a - 1.7) < 0.08 and abs(b - 0.8) < 0.08
+    assert toxicity.platt(x, np.zeros(20_000, dtype=int)) == (1.0, 0.0) == toxicity.platt(x[:0], y[:0])
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Of documents it hasn't learnt from: share of toxic ones found, and of those found that are toxic."""
+    where = DATA.replace("sf0.001", "sf0.1")
+    found = queries.op8_toxicity(spark, where).where("held_out").select("doc_id", "predicted")
+    labels = spark.read.parquet(f"{where}/labels.parquet").where("toxic in (0, 1)")
+    n = {(r.toxic, r.predicted): r["count"] for r in labels.join(found, "doc_id").groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.97 * (n[1, 1] + n.get((0, 1), 0)), n
+
+
+def test_drop_toxic_of_odd_rows(spark, odd_docs, no_docs):
+    """All columns pass unchanged, whatever their names; rows are judged each by its own text."""
+    labels = spark.createDataFrame([(k, k % 2) for k in range(11)], "doc_id long, toxic int")
+    docs = odd_docs.selectExpr("*", "1 as score", "array(2) as _score", "named_struct('a', 1) as bad")
+    kept = toxicity.drop_toxic(docs, labels.limit(0), docs)
+    assert kept.dtypes == docs.dtypes and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    assert toxicity.drop_toxic(docs, labels.limit(0), docs, threshold=0.5).count() == 0
+    assert toxicity.drop_toxic(no_docs, labels, no_docs).count() == 0
+
+
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(k, k % 2) for k in range(11)], "doc_id long, toxic int")
     found = toxicity.score(odd_docs, toxicity.train(odd_docs, labels)).collect()
