@@ -9,7 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-
 def wrap(d: Column, box: float | Column) -> Column:
     """Minimum image: one wrap by the box, at more than half of it.  Exactly half isn't wrapped."""
     half = box * 0.5
@@ -22,6 +21,11 @@ def offsets(centre: Sequence[float | Column], box: float | Column | None = None,
     return plain if box is None else [wrap(d, box) for d in plain]
 
 
+def apart(d: Column, box: float | Column | None = None) -> Column:
+    """The size of ``wrap(d, box)``, equal to the last bit; the offset stands in it twice only, so a filter's code stays short."""
+    return F.abs(d) if box is None else F.least(F.abs(d), F.abs(F.abs(d) - box))
+
+
 def norm2(d: Sequence[Column]) -> Column:
     x, y, z = d
     return x * x + y * y + z * z
@@ -45,14 +49,19 @@ def edges_of(limits: tuple[float, float], n: int, kind: str = "log") -> list[flo
 
 
 def digitize(r: Column, edges: Sequence[float]) -> Column:
-    """How many edges are at or below r: 0 before the first, len(edges) from the last on.
+    """How many edges are at or below r: 0 before the first, len(edges) from the last on; NaN counts as beyond, null as before.
 
-    A sum of comparisons: unlike a filter over an array it is compiled, and unlike a logarithm it is exact at edges.
+    A binary search in nested comparisons: unlike a filter over an array it is compiled, and unlike a logarithm it is
+    exact at edges.
     """
-    total = F.lit(0)
-    for e in edges:
-        total = total + F.when(r >= F.lit(float(e)), 1).otherwise(0)
-    return total
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high + 1) // 2
+        return F.when(r >= F.lit(float(edges[middle - 1])), search(middle, high)).otherwise(search(low, middle - 1))
+
+    return search(0, len(edges))
 
 
 def trunc0(v: Column) -> Column:

@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haloforge.cosmology import BH, DM, GAS, LOW_RES_TYPES, STAR
-from haloforge.functions.columns import norm2, offsets
+from haloforge.functions.columns import apart, norm2, offsets
 
 
 def _near(d: list[Column], size: float, geometry: str) -> Column:
+    """d: the sizes of the offsets."""
     if geometry == "cubic":
-        return (F.abs(d[0]) < size / 2) & (F.abs(d[1]) < size / 2) & (F.abs(d[2]) < size / 2)
+        return (d[0] < size / 2) & (d[1] < size / 2) & (d[2] < size / 2)
     if geometry == "spherical":
         return norm2(d) < size * size
     raise ValueError(f"geometry is 'cubic' or 'spherical', not {geometry!r}")
@@ -31,7 +32,7 @@ def select_particles(particles: DataFrame, centre: Sequence[float], size: float,
     if not periodic or all(reach <= c <= box - reach for c in centre):
         for name, c in zip(("x", "y", "z"), centre, strict=True):
             particles = particles.where((F.col(name) >= c - reach) & (F.col(name) <= c + reach))
-    return particles.where(_near(offsets(centre, box if periodic else None), size, geometry))
+    return particles.where(_near([apart(F.col(c) - v, box if periodic else None) for c, v in zip(("x", "y", "z"), centre, strict=True)], size, geometry))
 
 
 def particles_in_region(particles: DataFrame, centre: Sequence[float] | None = None, size: float | Sequence[float] = 1.0, region: str = "sphere", cut: float = 5.0, members: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from haloforge.cosmology import DM, GAS, RHOCRIT0, SimHeader
 from haloforge.functions.columns import trunc0
+from haloforge.work import materialize
 
 POSITION = ("x", "y", "z")
 
@@ -66,28 +67,29 @@ def add_gas(particles: DataFrame, header: SimHeader, omega_bar: float = 0.0491,
     return gas.unionByName(moved, allowMissingColumns=True)
 
 
-def running_sum(rows: DataFrame, key: str, value: str, out: str, width: int) -> DataFrame:
+def running_sum(rows: DataFrame, key: str, value: str, out: str, ranges: int | None = None) -> DataFrame:
     """``out``: the sum of ``value`` over all rows of a lesser ``key`` (distinct integers).
 
-    Keys are cut into ranges of ``width``: each range is summed on its own, and only one row for each range meets in
-    one place.
+    Keys are cut into ranges of about equally many rows, however sparse or crowded they are; a range is summed on its own, and only one row for each
+    range meets in one place.  The ranges are written once, as their bounds are drawn from a sample.  ``ranges``: how many; by default
+    as many as adaptive execution finds fit the size.
     """
-    ranged = rows.withColumn("__range", F.floor(F.col(key) / F.lit(width)))
+    ranged = materialize(rows.repartitionByRange(*([ranges] if ranges else []), key).withColumn("__range", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy("__range").agg(F.sum(value).alias("__sum"))
     before = totals.select("__range", (F.sum("__sum").over(Window.orderBy("__range")) - F.col("__sum")).alias("__before"))
     inside = F.sum(value).over(Window.partitionBy("__range").orderBy(key)) - F.col(value)
-    return ranged.join(before, "__range").withColumn(out, F.col("__before") + inside).drop("__range", "__before")
+    return ranged.withColumn("__inside", inside).join(F.broadcast(before), "__range").withColumn(out, F.col("__before") + F.col("__inside")).drop("__range", "__before", "__inside")
 
 
-def rank_from_zero(rows: DataFrame, key: str, out: str, width: int = 100_000) -> DataFrame:
+def rank_from_zero(rows: DataFrame, key: str, out: str) -> DataFrame:
     """``out``: the rank of distinct integer keys, from 0 on, without bringing all rows to one task."""
-    return running_sum(rows.withColumn("__one", F.lit(1).cast("long")), key, "__one", out, width).drop("__one")
+    return running_sum(rows.withColumn("__one", F.lit(1).cast("long")), key, "__one", out).drop("__one")
 
 
-def rank_of_rows(rows: DataFrame, key: str, out: str, width: int) -> DataFrame:
+def rank_of_rows(rows: DataFrame, key: str, out: str) -> DataFrame:
     """``out``: the rank of every row from 0 on, by an integer key and then by all other columns; repeated keys and rows
     each have a rank of their own."""
-    starts = running_sum(rows.groupBy(key).agg(F.count("*").alias("__n")), key, "__n", "__start", width).drop("__n")
+    starts = running_sum(rows.groupBy(key).agg(F.count("*").alias("__n")), key, "__n", "__start").drop("__n")
     inside = F.row_number().over(Window.partitionBy(key).orderBy(*[c for c in rows.columns if c != key])) - 1
     return rows.withColumn("__inside", inside).join(starts, key).withColumn(out, F.col("__start") + F.col("__inside")).drop("__start", "__inside")
 

@@ -11,12 +11,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from haloforge.cosmology import r200
 from haloforge.functions.columns import wrap
+from haloforge.work import drop_table, materialize
 
 
 def _whole_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -106,12 +107,15 @@ def link_chains(links: DataFrame) -> DataFrame:
     up = links.where("prog_rank = 0").select(F.col("prog_id").alias("node_id"), F.col("desc_id").alias("up"))
     nodes = up.select("node_id").union(up.select("up")).distinct()
     state = nodes.join(up, "node_id", "left").select("node_id", F.coalesce("up", "node_id").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("steps"))
-    inner = up.select(F.col("node_id").alias("up"))
+    # Each round doubles the steps; it is written, so that no round is computed twice and lineage stays short.
+    state = materialize(state, "chains")
     for _ in range(40):
-        if state.join(inner, "up", "left_semi").isEmpty():
-            break
         jump = state.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"))
-        state = state.join(jump, "up").select("node_id", F.col("up2").alias("up"), (F.col("steps") + F.col("more")).alias("steps")).persist()
+        jumped = state.join(jump, "up").select("node_id", F.col("up2").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved"))
+        before, state = state, materialize(jumped, "chains")
+        drop_table(before)
+        if state.where("moved").isEmpty():
+            break
     return state.select(F.col("up").alias("root_id"), F.col("steps").alias("depth"), "node_id")
 
 
@@ -209,7 +213,3 @@ def first_subhalo_nodes(groups: DataFrame, nodes: DataFrame, snapnum: int) -> Da
     """groups (group_id, first_sub) -> group_id, tree_id, node_id of the first subhalo at a snapshot."""
     at = nodes.where(F.col("snapnum") == snapnum).select("tree_id", "node_id", "subhalo_nr")
     return groups.join(at, groups["first_sub"] == at["subhalo_nr"]).select("group_id", "tree_id", "node_id")
-
-
-def relative_to(particles: DataFrame, centre: tuple[float | Column, ...]) -> DataFrame:
-    return particles.select("*", *[(F.col(c) - v).alias(f"d{c}") for c, v in zip("xyz", centre, strict=True)])

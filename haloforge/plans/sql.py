@@ -1,16 +1,26 @@
-"""SQL twins of the registered queries, over the same stand-in entities, written independently of the operators."""
+"""SQL twins of the registered queries, over the same stand-in entities, written independently of the operators: nothing of theirs is imported but the entities."""
 
 from __future__ import annotations
 
 import math
 
-from haloforge.functions.columns import linear_edges, log_edges, shell_volumes
 from haloforge.plans.standins import MEMBERS, OMEGA0, OMEGA_LAMBDA, cte
 
 SQL: dict[str, str] = {}
 NAN = "'nan'::double"
 
 
+#: Edges of bins as literals: equal steps of the logarithm or of the value, both ends included.
+_LOG_1_50_10 = [1.0, 1.544452104946379, 2.385332304473301, 3.6840314986403864, 5.689810202763908, 8.7876393444041, 13.572088082974531, 20.96144000826768, 32.37394014347626, 49.99999999999999]
+_LOG_5_120_12 = [5.000000000000001, 6.674884474938244, 8.910816550754317, 11.895734210730547, 15.880530320239414, 21.20014105767042, 28.301698482469014, 37.78211356300313, 50.438248650408674, 67.33389657193753, 89.88919617302464, 119.99999999999996]
+_LOG_8_50_10 = [7.999999999999999, 9.806659584425528, 12.021321525600634, 14.736125994561549, 18.064021402733644, 22.143463577798215, 27.144176165949066, 33.274211919892416, 40.78860865480238, 49.99999999999999]
+_LOG_8_40_10 = [7.999999999999999, 9.566505396003215, 11.439753186469831, 13.679807573413576, 16.358494120918326, 19.561702784781502, 23.392141905702932, 27.972631470622517, 33.450041238014954, 40.000000000000014]
+_LOG_8_40_8 = [7.999999999999999, 10.067991605134612, 12.670556870132636, 15.945882525109509, 20.067876424908157, 25.255401422356766, 31.783896188074102, 40.000000000000014]
+_LINEAR_1_50_10 = [1.0, 6.444444444444445, 11.88888888888889, 17.333333333333332, 22.77777777777778, 28.22222222222222, 33.666666666666664, 39.111111111111114, 44.55555555555556, 50.0]
+_LINEAR_10_50_8 = [10.0, 15.714285714285715, 21.42857142857143, 27.142857142857142, 32.85714285714286, 38.57142857142857, 44.285714285714285, 50.0]
+_LINEAR_10_60_8 = [10.0, 17.142857142857142, 24.285714285714285, 31.428571428571427, 38.57142857142857, 45.714285714285715, 52.857142857142854, 60.0]
+
+
 def d(v: float) -> str:
     """A double literal."""
     return f"{v!r}::double" if v == v else NAN
@@ -60,10 +70,10 @@ add("mesh_cell", "select pid, " + ", ".join(f"trunc(8 * ({c} - {d(o)}) / 80.0::d
 add("galaxy_totals", "select row_id, " + ", ".join(f"{rnd(f'{k}_disk + {k}_bulge', 6)} as {k}_tot" for k in ("mstar", "mgas", "matom")) + " from galaxies", GAL)
 _FG, _D = 0.0491 / OMEGA0, (10.0 / OMEGA0 / 27.755) ** (1.0 / 3.0)
 add("add_gas_particles", f"""
-select row_number() over (order by pid) - 1 as pid, 0::bigint as ptype, {', '.join(rnd(f'{c} - {d((1 - _FG) * 0.25 * _D)}', 7) + f' as {c}' for c in 'xyz')}, {rnd(f'mass * {d(_FG)}', 12)} as mass, 100.0::double as u from k where ptype = 1
+select row_number() over (order by pid, x, y, z, vx, vy, vz, mass, u, rho) - 1 as pid, 0::bigint as ptype, {', '.join(rnd(f'{c} - {d((1 - _FG) * 0.25 * _D)}', 7) + f' as {c}' for c in 'xyz')}, {rnd(f'mass * {d(_FG)}', 8)} as mass, 100.0::double as u from k where ptype = 1
 union all
-select pid + (select count(*) from k where ptype = 1), ptype::bigint, {', '.join(rnd(f'case when ptype = 1 then {c} - {d(0.25 * _D)} else {c} end', 7) for c in 'xyz')}, {rnd(f'case when ptype = 1 then mass * {d(1 - _FG)} else mass end', 12)}, {rnd('u', 6)} from k
-""", P, "k as (select distinct on (pid) * from particles where ptype <> 0)")
+select pid + (select count(*) from k where ptype = 1), ptype::bigint, {', '.join(rnd(f'case when ptype = 1 then {c} - {d(0.25 * _D)} else {c} end', 7) for c in 'xyz')}, {rnd(f'case when ptype = 1 then mass * {d(1 - _FG)} else mass end', 8)}, {rnd('u', 6)} from k
+""", P, "k as (select * from particles where ptype <> 0)")
 
 # Selections
 add("select_cubic", "select pid, x, y, z from q where abs(dx) < 15 and abs(dy) < 15 and abs(dz) < 15", P, near(EDGE, True))
@@ -101,14 +111,14 @@ add("tolerance_match", "select node_id, halo_id from nodes, halos where nodes.tr
 add("group_to_tree_index", "select halo_id as group_id, tree_id, node_id from halos join nodes on tree_id * 10 + 1 = halo_id * 10 + 1 where snapnum = 58", H, N)
 
 # Profiles
-add("radial_bins_log", f"select pid, {digits('r', log_edges(1.0, 50.0, 10))}::bigint as bin from q", P, near(MIDDLE, False))
-add("radial_bins_linear", f"select pid, {digits('r', linear_edges(1.0, 50.0, 10))}::bigint as bin from q", P, near(MIDDLE, False))
-add("spherical_bin", f"select pid, {digits('r', log_edges(5.0, 120.0, 12))}::bigint as bin from q", P, near(ORIGIN, False))
+add("radial_bins_log", f"select pid, {digits('r', _LOG_1_50_10)}::bigint as bin from q", P, near(MIDDLE, False))
+add("radial_bins_linear", f"select pid, {digits('r', _LINEAR_1_50_10)}::bigint as bin from q", P, near(MIDDLE, False))
+add("spherical_bin", f"select pid, {digits('r', _LOG_5_120_12)}::bigint as bin from q", P, near(ORIGIN, False))
 
 
 def _profile(edges: list[float], aggregates: str, where: str = "true") -> str:
-    volumes = ", ".join(f"({k}, {d(v)})" for k, v in enumerate(shell_volumes(edges)))
-    return f"""v as (select * from (values {volumes}) t(bin, volume)),
+    shells = ", ".join(f"({k}, {d(low)}, {d(high)})" for k, (low, high) in enumerate(zip([0.0, *edges[:-1]], edges, strict=True)))
+    return f"""v as (select bin, 4.0::double * pi() / 3.0::double * (high * high * high - low * low * low) as volume from (values {shells}) t(bin, low, high)),
 b as (select *, {digits('r', edges)} as bin from q where {where}),
 g as (select bin, avg(r) as r_mean, {aggregates} from b where bin < {len(edges)} group by bin)"""
 
@@ -116,11 +126,11 @@ g as (select bin, avg(r) as r_mean, {aggregates} from b where bin < {len(edges)}
 _R = f"{rnd(f'coalesce(r_mean, {NAN})', 7)} as r_mean"
 _RHO = "case when v.bin = 0 then 0.0::double else coalesce(total, 0.0::double) / volume end"
 _BIN = "v.bin::bigint as bin"
-add("radial_profile", f"select {_BIN}, {_R}, {rnd(_RHO, 7)} as density, {rnd(f'coalesce(middle, {NAN})', 6)} as median from v left join g on g.bin = v.bin", P, near(MIDDLE, False), _profile(log_edges(8.0, 50.0, 10), "sum(mass) as total, median(mass) as middle"))
-_PROFILE = (P, near(EDGE, True), _profile(log_edges(8.0, 40.0, 10), "sum(mass) as total, median(mass) as middle", "dx * dx + dy * dy + dz * dz < 1600"))
+add("radial_profile", f"select {_BIN}, {_R}, {rnd(_RHO, 7)} as density, {rnd(f'coalesce(middle, {NAN})', 6)} as median from v left join g on g.bin = v.bin", P, near(MIDDLE, False), _profile(_LOG_8_50_10, "sum(mass) as total, median(mass) as middle"))
+_PROFILE = (P, near(EDGE, True), _profile(_LOG_8_40_10, "sum(mass) as total, median(mass) as middle", "dx * dx + dy * dy + dz * dz < 1600"))
 add("mass_density_profile", f"select {_BIN}, {_R}, {rnd(_RHO, 7)} as density from v left join g on g.bin = v.bin", *_PROFILE)
 add("mass_median_profile", f"select {_BIN}, {_R}, {rnd(f'coalesce(middle, {NAN})', 6)} as median_mass from v left join g on g.bin = v.bin", *_PROFILE)
-add("gas_profile", f"select {_BIN}, {_R}, {rnd(_RHO, 7)} as rho, {rnd(_RHO.replace('total', 'total_u'), 7)} as u from v left join g on g.bin = v.bin", P, near(EDGE, True, "ptype = 0"), _profile(linear_edges(10.0, 50.0, 8), "sum(rho) as total, sum(u) as total_u"))
+add("gas_profile", f"select {_BIN}, {_R}, {rnd(_RHO, 7)} as rho, {rnd(_RHO.replace('total', 'total_u'), 7)} as u from v left join g on g.bin = v.bin", P, near(EDGE, True, "ptype = 0"), _profile(_LINEAR_10_50_8, "sum(rho) as total, sum(u) as total_u"))
 _KIN = ", ".join(f"{rnd(f'coalesce({c}, {NAN})', 6)} as {c}" for c in ("r_mean", "vr_mean", "sigma_r", "sigma"))
 
 
@@ -130,8 +140,8 @@ def _kinematic(velocity: tuple) -> str:
     return f"avg({vr}) as vr_mean, stddev_pop({vr}) as sigma_r, sqrt({' + '.join(f'var_pop({x})' for x in v)}) as sigma"
 
 
-add("kinematic_profile", f"select {_BIN}, {_KIN} from v left join g on g.bin = v.bin", P, near(EDGE, True), _profile(log_edges(8.0, 40.0, 8), _kinematic((10.0, -20.0, 5.0)), "dx * dx + dy * dy + dz * dz < 1600"))
-add("kinematic_profile_raw", f"select {_BIN}, {_KIN} from v left join g on g.bin = v.bin", P, near(MIDDLE, False), _profile(linear_edges(10.0, 60.0, 8), _kinematic((0.0, 0.0, 0.0))))
+add("kinematic_profile", f"select {_BIN}, {_KIN} from v left join g on g.bin = v.bin", P, near(EDGE, True), _profile(_LOG_8_40_8, _kinematic((10.0, -20.0, 5.0)), "dx * dx + dy * dy + dz * dz < 1600"))
+add("kinematic_profile_raw", f"select {_BIN}, {_KIN} from v left join g on g.bin = v.bin", P, near(MIDDLE, False), _profile(_LINEAR_10_60_8, _kinematic((0.0, 0.0, 0.0))))
 
 
 def _histogram(source: str, value: str, n: int) -> str:

@@ -31,7 +31,7 @@ def slices(nodes: DataFrame, trees: DataFrame) -> DataFrame:
     """nodes with b_tree_id and start_offset of the tree whose range of places holds the node's place among all nodes by
     tree_id and snapnum.  trees: tree_id, start_offset, length."""
     ranged = nodes.withColumn("__trees", F.floor(F.col("tree_id") / F.lit(TREES)))
-    before = R.running_sum(ranged.groupBy("__trees").agg(F.count("*").alias("n")), "__trees", "n", "__upto", TREES).drop("n")
+    before = R.running_sum(ranged.groupBy("__trees").agg(F.count("*").alias("n")), "__trees", "n", "__upto").drop("n")
     inside = F.row_number().over(Window.partitionBy("__trees").orderBy("tree_id", "snapnum")) - 1
     placed = ranged.withColumn("__inside", inside).join(before, "__trees").withColumn("__place", F.col("__upto") + F.col("__inside"))
     placed = placed.withColumn("__bucket", F.floor(F.col("__place") / F.lit(PLACES))).drop("__trees", "__upto", "__inside")
@@ -59,7 +59,7 @@ def region_fof_all(spark: SparkSession, d: str) -> DataFrame:
 
 def tree_slice_all(spark: SparkSession, d: str) -> DataFrame:
     nodes = load(spark, d, "nodes")
-    trees = R.running_sum(nodes.groupBy("tree_id").agg(F.count("*").alias("length")), "tree_id", "length", "start_offset", TREES)
+    trees = R.running_sum(nodes.groupBy("tree_id").agg(F.count("*").alias("length")), "tree_id", "length", "start_offset")
     return slices(nodes, trees).select("tree_id", "node_id", *bigint("start_offset", "snapnum"))
 
 

@@ -10,6 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from haloforge.cosmology import SimHeader
+from haloforge.functions import columns
 from haloforge.functions.columns import digitize, linear_edges, log_edges, safe_log10, wrap
 from haloforge.operators import grid, profiles, selection, spatial, transform, tree
 
@@ -168,6 +169,59 @@ def test_ball_join_as_brute_force(spark, largest):
     assert spatial.ball_join(ps, cs.limit(0), 100.0).count() == 0
 
 
+def test_ball_join_of_unlike_radii(spark):
+    """One radius is 20 times the others: small balls keep small cells, and few pairs are made for each that is found."""
+    rng = np.random.default_rng(4)
+    p, c = rng.random((20_000, 3)) * 100, rng.random((200, 3)) * 100
+    r = np.where(np.arange(200) == 7, 40.0, 2.0)
+    d = np.abs(p[:, None, :] - c[None, :, :])
+    d = np.minimum(d, 100 - d)
+    want = (np.sqrt((d**2).sum(-1)) < r).sum(axis=0)
+    ps = frame(spark, [(k, *map(float, x)) for k, x in enumerate(p)], "pid long, x double, y double, z double")
+    cs = frame(spark, [(k, *map(float, x), float(r[k])) for k, x in enumerate(c)], "halo_id long, x double, y double, z double, r200 double")
+    got = spatial.ball_join(ps, cs, 100.0)
+    counts = dict(got.groupBy("c_halo_id").count().collect())
+    assert [counts.get(k, 0) for k in range(200)] == want.tolist()
+    assert "Cartesian" not in got._jdf.queryExecution().toString() and "NestedLoop" not in got._jdf.queryExecution().toString()
+
+
+def test_ball_join_outside_the_box_and_on_borders(spark):
+    points = [(0, 0.0, 0.0, 0.0), (1, 99.999, 50.0, 50.0), (2, 100.0, 50.0, 50.0), (3, -0.5, 50.0, 50.0), (4, 50.0, 50.0, 50.0)]
+    centres = [(0, 0.25, 50.0, 50.0, 1.0), (1, 99.9, 99.9, 99.9, 0.5), (2, 50.0, 50.0, 45.0, 5.0), (3, 1.0, 1.0, 1.0, None), (4, 1.0, 1.0, 1.0, 0.0)]
+    ps, cs = frame(spark, points, "pid long, x double, y double, z double"), frame(spark, centres, "halo_id long, x double, y double, z double, r200 double")
+    got = {(x.c_halo_id, x.pid) for x in spatial.ball_join(ps, cs, 100.0).collect()}
+    assert got == {(0, 1), (0, 2), (0, 3), (1, 0)}
+
+
+def test_digitize_as_numpy(spark):
+    edges = [0.5, 1.0, 1.0, 2.5, 7.0]
+    v = [-1.0, 0.5, 0.9, 1.0, 2.4999, 2.5, 7.0, 9.0, float("nan"), float("inf")]
+    found = [r[0] for r in frame(spark, [(x,) for x in v], "v double").select(columns.digitize(F.col("v"), edges)).collect()]
+    assert found == np.digitize(v, edges).tolist()
+
+
+def test_apart_as_wrap(spark):
+    v = [x for b in (-160.0, -100.0, -50.0, 0.0, 50.0, 100.0, 160.0) for x in (b - 1e-12, b, b + 1e-12, b + 0.1)]
+    for r in frame(spark, [(x,) for x in v], "v double").select("v", F.abs(columns.wrap(F.col("v"), 100.0)).alias("a"), columns.apart(F.col("v"), 100.0).alias("b")).collect():
+        assert r.a == r.b, r
+
+
+def test_profiles_compile(spark):
+    """The code made for a profile is compiled: whole-stage code isn't given up."""
+    rng = np.random.default_rng(6)
+    rows = frame(spark, [(*map(float, rng.random(6) * 100), 1.0) for _ in range(300)], "x double, y double, z double, vx double, vy double, vz double, mass double")
+    rows = rows.selectExpr("x * 1.5 + y * 0.1 as x", "y * 0.7 + z as y", "z", "vx", "vy", "vz", "mass")
+    before = spark.conf.get("spark.sql.codegen.factoryMode", "FALLBACK")
+    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert profiles.kinematic_profile(rows, (5, 50, 95), (1, 2, 3), 40.0, 100.0, (1.0, 40.0), 20).count() == 20
+        assert profiles.mass_density_profile(rows, (5, 50, 95), 40.0, 100.0, (1.0, 40.0), 20).count() == 20
+    finally:
+        spark.conf.set("spark.sql.codegen.factoryMode", before)
+        spark.conf.set("spark.sql.codegen.fallback", "true")
+
+
 def chain(spark, masses, zs):
     n = len(masses)
     rows = [(1, k, 60 - k, k + 1 if k + 1 < n else -1, float(masses[k]), float(zs[k])) for k in range(n)]
@@ -201,6 +255,22 @@ def test_running_sum(spark):
     assert found.before.tolist() == (np.cumsum(range(50)) - np.arange(50)).tolist()
 
 
+def test_running_sum_of_sparse_and_crowded_keys(spark):
+    rng = np.random.default_rng(7)
+    keys = np.unique(np.concatenate([np.arange(1000), rng.integers(0, 1 << 60, 1000), [-(1 << 60)]])).tolist()
+    rows = frame(spark, [(k, 1 + k % 5) for k in keys], "k long, v long").repartition(7)
+    for ranges in (None, 1, 9):
+        found = transform.running_sum(rows, "k", "v", "before", ranges).orderBy("k").toPandas()
+        assert found.before.tolist() == [0, *np.cumsum([1 + k % 5 for k in keys]).tolist()[:-1]]
+    assert transform.rank_from_zero(rows, "k", "rank").orderBy("k").toPandas()["rank"].tolist() == list(range(len(keys)))
+
+
+def test_long_link_chains(spark):
+    links = frame(spark, [(k, 0, k + 1) for k in range(100)], "desc_id long, prog_rank int, prog_id long")
+    assert sorted(tuple(r) for r in tree.link_chains(links).collect()) == [(0, k, k) for k in range(101)]
+    assert tree.link_chains(links.limit(0)).count() == 0
+
+
 def test_members_explode(spark):
     halos = frame(spark, [(1, 0, 2), (2, 2, 0), (3, 2, 1)], "halo_id long, offset long, length long")
     pool = frame(spark, [(0, 10), (1, 11), (2, 12)], "position long, pid long")
