@@ -39,11 +39,11 @@ def lines(path: str, at_once: int = 1 << 20) -> Iterator[str]:
 
 
 def numbered(path: str, suffix: str = "") -> list[str]:
-    """``name<suffix>``, or ``name.0<suffix>`` alone if that is there; readers add the further parts by count."""
-    for candidate in (f"{path}{suffix}", f"{path}.0{suffix}", path, f"{path}.0"):
+    """``name<suffix>``, or ``name.0<suffix>`` or ``name<suffix>.0`` alone if that is there; readers add the further parts by count."""
+    for candidate in (f"{path}{suffix}", f"{path}.0{suffix}", f"{path}{suffix}.0", path, f"{path}.0"):
         if exists(candidate):
             return [candidate]
-    raise FileNotFoundError(f"neither {path}{suffix} nor {path}.0{suffix} is there")
+    raise FileNotFoundError(f"none of {path}{suffix}, {path}.0{suffix} and {path}{suffix}.0 is there")
 
 
 def all_parts(first: str, n: int) -> list[str]:

@@ -1,24 +1,30 @@
-"""HDF5 sources, for sites that have h5py: ``spark.read.format("hdf5_entity")``.
+"""HDF5 sources and snapshots to write, for sites that have h5py: ``spark.read.format("hdf5_entity")``, ``df.write.format("hdf5_entity")``.
 
 Options: path; entity (particles, halos, subhalos, halo_groups, halo_particles, tree_nodes, tree_table, tree_snapshots,
 galaxies); convention (SWIFT, GADGET4, AREPO, GADGET, SUBFIND, EAGLE, VELOCIRAPTOR, TREEFROG, SHARK); comoving; suffix.
+``columns`` names those that are wanted, ``positions_only`` stands for the positions, ``hires_only`` leaves low-resolution types out and
+``ptypes`` names types; a filter on ptype or snapnum picks groups, too.  Datasets of other columns and groups aren't read.
+
 A layout lists for each canonical column the dataset (and component) it comes from; a task reads one range of rows
 of one group of one file.  Without h5py everything else in the library works.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from haloforge.cosmology import SimHeader
-from haloforge.schemas import schema as canonical
+from haloforge.cosmology import LOW_RES_TYPES, SimHeader
+from haloforge.schemas import DDL
 from haloforge.sources.files import all_parts, numbered
+from haloforge.sources.store import dialect
 
 _XYZ = [("x", 0), ("y", 1), ("z", 2)]
 _V = [("vx", 0), ("vy", 1), ("vz", 2)]
@@ -53,18 +59,25 @@ LAYOUTS: dict[tuple[str, str], tuple[str, dict[str, tuple[str, int | None]]]] =
     ("halo_groups", "VELOCIRAPTOR"): ("/", _scalars(length="Group_Size", offset="Offset", offset_unbound="Offset_unbound", file_id="File_id")),
     ("halo_particles", "VELOCIRAPTOR"): ("/", _scalars(pid="Particle_IDs")),
     ("tree_nodes", "SUBFIND"): ("TreeHalos", _vector(_XYZ, "SubhaloPos") | _vector(_V, "SubhaloVel") | _scalars(tree_id="TreeID", tree_index="TreeIndex", snapnum="SnapNum", group_nr="GroupNr", subhalo_nr="SubhaloNr", mass="SubhaloMass", m200="Group_M_Crit200", vdisp="SubhaloVelDisp", vmax="SubhaloVmax", rmax="SubhaloVmaxRad", main_prog="TreeMainProgenitor", first_prog="TreeFirstProgenitor", prog="TreeProgenitor", next_prog="TreeNextProgenitor", desc="TreeDescendant", first_desc="TreeFirstDescendant", next_desc="TreeNextDescendant", first_in_fof="TreeFirstHaloInFOFgroup", next_in_fof="TreeNextHaloInFOFgroup")),
+    ("tree_snapshots", "SUBFIND"): ("TreeTimes", _scalars(redshift="Redshift", scale_factor="Time")),
     ("tree_table", "SUBFIND"): ("TreeTable", _scalars(tree_id="TreeID", length="Length", start_offset="StartOffset")),
     ("tree_nodes", "TREEFROG"): ("Snap_", _scalars(node_id="ID", prog="Progenitor", prog_snap="ProgenitorSnap", root_tail_snap="RootTailSnap", host_id="hostHaloID", mass="Mass_tot", m200="Mass_200crit", x="Xcminpot", y="Ycminpot", z="Zcminpot", vx="VXc", vy="VYc", vz="VZc", vdisp="sigV", vmax="Vmax", rmax="Rmax")),
     ("galaxies", "SHARK"): ("galaxies", _scalars(x="position_x", y="position_y", z="position_z", vx="velocity_x", vy="velocity_y", vz="velocity_z", mstar_disk="mstars_disk", mstar_bulge="mstars_bulge", mgas_disk="mgas_disk", mgas_bulge="mgas_bulge", matom_disk="matom_disk", matom_bulge="matom_bulge")),
 }
-_OWN_SCHEMA = {"halo_groups": "row_id bigint, length bigint, offset bigint, offset_unbound bigint, file_id bigint", "halo_particles": "row_id bigint, pid bigint"}
+_OWN_SCHEMA = {"halo_groups": "row_id bigint, length bigint, offset bigint, offset_unbound bigint, file_id bigint", "halo_particles": "row_id bigint, pid bigint, bound boolean", "tree_snapshots": "snapnum int, redshift double, scale_factor double"}
+#: Whether a file's particles are bound, by its suffix.
+_BOUND = {".catalog_particles": True, ".catalog_particles.unbound": False}
 _SUFFIX = {("halos", "VELOCIRAPTOR"): ".properties", ("halo_groups", "VELOCIRAPTOR"): ".catalog_groups", ("halo_particles", "VELOCIRAPTOR"): ".catalog_particles"}
 
 
 def snapshot_header(path: str, convention: str = "GADGET") -> SimHeader:
-    """The header by convention: SWIFT, GADGET4 (and AREPO), or the older one."""
+    """The header by convention: SWIFT, GADGET4 (and AREPO), or the older one; of a VELOCIRAPTOR catalogue, and of SUBFIND and TREEFROG
+    trees, what they tell."""
     with _h5py().File(path, "r") as f:
-        h, kind = f["Header"].attrs, convention.upper()
+        kind = convention.upper()
+        if kind in ("VELOCIRAPTOR", "SUBFIND", "TREEFROG"):
+            return _catalogue_header(f, kind)
+        h = f["Header"].attrs
         if kind == "SWIFT":
             c = f["Cosmology"].attrs
             a, box, o0, ol, hub = h["Scale-factor"], np.ravel(h["BoxSize"])[0], c["Omega_cdm"] + c["Omega_b"], c["Omega_lambda"], c["h"]
@@ -80,6 +93,25 @@ def snapshot_header(path: str, convention: str = "GADGET") -> SimHeader:
         return SimHeader(one(a), one(box), one(o0), one(ol), one(hub), num_part=n, mass_table=tuple(np.ravel(h["MassTable"]).tolist()), n_files=int(np.ravel(h["NumFilesPerSnapshot"])[0]))
 
 
+def _catalogue_header(f, kind: str) -> SimHeader:
+    one = lambda x: np.ravel(x)[0].item()
+    if kind == "VELOCIRAPTOR":
+        i = f["SimulationInfo"].attrs
+        files = one(f["Num_of_files"][:]) if "Num_of_files" in f else 1
+        return SimHeader(one(i["ScaleFactor"]), one(i["Period"]), one(i["Omega_m"]), one(i.get("Omega_Lambda", 1.0 - one(i["Omega_m"]))), one(i["h_val"]), one(i["Omega_b"]), n_files=int(files))
+    if kind == "TREEFROG":
+        h = f["Header"].attrs
+        return SimHeader(hubble=one(f["Header/Simulation"].attrs["h_val"]), extra={"n_snaps": int(one(h["NSnaps"])), "id_offset": int(one(f["Header/TreeBuilder"].attrs["Temporal_halo_id_value"]))})
+    h, p = f["Header"].attrs, f["Parameters"].attrs
+    extra = {k: int(one(h[k])) for k in ("Nhalos_Total", "Ntrees_Total") if k in h}
+    return SimHeader(1.0, one(p["BoxSize"]), one(p["Omega0"]), one(p["OmegaLambda"]), one(p["HubbleParam"]), one(p["OmegaBaryon"]) if "OmegaBaryon" in p else None, n_files=int(one(h["NumFiles"])) if "NumFiles" in h else 1, snapnum=int(one(h["LastSnapShotNr"])) if "LastSnapShotNr" in h else 0, extra=extra)
+
+
+def with_times(nodes: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """tree_nodes with redshift and scale_factor of their snapshots, a table as small as the simulation has outputs."""
+    return nodes.drop("redshift", "scale_factor").join(snapshots, "snapnum", "left").select(nodes.columns)
+
+
 @dataclass
 class _Rows(InputPartition):
     file: str
@@ -94,38 +126,67 @@ class Hdf5Reader(DataSourceReader):
     def __init__(self, options: dict, schema):
         self.entity, self.convention = options.get("entity", "particles"), options.get("convention", "GADGET").upper()
         self.path, self.per_task = options["path"], int(options.get("rows_per_task", 1_000_000))
-        self.suffix = options.get("suffix", _SUFFIX.get((self.entity, self.convention), ".hdf5"))
+        self.suffixes = [options["suffix"]] if "suffix" in options else [_SUFFIX.get((self.entity, self.convention), ".hdf5")]
+        if self.entity == "halo_particles" and "suffix" not in options:
+            self.suffixes = [k for k, v in _BOUND.items() if options.get("bound", str(v)).lower() == str(v).lower()]
         self.comoving = options.get("comoving", "false").lower() == "true"
         self.schema = schema
         if self.entity != "particles" and (self.entity, self.convention) not in LAYOUTS:
             raise ValueError(f"no layout for {self.entity} of {self.convention}")
+        self.picked: dict[str, set] = {}
+        if options.get("hires_only", "false").lower() == "true":
+            self.picked["ptype"] = set(range(8)) - set(LOW_RES_TYPES)
+        if "ptypes" in options:
+            self.picked["ptype"] = self.picked.get("ptype", set(range(8))) & {int(x) for x in options["ptypes"].split(",")}
+
+    def pushFilters(self, filters: list[Filter]):  # noqa: N802
+        for f in filters:
+            values = {f.value} if isinstance(f, EqualTo) else set(f.value) if isinstance(f, In) else None
+            if values is not None and len(f.attribute) == 1 and f.attribute[0] in ("ptype", "snapnum"):
+                self.picked[f.attribute[0]] = self.picked.get(f.attribute[0], values) & values
+            yield f  # Spark tests rows again
+
+    def _groups(self, name: str, table: tuple) -> list[tuple[str, int, dict]]:
+        """(group, rows, what is the same for all of them) in a file."""
+        with _h5py().File(name, "r") as f:
+            if self.entity == "particles":
+                groups = [(f"PartType{t}", {"ptype": t, "table_mass": float(table[t]) if t < len(table) else 0.0}) for t in range(8) if f"PartType{t}" in f]
+            elif LAYOUTS[(self.entity, self.convention)][0] == "Snap_":
+                h = float(f["Header/Simulation"].attrs["h_val"]) if "Header/Simulation" in f else 1.0
+                groups = [(g, {"snapnum": int(f[g].attrs["Snapnum"]), "scale_factor": float(f[g].attrs["scalefactor"]), "h": h}) for g in sorted(f) if g.startswith("Snap_") and int(f[g].attrs.get("NHalos", 1)) > 0]
+            else:
+                groups = [(LAYOUTS[(self.entity, self.convention)][0], {})]
+            out = []
+            for group, fixed in groups:
+                datasets = [d for d in f[group].values() if hasattr(d, "shape") and len(d.shape) and len(d) > 1] or [d for d in f[group].values() if hasattr(d, "shape") and len(d.shape)]
+                out.append((group, max((len(d) for d in datasets), default=0), fixed))
+            return out
 
     def partitions(self) -> list[_Rows]:
-        h5py, out, row_id = _h5py(), [], 0
-        first = numbered(self.path, self.suffix)[0]
-        with h5py.File(first, "r") as f:
-            head = dict(f["Header"].attrs) if "Header" in f else {}
-            counted = next((int(np.ravel(head[k])[0]) for k in ("NumFilesPerSnapshot", "NumFiles") if k in head), None)
-            n_files = counted or (int(np.ravel(f["Num_of_files"])[0]) if "Num_of_files" in f else 1)
-        files = all_parts(first, n_files)
-        table = snapshot_header(first, self.convention).mass_table if self.entity == "particles" else ()
-        for name in files:
-            with h5py.File(name, "r") as f:
-                if self.entity == "particles":
-                    groups = [(f"PartType{t}", {"ptype": t, "table_mass": float(table[t]) if t < len(table) else 0.0}) for t in range(8) if f"PartType{t}" in f]
-                elif LAYOUTS[(self.entity, self.convention)][0] == "Snap_":
-                    groups = [(g, {"snapnum": int(f[g].attrs["Snapnum"]), "scale_factor": float(f[g].attrs["scalefactor"]), "h": float(f["Header/Simulation"].attrs["h_val"]) if "Header/Simulation" in f else 1.0}) for g in sorted(f) if g.startswith("Snap_") and int(f[g].attrs.get("NHalos", 1)) > 0]
-                else:
-                    groups = [(LAYOUTS[(self.entity, self.convention)][0], {})]
-                for group, fixed in groups:
-                    datasets = [d for d in f[group].values() if hasattr(d, "shape") and len(d.shape) and len(d) > 1] or [d for d in f[group].values() if hasattr(d, "shape") and len(d.shape)]
-                    n = max((len(d) for d in datasets), default=0)
-                    out += [_Rows(name, group, k, min(self.per_task, n - k), row_id + k, fixed) for k in range(0, n, self.per_task)]
+        out = []
+        for suffix in self.suffixes:
+            first = numbered(self.path, suffix)[0]
+            with _h5py().File(first, "r") as f:
+                head = dict(f["Header"].attrs) if "Header" in f else {}
+                counted = next((int(np.ravel(head[k])[0]) for k in ("NumFilesPerSnapshot", "NumFiles") if k in head), None)
+                n_files = counted or (int(np.ravel(f["Num_of_files"][:])[0]) if "Num_of_files" in f else 1)
+            files = all_parts(first, n_files)
+            table = snapshot_header(first, self.convention).mass_table if self.entity == "particles" else ()
+            with ThreadPoolExecutor(16) as pool:  # opening a file is waiting
+                found = list(pool.map(lambda name: self._groups(name, table), files))
+            row_id = 0
+            for name, groups in zip(files, found, strict=True):
+                for group, n, fixed in groups:
+                    if suffix in _BOUND:
+                        fixed = fixed | {"bound": _BOUND[suffix]}
+                    if all(fixed[k] in v for k, v in self.picked.items() if k in fixed):
+                        out += [_Rows(name, group, k, min(self.per_task, n - k), row_id + k, fixed) for k in range(0, n, self.per_task)]
                     row_id += n
         return out
 
     def read(self, part: _Rows) -> Iterator[pa.RecordBatch]:
         columns = _PARTICLE if self.entity == "particles" else LAYOUTS[(self.entity, self.convention)][1]
+        columns = {c: d for c, d in columns.items() if c in self.schema.names}
         with _h5py().File(part.file, "r") as f:
             group, out = f[part.group], {"row_id": np.arange(part.row_id, part.row_id + part.n)}
             for column, (names, k) in columns.items():
@@ -133,7 +194,9 @@ class Hdf5Reader(DataSourceReader):
                 if found is not None:
                     values = group[found][part.first : part.first + part.n]
                     out[column] = (values[:, k or 0] if values.ndim > 1 else values)
-        for name in ("ptype", "snapnum", "scale_factor"):
+        if self.entity == "tree_snapshots":
+            out["snapnum"] = out["row_id"]
+        for name in ("ptype", "snapnum", "scale_factor", "bound"):
             if name in part.fixed:
                 out[name] = np.full(part.n, part.fixed[name])
         if part.fixed.get("table_mass"):
@@ -141,13 +204,12 @@ class Hdf5Reader(DataSourceReader):
         if "scale_factor" in part.fixed:
             out["redshift"] = 1.0 / out["scale_factor"] - 1.0
             if self.comoving:
-                for c in ("x", "y", "z"):
-                    out[c] = out[c] * part.fixed["h"] / part.fixed["scale_factor"]
-                for c in ("mass", "m200"):
-                    out[c] = out[c] * part.fixed["h"]
+                for c in ("x", "y", "z", "mass", "m200"):
+                    if c in out:
+                        out[c] = out[c] * part.fixed["h"] / (part.fixed["scale_factor"] if c in "xyz" else 1.0)
         if self.entity in ("halos", "subhalos") and "halo_id" not in out:
             out["halo_id"] = out["row_id"]
-        kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+        kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
         arrays = []
         for c in self.schema.fields:
             kind = kinds.get(c.dataType.simpleString())
@@ -155,18 +217,100 @@ class Hdf5Reader(DataSourceReader):
         yield pa.RecordBatch.from_arrays(arrays, self.schema.names)
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    file: str
+    counts: list[int]
+
+
+#: Canonical columns as datasets: (dataset, columns).
+_WRITTEN = [("Coordinates", ["x", "y", "z"]), ("Velocities", ["vx", "vy", "vz"]), ("ParticleIDs", ["pid"]), ("Masses", ["mass"]), ("Potential", ["potential"]), ("InternalEnergies", ["u"]), ("Densities", ["rho"]), ("SmoothingLength", ["hsml"]), ("Metallicity", ["metallicity"]), ("StarFormationRate", ["sfr"]), ("StellarFormationTime", ["stellar_age"])]
+N_TYPES = 6
+
+
+class Hdf5Writer(DataSourceArrowWriter):
+    """Each task writes a file ``path.<partition>.hdf5`` with the types' groups; at the end all get the header of the convention, with the
+    counts of all.  Options: path, on a store that all tasks and the driver reach; convention; header, as ``header_option`` gives it;
+    selection, seven numbers with commas between.  A column that a type has no value for is left out of its group."""
+
+    def __init__(self, options: dict, schema):
+        self.path, self.kind, self.names = options["path"], options.get("convention", "GADGET"), schema.names
+        self.header = SimHeader(**json.loads(options["header"]))
+        self.selection = [float(x) for x in options["selection"].split(",")] if "selection" in options else None
+        if "ptype" not in self.names:
+            raise ValueError("particles to write have a ptype")
+
+    def write(self, batches: Iterator[pa.RecordBatch]) -> _Written:
+        from pyspark import TaskContext
+
+        context = TaskContext.get()
+        name = f"{self.path}.{context.partitionId() if context else 0}.{context.taskAttemptId() if context else 0}.part"
+        counts = [0] * N_TYPES
+        with _h5py().File(name, "w") as f:
+            for batch in batches:
+                types = batch.column(self.names.index("ptype")).to_numpy(zero_copy_only=False)
+                for t in np.unique(types).tolist():
+                    some = batch.filter(pa.array(types == t))
+                    group = f[f"PartType{t}"] if f"PartType{t}" in f else f.create_group(f"PartType{t}")
+                    for dataset, columns in _WRITTEN:
+                        held = [some.column(self.names.index(c)) for c in columns if c in self.names]
+                        if len(held) < len(columns) or any(c.null_count == len(c) for c in held):
+                            continue
+                        values = np.stack([c.to_numpy(zero_copy_only=False) for c in held], axis=1) if len(columns) > 1 else held[0].to_numpy(zero_copy_only=False)
+                        if dataset not in group:
+                            group.create_dataset(dataset, shape=(0, *values.shape[1:]), maxshape=(None, *values.shape[1:]), dtype=values.dtype, chunks=(65_536, *values.shape[1:]))
+                        group[dataset].resize(counts[t] + some.num_rows, axis=0)
+                        group[dataset][counts[t] :] = values
+                    counts[t] += some.num_rows
+        return _Written(name, counts)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        """Number the files that have rows, and write their headers."""
+        import os
+
+        told = [m for m in messages if m is not None]
+        used = [m for m in told if sum(m.counts)] or told[:1]
+        total = [sum(m.counts[t] for m in used) for t in range(N_TYPES)]
+        for k, m in enumerate(used):
+            with _h5py().File(m.file, "a") as f:
+                for group, attributes in dialect(self.header, self.kind, total, self.selection).items():
+                    own = f[group] if group in f else f.create_group(group)
+                    for name, value in (attributes | ({"NumPart_ThisFile": m.counts, "NumFilesPerSnapshot": len(used)} if group == "Header" else {})).items():
+                        own.attrs[name] = value
+            os.replace(m.file, f"{self.path}.{k}.hdf5" if len(used) > 1 else f"{self.path}.hdf5")
+        self.abort([m for m in told if m not in used])
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        import os
+
+        for m in messages:
+            if m is not None and os.path.exists(m.file):
+                os.remove(m.file)
+
+
+def header_option(header: SimHeader) -> str:
+    return json.dumps(header.__dict__)
+
+
 class Hdf5Source(DataSource):
     @classmethod
     def name(cls) -> str:
         return "hdf5_entity"
 
-    def schema(self):
+    def schema(self) -> str:
         entity = self.options.get("entity", "particles")
-        return _OWN_SCHEMA.get(entity) or canonical(entity)
+        parts = dict(x.split(" ") for x in (_OWN_SCHEMA.get(entity) or DDL[entity]).split(", "))
+        positions = "row_id,ptype,x,y,z" if self.options.get("positions_only", "false").lower() == "true" else ""
+        wanted = [c.strip() for c in self.options.get("columns", positions).split(",") if c.strip()]
+        return ", ".join(f"{c} {parts[c]}" for c in wanted or parts)
 
     def reader(self, schema) -> Hdf5Reader:
         return Hdf5Reader(dict(self.options), schema)
 
+    def writer(self, schema, overwrite: bool) -> Hdf5Writer:
+        return Hdf5Writer(dict(self.options), schema)
+
 
 def register(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Hdf5Source)

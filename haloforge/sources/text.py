@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -16,9 +16,15 @@ _HALO_COLUMNS = [(0, "halo_id", "bigint"), (1, "host_id", "bigint"), (2, "n_sub"
 
 
 def halo_list(spark: SparkSession, path: str) -> DataFrame:
-    """halos of a white-space table with # comments; row_id orders them as the file does."""
-    text = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("row_id"))
-    parts = text.where("trim(value) <> '' and not startswith(trim(value), '#')").select("row_id", F.split(F.trim("value"), r"\s+").alias("p"))
+    """halos of white-space tables with # comments; row_id orders them as the files do, by their numbers or names, and the lines in
+    them do, however Spark deals out the files."""
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    # A block's lines are numbered in a row; blocks are few, so their first numbers meet in one place.
+    blocks = text.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("from"))
+    upto = F.sum("n").over(Window.orderBy(F.length("file"), "file", "block"))
+    placed = text.join(blocks.select("file", "block", "from", (upto - F.col("n")).alias("before")), ["file", "block"])
+    numbered = placed.select("value", (F.col("at") - F.col("from") + F.col("before")).alias("row_id"))
+    parts = numbered.where("trim(value) <> '' and not startswith(trim(value), '#')").select("row_id", F.split(F.trim("value"), r"\s+").alias("p"))
     return parts.select("row_id", *[F.get("p", k).cast(kind).alias(name) for k, name, kind in _HALO_COLUMNS])
 
 

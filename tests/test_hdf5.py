@@ -1,0 +1,241 @@
+"""The HDF5 source through stand-in files: all entities and conventions, pruning, headers, and snapshots written and read again."""
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql.datasource import EqualTo
+
+from haloforge.cosmology import SimHeader
+from haloforge.schemas import DDL
+from haloforge.sources import hdf5, text
+
+from . import stand_in_hdf5 as fake
+from .stand_in_hdf5 import group, make
+
+
+@pytest.fixture(autouse=True)
+def stand_in(spark, monkeypatch):
+    monkeypatch.setattr(hdf5, "_h5py", lambda: fake)
+    fake.File.touched.clear()
+
+
+def load(path, filters=(), **options):
+    """All rows as pandas, and the reader."""
+    options = {"path": str(path), **options}
+    source = hdf5.Hdf5Source(options)
+    reader = source.reader(as_struct(source.schema()))
+    assert list(reader.pushFilters(list(filters))) == list(filters)
+    parts = reader.partitions()
+    fake.File.touched.clear()
+    tables = [pa.Table.from_batches(list(reader.read(p))) for p in parts]
+    return (pa.concat_tables(tables).to_pandas() if tables else None), parts
+
+
+def as_struct(schema):
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(schema)
+
+
+def vectors(n, shift):
+    return (np.arange(3 * n).reshape(n, 3) + shift).astype("f4")
+
+
+def snapshot(tmp_path, kind="GADGET", files=1, table=(0.0, 1.5, 0, 0, 0, 0)):
+    own = [(3, 4, 2, 0, 1, 0), (1, 2, 0, 0, 0, 0)][:files]
+    total = [sum(x) for x in zip(*own, strict=True)]
+    for k, counts in enumerate(own):
+        head = {"NumPart_Total": total, "MassTable": list(table), "NumFilesPerSnapshot": files, "BoxSize": 50.0}
+        more = {}
+        if kind == "SWIFT":
+            head |= {"Scale-factor": [0.5], "BoxSize": [50.0] * 3}
+            more["Cosmology"] = group({"Omega_cdm": 0.25, "Omega_b": 0.05, "Omega_lambda": 0.7, "h": 0.7})
+        elif kind in ("GADGET4", "AREPO"):
+            head["Time"] = 0.5
+            more["Parameters"] = group({"Omega0": 0.3, "OmegaLambda": 0.7, "HubbleParam": 0.7})
+        else:
+            head |= {"Time": 0.5, "Omega0": 0.3, "OmegaLambda": 0.7, "HubbleParam": 0.7, "NumPart_Total_HighWord": [1, 0, 0, 0, 0, 0]}
+        for t, n in enumerate(counts):
+            if n:
+                at = 100 * t + 1000 * k
+                held = {"Coordinates": vectors(n, at), "Velocities": vectors(n, -at), "ParticleIDs": np.arange(n) + at, "Potential": np.arange(n) * 2.0}
+                if table[t] == 0:
+                    held["Masses"] = np.arange(n) + 0.5
+                if t == 0:
+                    held |= {"InternalEnergy": np.arange(n) + 0.1, "Density": np.arange(n) + 0.2, "SmoothingLength": np.arange(n) + 0.3, "Metallicity": np.arange(n) * 0.1, "StarFormationRate": np.arange(n) * 1.0}
+                if t == 4:
+                    held |= {"StellarFormationTime": np.arange(n) * 0.2, "ID_Generations": np.arange(n), "StellarInitMass": np.arange(n) * 1.0}
+                more[f"PartType{t}"] = group(**held)
+        make(tmp_path / (f"snap.{k}.hdf5" if files > 1 else "snap.hdf5"), Header=group(head), **more)
+    return tmp_path / "snap", own
+
+
+@pytest.mark.parametrize("kind", ["SWIFT", "GADGET4", "AREPO", "GADGET"])
+def test_snapshot_headers(tmp_path, kind):
+    path, _ = snapshot(tmp_path, kind)
+    h = hdf5.snapshot_header(f"{path}.hdf5", kind)
+    assert (h.scale_factor, h.box_size, h.omega_lambda, h.hubble, h.redshift) == (0.5, 50.0, 0.7, 0.7, 1.0) and h.omega0 == pytest.approx(0.3)
+    assert h.num_part == ((3 + (1 << 32) if kind == "GADGET" else 3), 4, 2, 0, 1, 0) and h.mass_table[1] == 1.5 and h.n_files == 1
+
+
+@pytest.mark.parametrize("files", [1, 2])
+def test_particles(tmp_path, files):
+    path, own = snapshot(tmp_path, files=files)
+    rows, parts = load(path, rows_per_task="2")
+    assert len(parts) > 4 and max(p.n for p in parts) == 2 and sorted(rows.row_id) == list(range(sum(map(sum, own))))
+    for t in range(6):
+        mine = rows[rows.ptype == t].reset_index(drop=True)
+        assert len(mine) == sum(c[t] for c in own)
+        if t == 1:
+            assert (mine.mass == 1.5).all() and mine.u.isna().all() and mine.sfr.isna().all()
+        if t == 0:
+            assert mine.mass.tolist()[:3] == [0.5, 1.5, 2.5] and np.allclose(mine.u[:3], [0.1, 1.1, 2.1]) and np.allclose(mine.rho[:3], [0.2, 1.2, 2.2]) and np.allclose(mine.hsml[:3], [0.3, 1.3, 2.3])
+            assert mine[["x", "y", "z"]].to_numpy()[:3].tolist() == vectors(3, 0).tolist() and mine.vz.tolist()[:3] == [2, 5, 8]
+        if t == 4 and len(mine):
+            assert mine.stellar_age.tolist() == [0.0] and mine.stellar_gen.tolist() == [0] and mine.stellar_init_mass.tolist() == [0.0] and mine.potential.tolist() == [0.0]
+    if files == 2:
+        assert rows[rows.ptype == 1].pid.tolist() == [100, 101, 102, 103, 1100, 1101]
+
+
+def test_pruning(tmp_path):
+    """Neither datasets of other columns nor groups of other types are read."""
+    path, _ = snapshot(tmp_path)
+    rows, parts = load(path, positions_only="true")
+    assert rows.columns.tolist() == ["row_id", "ptype", "x", "y", "z"] and len(rows) == 10 and set(fake.File.touched) == {"Coordinates"}
+    rows, parts = load(path, columns="pid,ptype", hires_only="true")
+    assert rows.columns.tolist() == ["pid", "ptype"] and set(rows.ptype) == {0, 1, 4} and set(fake.File.touched) == {"ParticleIDs"}
+    rows, parts = load(path, ptypes="1,2", hires_only="true")
+    assert set(rows.ptype) == {1} and [p.group for p in parts] == ["PartType1"] and rows.row_id.tolist() == [3, 4, 5, 6]
+    rows, parts = load(path, [EqualTo(("ptype",), 4)])
+    assert set(rows.ptype) == {4} and len(parts) == 1
+    assert load(path, [EqualTo(("ptype",), 4)], ptypes="0")[1] == []
+
+
+def test_subfind_and_eagle(tmp_path):
+    make(tmp_path / "fof.hdf5", Header=group({"NumFiles": 1}), Group=group(GroupPos=vectors(2, 0), GroupVel=vectors(2, 9), GroupMass=[1.0, 2.0], Group_M_Crit200=[3.0, 4.0], Group_R_Crit200=[5.0, 6.0], GroupLen=[7, 8], GroupNsubs=[2, 0], GroupFirstSub=[0, 2]), Subhalo=group(SubhaloPos=vectors(3, 1), SubhaloVel=vectors(3, 2), SubhaloMass=[1.0, 1.5, 2.0], SubhaloLen=[4, 5, 6], SubhaloGrNr=[0, 0, 1]))
+    halos, _ = load(tmp_path / "fof", entity="halos", convention="SUBFIND")
+    assert halos[["halo_id", "mass", "m200", "r200", "npart", "n_sub", "first_sub", "x", "vz"]].to_numpy().tolist() == [[0, 1, 3, 5, 7, 2, 0, 0, 11], [1, 2, 4, 6, 8, 0, 2, 3, 14]]
+    subs, _ = load(tmp_path / "fof", entity="subhalos", convention="SUBFIND")
+    assert subs.group_id.tolist() == [0, 0, 1] and subs.len.tolist() == [4, 5, 6] and subs.y.tolist() == [2, 5, 8]
+    for k in range(2):
+        make(tmp_path / f"e.{k}.hdf5", Header=group({"NumFilesPerSnapshot": 2}), FOF=group(GroupCentreOfPotential=vectors(2, k), GroupMass=[1.0 + k, 2.0], Group_M_Crit200=[3.0, 4.0], Group_R_Crit200=[5.0, 6.0], GroupLength=[7, 8], NumOfSubhalos=[1, 2], FirstSubhaloID=[0, 1]), Subhalo=group(CentreOfPotential=vectors(2, 5), Velocity=vectors(2, 6), Mass=[1.0, 2.0], GroupNumber=[1, 1], SubGroupNumber=[0, 1]))
+    halos, _ = load(tmp_path / "e", entity="halos", convention="EAGLE")
+    assert halos.mass.tolist() == [1.0, 2.0, 2.0, 2.0] and halos.row_id.tolist() == [0, 1, 2, 3]
+    subs, _ = load(tmp_path / "e", entity="subhalos", convention="EAGLE")
+    assert subs.sub_rank.tolist() == [0, 1, 0, 1]
+    with pytest.raises(ValueError):
+        load(tmp_path / "e", entity="galaxies", convention="EAGLE")
+
+
+def catalogue(tmp_path, files):
+    info = group({"ScaleFactor": 0.5, "Period": 40.0, "h_val": 0.7, "Omega_m": 0.3, "Omega_b": 0.05})
+    scalars = dict(hostHaloID=[-1, 5], Structuretype=[10, 20], numSubStruct=[1, 0], npart=[9, 8], Mass_tot=[1.0, 2.0], Mass_200crit=[3.0, 4.0], Mass_FOF=[5.0, 6.0], R_200crit=[7.0, 8.0], Ekin=[1.0, 1.0], Epot=[2.0, 2.0])
+    places = {n: [float(k), k + 0.5] for k, n in enumerate(("Xcminpot", "Ycminpot", "Zcminpot", "VXcminpot", "VYcminpot", "VZcminpot", "Xc", "Yc", "Zc", "Xcmbp", "Ycmbp", "Zcmbp"))}
+    for k in range(files):
+        end = f".{k}" if files > 1 else ""
+        make(tmp_path / f"v.properties{end}", SimulationInfo=info, Num_of_files=[files], Total_num_of_groups=[2 * files], Num_of_groups=[2], ID=[2 * k + 5, 2 * k + 6], **scalars, **places)
+        make(tmp_path / f"v.catalog_groups{end}", Num_of_files=[files], Total_num_of_groups=[2 * files], Group_Size=[3, 2], Offset=[0, 3], Offset_unbound=[0, 1], File_id=[k, k])
+        make(tmp_path / f"v.catalog_particles{end}", Num_of_files=[files], Particle_IDs=np.arange(5) + 100 * k)
+        make(tmp_path / f"v.catalog_particles.unbound{end}", Num_of_files=[files], Particle_IDs=np.arange(3) + 50 + 100 * k)
+    return tmp_path / "v"
+
+
+@pytest.mark.parametrize("files", [1, 2])
+def test_velociraptor(tmp_path, files):
+    path = catalogue(tmp_path, files)
+    first = f"{path}.properties" + (".0" if files > 1 else "")
+    h = hdf5.snapshot_header(first, "VELOCIRAPTOR")
+    assert (h.scale_factor, h.box_size, h.hubble, h.omega0, h.omega_bar, h.n_files) == (0.5, 40.0, 0.7, 0.3, 0.05, files)
+    halos, _ = load(path, entity="halos", convention="VELOCIRAPTOR")
+    assert halos.halo_id.tolist() == [5, 6, 7, 8][: 2 * files] and halos.structuretype.tolist() == [10, 20] * files and halos.z_mbp.tolist() == [11.0, 11.5] * files and halos.so_m200.isna().all()
+    groups, _ = load(path, entity="halo_groups", convention="VELOCIRAPTOR")
+    assert groups.length.tolist() == [3, 2] * files and groups.file_id.tolist() == [0, 0, 1, 1][: 2 * files]
+    rows, _ = load(path, entity="halo_particles", convention="VELOCIRAPTOR")
+    assert rows[rows.bound].pid.tolist() == [*range(5), *range(100, 105)][: 5 * files] and rows[~rows.bound].pid.tolist() == [50, 51, 52, 150, 151, 152][: 3 * files]
+    assert rows[~rows.bound].row_id.tolist() == list(range(3 * files))
+    for bound in ("true", "false"):
+        some, _ = load(path, entity="halo_particles", convention="VELOCIRAPTOR", bound=bound)
+        assert set(some.bound) == {bound == "true"}
+    # Catalogue only: the other files needn't be there.
+    for name in tmp_path.glob("v.catalog*"):
+        name.unlink()
+    assert len(load(path, entity="halos", convention="VELOCIRAPTOR")[0]) == 2 * files
+
+
+def test_subfind_trees(spark, tmp_path):
+    names = dict(GroupNr=[0, 1], SubhaloNr=[2, 3], SnapNum=[1, 0], Group_M_Crit200=[1.0, 2.0], SubhaloMass=[3.0, 4.0], SubhaloPos=vectors(2, 0), SubhaloVel=vectors(2, 1), SubhaloVelDisp=[1.0, 1.0], SubhaloVmax=[2.0, 2.0], SubhaloVmaxRad=[3.0, 3.0], TreeID=[7, 7], TreeIndex=[0, 1])
+    links = {f"Tree{k}": [k2, -1] for k2, k in enumerate(("MainProgenitor", "FirstProgenitor", "Progenitor", "NextProgenitor", "Descendant", "FirstDescendant", "NextDescendant", "FirstHaloInFOFgroup", "NextHaloInFOFgroup"))}
+    head = {"Ntrees_Total": 1, "Nhalos_Total": 2, "LastSnapShotNr": 1, "NumFiles": 1}
+    make(tmp_path / "trees.hdf5", Header=group(head), Parameters=group({"Omega0": 0.3, "OmegaLambda": 0.7, "OmegaBaryon": 0.05, "HubbleParam": 0.7, "BoxSize": 9.0}), TreeTimes=group(Redshift=[1.0, 0.0], Time=[0.5, 1.0]), TreeHalos=group(**names, **links), TreeTable=group(TreeID=[7], Length=[2], StartOffset=[0]))
+    h = hdf5.snapshot_header(str(tmp_path / "trees.hdf5"), "SUBFIND")
+    assert (h.box_size, h.omega0, h.omega_bar, h.snapnum, h.extra["Ntrees_Total"]) == (9.0, 0.3, 0.05, 1, 1)
+    nodes, _ = load(tmp_path / "trees", entity="tree_nodes", convention="SUBFIND")
+    assert nodes.tree_id.tolist() == [7, 7] and nodes.main_prog.tolist() == [0, -1] and nodes.next_in_fof.tolist() == [8, -1] and nodes.vmax.tolist() == [2.0, 2.0] and nodes.redshift.isna().all()
+    table, _ = load(tmp_path / "trees", entity="tree_table", convention="SUBFIND")
+    assert table.to_numpy().tolist() == [[7, 2, 0]]
+    times, _ = load(tmp_path / "trees", entity="tree_snapshots", convention="SUBFIND")
+    assert times.to_numpy().tolist() == [[0, 1.0, 0.5], [1, 0.0, 1.0]]
+    rows = spark.createDataFrame([tuple(None if x != x else x for x in r) for r in nodes.astype(object).itertuples(index=False)], DDL["tree_nodes"])
+    timed = hdf5.with_times(rows, spark.createDataFrame([tuple(r) for r in times.itertuples(index=False)], "snapnum int, redshift double, scale_factor double"))
+    assert timed.columns == rows.columns and sorted((r.snapnum, r.redshift, r.scale_factor) for r in timed.collect()) == [(0, 1.0, 0.5), (1, 0.0, 1.0)]
+
+
+def test_treefrog(tmp_path):
+    def snap(k, n):
+        one = [float(x) for x in range(n)]
+        return group({"Snapnum": k, "scalefactor": 0.5 * (k + 1), "NHalos": n}, ID=[10 * k + x for x in range(n)], Progenitor=[1] * n, ProgenitorSnap=[0] * n, RootTailSnap=[0] * n, RootHead=[0] * n, RootTail=[0] * n, RootHeadSnap=[1] * n, hostHaloID=[-1] * n, Mass_tot=[2.0] * n, Mass_200crit=[3.0] * n, Mass_FOF=[4.0] * n, Xcminpot=one, Ycminpot=one, Zcminpot=one, VXc=one, VYc=one, VZc=one, sigV=one, Vmax=one, Rmax=one)
+
+    make(tmp_path / "frog.hdf5", Header=group({"NSnaps": 3}, TreeBuilder=group({"Temporal_halo_id_value": 1000}), Simulation=group({"h_val": 0.7})), Snap_000=snap(0, 2), Snap_001=snap(1, 3), Snap_002=snap(2, 0))
+    h = hdf5.snapshot_header(str(tmp_path / "frog.hdf5"), "TREEFROG")
+    assert h.hubble == 0.7 and h.extra == {"n_snaps": 3, "id_offset": 1000}
+    nodes, _ = load(tmp_path / "frog", entity="tree_nodes", convention="TREEFROG")
+    assert nodes.node_id.tolist() == [0, 1, 10, 11, 12] and nodes.snapnum.tolist() == [0, 0, 1, 1, 1] and nodes.redshift.tolist() == [1.0, 1.0, 0.0, 0.0, 0.0] and nodes.vdisp.tolist() == [0, 1, 0, 1, 2]
+    moved, parts = load(tmp_path / "frog", [EqualTo(("snapnum",), 0)], entity="tree_nodes", convention="TREEFROG", comoving="true")
+    assert len(parts) == 1 and np.allclose(moved.x, [0.0, 1.0 * 0.7 / 0.5]) and np.allclose(moved.mass, 1.4) and np.allclose(moved.m200, 2.1)
+
+
+def test_shark(tmp_path):
+    held = {f"{q}_{k}": [1.0 * i, 2.0 * i] for i, (q, k) in enumerate([(q, k) for q in ("mstars", "mgas", "matom") for k in ("disk", "bulge")])}
+    make(tmp_path / "g.hdf5", galaxies=group(**held, **{f"{q}_{c}": [0.5, 1.5] for q in ("position", "velocity") for c in "xyz"}))
+    rows, _ = load(tmp_path / "g", entity="galaxies", convention="SHARK")
+    assert rows.mgas_bulge.tolist() == [3.0, 6.0] and rows.vz.tolist() == [0.5, 1.5] and rows.row_id.tolist() == [0, 1]
+
+
+@pytest.mark.parametrize("kind", ["SWIFT", "GADGET4", "GADGET"])
+def test_written_and_read_again(tmp_path, kind):
+    """Two tasks write a file each; the header has the counts of both."""
+    from pyspark.sql.types import StructType
+
+    header = SimHeader(scale_factor=0.5, box_size=50.0, omega0=0.3, omega_lambda=0.7, hubble=0.7, omega_bar=0.05, mass_table=(9.0,) * 6)
+    schema = StructType.fromDDL("pid bigint, ptype int, x double, y double, z double, vx double, vy double, vz double, mass double, u double, note string")
+    rows = [[(k, (0, 1, 4)[k % 3], k + 0.1, k + 0.2, k + 0.3, 1.0, 2.0, 3.0 + k, 5.0 + k, 0.7 if k % 3 == 0 else None, "x") for k in range(a, b)] for a, b in ((0, 7), (7, 12))]
+    messages = []
+    for k, part in enumerate([rows[0], [], rows[1]]):
+        writer = hdf5.Hdf5Writer({"path": str(tmp_path / f"out{k}"), "convention": kind, "header": hdf5.header_option(header), "selection": "1,2,3,0,0,0,4"}, schema)
+        table = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in part], schema=pa.schema([(f.name, {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string()}[f.dataType.simpleString()]) for f in schema.fields]))
+        messages.append(writer.write(iter(table.to_batches(max_chunksize=2))))
+    writer = hdf5.Hdf5Writer({"path": str(tmp_path / "out"), "convention": kind, "header": hdf5.header_option(header), "selection": "1,2,3,0,0,0,4"}, schema)
+    writer.commit(messages)
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out.0.hdf5", "out.1.hdf5"]
+    h = hdf5.snapshot_header(str(tmp_path / "out.0.hdf5"), kind)
+    assert h.num_part == (4, 4, 0, 0, 4, 0) and h.mass_table == (0.0,) * 6 and h.n_files == 2 and h.omega0 == pytest.approx(0.3) and h.scale_factor == 0.5
+    with fake.File(str(tmp_path / "out.1.hdf5")) as f:
+        assert f["Selection"].attrs["Extent"] == 4 and list(f["Header"].attrs["NumPart_ThisFile"]) == [1, 2, 0, 0, 2, 0] and "InternalEnergies" not in f["PartType1"]
+    back, _ = load(tmp_path / "out", convention=kind)
+    want = sorted((r[:9] + (r[9],)) for part in rows for r in part)
+    got = sorted((r.pid, r.ptype, r.x, r.y, r.z, r.vx, r.vy, r.vz, r.mass, None if r.u != r.u else r.u) for r in back.itertuples())
+    assert got == want
+    writer = hdf5.Hdf5Writer({"path": str(tmp_path / "none"), "convention": kind, "header": hdf5.header_option(header)}, schema)
+    told = writer.write(iter([]))
+    writer.abort([told, None])
+    assert not list(tmp_path.glob("none*"))
+
+
+def test_halo_lists_follow_their_files(spark, tmp_path):
+    """Rows are in the order of the files' numbers and of lines, although Spark reads larger files first."""
+    want = []
+    for k, n in ((0, 1), (1, 40), (2, 3), (10, 90)):
+        ids = [1000 * k + x for x in range(n)]
+        want += ids
+        (tmp_path / f"halos.{k}").write_text("# head\n" + "".join(f"{i} 0 0 1.0 5 {' '.join(['1.0'] * 12)}\n" for i in ids))
+    assert [r.halo_id for r in text.halo_list(spark, str(tmp_path / "halos.*")).orderBy("row_id").collect()] == want
