@@ -3,11 +3,15 @@
 The gear hash of a place depends on its last 16 bytes alone; where its low bits are zero a chunk ends.  Text that is
 inserted or deleted so moves no later border, and a passage is cut the same way wherever it stands.  There is no
 least or greatest size, as either would make borders depend on what came before.  Chunks average 32 bytes; those
-whose digest is found in several documents are joined into stretches, and a stretch of ``min_words`` words or more
-is a repeat.  The parts of a passage outside its first and last border are in chunks with its neighbours, so a
-stretch is shorter than its passage by about ten words; ``MIN_WORDS`` is 25 to find passages of over 50.  Letters are
+whose digest is found in several documents are joined into stretches.  The parts of a passage outside its first and
+last border are in chunks with its neighbours, so a stretch is shorter than its passage, and the passage is no longer than the stretch
+and the two chunks beside it.  A stretch is a repeat if it has ``MIN_WORDS`` words itself and these bounds leave room for a
+passage of ``PASSAGE`` words: none of that length is lost, but for the few with less than ``MIN_WORDS`` between their
+borders, and shorter ones are found only where a neighbouring chunk leaves that open.  Letters are
 lower-cased and runs of ASCII white space count as one space, so that a passage set in other lines is the same.
 
+The chunks of a stretch may have their copies in different documents; that is rare but in text that repeats one word.
+
 Documents are cut twice, for counts and for places: nothing but (digest, document) is shuffled for unique chunks.
 
 Defined results: null and empty texts have no chunk; rows with one doc_id are one document, so repeated rows aren't
@@ -32,7 +36,11 @@ from haloforge.llm.words import WHITE, mix, span_hashes, word_bounds
 GEAR = (mix(np.arange(256, dtype=np.uint64) + np.uint64(0x67656172)) >> np.uint64(48)).astype(np.uint16)
 
 
-MIN_WORDS = 25
+MIN_WORDS = 15
+PASSAGE = 51
+#: Words of a chunk and of those before and after it, in one number: low bits first.
+_BESIDE, _AFTER = 40, 52
+_MOST = (1 << 11) - 1
 
 
 def gear_hashes(buf: np.ndarray) -> np.ndarray:
@@ -102,18 +110,23 @@ def _digests(bits: int, within: bool) -> Callable:
 
 def _placed(bits: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["digest", "start", "length", "n_words"]
+        names = ["digest", "start", "length", "words"]
         for keys, texts in text_blocks(batches):
             found = list(chunks(texts, bits))
             sizes = np.fromiter((len(c[0]) for c in found), dtype=np.int64, count=len(found))
             number = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            columns = [pa.array(np.concatenate([c[k] for c in found]), pa.int64() if k == 0 else pa.int32()) for k in range(4)]
+            beside = []
+            for c in found:
+                n = np.minimum(c[3], _MOST)
+                before, after = np.concatenate([[0], n[:-1]]), np.concatenate([n[1:], [0]])
+                beside.append(c[3] | before[: len(n)] << _BESIDE | after[: len(n)] << _AFTER)
+            columns = [pa.array(np.concatenate([c[k] for c in found]), pa.int64() if k == 0 else pa.int32()) for k in range(3)] + [pa.array(np.concatenate(beside), pa.int64())]
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, dtype=np.int64), sizes)), pa.array(number.astype(np.int32)), *columns], ["doc_id", "number", *names])
 
     return run
 
 
-def repeated_stretches(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = 5, within: bool = False) -> DataFrame:
+def repeated_stretches(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = 5, within: bool = False, passage: int = PASSAGE) -> DataFrame:
     """(doc_id, start, end, n_words, first_doc_id): stretches of code points that other documents hold too, or, with ``within``,
     that are found in any second place.  first_doc_id is the least document that holds one of the stretch's chunks."""
     texts = keyed_texts(docs).where("doc_id is not null")
@@ -123,18 +136,21 @@ def repeated_stretches(docs: DataFrame, min_words: int = MIN_WORDS, bits: int =
     shared = each.groupBy("digest").agg(*ends).where("places > 1" if within else "first_doc < last_doc").select("digest", "first_doc")
     # A written table, so that adaptive execution can split a digest that very many documents have.
     shared = materialize(shared, "shared")
-    placed = texts.mapInArrow(_placed(bits), "doc_id long, number int, digest long, start int, length int, n_words int")
-    met = placed.join(shared, "digest").select("doc_id", "number", "start", "length", "n_words", "first_doc").distinct()
+    placed = texts.mapInArrow(_placed(bits), "doc_id long, number int, digest long, start int, length int, words long")
+    met = placed.join(shared, "digest").select("doc_id", "number", "start", "length", "words", "first_doc").distinct()
     island = F.col("number") - F.row_number().over(Window.partitionBy("doc_id").orderBy("number", "start", "length"))
     runs = met.withColumn("island", island).groupBy("doc_id", "island")
-    found = runs.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum("n_words").cast("long").alias("n_words"), F.min("first_doc").alias("first_doc_id"))
-    return found.where(F.col("n_words") >= min_words).select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words", "first_doc_id")
+    own, beside = F.col("words").bitwiseAND(F.lit((1 << _BESIDE) - 1)), lambda at: F.shiftright("words", at).bitwiseAND(F.lit(_MOST))
+    room = [F.min_by(beside(_BESIDE), "number").alias("before"), F.max_by(beside(_AFTER), "number").alias("after")]
+    found = runs.agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("length")).alias("end"), F.sum(own).alias("n_words"), F.min("first_doc").alias("first_doc_id"), *room)
+    found = found.where((F.col("n_words") >= min_words) & (F.col("n_words") + F.col("before") + F.col("after") >= passage))
+    return found.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "n_words", "first_doc_id")
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = 5) -> DataFrame:
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = 5, passage: int = PASSAGE) -> DataFrame:
     """``docs`` without the stretches that a document of lesser id holds; spans are cut out of ``text`` by position.  Inside, a
     row of ``docs`` is one column, so no name clashes."""
-    cuts = repeated_stretches(docs, min_words, bits).where("first_doc_id < doc_id")
+    cuts = repeated_stretches(docs, min_words, bits, passage=passage).where("first_doc_id < doc_id")
     lists = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
     joined = docs.select(F.struct("*").alias("doc")).join(lists, F.col("doc_id") == F.col("doc.doc_id"), "left")
     zero, text = F.lit(0).cast("long"), F.col("doc.text")

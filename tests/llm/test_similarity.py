@@ -279,6 +279,33 @@ def test_repeats_as_brute_force(spark):
     assert len(repeats(55) - found) <= 0.02 * len(repeats(55)) and len(found - repeats(18)) <= 0.02 * len(found)
 
 
+def test_stretches_as_brute_force(spark):
+    """Every passage of 51 words is found wherever it stands, but for 1 in 100; what is reported is text of other documents; and few
+    documents are named that share only shorter passages."""
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet").collect()}
+    split = {k: t.lower().split() for k, t in texts.items()}
+
+    def held(n):
+        places = collections.defaultdict(set)
+        for k, w in split.items():
+            for i in range(len(w) - n + 1):
+                places[" ".join(w[i : i + n])].add(k)
+        return places
+
+    long, short = held(51), held(8)
+    want = {k for v in long.values() if len(v) > 1 for k in v}
+    found = queries.chunkdedup.repeated_stretches(spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet")).collect()
+    got = {r.doc_id for r in found}
+    assert len(want - got) <= 0.01 * len(want) and len(got - want) <= 0.03 * len(texts)
+    strange = 0
+    for r in found:
+        w = texts[r.doc_id][r.start : r.end].lower().split()[1:-1]  # the outer words may be cut
+        assert len(w) >= chunkdedup.MIN_WORDS - 3 and r.first_doc_id <= r.doc_id
+        strange += sum(len(short[" ".join(w[i : i + 8])]) > 1 for i in range(len(w) - 7)) < 0.8 * (len(w) - 7)
+    # Chunks of a stretch may have their copies apart from each other, as where one word is repeated.
+    assert strange <= 0.02 * len(found)
+
+
 def test_repeats_within_a_document(spark):
     r = random.Random(14)
     passage = words(r, 100)
