@@ -18,6 +18,7 @@ alike nothing is scaled; without labels every score is 0.5; an empty table gives
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -78,21 +79,33 @@ class Ftrl:
     """FTRL-proximal (McMahan et al., 2013) with one rate for each coordinate; the last coordinate is the bias, without L1."""
 
     def __init__(self, size: int, alpha: float, beta: float, l1: float, l2: float):
-        self.alpha, self.beta, self.l2 = alpha, beta, l2
-        self.z, self.n, self.l1 = np.zeros(size + 1), np.zeros(size + 1), np.full(size + 1, l1)
-        self.l1[size] = 0.0
+        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+        self.z, self.root = np.zeros(size + 1), np.zeros(size + 1)  # root: of the summed squares of gradients
 
-    def weights(self, at) -> np.ndarray:
-        z, n, l1 = self.z[at], self.n[at], self.l1[at]
-        return np.where(np.abs(z) <= l1, 0.0, -(z - np.sign(z) * l1) / ((self.beta + np.sqrt(n)) / self.alpha + self.l2))
+    def weights(self) -> np.ndarray:
+        return self._weights(self.z, self.root)
+
+    def _weights(self, z: np.ndarray, root: np.ndarray) -> np.ndarray:
+        """The last is the bias."""
+        w = np.abs(z)
+        w[:-1] -= self.l1
+        np.maximum(w, 0.0, out=w)
+        np.copysign(w, -z, out=w)
+        w /= root * (1.0 / self.alpha) + (self.beta / self.alpha + self.l2)
+        return w
 
     def learn(self, at: np.ndarray, label: int) -> None:
-        """at: the coordinates that are 1, the bias among them."""
-        w = self.weights(at)
-        g = 1.0 / (1.0 + np.exp(-np.clip(w.sum(), -35, 35))) - label
-        n = self.n[at]
-        self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
-        self.n[at] = n + g * g
+        """at: the coordinates that are 1, the bias last."""
+        z, root = self.z[at], self.root[at]
+        w = self._weights(z, root)
+        g = 1.0 / (1.0 + math.exp(-min(max(float(w.sum()), -35.0), 35.0))) - label
+        new = np.sqrt(root * root + g * g)
+        root -= new
+        root *= w
+        root *= 1.0 / self.alpha
+        z += root
+        z += g
+        self.z[at], self.root[at] = z, new
 
 
 def _train(fold: int | None, epochs: int, least_docs: int, alpha: float, beta: float, l1: float, l2: float) -> Callable:
@@ -117,7 +130,7 @@ def _train(fold: int | None, epochs: int, least_docs: int, alpha: float, beta: f
             for label, at in known:
                 model.learn(at, label)
         w = np.zeros((1 << BITS) + 1)
-        w[np.append(live, 1 << BITS)] = model.weights(slice(None))
+        w[np.append(live, 1 << BITS)] = model.weights()
         if fold is None:
             at = np.flatnonzero(w)
             labels, values = np.full(len(at), -1), w[at]

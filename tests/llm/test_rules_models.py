@@ -267,7 +267,7 @@ def test_learner_as_plain_loop():
             z[i] += g - sigma * w[i]
             n[i] += g * g
         mine.learn(np.array(at), label)
-    assert np.allclose(mine.z, z) and np.allclose(mine.n, n) and np.allclose(mine.weights(slice(None)), [weight(i) for i in range(7)])
+    assert np.allclose(mine.z, z) and np.allclose(mine.root**2, n) and np.allclose(mine.weights(), [weight(i) for i in range(7)])
     assert weight(2) > 0
 
 
