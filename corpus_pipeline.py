@@ -18,7 +18,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score 0.7 or more go."""
+    """Documents that score 0.7 or more go; labels of all rows may be learnt from but the held-out ones."""
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"), learn_from=docs).select(COLUMNS)
 
 
@@ -50,13 +50,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack),
 ]
 
-#: Toxicity, near-dedup's signatures and packing aren't expressible in SQL; tests hold each stage against brute force.
+#: Toxicity's training and packing aren't expressible in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``, each written and read again; a stage's table goes when the next is written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = store.materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:
+            store.drop_table(before)
+        before = docs
     return docs
