@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from haloforge.cosmology import r200
 from haloforge.functions.columns import wrap
+from haloforge.operators.transform import running_sum
 from haloforge.work import drop_table, materialize
 
 
@@ -209,6 +210,25 @@ def lookup(nodes: DataFrame, wanted: DataFrame, on: list[str]) -> DataFrame:
     return nodes.join(wanted.select(*on).distinct(), on)
 
 
+def slices(nodes: DataFrame, trees: DataFrame, per_range: int = 1000, per_bucket: int = 4096) -> DataFrame:
+    """nodes with b_tree_id and start_offset of the tree whose range of places holds the node's place among all nodes by
+    tree_id and snapnum.  trees: tree_id, start_offset, length.
+
+    A node's place is a rank within ``per_range`` trees after a running sum over such ranges; places meet ranges in buckets of ``per_bucket``, so the
+    join by range is an equi-join.
+    """
+    ranged = nodes.withColumn("__trees", F.floor(F.col("tree_id") / F.lit(per_range)))
+    before = running_sum(ranged.groupBy("__trees").agg(F.count("*").alias("n")), "__trees", "n", "__upto").drop("n")
+    inside = F.row_number().over(Window.partitionBy("__trees").orderBy("tree_id", "snapnum")) - 1
+    placed = ranged.withColumn("__inside", inside).join(before, "__trees").withColumn("__place", F.col("__upto") + F.col("__inside"))
+    placed = placed.withColumn("__bucket", F.floor(F.col("__place") / F.lit(per_bucket))).drop("__trees", "__upto", "__inside")
+    last = F.col("start_offset") + F.col("length") - 1
+    buckets = F.sequence(F.floor(F.col("start_offset") / F.lit(per_bucket)), F.floor(last / F.lit(per_bucket)))
+    spread = trees.where("length > 0").select(F.col("tree_id").alias("b_tree_id"), "start_offset", last.alias("__last"), F.explode(buckets).alias("__bucket"))
+    met = placed.join(spread, "__bucket").where((F.col("__place") >= F.col("start_offset")) & (F.col("__place") <= F.col("__last")))
+    return met.drop("__bucket", "__place", "__last")
+
+
 def first_subhalo_nodes(groups: DataFrame, nodes: DataFrame, snapnum: int) -> DataFrame:
     """groups (group_id, first_sub) -> group_id, tree_id, node_id of the first subhalo at a snapshot."""
     at = nodes.where(F.col("snapnum") == snapnum).select("tree_id", "node_id", "subhalo_nr")

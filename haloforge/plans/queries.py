@@ -146,8 +146,7 @@ def region_cuboid(spark, d):
 
 @query
 def region_fof(spark, d):
-    chosen = members(spark, d).where("halo_id % 7 = 3")
-    return S.particles_in_region(load(spark, d, "particles"), region="FOF", members=chosen).select("pid", *bigint("ptype"))
+    return S.particles_in_region(load(spark, d, "particles"), region="FOF", members=members(spark, d)).select("pid", *bigint("ptype"))
 
 
 @query
@@ -171,7 +170,7 @@ def parent_halo_count(spark, d):
 @query
 def node_lookup(spark, d):
     nodes = load(spark, d, "nodes")
-    wanted = nodes.where("tree_id % 10 = 3").selectExpr("snapnum - 2 as snapnum", "tree_id")
+    wanted = nodes.selectExpr("snapnum - 2 as snapnum", "tree_id")
     return rounded(T.lookup(nodes, wanted, ["snapnum", "tree_id"]).select("tree_id", *bigint("snapnum"), "node_id", "mass"), mass=6)
 
 
@@ -221,15 +220,14 @@ def tree_id_bounds(spark, d):
 
 @query
 def tree_slice(spark, d):
-    trees = _trees(spark, d).where("tree_id % 50 = 1").select("tree_id", "start_offset")
-    return load(spark, d, "nodes").join(trees, "tree_id").select("tree_id", "node_id", *bigint("start_offset", "snapnum"))
+    return T.slices(load(spark, d, "nodes"), _trees(spark, d)).select("tree_id", "node_id", *bigint("start_offset", "snapnum"))
 
 
 @query
 def tolerance_match(spark, d):
-    nodes = load(spark, d, "nodes").where("tree_id % 20 = 0").select("node_id", "scale_factor")
-    groups = load(spark, d, "halos").where("halo_id <= 40").selectExpr("halo_id", "cast(1 as double) / (cast(1 as double) + cast(halo_id as double) / cast(8 as double)) as group_a")
-    return X.tolerance_join(nodes, groups, "scale_factor", "group_a", 1e-4).select("node_id", "halo_id")
+    nodes = load(spark, d, "nodes").select("node_id", "scale_factor")
+    groups = load(spark, d, "halos").selectExpr("halo_id", "cast(1 as double) / (cast(1 as double) + cast(halo_id as double) / cast(8 as double)) as group_a")
+    return X.epochs_matched(nodes, groups, "scale_factor", "group_a", 1e-4).select("node_id", "halo_id")
 
 
 @query

@@ -81,13 +81,13 @@ add("select_spherical", "select pid, x, y, z from q where dx * dx + dy * dy + dz
 add("select_with_ptype", "select pid, ptype::bigint as ptype from q where dx * dx + dy * dy + dz * dz < 225", P, near(EDGE, True))
 add("region_sphere", "select pid from q where dx * dx + dy * dy + dz * dz <= 225", P, near(MIDDLE, False))
 add("region_cuboid", "select pid from q where abs(dx) <= 10 and abs(dy) <= 15 and abs(dz) <= 20", P, near(MIDDLE, False))
-add("region_fof", "select pid, ptype::bigint as ptype from particles where pid in (select pid from members where halo_id % 7 = 3)", P, MEMBERS)
+add("region_fof", "select pid, ptype::bigint as ptype from particles where pid in (select pid from members)", P, MEMBERS)
 add("field_halos", f"select halo_id, {rnd('m200', 6)} as m200 from halos where structuretype = 10 and m200 > 0", H)
 add("nth_parent_halo", "select halo_id from halos where host_id = -1 order by row_id limit 1 offset 5", H)
 add("parent_halo_count", "select count(*) as n from halos where host_id = -1", H)
 
 # Joins
-add("node_lookup", f"select tree_id, snapnum::bigint as snapnum, node_id, {rnd('mass', 6)} as mass from nodes where (snapnum, tree_id) in (select (snapnum - 2, tree_id) from nodes where tree_id % 10 = 3)", N)
+add("node_lookup", f"select tree_id, snapnum::bigint as snapnum, node_id, {rnd('mass', 6)} as mass from nodes where (snapnum, tree_id) in (select (snapnum - 2, tree_id) from nodes)", N)
 add("progenitor_self_join", f"select a.tree_id, a.node_id, a.main_prog, {rnd('b.mass', 6)} as prog_mass from nodes a join nodes b on b.tree_id = a.tree_id and b.node_id = a.main_prog", N)
 _BALL = f"""ball as (select h.*, p.pid, p.x as px, p.y as py, p.z as pz, {wrap('(p.x - h.x)')} as dx, {wrap('(p.y - h.y)')} as dy, {wrap('(p.z - h.z)')} as dz
   from halos h join particles p on abs({wrap('(p.x - h.x)')}) < h.r200 and abs({wrap('(p.y - h.y)')}) < h.r200 and abs({wrap('(p.z - h.z)')}) < h.r200),
@@ -106,8 +106,8 @@ add("subhalos_in_r200", f"select halo_id, other_id as sub_id, {rnd('r', 8)} as r
 add("substructure_file", "select host_id, halo_id as sub_id from halos where host_id = 40 order by halo_id", H)
 _OFF = "t as (select tree_id, count(*) as length from nodes group by tree_id),\nb as (select tree_id, length, (sum(length) over (order by tree_id) - length)::bigint as start_offset from t)"
 add("tree_id_bounds", "select tree_id, start_offset as first, (start_offset + length)::bigint as last from b", N, _OFF)
-add("tree_slice", "select k.tree_id, k.node_id, b.start_offset, k.snapnum::bigint as snapnum from (select *, row_number() over (order by tree_id, snapnum) - 1 as place from nodes) k join b on place >= b.start_offset and place < b.start_offset + b.length where b.tree_id % 50 = 1", N, _OFF)
-add("tolerance_match", "select node_id, halo_id from nodes, halos where nodes.tree_id % 20 = 0 and halo_id <= 40 and abs(scale_factor - 1.0::double / (1.0::double + halo_id::double / 8.0::double)) < 1e-4", N, H)
+add("tree_slice", "select k.tree_id, k.node_id, b.start_offset, k.snapnum::bigint as snapnum from (select *, row_number() over (order by tree_id, snapnum) - 1 as place from nodes) k join b on place >= b.start_offset and place < b.start_offset + b.length", N, _OFF)
+add("tolerance_match", "select node_id, halo_id from nodes, halos where abs(scale_factor - 1.0::double / (1.0::double + halo_id::double / 8.0::double)) < 1e-4", N, H)
 add("group_to_tree_index", "select halo_id as group_id, tree_id, node_id from halos join nodes on tree_id * 10 + 1 = halo_id * 10 + 1 where snapnum = 58", H, N)
 
 # Profiles

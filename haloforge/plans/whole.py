@@ -1,71 +1,34 @@
-"""Joins over all rows of both sides.
-
-The registered queries node_lookup, region_fof, tree_slice and tolerance_match take a part of the ids, as their SQL does;
-these take none away.  They have no SQL; tests hold them against brute force.
-"""
+"""The joins of node_lookup, region_fof, tree_slice and tolerance_match once more, under the names they had when those took a part of
+the ids only.  They have no SQL; tests hold them against brute force."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from haloforge.operators import selection as S
-from haloforge.operators import spatial as X
-from haloforge.operators import transform as R
-from haloforge.operators import tree as T
-from haloforge.plans.queries import bigint, rounded
-from haloforge.plans.standins import load, members
+from haloforge.plans import queries as Q
+from haloforge.plans.standins import load
 
 #: Trees a range of ranks, and places a bucket of the range join.
 TREES, PLACES = 1000, 4096
 
 
-def lookup_all(nodes: DataFrame) -> DataFrame:
-    """Every node, looked up from the one two snapshots later."""
-    return T.lookup(nodes, nodes.selectExpr("snapnum - 2 as snapnum", "tree_id"), ["snapnum", "tree_id"])
-
-
-def slices(nodes: DataFrame, trees: DataFrame) -> DataFrame:
-    """nodes with b_tree_id and start_offset of the tree whose range of places holds the node's place among all nodes by
-    tree_id and snapnum.  trees: tree_id, start_offset, length."""
-    ranged = nodes.withColumn("__trees", F.floor(F.col("tree_id") / F.lit(TREES)))
-    before = R.running_sum(ranged.groupBy("__trees").agg(F.count("*").alias("n")), "__trees", "n", "__upto").drop("n")
-    inside = F.row_number().over(Window.partitionBy("__trees").orderBy("tree_id", "snapnum")) - 1
-    placed = ranged.withColumn("__inside", inside).join(before, "__trees").withColumn("__place", F.col("__upto") + F.col("__inside"))
-    placed = placed.withColumn("__bucket", F.floor(F.col("__place") / F.lit(PLACES))).drop("__trees", "__upto", "__inside")
-    last = F.col("start_offset") + F.col("length") - 1
-    spread = trees.where("length > 0").select(F.col("tree_id").alias("b_tree_id"), "start_offset", last.alias("__last"), F.explode(F.sequence(F.floor(F.col("start_offset") / F.lit(PLACES)), F.floor(last / F.lit(PLACES)))).alias("__bucket"))
-    met = placed.join(spread, "__bucket").where((F.col("__place") >= F.col("start_offset")) & (F.col("__place") <= F.col("__last")))
-    return met.drop("__bucket", "__place", "__last")
-
-
-def epochs_matched(nodes: DataFrame, groups: DataFrame, tolerance: float) -> DataFrame:
-    """nodes x groups whose scale_factor and group_a differ by less than the tolerance: distinct epochs meet first, so the
-    join by tolerance is as large as the epochs are many, however many nodes or groups share one."""
-    epochs = X.tolerance_join(nodes.select("scale_factor").distinct(), groups.select("group_a").distinct(), "scale_factor", "group_a", tolerance)
-    return nodes.join(epochs, "scale_factor").join(groups, "group_a")
-
-
 def node_lookup_all(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(lookup_all(load(spark, d, "nodes")).select("tree_id", *bigint("snapnum"), "node_id", "mass"), mass=6)
+    return Q.node_lookup(spark, d)
 
 
 def region_fof_all(spark: SparkSession, d: str) -> DataFrame:
-    found = S.particles_in_region(load(spark, d, "particles"), region="FOF", members=members(spark, d))
-    return found.select("pid", *bigint("ptype"))
+    return Q.region_fof(spark, d)
 
 
 def tree_slice_all(spark: SparkSession, d: str) -> DataFrame:
-    nodes = load(spark, d, "nodes")
-    trees = R.running_sum(nodes.groupBy("tree_id").agg(F.count("*").alias("length")), "tree_id", "length", "start_offset")
-    return slices(nodes, trees).select("tree_id", "node_id", *bigint("start_offset", "snapnum"))
+    found = Q.T.slices(load(spark, d, "nodes"), Q._trees(spark, d), TREES, PLACES)
+    return found.select("tree_id", "node_id", *Q.bigint("start_offset", "snapnum"))
 
 
 def tolerance_match_all(spark: SparkSession, d: str) -> DataFrame:
-    groups = load(spark, d, "halos").selectExpr("halo_id", "cast(1 as double) / (cast(1 as double) + cast(halo_id as double) / cast(8 as double)) as group_a")
-    return epochs_matched(load(spark, d, "nodes").select("node_id", "scale_factor"), groups, 1e-4).select("node_id", "halo_id")
+    return Q.tolerance_match(spark, d)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (node_lookup_all, region_fof_all, tree_slice_all, tolerance_match_all)}
