@@ -27,6 +27,12 @@ def _spine(rows: DataFrame, n: int) -> DataFrame:
     return rows.sparkSession.range(n).select(F.col("id").cast("int").alias("bin"))
 
 
+def _within(value: str | Column, n: int) -> Column:
+    """The value where the bin counts.  A filter would be carried down to the scan, with the whole way from positions to the bin written out in
+    it again and again, more than the JVM compiles; the further bin has no row on the spine and goes."""
+    return F.when(F.col("bin") < n, F.col(value) if isinstance(value, str) else value)
+
+
 def radial_profile(rows: DataFrame, edges: Sequence[float], var: str | Column = "mass", corrected: bool = False) -> DataFrame:
     """bin, r_mean, density, median of rows (r, bin), one row for each edge; what lies beyond the last is left out.
 
@@ -34,8 +40,8 @@ def radial_profile(rows: DataFrame, edges: Sequence[float], var: str | Column =
     it.  Empty bins have NaN, 0 and NaN.
     """
     n = len(edges)
-    value = F.col(var) if isinstance(var, str) else var
-    found = rows.where(F.col("bin") < n).groupBy("bin").agg(F.avg("r").alias("r_mean"), F.sum(value).alias("total"), F.median(value).alias("median"))
+    value = _within(var, n)
+    found = rows.groupBy("bin").agg(F.avg("r").alias("r_mean"), F.sum(value).alias("total"), F.median(value).alias("median"))
     volumes = F.array(*[F.lit(v) for v in shell_volumes(edges)])
     density = F.coalesce(F.col("total"), F.lit(0.0)) / F.get(volumes, F.col("bin"))
     nan = F.lit(float("nan"))
@@ -54,7 +60,7 @@ def mass_density_profile(particles: DataFrame, centre: Sequence[float], size: fl
 def gas_profile(gas: DataFrame, centre: Sequence[float], box: float, limits: tuple[float, float], n: int, average: bool = True) -> DataFrame:
     """bin, r_mean and rho and u (summed by volume, or their medians) of chosen gas rows, in linear bins.  One pass."""
     rows, edges = radial_bins(with_radius(gas, centre, box), limits, n, "linear")
-    found = rows.where(F.col("bin") < n).groupBy("bin").agg(F.avg("r").alias("r_mean"), *[f(v).alias(f"{v}_{s}") for v in ("rho", "u") for f, s in ((F.sum, "sum"), (F.median, "median"))])
+    found = rows.groupBy("bin").agg(F.avg("r").alias("r_mean"), *[f(_within(v, n)).alias(f"{v}_{s}") for v in ("rho", "u") for f, s in ((F.sum, "sum"), (F.median, "median"))])
     volumes, nan = F.array(*[F.lit(v) for v in shell_volumes(edges)]), F.lit(float("nan"))
     by_volume = lambda v: F.when(F.col("bin") == 0, 0.0).otherwise(F.coalesce(F.col(f"{v}_sum"), F.lit(0.0)) / F.get(volumes, F.col("bin"))).alias(v)
     middle = lambda v: F.coalesce(F.col(f"{v}_median"), nan).alias(v)
@@ -65,7 +71,7 @@ def gas_profile(gas: DataFrame, centre: Sequence[float], box: float, limits: tup
 def kinematic_bins(rows: DataFrame, n: int) -> DataFrame:
     """rows (dx, dy, dz, r, dvx, dvy, dvz, bin) -> bin, r_mean, vr_mean, sigma_r, sigma.  r = 0 gives NaN."""
     vr = safe_div(F.col("dx") * F.col("dvx") + F.col("dy") * F.col("dvy") + F.col("dz") * F.col("dvz"), F.col("r"))
-    found = rows.where(F.col("bin") < n).withColumn("vr", vr).groupBy("bin").agg(
+    found = rows.withColumn("vr", vr).groupBy("bin").agg(
         F.avg("r").alias("r_mean"), F.avg("vr").alias("vr_mean"), F.stddev_pop("vr").alias("sigma_r"), F.sqrt(F.var_pop("dvx") + F.var_pop("dvy") + F.var_pop("dvz")).alias("sigma")
     )
     nan = F.lit(float("nan"))

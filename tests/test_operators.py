@@ -206,22 +206,6 @@ def test_apart_as_wrap(spark):
         assert r.a == r.b, r
 
 
-def test_profiles_compile(spark):
-    """The code made for a profile is compiled: whole-stage code isn't given up."""
-    rng = np.random.default_rng(6)
-    rows = frame(spark, [(*map(float, rng.random(6) * 100), 1.0) for _ in range(300)], "x double, y double, z double, vx double, vy double, vz double, mass double")
-    rows = rows.selectExpr("x * 1.5 + y * 0.1 as x", "y * 0.7 + z as y", "z", "vx", "vy", "vz", "mass")
-    before = spark.conf.get("spark.sql.codegen.factoryMode", "FALLBACK")
-    spark.conf.set("spark.sql.codegen.factoryMode", "CODEGEN_ONLY")
-    spark.conf.set("spark.sql.codegen.fallback", "false")
-    try:
-        assert profiles.kinematic_profile(rows, (5, 50, 95), (1, 2, 3), 40.0, 100.0, (1.0, 40.0), 20).count() == 20
-        assert profiles.mass_density_profile(rows, (5, 50, 95), 40.0, 100.0, (1.0, 40.0), 20).count() == 20
-    finally:
-        spark.conf.set("spark.sql.codegen.factoryMode", before)
-        spark.conf.set("spark.sql.codegen.fallback", "true")
-
-
 def chain(spark, masses, zs):
     n = len(masses)
     rows = [(1, k, 60 - k, k + 1 if k + 1 < n else -1, float(masses[k]), float(zs[k])) for k in range(n)]

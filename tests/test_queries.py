@@ -38,3 +38,14 @@ def test_query(spark, duck, name):
     columns = sorted(a.columns)
     assert columns == sorted(b.columns)
     assert rows(a, columns) == rows(b, columns)
+
+
+@pytest.mark.parametrize("name", ["mass_density_profile", "mass_median_profile", "gas_profile", "kinematic_profile", "kinematic_profile_raw", "radial_profile", "select_spherical", "halo_ball_join"])
+def test_generated_code_compiles(spark, name):
+    """Without a way back, code that the JVM can't compile is an error."""
+    before = spark.conf.get("spark.sql.codegen.fallback")
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert QUERIES[name](spark, DATA).count() > 0
+    finally:
+        spark.conf.set("spark.sql.codegen.fallback", before)
