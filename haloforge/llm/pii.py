@@ -183,25 +183,31 @@ class Crf:
         for k, (x, y) in enumerate(rows):
             at[k, : len(y)], gold[k, : len(y)] = x, y
         score, move = self.emit[at].sum(axis=2), self.move + self.ban
-        alpha, beta = np.empty(score.shape), np.zeros(score.shape)
-        alpha[:, 0] = score[:, 0] + self.first + self.ban_first
-        for k in range(1, t):
-            step = score[:, k] + _log_sum(alpha[:, k - 1, :, None] + move, 1)
-            alpha[:, k] = np.where(live[:, k, None], step, alpha[:, k - 1])
+        top = score.max(axis=2)
+        own, ways = np.exp(score - top[:, :, None]), np.exp(move)
+        # Forward and backward sums, each place's scaled to one; the scales' logarithms add up to the whole sum's.
+        alpha, beta, scale = np.empty(score.shape), np.ones(score.shape), np.ones(score.shape[:2])
+        step = own[:, 0] * np.exp(self.first + self.ban_first)
+        for k in range(t):
+            if k:
+                step = (alpha[:, k - 1] @ ways) * own[:, k]
+                step[~live[:, k]] = alpha[~live[:, k], k - 1]
+            scale[:, k] = step.sum(axis=1)
+            alpha[:, k] = step / scale[:, k, None]
+        right = own / scale[:, :, None]
         for k in range(t - 2, -1, -1):
-            step = _log_sum(move + (score[:, k + 1] + beta[:, k + 1])[:, None, :], 2)
-            beta[:, k] = np.where(live[:, k + 1, None], step, 0.0)
-        total = _log_sum(alpha[:, -1], 1)
-        each = -np.exp(alpha + beta - total[:, None, None])
+            beta[:, k] = (right[:, k + 1] * beta[:, k + 1]) @ ways.T
+            beta[~live[:, k + 1], k] = 1.0
+        total = (np.log(scale) + top * live).sum()
+        each = -alpha * beta
         each[np.arange(b)[:, None], np.arange(t), gold] += 1.0
         each *= live[:, :, None]
         g_emit = np.stack([np.bincount(at.ravel(), np.repeat(each[:, :, y].ravel(), at.shape[2]), minlength=len(self.emit)) for y in range(N_LABELS)], axis=1)
         both = live[:, 1:]
-        pairs = np.exp(alpha[:, :-1, :, None] + move + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - total[:, None, None, None])
-        g_move = -(pairs * both[:, :, None, None]).sum(axis=(0, 1))
+        g_move = -ways * (alpha[:, :-1][both].T @ (right * beta)[:, 1:][both])
         np.add.at(g_move, (gold[:, :-1][both], gold[:, 1:][both]), 1.0)
         path = (score[np.arange(b)[:, None], np.arange(t), gold] * live).sum() + self.first[gold[:, 0]].sum() + move[gold[:, :-1][both], gold[:, 1:][both]].sum()
-        return [g_emit, g_move, each[:, 0].sum(axis=0)], float(path - total.sum())
+        return [g_emit, g_move, each[:, 0].sum(axis=0)], float(path - total)
 
     def fit(self, rows: list[tuple[np.ndarray, np.ndarray]], epochs: int = 8, batch: int = 64, rate: float = 0.3, l2: float = 1e-4) -> Crf:
         """AdaGrad over batches of rows of like length, in a fixed order."""
@@ -278,11 +284,6 @@ class Crf:
         return out
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
-
-
 def labelled_table(n: int = 1500, seed: int = 3) -> list[tuple[str, list[tuple[int, int, int]]]]:
     """The small labelled table, made by rule: (text, spans).  Personal data in common spellings between invented words, and
     numbers that are none: years, prices, versions, times, hexadecimal keys, long counts."""
@@ -351,16 +352,17 @@ def labelled_table(n: int = 1500, seed: int = 3) -> list[tuple[str, list[tuple[i
 
 def train(table: list[tuple[str, list[tuple[int, int, int]]]] | None = None) -> Crf:
     """A field from a small labelled table."""
+    table = labelled_table() if table is None else table
+    first, start, end, shape = tokenize([text for text, _ in table])
+    features, labels = np.stack(_features(first, shape), axis=1), np.zeros(len(shape), dtype=np.int64)
     rows = []
-    for text, spans in labelled_table() if table is None else table:
-        first, start, end, shape = tokenize([text])
-        labels = np.zeros(len(shape), dtype=np.int64)
+    for (_, spans), low, high in zip(table, first[:-1].tolist(), first[1:].tolist(), strict=True):
         for a, kind, b in spans:
-            inside = np.flatnonzero((start >= a) & (end <= b))
+            inside = low + np.flatnonzero((start[low:high] >= a) & (end[low:high] <= b))
             labels[inside] = 2 * kind + 2
             labels[inside[:1]] = 2 * kind + 1
-        if len(shape):
-            rows.append((np.stack(_features(first, shape), axis=1), labels))
+        if high > low:
+            rows.append((features[low:high], labels[low:high]))
     return Crf().fit(rows)
 
 
