@@ -72,26 +72,38 @@ def chunk_ends(buf: np.ndarray, bits: int = 5) -> np.ndarray:
     return np.unique(np.concatenate([ends, *more])) if more else ends
 
 
+def _cut(text: str, bits: int) -> tuple[np.ndarray, ...]:
+    """The bytes that count, and of each chunk its end among them, first code point, length in code points, and words begun."""
+    lower = text.lower()
+    if len(lower) != len(text):  # letters whose small form is longer stay
+        lower = "".join(small if len(small := c.lower()) == 1 else c for c in text)
+    raw = np.frombuffer(lower.encode("utf-8", "surrogatepass"), dtype=np.uint8)
+    if not len(raw):
+        return (raw, *(np.zeros(0, dtype=np.int64),) * 4)
+    white = WHITE[raw]
+    kept = np.flatnonzero(~(white & np.concatenate([[False], white[:-1]])))
+    even = np.where(white[kept], np.uint8(32), raw[kept])
+    ends = chunk_ends(even, bits)
+    if not len(ends) or ends[-1] != len(even):
+        ends = np.append(ends, len(even))
+    starts = np.concatenate([[0], ends[:-1]])
+    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    words = np.searchsorted(word_bounds(even)[0], ends)
+    return even, ends, points[kept[starts]], points[kept[ends - 1] + 1] - points[kept[starts]], np.diff(words, prepend=0)
+
+
 def chunks(texts: list[str], bits: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """For each text: digest, first code point, length in code points, and words begun, of each chunk."""
-    for text in texts:
-        lower = text.lower()
-        if len(lower) != len(text):  # letters whose small form is longer stay
-            lower = "".join(small if len(small := c.lower()) == 1 else c for c in text)
-        raw = np.frombuffer(lower.encode("utf-8", "surrogatepass"), dtype=np.uint8)
-        if not len(raw):
-            yield (np.zeros(0, dtype=np.int64),) * 4
-            continue
-        white = WHITE[raw]
-        kept = np.flatnonzero(~(white & np.concatenate([[False], white[:-1]])))
-        even = np.where(white[kept], np.uint8(32), raw[kept])
-        ends = chunk_ends(even, bits)
-        if not len(ends) or ends[-1] != len(even):
-            ends = np.append(ends, len(even))
-        starts = np.concatenate([[0], ends[:-1]])
-        points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-        words = np.searchsorted(word_bounds(even)[0], ends)
-        yield span_hashes(even, starts, ends).view(np.int64), points[kept[starts]], points[kept[ends - 1] + 1] - points[kept[starts]], np.diff(words, prepend=0)
+    """For each text: digest, first code point, length in code points, and words begun, of each chunk.  All are hashed together."""
+    found = [_cut(t, bits) for t in texts]
+    sizes = np.fromiter((len(f[0]) for f in found), dtype=np.int64, count=len(found))
+    ends = [f[1] + at for f, at in zip(found, (np.cumsum(sizes) - sizes).tolist(), strict=True)]
+    # A text ends with a chunk, so chunks follow each other from text to text.
+    flat = np.concatenate(ends) if ends else np.zeros(0, dtype=np.int64)
+    digests = span_hashes(np.concatenate([f[0] for f in found]), np.concatenate([[0], flat[:-1]]) if len(flat) else flat, flat).view(np.int64) if len(flat) else flat
+    at = 0
+    for f in found:
+        yield digests[at : at + len(f[1])], *f[2:]
+        at += len(f[1])
 
 
 def _digests(bits: int, within: bool) -> Callable:
@@ -99,10 +111,13 @@ def _digests(bits: int, within: bool) -> Callable:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_blocks(batches):
-            found = [np.unique(c[0], return_counts=True) for c in chunks(texts, bits)]
-            sizes = np.fromiter((len(d) for d, _ in found), dtype=np.int64, count=len(found))
-            times = np.concatenate([n for _, n in found]) if within else np.ones(sizes.sum(), dtype=np.int64)
-            columns = [pa.array(np.concatenate([d for d, _ in found]), pa.int64()), pa.array(np.repeat(np.array(keys, dtype=np.int64), sizes)), pa.array(times)]
+            if within:
+                found, times = zip(*(np.unique(c[0], return_counts=True) for c in chunks(texts, bits)), strict=True)
+            else:
+                found = [np.unique(c[0]) for c in chunks(texts, bits)]
+                times = [np.ones(len(d), dtype=np.int64) for d in found]
+            sizes = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+            columns = [pa.array(np.concatenate(found), pa.int64()), pa.array(np.repeat(np.array(keys, dtype=np.int64), sizes)), pa.array(np.concatenate(times), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["digest", "doc_id", "times"])
 
     return run
