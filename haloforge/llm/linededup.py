@@ -39,7 +39,7 @@ def frequent_line_positions(docs: DataFrame, min_docs: int = 10, min_chars: int
     """(doc_id, text_hash, drop): where each document has lines that ``min_docs`` documents or more have.
 
     Counts are added up before they are shuffled.  Lines meet the frequent ones in joins of written tables, so that a line
-    that most documents have can be split over tasks.
+    that most documents have can be split over tasks.  How many lines are frequent has no bound, so they are never broadcast.
     """
     rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     loose = F.transform(_lines(F.lower("text")), lambda line: F.btrim(line, F.lit(WHITE)))
@@ -50,7 +50,7 @@ def frequent_line_positions(docs: DataFrame, min_docs: int = 10, min_chars: int
     loose_hash = _hash(F.btrim(F.lower("line"), F.lit(WHITE)))
     candidates = (
         placed.select("*", *loose_hash)
-        .join(often, ["h1", "h2"], "left_semi")
+        .join(often.hint("merge"), ["h1", "h2"], "left_semi")
         .select("doc_id", "text_hash", "at", _key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_chars)
         .select("doc_id", "text_hash", "at", *_hash(F.col("key")))
@@ -58,7 +58,7 @@ def frequent_line_positions(docs: DataFrame, min_docs: int = 10, min_chars: int
     candidates = materialize(candidates, "line-candidates")
     frequent = candidates.select("h1", "h2", "doc_id", "text_hash").distinct().groupBy("h1", "h2").count().where(F.col("count") >= min_docs)
     frequent = materialize(frequent.select("h1", "h2"), "frequent")
-    found = candidates.join(frequent, ["h1", "h2"], "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("drop"))
+    found = candidates.join(frequent.hint("merge"), ["h1", "h2"], "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set("at").alias("drop"))
     return materialize(found, "drops")
 
 
@@ -68,7 +68,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Data
     drops = frequent_line_positions(docs, min_docs, min_chars).select(F.col("doc_id").alias("id"), "text_hash", "drop")
     text = F.coalesce(F.col("doc.text"), F.lit(""))
     rows = docs.select(F.struct("*").alias("doc")).select("doc", F.xxhash64(text).alias("own_hash"))
-    joined = rows.join(drops, F.col("id").eqNullSafe(F.col("doc.doc_id")) & (F.col("text_hash") == F.col("own_hash")), "left")
+    joined = rows.join(drops.hint("merge"), F.col("id").eqNullSafe(F.col("doc.doc_id")) & (F.col("text_hash") == F.col("own_hash")), "left")
     cut = joined.select("doc", "drop", text.alias("text"), F.when(F.col("drop").isNotNull(), _lines(text)).alias("lines"))
     kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("drop"))
     left = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("lines"), i)), "\n"))
