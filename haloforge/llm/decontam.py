@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haloforge.llm.arrow import fresh, keyed_texts, text_blocks
+from haloforge.llm.bitmap import BITS, broadcast_bitmap, unpacked
 from haloforge.llm.store import materialize
 from haloforge.llm.words import PLACES, hash_words, mix
 
@@ -132,7 +133,7 @@ def _seeds_of_items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def _hits(masks: list[tuple[int, str]], bitmap, bits: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(np.frombuffer(bitmap.value, dtype=np.uint8)).view(bool)
+        known = unpacked(bitmap)
         for batch in batches:
             at = 0
             for keys, texts in text_blocks([batch]):
@@ -220,9 +221,8 @@ def _item_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(cut, pa.list_(pa.int64()))], ["item", "words"])
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.75, min_words: int = 13, bits: int = 25) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.75, min_words: int = 13, bits: int = BITS) -> DataFrame:
     """(doc_id, item_id, start_word, n_words, n_same, item_words): documents that hold a passage of a benchmark item."""
-    spark = docs.sparkSession
     items = keyed_texts(benchmark, "item_id").where("doc_id is not null and text is not null")
     same_text = items.groupBy("text").agg(F.min("doc_id").alias("item"))
     ids = items.join(same_text, "text").select("item", F.col("doc_id").alias("item_id")).distinct()
@@ -230,11 +230,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.75, min
     seeds = materialize(one_each.mapInArrow(_seeds_of_items, "item long, mask int, hash long, item_at array<int>"), "seeds")
     numbers = [r[0] for r in seeds.select("mask").distinct().collect()]
     masks = [(k, m) for k, m in masks_for({LEAST if k < 100 else k // 100 for k in numbers}) if k in numbers]
-    # One bit for each value of the hashes' high bits: 4 MB, whatever the benchmark's size.
-    slots = seeds.select(F.shiftrightunsigned("hash", 64 - bits + 3).alias("byte"), F.expr(f"shiftleft(1, cast(7 - (shiftrightunsigned(hash, {64 - bits}) & 7) as int))").alias("bit"))
-    bitmap, used = np.zeros(1 << (bits - 3), dtype=np.uint8), slots.groupBy("byte").agg(F.bit_or("bit").alias("bit")).toPandas()
-    bitmap[used["byte"].to_numpy("int64")] = used["bit"].to_numpy("uint8")
-    shared = spark.sparkContext.broadcast(bitmap.tobytes())
+    shared = broadcast_bitmap(seeds, "hash", bits)
     texts = keyed_texts(docs).where("doc_id is not null and text is not null").withColumn("own", F.xxhash64("text"))
     hits = texts.select("doc_id", "text", "own").mapInArrow(_hits(masks, shared, bits), "doc_id long, own long, mask int, hash long, at array<int>")
     met = hits.join(seeds, ["mask", "hash"]).select("doc_id", "own", "item", "at", "item_at").mapInArrow(_shifts, "doc_id long, own long, item long, shifts array<int>")

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haloforge.llm.arrow import keyed_texts, text_blocks
+from haloforge.llm.bitmap import BITS, broadcast_bitmap, unpacked
 from haloforge.llm.components import components
 from haloforge.llm.dartminhash import bands, signatures
 from haloforge.llm.store import drop_table, materialize
@@ -75,6 +76,18 @@ def _shingle_rows(size: int) -> Callable:
     return run
 
 
+def _maybe(bitmap) -> Callable:
+    """(doc_id, digest, text, hash) -> those whose hash may be in the bitmap, without it."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, shift = unpacked(bitmap), np.uint64(64 - BITS)
+        for batch in batches:
+            found = known[batch.column(3).to_numpy().view(np.uint64) >> shift]
+            yield batch.select([0, 1, 2]).filter(pa.array(found))
+
+    return run
+
+
 def _compare(threshold: float) -> Callable:
     """Rows come by (leader, part), the leader's own shingles first."""
 
@@ -129,10 +142,11 @@ def _rest(members: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     Of a bucket, texts of the commonest label are held against those of others alone.  Sets of n shingles that are
     similar share one of their n - threshold n + 1 rarest, in one order for all.
     """
-    sizes = members.select("label", "digest").distinct().groupBy("label").agg(F.count("*").alias("label_size"))
+    sizes = materialize(members.select("label", "digest").distinct().groupBy("label").agg(F.count("*").alias("label_size")), "sizes")
     sized = members.join(sizes, "label")
     ends = sized.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("label_size", "label")).alias("most"))
-    mixed = members.join(ends.where("low <> high").select("bucket", F.col("most.label").alias("common")), "bucket")
+    ends = materialize(ends.where("low <> high").select("bucket", F.col("most.label").alias("common")), "ends")
+    mixed = members.join(ends, "bucket")
     texts = mixed.groupBy("digest", "label", "n").agg(F.max(F.col("label") != F.col("common")).alias("few"))
     spelled = texts.join(held, "digest").select("digest", "label", "n", "few", "held").mapInArrow(_spell, "digest binary, label binary, n long, few boolean, shingle long")
     spelled = materialize(spelled, "spelled")
@@ -149,7 +163,7 @@ def _rest(members: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     other = (F.col("label") != F.col("leader_label")) & (~F.col("few") | (F.col("leader") < F.col("digest")))
     met = prefix.join(few, "shingle").where(other & enough & _near_size("n", "leader_n", threshold))
     pairs = materialize(met.select("leader", F.col("digest").alias("member")).distinct(), "pairs")
-    for old in (spelled, often, prefix):
+    for old in (sizes, ends, spelled, often, prefix):
         drop_table(old)
     return pairs
 
@@ -170,8 +184,11 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands:
     # Of a text's copies, one row is read again: that of the least doc_id.
     needed = signed.join(members.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("id"))
     needed = materialize(needed.select("id", F.col("digest").alias("own")), "needed")
-    with_digest = texts.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), "text")
-    once = with_digest.join(needed, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own")), "left_semi").select("digest", "text")
+    # A bitmap of fixed size keeps most other rows from being shuffled with their texts; the join decides.
+    bitmap = broadcast_bitmap(needed.select(F.xxhash64("own", "id").alias("hash")), "hash")
+    with_digest = texts.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), "text").withColumn("hash", F.xxhash64("digest", "doc_id"))
+    with_digest = with_digest.mapInArrow(_maybe(bitmap), "doc_id long, digest binary, text string")
+    once = with_digest.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own")), "left_semi").select("digest", "text")
     once = once.mapInArrow(_shingle_rows(size), "digest binary, held binary")
     held = materialize(once.groupBy("digest").agg(F.min("held").alias("held")), "shingles")
 

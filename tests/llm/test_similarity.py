@@ -90,6 +90,14 @@ def test_chains_of_near_copies(spark):
     assert found == brute_classes(texts)
 
 
+def test_repetition_is_no_difference(spark):
+    """Sets are compared: a text ten times over is its near copy, whatever its words' counts."""
+    r = random.Random(17)
+    text = words(r, 120)
+    docs = spark.createDataFrame([(1, text), (2, " ".join([text] * 10)), (3, words(r, 120))], SCHEMA)
+    assert {x.doc_id: x.class_id for x in nearcopies.near_copies(docs).collect()} == {1: 1, 2: 1, 3: 3}
+
+
 def test_near_copies_of_odd_rows(spark, odd_docs, no_docs):
     found = nearcopies.near_copies(odd_docs).collect()
     assert len(found) == odd_docs.count()
