@@ -39,6 +39,15 @@ class SimHeader:
         return 1.0 / self.scale_factor - 1.0 if self.scale_factor > 0 else 0.0
 
 
+def redshift(a: Column) -> Column:
+    """0 where the scale factor isn't positive."""
+    return F.when(a > 0, 1.0 / a - 1.0).otherwise(0.0)
+
+
+def scale_factor(z: Column) -> Column:
+    return 1.0 / (1.0 + z)
+
+
 def critical_density(a: Column, omega0: float, omega_lambda: float, corrected: bool = False) -> Column:
     """By default with the square root of E(a)^2, as users of the method have it; ``corrected`` leaves it out."""
     e2 = omega0 / (a * a * a) + omega_lambda

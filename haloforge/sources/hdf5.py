@@ -19,9 +19,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from haloforge.cosmology import LOW_RES_TYPES, SimHeader
+from haloforge.cosmology import LOW_RES_TYPES, SimHeader, redshift, scale_factor
 from haloforge.schemas import DDL
 from haloforge.sources.files import all_parts, numbered
 from haloforge.sources.store import dialect
@@ -108,8 +109,11 @@ def _catalogue_header(f, kind: str) -> SimHeader:
 
 
 def with_times(nodes: DataFrame, snapshots: DataFrame) -> DataFrame:
-    """tree_nodes with redshift and scale_factor of their snapshots, a table as small as the simulation has outputs."""
-    return nodes.drop("redshift", "scale_factor").join(snapshots, "snapnum", "left").select(nodes.columns)
+    """tree_nodes with redshift and scale_factor of their snapshots, a table as small as the simulation has outputs; what it lacks of the two
+    follows from the other."""
+    a, z = F.col("scale_factor"), F.col("redshift")
+    known = snapshots.select("snapnum", F.coalesce(z, redshift(a)).alias("redshift"), F.coalesce(a, scale_factor(z)).alias("scale_factor"))
+    return nodes.drop("redshift", "scale_factor").join(known, "snapnum", "left").select(nodes.columns)
 
 
 @dataclass

@@ -176,8 +176,10 @@ def test_subfind_trees(spark, tmp_path):
     times, _ = load(tmp_path / "trees", entity="tree_snapshots", convention="SUBFIND")
     assert times.to_numpy().tolist() == [[0, 1.0, 0.5], [1, 0.0, 1.0]]
     rows = spark.createDataFrame([tuple(None if x != x else x for x in r) for r in nodes.astype(object).itertuples(index=False)], DDL["tree_nodes"])
-    timed = hdf5.with_times(rows, spark.createDataFrame([tuple(r) for r in times.itertuples(index=False)], "snapnum int, redshift double, scale_factor double"))
-    assert timed.columns == rows.columns and sorted((r.snapnum, r.redshift, r.scale_factor) for r in timed.collect()) == [(0, 1.0, 0.5), (1, 0.0, 1.0)]
+    told = [tuple(r) for r in times.itertuples(index=False)]
+    for some in (told, [(k, None, a) for k, _, a in told], [(k, z, None) for k, z, _ in told]):  # either follows from the other
+        timed = hdf5.with_times(rows, spark.createDataFrame(some, "snapnum int, redshift double, scale_factor double"))
+        assert timed.columns == rows.columns and sorted((r.snapnum, r.redshift, r.scale_factor) for r in timed.collect()) == [(0, 1.0, 0.5), (1, 0.0, 1.0)]
 
 
 def test_treefrog(tmp_path):
