@@ -135,4 +135,5 @@ def judge_pages(pages: DataFrame, rules: DataFrame, links: DataFrame | None = No
     aliases = named.join(blocked, "group", "left_semi").select("name").distinct().withColumn("alias_blocked", F.lit(True))
     aliases = materialize(aliases, "aliases")
     verdict = F.coalesce("rule_verdict", F.when(F.col("alias_blocked"), F.lit("block")), F.lit("allow"))
-    return rows.join(ruled, ["host", "path"], "left").join(aliases, "name", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    # Neither table has a bound, so neither is broadcast.
+    return rows.join(ruled.hint("merge"), ["host", "path"], "left").join(aliases.hint("merge"), "name", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
