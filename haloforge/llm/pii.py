@@ -140,7 +140,7 @@ def tokenize(texts: list[str]) -> tuple[np.ndarray, ...]:
     return first, starts - shift, stops - shift, 2 * shape + gap
 
 
-def _features(first: np.ndarray, shape: np.ndarray) -> list[np.ndarray]:
+def _features(first: np.ndarray, shape: np.ndarray) -> Iterator[np.ndarray]:
     """Hashed places of each template's feature, for each word; beyond a text's ends are two shapes of their own."""
     n = len(shape)
     text = np.repeat(np.arange(len(first) - 1), np.diff(first))
@@ -150,13 +150,11 @@ def _features(first: np.ndarray, shape: np.ndarray) -> list[np.ndarray]:
         inside = (at >= 0) & (at < n)
         at = np.clip(at, 0, max(n - 1, 0))
         near[k] = np.where(inside & (text[at] == text), shape[at], _BEFORE if k < 0 else _AFTER).astype(np.uint64)
-    out = []
     for number, places in enumerate(TEMPLATES):
         code = np.full(n, np.uint64(number))
         for k in places:
             code = code * np.uint64(_AFTER + 1) + near[k]
-        out.append((mix(code) >> np.uint64(64 - 15)).astype(np.int32))
-    return out
+        yield (mix(code) >> np.uint64(64 - 15)).astype(np.int32)
 
 
 class Crf:
@@ -354,7 +352,7 @@ def train(table: list[tuple[str, list[tuple[int, int, int]]]] | None = None) ->
     """A field from a small labelled table."""
     table = labelled_table() if table is None else table
     first, start, end, shape = tokenize([text for text, _ in table])
-    features, labels = np.stack(_features(first, shape), axis=1), np.zeros(len(shape), dtype=np.int64)
+    features, labels = np.stack(list(_features(first, shape)), axis=1), np.zeros(len(shape), dtype=np.int64)
     rows = []
     for (_, spans), low, high in zip(table, first[:-1].tolist(), first[1:].tolist(), strict=True):
         for a, kind, b in spans:
