@@ -210,8 +210,8 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands:
     # Only what the second step found is joined anew.
     labels = components(first.select("digest", "label").union(found))
     each = signed.select("doc_id", "digest", F.col("n").alias("n_shingles")).join(labels.withColumnRenamed("node", "digest"), "digest", "left")
-    each = each.withColumn("label", F.coalesce("label", "digest"))
-    classes = each.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    each = materialize(each.withColumn("label", F.coalesce("label", "digest")), "labelled")
+    classes = materialize(each.groupBy("label").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")), "classes")
     return each.join(classes, "label").select("doc_id", "digest", F.col("label").alias("class_key"), "class_id", "class_size", "n_shingles")
 
 
