@@ -112,33 +112,42 @@ def _train(fold: int | None, epochs: int, least_docs: int, alpha: float, beta: f
     """A model of all rows -> place, weight; of all rows but a fold -> place -1, and label and margin of the fold's rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(int(i), int(x), np.asarray(v.values)) for b in batches for x, i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True)]
-        place = mix(np.array([r[0] for r in rows], dtype=np.int64).view(np.uint64))  # one order for all models, that no id's size has to do with
-        order = np.lexsort(([r[1] for r in rows], [r[0] for r in rows], place)).tolist()
-        part = np.arange(len(rows)) % FOLDS
-        known = [rows[k] for j, k in enumerate(order) if part[j] != fold]
-        found_in = np.zeros((1 << BITS) + 1, dtype=np.int32)
-        for _, _, places in known:
-            found_in[places] += 1
-        # Only places that are learnt from have a coordinate, so that all of them stay in the processor's cache.
+        ids, labels, places = [], [], []
+        for batch in batches:
+            labels += batch.column(0).to_pylist()
+            ids += batch.column(1).to_pylist()
+            places += [np.asarray(v.values) for v in batch.column(2)]
+            del batch
+        place = mix(np.array(ids, dtype=np.int64).view(np.uint64))  # one order for all models, that no id's size has to do with
+        order = np.lexsort((labels, ids, place)).tolist()
+        known = [k for j, k in enumerate(order) if j % FOLDS != fold]
+        found_in = np.zeros(1 << BITS, dtype=np.int32)
+        for k in known:
+            found_in[places[k]] += 1
+        # Only places that are learnt from have a coordinate, so that all of them stay in the processor's cache.  Rows are
+        # replaced one after the other, so that a batch of them goes before the next is done.
         live = np.flatnonzero(found_in >= least_docs)
-        coordinate = np.zeros((1 << BITS) + 1, dtype=np.int64)
-        coordinate[live] = np.arange(len(live))
-        known = [(label, np.append(coordinate[places[found_in[places] >= least_docs]], len(live))) for _, label, places in known]
+        coordinate = np.full(1 << BITS, -1, dtype=np.int32)
+        coordinate[live] = np.arange(len(live), dtype=np.int32)
+        bias = np.array([len(live)], dtype=np.int32)
+        for k, own in enumerate(places):
+            at = coordinate[own]
+            places[k] = np.concatenate([at[at >= 0], bias])
+        del found_in, coordinate
         model = Ftrl(len(live), alpha, beta, l1, l2)
         for _ in range(epochs if known else 0):
-            for label, at in known:
-                model.learn(at, label)
-        w = np.zeros((1 << BITS) + 1)
-        w[np.append(live, 1 << BITS)] = model.weights()
+            for k in known:
+                model.learn(places[k], labels[k])
+        w = model.weights()
         if fold is None:
-            at = np.flatnonzero(w)
-            labels, values = np.full(len(at), -1), w[at]
+            used = np.flatnonzero(w)
+            columns = np.append(live, 1 << BITS)[used], np.full(len(used), -1), w[used]
         else:
-            out = [rows[k] for j, k in enumerate(order) if part[j] == fold]
-            at, labels = np.full(len(out), -1), np.array([x for _, x, _ in out])
-            values = np.array([w[places].sum() + w[1 << BITS] for _, _, places in out])
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(labels, pa.int64()), pa.array(values, pa.float64())], ["place", "label", "value"])
+            out = [k for j, k in enumerate(order) if j % FOLDS == fold]
+            columns = np.full(len(out), -1), np.array([labels[k] for k in out]), np.array([w[places[k]].sum() for k in out])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["place", "label", "value"])
+        del places
+        pa.default_memory_pool().release_unused()
 
     return run
 
