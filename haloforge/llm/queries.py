@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haloforge.llm import chunkdedup, decontam, linededup, nearcopies, packing, pii, quality, store, tokenfile, toxicity, urlrules
+from haloforge.llm import brown, chunkdedup, decontam, divergence, linededup, nearcopies, packing, pii, quality, store, tokenfile, toxicity, urlrules, vectorcodes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,18 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id").agg(F.count("*").alias("n_spans"), F.sum("n_words").alias("n_words"), F.min("first_doc_id").alias("first_doc_id"), spans.alias("spans"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectorcodes.compress(table(spark, sf_dir, "embeddings")).drop("label")
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_class_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown.score(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_near_copies": op2_near_copies,
@@ -79,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_personal_data": op9_personal_data,
     "op10_repeats": op10_repeats,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_class_model": op13_class_model,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -143,7 +158,54 @@ SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.verdict, CASE WHEN al
 FROM p LEFT JOIN best ON best.host = p.host AND best.path = p.path LEFT JOIN aliased ON aliased.name = p.name
 """
 
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """A pair of tables for each round: codes found with the books before, books made of those codes."""
+    found = (
+        "x{k} AS MATERIALIZED (SELECT row, part, arg_min(entry, (far, entry)) AS entry, min(far) AS far FROM (SELECT c.row, c.part, b.entry, sum((c.v - b.v) * (c.v - b.v))::BIGINT AS far"
+        " FROM cut c JOIN b{k} b ON b.part = c.part AND b.place = c.place GROUP BY ALL) GROUP BY row, part)"
+    )
+    made = (
+        ", b{n} AS MATERIALIZED (SELECT o.part, o.entry, o.place, coalesce(m.v, o.v) AS v FROM b{k} o LEFT JOIN (SELECT c.part, x.entry, c.place, floor(sum(c.v)::DOUBLE / count(*))::BIGINT AS v"
+        " FROM cut c JOIN x{k} x ON x.row = c.row AND x.part = c.part GROUP BY ALL) m ON m.part = o.part AND m.entry = o.entry AND m.place = o.place)"
+    )
+    steps = ", ".join(found.format(k=k) + (made.format(k=k, n=k + 1) if k < rounds else "") for k in range(rounds + 1))
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id, label, embedding AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), flat AS (SELECT row, unnest(e) AS x, unnest(range(len(e))) AS i, len(e) // {parts} AS width FROM kept
+), cut AS MATERIALIZED (SELECT row, i // width AS part, i % width AS place, floor(x::DOUBLE * {scale})::BIGINT AS v FROM flat
+), b0 AS MATERIALIZED (SELECT part, row AS entry, place, v FROM cut WHERE row < {entries}
+), {steps}
+, coded AS (SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM x{rounds} GROUP BY row
+), books AS (SELECT sha256(string_agg(v::VARCHAR, ',' ORDER BY part, entry, place)) AS codebooks_sha256 FROM b{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM kept JOIN coded USING (row) CROSS JOIN books
+"""
+
+
 SQL: dict[str, str] = {
+    "op11_vector_codes": _codes_sql(),
+    "op12_source_divergence": rf"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents
+), w AS (SELECT doc, lang, source, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), k AS (SELECT lang, term, count(*) AS in_lang FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 30
+), c AS (SELECT lang, source, term, count(*) AS n FROM w GROUP BY lang, source, term
+), g AS (SELECT DISTINCT lang, source FROM d
+), f AS (SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, k.in_lang FROM g JOIN k ON k.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+), t AS (SELECT lang, source, sum(n) AS n_all, sum(in_lang) AS lang_all, count(*) AS v FROM f GROUP BY lang, source
+), s AS (
+  SELECT f.lang, f.source, f.term, n, (1 + (1000000000::HUGEINT * (n + 5)) // (n_all + 5 * v)::HUGEINT)::BIGINT AS p, (1 + (1000000000::HUGEINT * (in_lang + 5)) // (lang_all + 5 * v)::HUGEINT)::BIGINT AS q
+  FROM f JOIN t ON t.lang = f.lang AND t.source = f.source
+), apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(apart.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+), both_parts AS (SELECT lang, source, 'pair' AS part, item, value FROM pairs UNION ALL SELECT lang, source, 'term', term, p - q FROM s WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM both_parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 50
+""",
     "op2_near_copies": r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents
