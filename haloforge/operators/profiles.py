@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haloforge.functions.columns import digitize, edges_of, offsets, radius, safe_div, shell_volumes
+from haloforge.operators.medians import medians
 from haloforge.operators.selection import select_particles
 
 
@@ -33,39 +34,54 @@ def _within(value: str | Column, n: int) -> Column:
     return F.when(F.col("bin") < n, F.col(value) if isinstance(value, str) else value)
 
 
-def radial_profile(rows: DataFrame, edges: Sequence[float], var: str | Column = "mass", corrected: bool = False) -> DataFrame:
+def _middles(rows: DataFrame, n: int, *values: str | Column) -> DataFrame:
+    """bin, m0, m1, ...: exact medians of the values in bins 0 to n - 1."""
+    own = rows.select(F.when(F.col("bin") < n, F.col("bin")).alias("bin"), *[_within(v, n).alias(f"m{k}") for k, v in enumerate(values)])
+    return medians(own, "bin", [f"m{k}" for k in range(len(values))])
+
+
+def _sums(rows: DataFrame, n: int, *values: str | Column) -> DataFrame:
+    """bin, r_mean, s0, s1, ...: sums of the values by bin."""
+    return rows.groupBy("bin").agg(F.avg("r").alias("r_mean"), *[F.sum(_within(v, n)).alias(f"s{k}") for k, v in enumerate(values)])
+
+
+def radial_profile(rows: DataFrame, edges: Sequence[float], var: str | Column = "mass", corrected: bool = False, median: bool = True) -> DataFrame:
     """bin, r_mean, density, median of rows (r, bin), one row for each edge; what lies beyond the last is left out.
 
     density is the sum by the shell's volume.  In bin 0 it is 0, as users of the method have it; ``corrected`` fills
-    it.  Empty bins have NaN, 0 and NaN.
+    it.  Empty bins have NaN, 0 and NaN.  Medians are exact, and take passes of their own over the values: without ``median`` they aren't
+    there.
     """
-    n = len(edges)
-    value = _within(var, n)
-    found = rows.groupBy("bin").agg(F.avg("r").alias("r_mean"), F.sum(value).alias("total"), F.median(value).alias("median"))
+    n, nan = len(edges), F.lit(float("nan"))
     volumes = F.array(*[F.lit(v) for v in shell_volumes(edges)])
-    density = F.coalesce(F.col("total"), F.lit(0.0)) / F.get(volumes, F.col("bin"))
-    nan = F.lit(float("nan"))
-    return _spine(rows, n).join(F.broadcast(found), "bin", "left").select(
-        "bin", F.coalesce("r_mean", nan).alias("r_mean"), (density if corrected else F.when(F.col("bin") == 0, 0.0).otherwise(density)).alias("density"), F.coalesce("median", nan).alias("median")
-    )
+    density = F.coalesce(F.col("s0"), F.lit(0.0)) / F.get(volumes, F.col("bin"))
+    density = (density if corrected else F.when(F.col("bin") == 0, 0.0).otherwise(density)).alias("density")
+    found = _spine(rows, n).join(F.broadcast(_sums(rows, n, var)), "bin", "left")
+    if median:
+        found = found.join(F.broadcast(_middles(rows, n, var)), "bin", "left")
+    return found.select("bin", F.coalesce("r_mean", nan).alias("r_mean"), density, *([F.coalesce("m0", nan).alias("median")] if median else []))
 
 
 def mass_density_profile(particles: DataFrame, centre: Sequence[float], size: float, box: float, limits: tuple[float, float], n: int, geometry: str = "spherical", average: bool = True, corrected: bool = False) -> DataFrame:
     """bin, r_mean and the density (or the median mass) about a centre, in a periodic box and logarithmic bins."""
     picked = with_radius(select_particles(particles, centre, size, geometry, True, box), centre, box)
     rows, edges = radial_bins(picked, limits, n)
-    return radial_profile(rows, edges, "mass", corrected).select("bin", "r_mean", F.col("density" if average else "median").alias("density" if average else "median_mass"))
+    found = radial_profile(rows, edges, "mass", corrected, not average)
+    return found.select("bin", "r_mean", F.col("density" if average else "median").alias("density" if average else "median_mass"))
 
 
 def gas_profile(gas: DataFrame, centre: Sequence[float], box: float, limits: tuple[float, float], n: int, average: bool = True) -> DataFrame:
-    """bin, r_mean and rho and u (summed by volume, or their medians) of chosen gas rows, in linear bins.  One pass."""
+    """bin, r_mean and rho and u (summed by volume, or their exact medians) of chosen gas rows, in linear bins."""
     rows, edges = radial_bins(with_radius(gas, centre, box), limits, n, "linear")
-    found = rows.groupBy("bin").agg(F.avg("r").alias("r_mean"), *[f(_within(v, n)).alias(f"{v}_{s}") for v in ("rho", "u") for f, s in ((F.sum, "sum"), (F.median, "median"))])
     volumes, nan = F.array(*[F.lit(v) for v in shell_volumes(edges)]), F.lit(float("nan"))
-    by_volume = lambda v: F.when(F.col("bin") == 0, 0.0).otherwise(F.coalesce(F.col(f"{v}_sum"), F.lit(0.0)) / F.get(volumes, F.col("bin"))).alias(v)
-    middle = lambda v: F.coalesce(F.col(f"{v}_median"), nan).alias(v)
-    pick = by_volume if average else middle
-    return _spine(rows, n).join(F.broadcast(found), "bin", "left").select("bin", F.coalesce("r_mean", nan).alias("r_mean"), pick("rho"), pick("u"))
+    names = ("rho", "u")
+    found = _spine(rows, n).join(F.broadcast(_sums(rows, n, *names)), "bin", "left")
+    if average:
+        picked = [F.when(F.col("bin") == 0, 0.0).otherwise(F.coalesce(f"s{k}", F.lit(0.0)) / F.get(volumes, F.col("bin"))).alias(v) for k, v in enumerate(names)]
+    else:
+        found = found.join(F.broadcast(_middles(rows, n, *names)), "bin", "left")
+        picked = [F.coalesce(f"m{k}", nan).alias(v) for k, v in enumerate(names)]
+    return found.select("bin", F.coalesce("r_mean", nan).alias("r_mean"), *picked)
 
 
 def kinematic_bins(rows: DataFrame, n: int) -> DataFrame:

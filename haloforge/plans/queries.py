@@ -281,6 +281,12 @@ def gas_profile(spark, d):
     return rounded(found.select(*bigint("bin"), "r_mean", "rho", "u"), r_mean=7, rho=7, u=7)
 
 
+@query
+def gas_median_profile(spark, d):
+    found = P.gas_profile(load(spark, d, "particles").where("ptype = 0"), EDGE, BOX, (10.0, 50.0), 8, average=False)
+    return rounded(found.select(*bigint("bin"), "r_mean", "rho", "u"), r_mean=7, rho=7, u=7)
+
+
 @query
 def kinematic_profile(spark, d):
     found = P.kinematic_profile(load(spark, d, "particles"), EDGE, (10.0, -20.0, 5.0), 40.0, BOX, (8.0, 40.0), 8)

@@ -131,6 +131,7 @@ _PROFILE = (P, near(EDGE, True), _profile(_LOG_8_40_10, "sum(mass) as total, med
 add("mass_density_profile", f"select {_BIN}, {_R}, {rnd(_RHO, 7)} as density from v left join g on g.bin = v.bin", *_PROFILE)
 add("mass_median_profile", f"select {_BIN}, {_R}, {rnd(f'coalesce(middle, {NAN})', 6)} as median_mass from v left join g on g.bin = v.bin", *_PROFILE)
 add("gas_profile", f"select {_BIN}, {_R}, {rnd(_RHO, 7)} as rho, {rnd(_RHO.replace('total', 'total_u'), 7)} as u from v left join g on g.bin = v.bin", P, near(EDGE, True, "ptype = 0"), _profile(_LINEAR_10_50_8, "sum(rho) as total, sum(u) as total_u"))
+add("gas_median_profile", f"select {_BIN}, {_R}, {rnd(f'coalesce(middle, {NAN})', 7)} as rho, {rnd(f'coalesce(middle_u, {NAN})', 7)} as u from v left join g on g.bin = v.bin", P, near(EDGE, True, "ptype = 0"), _profile(_LINEAR_10_50_8, "median(rho) as middle, median(u) as middle_u"))
 _KIN = ", ".join(f"{rnd(f'coalesce({c}, {NAN})', 6)} as {c}" for c in ("r_mean", "vr_mean", "sigma_r", "sigma"))
 
 

@@ -29,7 +29,7 @@ def rows(frame, columns):
 
 
 def test_all_have_sql():
-    assert set(QUERIES) == set(SQL) and len(QUERIES) == 71
+    assert set(QUERIES) == set(SQL) and len(QUERIES) == 72
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
