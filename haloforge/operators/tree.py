@@ -1,8 +1,9 @@
 """Merger trees: branches, assembly statistics, orbits, edges.
 
-Nodes are rows (tree_id, node_id, ...) with pointers to other nodes of their tree, -1 where there is none.  A tree is
-small and complete in itself, so one shuffle and sort by tree_id brings all pointers of a walk together; a batch holds
-many whole trees.  Link lists without trees are resolved by pointer doubling: a join for each power of two of the depth.
+Nodes are rows (tree_id, node_id, ...) with pointers to other nodes of their tree, -1 where there is none.  Most trees are
+small and complete in themselves, so one shuffle and sort by tree_id brings all pointers of a walk together; a batch holds
+many whole trees, whose branches are walked at once, a depth a step.  Trees of more than ``TREE_ROWS`` nodes, lists and
+nodes that are known by snapshot and id are followed by pointer doubling (``links``), with the same rows.
 """
 
 from __future__ import annotations
@@ -17,8 +18,12 @@ from pyspark.sql import types as T
 
 from haloforge.cosmology import r200
 from haloforge.functions.columns import wrap
+from haloforge.operators.links import follow
 from haloforge.operators.transform import running_sum
-from haloforge.work import drop_table, materialize
+from haloforge.work import materialize
+
+#: A tree of more nodes isn't brought to one task.
+TREE_ROWS = 1 << 20
 
 
 def _whole_trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -47,38 +52,66 @@ def _by_tree(rows: DataFrame, f: Callable[[pd.DataFrame], pd.DataFrame], schema,
     return rows.where("tree_id is not null").repartition("tree_id").sortWithinPartitions("tree_id", *order).mapInPandas(run, schema)
 
 
-def _walk(pointer: str, include_terminal: bool, until: str | None) -> Callable:
+def _next_places(trees: np.ndarray, node: np.ndarray, to: np.ndarray) -> np.ndarray:
+    """Where each row's pointer leads: a row of the same tree, or -1."""
+    order = np.lexsort((node, trees))
+    # Ranks of distinct (tree, node), and of the pointers among them.
+    both = np.stack([np.concatenate([trees, trees]), np.concatenate([node, to])])
+    sort = np.lexsort((both[1], both[0]))
+    fresh = np.ones(len(sort), dtype=bool)
+    fresh[1:] = (both[:, sort[1:]] != both[:, sort[:-1]]).any(axis=0)
+    rank = np.empty(len(sort), dtype=np.int64)
+    rank[sort] = np.cumsum(fresh) - 1
+    place = np.full(len(sort), -1, dtype=np.int64)
+    place[rank[: len(node)][order][::-1]] = order[::-1]
+    return place[rank[len(node) :]]
+
+
+def _walk(pointer: str, include_terminal: bool) -> Callable:
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        trees, node, to = (rows[c].to_numpy().tolist() for c in ("tree_id", "node_id", pointer))
-        place = {key: k for k, key in enumerate(zip(trees, node, strict=True))}
-        stop = (rows["snapnum"].to_numpy() <= rows[until].to_numpy()).tolist() if until else None
-        where, root, depth = [], [], []
-        for first in np.flatnonzero(rows["__root"].to_numpy(dtype=bool)).tolist():
-            k, d = first, 0
-            while True:
-                last = stop[k] if until else to[k] == -1
-                if last and not include_terminal:
-                    break
-                where.append(k)
-                root.append(node[first])
-                depth.append(d)
-                following = None if last else place.get((trees[k], to[k]))
-                if following is None or d > len(node):
-                    break
-                k, d = following, d + 1
-        out = rows.iloc[where].drop(columns=["__root"]).reset_index(drop=True)
-        out.insert(0, "root_id", np.array(root, dtype="int64"))
-        out.insert(1, "depth", np.array(depth, dtype="int32"))
+        trees, node, to = (rows[c].to_numpy(dtype=np.int64) for c in ("tree_id", "node_id", pointer))
+        following = _next_places(trees, node, np.where(rows[pointer].isna(), -1, to) if rows[pointer].hasnans else to)
+        last = to == -1
+        following[last | (following == np.arange(len(to)))] = -1
+        at = root = np.flatnonzero(rows["__root"].to_numpy(dtype=bool))
+        where, roots, depths, depth = [], [], [], 0
+        while len(at):
+            if depth > len(to):
+                raise ValueError("pointers go round in a circle")
+            kept = np.ones(len(at), dtype=bool) if include_terminal else ~last[at]
+            where.append(at[kept])
+            roots.append(root[kept])
+            depths.append(np.full(int(kept.sum()), depth, dtype=np.int32))
+            on = following[at] >= 0
+            at, root, depth = following[at[on]], root[on], depth + 1
+        rows = rows.drop(columns=["__root"])
+        where, roots, depths = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (where, roots, depths))
+        out = rows.iloc[where].reset_index(drop=True)
+        out.insert(0, "root_id", node[roots])
+        out.insert(1, "depth", depths.astype(np.int32))
         return out
 
     return run
 
 
-def branches(nodes: DataFrame, roots: DataFrame | None = None, pointer: str = "main_prog", include_terminal: bool = False, until: str | None = None) -> DataFrame:
+def _followed(marked: DataFrame, pointer: str, include_terminal: bool) -> DataFrame:
+    """As ``_walk``, of trees of any size: no tree is brought to one task."""
+    marked = materialize(marked, "nodes")
+    key = F.struct("tree_id", "node_id")
+    links = marked.select(key.alias("node"), F.when(F.col(pointer) != -1, F.struct("tree_id", F.col(pointer).alias("node_id"))).alias("to"))
+    paths = follow(links, marked.where("__root").select(key.alias("node")))
+    found = paths.select(F.col("root.node_id").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.col("node.tree_id").alias("tree_id"), F.col("node.node_id").alias("node_id"))
+    columns = [c for c in marked.columns if c != "__root"]
+    met = found.join(marked, ["tree_id", "node_id"]).select("root_id", "depth", *columns)
+    return met if include_terminal else met.where(F.col(pointer) != -1)
+
+
+def branches(nodes: DataFrame, roots: DataFrame | None = None, pointer: str = "main_prog", include_terminal: bool = False, tree_rows: int | None = None) -> DataFrame:
     """root_id, depth and all columns of ``nodes``, for each node on the branch that starts at each root.
 
-    roots (tree_id, node_id); by default the nodes that no pointer leads to.  The last node, whose pointer is -1 (or, with
-    ``until``, whose snapshot is no later than that column says), is left out unless ``include_terminal``.
+    roots (tree_id, node_id); by default the nodes that no pointer leads to.  The last node, whose pointer is -1, is left out unless
+    ``include_terminal``; a branch also ends where a pointer leads to no node.  Nodes without a tree_id raise a ``ValueError``
+    (``branches_by_snapshot`` needs none).  Trees of more than ``tree_rows`` nodes are followed across tasks.
     """
     if roots is None:
         # Chain heads of the same pointer, within the tree.
@@ -89,12 +122,38 @@ def branches(nodes: DataFrame, roots: DataFrame | None = None, pointer: str = "m
         marked = nodes.join(given, ["tree_id", "node_id"], "left").withColumn("__root", F.coalesce("__given", F.lit(False))).drop("__given")
     marked = marked.select(*nodes.columns, "__root")
     schema = T.StructType([T.StructField("root_id", T.LongType()), T.StructField("depth", T.IntegerType()), *nodes.schema.fields])
-    return _by_tree(marked, _walk(pointer, include_terminal, until), schema)
-
-
-def branches_by_snapshot(nodes: DataFrame) -> DataFrame:
-    """Branches of field halos (host_id -1) by progenitor id, for as long as the snapshot is later than root_tail_snap."""
-    return branches(nodes, nodes.where("host_id = -1 and is_root"), pointer="prog", until="root_tail_snap")
+    sizes = nodes.groupBy("tree_id").agg(F.count("*").alias("__size"))
+    large = materialize(sizes.where(F.col("tree_id").isNull() | (F.col("__size") > (TREE_ROWS if tree_rows is None else tree_rows))), "large-trees")
+    if large.isEmpty():
+        return _by_tree(marked, _walk(pointer, include_terminal), schema)
+    if not large.where("tree_id is null").isEmpty():
+        raise ValueError("nodes without a tree_id: follow them by snapshot and id")
+    small = marked.join(large, "tree_id", "left_anti").select(marked.columns)
+    return _by_tree(small, _walk(pointer, include_terminal), schema).union(_followed(marked.join(large, "tree_id", "left_semi").select(marked.columns), pointer, include_terminal))
+
+
+def branches_by_snapshot(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """root_snap, root_id, depth and all columns of ``nodes``: branches of field halos along (prog_snap, prog), for as long as the
+    snapshot is later than the root's root_tail_snap.  Nodes are known by snapnum and node_id and need no tree.
+
+    roots (snapnum, node_id), of which those count that lie in no other halo (host_id -1); by default all such nodes that no
+    progenitor pointer leads to.  A node that is its own progenitor has none.
+    """
+    nodes = materialize(nodes, "nodes")
+    key, to = F.struct(F.col("snapnum").cast("long").alias("snapnum"), "node_id"), F.struct(F.col("prog_snap").cast("long").alias("snapnum"), F.col("prog").alias("node_id"))
+    links = nodes.select(key.alias("node"), F.when((F.col("prog") != -1) & F.col("prog_snap").isNotNull(), to).alias("to"))
+    field = nodes.where("host_id = -1").select(key.alias("node"))
+    if roots is None:
+        heads = field.join(links.where("to is not null and to <> node").select(F.col("to").alias("node")), "node", "left_anti")
+    else:
+        heads = field.join(roots.select(key.alias("node")), "node", "left_semi")
+    paths = follow(links, heads)
+    paths = paths.select(F.col("root.snapnum").alias("root_snap"), F.col("root.node_id").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.col("node.snapnum").alias("snapnum"), F.col("node.node_id").alias("node_id"))
+    tails = nodes.select(F.col("snapnum").cast("long").alias("root_snap"), F.col("node_id").alias("root_id"), F.col("root_tail_snap").alias("__tail"))
+    met = paths.join(tails, ["root_snap", "root_id"]).where(F.col("snapnum") > F.col("__tail")).drop("__tail")
+    own = nodes.withColumn("__snap", F.col("snapnum").cast("long"))
+    met = met.withColumnRenamed("snapnum", "__snap").join(own, ["__snap", "node_id"])
+    return met.select(F.col("root_snap").cast("int").alias("root_snap"), "root_id", "depth", *nodes.columns)
 
 
 def next_masses(track: DataFrame, mass: str = "mass") -> DataFrame:
@@ -104,20 +163,15 @@ def next_masses(track: DataFrame, mass: str = "mass") -> DataFrame:
 
 def link_chains(links: DataFrame) -> DataFrame:
     """links (desc_id, prog_rank, prog_id) -> root_id, depth, node_id: chains of first progenitors from every descendant
-    that isn't itself the first progenitor of another.  By pointer doubling towards the roots."""
-    up = links.where("prog_rank = 0").select(F.col("prog_id").alias("node_id"), F.col("desc_id").alias("up"))
-    nodes = up.select("node_id").union(up.select("up")).distinct()
-    state = nodes.join(up, "node_id", "left").select("node_id", F.coalesce("up", "node_id").alias("up"), F.when(F.col("up").isNull(), 0).otherwise(1).alias("steps"))
-    # Each round doubles the steps; it is written, so that no round is computed twice and lineage stays short.
-    state = materialize(state, "chains")
-    for _ in range(40):
-        jump = state.select(F.col("node_id").alias("up"), F.col("up").alias("up2"), F.col("steps").alias("more"))
-        jumped = state.join(jump, "up").select("node_id", F.col("up2").alias("up"), (F.col("steps") + F.col("more")).alias("steps"), (F.col("more") > 0).alias("moved"))
-        before, state = state, materialize(jumped, "chains")
-        drop_table(before)
-        if state.where("moved").isEmpty():
-            break
-    return state.select(F.col("up").alias("root_id"), F.col("steps").alias("depth"), "node_id")
+    that isn't itself the first progenitor of another."""
+    first = materialize(links.where("prog_rank = 0").select("desc_id", "prog_id"), "first")
+    nodes = first.select(F.col("desc_id").alias("node")).union(first.select("prog_id")).distinct()
+    own = materialize(nodes.join(first.select(F.col("desc_id").alias("node"), F.col("prog_id").alias("to")), "node", "left"), "links")
+    heads = first.select(F.col("desc_id").alias("node")).join(first.select(F.col("prog_id").alias("node")), "node", "left_anti")
+    found = follow(own, heads)
+    if not own.join(found.select("node"), "node", "left_anti").isEmpty():
+        raise ValueError("pointers go round in a circle")  # what no head leads to is led to by itself
+    return found.select(F.col("root").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.col("node").alias("node_id"))
 
 
 _STATISTICS = "tree_id long, root_id long, n_nodes long, m0 double, zform double, alpha double, dm_over_m double"
@@ -148,24 +202,41 @@ def assembly_statistics(track: DataFrame, least: int = 10) -> DataFrame:
     return _by_tree(track.select("tree_id", "root_id", "depth", "m200", "redshift"), _assembly(least), _STATISTICS, "root_id", "depth")
 
 
-def fof_orbits(nodes: DataFrame, members: DataFrame, box: float, corrected: bool = False) -> DataFrame:
-    """Orbits of FOF members about the central one's branch, in physical units.
+def fof_members(nodes: DataFrame, snapnum: int | None = None) -> DataFrame:
+    """nodes (tree_id, node_id, first_in_fof, next_in_fof) -> tree_id, first_in_fof, rank, node_id, last: each group's members in the
+    order of its list, from the first, of rank 0, on.  With ``snapnum`` the groups of that snapshot alone."""
+    own = nodes if snapnum is None else nodes.where(F.col("snapnum") == snapnum)
+    own = materialize(own.select("tree_id", "node_id", "first_in_fof", "next_in_fof"), "groups")
+    named = lambda c: F.struct("tree_id", F.col(c).alias("node_id"))
+    links = own.select(named("node_id").alias("node"), F.when(F.col("next_in_fof") != -1, named("next_in_fof")).alias("to"))
+    found = follow(links, own.select(named("first_in_fof").alias("node")))
+    found = found.select("root", "depth", "node.tree_id", "node.node_id").join(own.select("tree_id", "node_id", "next_in_fof"), ["tree_id", "node_id"])
+    return found.select("tree_id", F.col("root.node_id").alias("first_in_fof"), F.col("depth").cast("int").alias("rank"), "node_id", (F.col("next_in_fof") == -1).alias("last"))
+
 
-    members (tree_id, fof_id, node_id, rank, last): rank 0 is the central; the last member is left out, as users of the
-    method have it, unless ``corrected``.  -> fof_id, root_id, depth, snapnum, scale_factor, dx, dy, dz, dvx, dvy, dvz,
-    mass, r, v_r.
+def fof_orbits(nodes: DataFrame, box: float, snapnum: int | None = None, corrected: bool = False, groups: DataFrame | None = None) -> DataFrame:
+    """Orbits of the members of a snapshot's FOF groups about the central one's branch, in physical units.
+
+    Members are those that the groups' lists lead to (``fof_members``); by default of the last snapshot; groups (tree_id, first_in_fof):
+    these alone.  The last of a list is left out, as users of the method have it, unless ``corrected``.  -> tree_id, first_in_fof,
+    root_id, rank, depth, snapnum, scale_factor, dx, dy, dz, dvx, dvy, dvz, mass, r, v_r.
     """
-    used = members if corrected else members.where("rank = 0 or not last")
-    track = branches(nodes.drop("fof_id", "rank"), used).join(used.select("tree_id", F.col("node_id").alias("root_id"), "fof_id", "rank"), ["tree_id", "root_id"])
-    a = F.col("scale_factor")
+    if snapnum is None:
+        snapnum = nodes.agg(F.max("snapnum")).first()[0]
+    members = fof_members(nodes, snapnum)
+    if groups is not None:
+        members = members.join(groups.select("tree_id", "first_in_fof").distinct(), ["tree_id", "first_in_fof"], "left_semi")
+    used = materialize(members if corrected else members.where("rank = 0 or not last"), "members")
+    track = branches(nodes.drop("first_in_fof", "rank"), used).join(used.select("tree_id", F.col("node_id").alias("root_id"), "first_in_fof", "rank"), ["tree_id", "root_id"])
+    a, group = F.col("scale_factor"), ["tree_id", "first_in_fof"]
     own = [(F.col(c) * a).alias(c) for c in ("x", "y", "z")] + [(F.col(c) * F.sqrt(a)).alias(c) for c in ("vx", "vy", "vz")]
-    physical = track.select("fof_id", "root_id", "rank", "depth", "snapnum", "scale_factor", "mass", *own)
-    central = physical.where("rank = 0").select("fof_id", "snapnum", *[F.col(c).alias(f"c{c}") for c in ("x", "y", "z", "vx", "vy", "vz")])
-    met = physical.where("rank > 0").join(central, ["fof_id", "snapnum"])
+    physical = materialize(track.select(*group, "root_id", "rank", "depth", "snapnum", "scale_factor", "mass", *own), "tracks")
+    central = physical.where("rank = 0").select(*group, "snapnum", *[F.col(c).alias(f"c{c}") for c in ("x", "y", "z", "vx", "vy", "vz")])
+    met = physical.where("rank > 0").join(central, [*group, "snapnum"])
     d = {f"d{c}": wrap(F.col(c) - F.col(f"c{c}"), F.lit(box) * a) for c in ("x", "y", "z")} | {f"d{c}": F.col(c) - F.col(f"c{c}") for c in ("vx", "vy", "vz")}
     met = met.withColumns(d).withColumn("r", F.sqrt(F.col("dx") ** 2 + F.col("dy") ** 2 + F.col("dz") ** 2))
     v_r = F.try_divide(F.col("dx") * F.col("dvx") + F.col("dy") * F.col("dvy") + F.col("dz") * F.col("dvz"), F.col("r"))
-    return met.select("fof_id", "root_id", "depth", "snapnum", "scale_factor", "dx", "dy", "dz", "dvx", "dvy", "dvz", "mass", "r", v_r.alias("v_r"))
+    return met.select(*group, "root_id", "rank", "depth", "snapnum", "scale_factor", "dx", "dy", "dz", "dvx", "dvy", "dvz", "mass", "r", v_r.alias("v_r"))
 
 
 def r200_track(track: DataFrame, omega0: float, omega_lambda: float, factor: float = 1.0, mass: str = "mass", corrected: bool = False) -> DataFrame:
@@ -178,26 +249,25 @@ def tree_bounds(trees: DataFrame) -> DataFrame:
     return trees.select("tree_id", F.col("start_offset").alias("first"), (F.col("start_offset") + F.col("length")).alias("last"))
 
 
-def tree_edges(nodes: DataFrame, siblings: DataFrame, min_snap: int = 55, roots: DataFrame | None = None) -> DataFrame:
-    """tree_id, src, dst, src_snap, dst_snap, x: edges from each main-branch node to its progenitor (x = 0) and to the
-    progenitor's further siblings in order (x = 0.1, 0.2, ...).
+def tree_edges(nodes: DataFrame, min_snap: int = 55, roots: DataFrame | None = None, pointer: str = "main_prog") -> DataFrame:
+    """tree_id, src, dst, src_snap, dst_snap, x: edges from each main-branch node to its progenitor (x = 0) and to those that the
+    list of next_prog leads to from there, in order (x = 0.1, 0.2, ...).
 
-    siblings (tree_id, prog_id, sibling_rank from 1, sibling_id, sibling_snap).  The walk ends after the first edge to a
-    snapshot before ``min_snap``.
+    The walk ends after the first edge to a snapshot before ``min_snap``.
     """
-    main = branches(nodes, roots)
-    after = nodes.select("tree_id", F.col("node_id").alias("main_prog"), F.col("snapnum").alias("dst_snap"))
+    nodes = materialize(nodes, "nodes")
+    snaps = nodes.select("tree_id", F.col("node_id").alias("dst"), F.col("snapnum").alias("dst_snap"))
+    main = branches(nodes, roots, pointer)
     kept = main.where((F.col("depth") == 0) | (F.col("snapnum") >= min_snap))
-    steps = kept.join(after, ["tree_id", "main_prog"]).select("tree_id", F.col("node_id").alias("src"), F.col("main_prog").alias("dst"), F.col("snapnum").alias("src_snap"), "dst_snap")
-    aside = steps.join(siblings, (F.col("dst") == F.col("prog_id")) & (steps["tree_id"] == siblings["tree_id"])).select(
-        steps["tree_id"], "src", F.col("sibling_id").alias("dst"), "src_snap", F.col("sibling_snap").alias("dst_snap"), (F.col("sibling_rank") * 0.1).alias("x")
-    )
-    return steps.withColumn("x", F.lit(0.0)).unionByName(aside)
-
-
-def fof_members(halos: DataFrame) -> DataFrame:
-    """halos (halo_id, first_in_fof) -> first_in_fof, rank, halo_id: members of each group in order, the first being 0."""
-    return halos.select("first_in_fof", (F.row_number().over(Window.partitionBy("first_in_fof").orderBy("halo_id")) - 1).alias("rank"), "halo_id")
+    steps = kept.select("tree_id", F.col("node_id").alias("src"), F.col(pointer).alias("dst"), F.col("snapnum").alias("src_snap"))
+    steps = materialize(steps.join(snaps, ["tree_id", "dst"]), "steps")
+    named = lambda c: F.struct("tree_id", F.col(c).alias("node_id"))
+    links = nodes.select(named("node_id").alias("node"), F.when(F.col("next_prog") != -1, named("next_prog")).alias("to"))
+    aside = follow(links, steps.select(named("dst").alias("node"))).where("depth > 0")
+    aside = aside.select("root.tree_id", F.col("root.node_id").alias("dst"), F.col("node.node_id").alias("sibling"), (F.col("depth") * 0.1).alias("x"))
+    further = steps.drop("dst_snap").join(aside, ["tree_id", "dst"]).select("tree_id", "src", F.col("sibling").alias("dst"), "src_snap", "x").join(snaps, ["tree_id", "dst"])
+    columns = ["tree_id", "src", "dst", "src_snap", "dst_snap", "x"]
+    return steps.withColumn("x", F.lit(0.0)).select(columns).union(further.select(columns))
 
 
 def branch_lengths(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:

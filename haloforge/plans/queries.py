@@ -15,7 +15,7 @@ from haloforge.operators import selection as S
 from haloforge.operators import spatial as X
 from haloforge.operators import transform as R
 from haloforge.operators import tree as T
-from haloforge.plans.standins import BOX, OMEGA0, OMEGA_LAMBDA, load, members
+from haloforge.plans.standins import BOX, FIRST_IN_FOF, LAST_SNAP, NEXT_IN_FOF, OMEGA0, OMEGA_LAMBDA, load, members
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 EDGE = (5.0, 50.0, 95.0)  # near two borders of the box
@@ -383,10 +383,11 @@ def main_progenitor_track(spark, d):
 
 @query
 def main_progenitor_track_snap(spark, d):
-    nodes = load(spark, d, "nodes").withColumns({"prog": F.col("main_prog"), "host_id": F.expr("case when tree_id % 4 = 0 then -1 else tree_id - tree_id % 4 end"), "is_root": F.col("redshift") == 0})
-    tails = nodes.groupBy("tree_id").agg(F.min("snapnum").alias("root_tail_snap"))
-    found = T.branches_by_snapshot(nodes.join(tails, "tree_id"))
-    return rounded(found.select("tree_id", "root_id", *bigint("depth", "snapnum"), "node_id", "mass"), mass=6)
+    """Nodes as a TreeFrog file has them: known by snapshot and id, without trees."""
+    progs = "case when main_prog = -1 then snapnum else snapnum - 1 end as prog_snap"
+    nodes = load(spark, d, "nodes").selectExpr("*", "main_prog as prog", progs, f"{LAST_SNAP} + 1 - count(*) over (partition by tree_id) as root_tail_snap", "case when tree_id % 4 = 0 then -1 else fof_id end as host_id")
+    found = T.branches_by_snapshot(nodes.drop("tree_id", "fof_id", "main_prog"))
+    return rounded(found.select("root_id", *bigint("root_snap", "depth", "snapnum"), "node_id", "mass"), mass=6)
 
 
 @query
@@ -444,40 +445,37 @@ def hexbin_mass_zform(spark, d):
     return P.hexbin(points, "lm", "zform", 16)
 
 
-@query
-def fof_members(spark, d):
-    return T.fof_members(load(spark, d, "halos")).select("first_in_fof", *bigint("rank"), "halo_id")
-
-
 def _fof(spark, d):
-    """Trees are the FOF groups here: four customers' orders together, the first customer's last order being central."""
-    nodes = load(spark, d, "nodes").withColumn("member", F.col("tree_id")).withColumn("tree_id", F.col("fof_id"))
-    heads = nodes.where("redshift = 0").select("tree_id", "fof_id", "node_id", "member")
-    from pyspark.sql import Window
+    """Trees are the FOF groups here, four customers' orders together; at each snapshot a list links them, not in the order of
+    their ids, and the next of a list is the next progenitor as well."""
+    nodes = load(spark, d, "nodes").selectExpr("*", FIRST_IN_FOF, NEXT_IN_FOF)
+    return nodes.withColumns({"member": F.col("tree_id"), "tree_id": F.col("fof_id"), "next_prog": F.col("next_in_fof")})
 
-    w = Window.partitionBy("fof_id")
-    ranked = heads.withColumn("rank", F.row_number().over(w.orderBy("member")) - 1).withColumn("last", F.col("member") == F.max("member").over(w))
-    return nodes, ranked.select("tree_id", "fof_id", "node_id", "rank", "last")
+
+@query
+def fof_members(spark, d):
+    found = T.fof_members(_fof(spark, d))
+    return found.select("tree_id", "first_in_fof", *bigint("rank"), "node_id", "last")
 
 
 @query
 def fof_orbits(spark, d):
-    found = T.fof_orbits(*_fof(spark, d), BOX)
+    found = T.fof_orbits(_fof(spark, d), BOX)
     keys = ("dx", "dy", "dz", "dvx", "dvy", "dvz", "mass")
-    return rounded(found.select("fof_id", "root_id", *bigint("snapnum"), *keys), **dict.fromkeys(keys, 6))
+    return rounded(found.select(F.col("tree_id").alias("fof_id"), "root_id", *bigint("snapnum"), *keys), **dict.fromkeys(keys, 6))
 
 
 @query
 def orbit_relative(spark, d):
-    found = T.fof_orbits(*_fof(spark, d), BOX, corrected=True)
+    found = T.fof_orbits(_fof(spark, d), BOX, corrected=True)
     return rounded(found.select("root_id", *bigint("snapnum"), "dx", "dy", "dz"), dx=6, dy=6, dz=6)
 
 
 @query
 def orbit_radius(spark, d):
-    nodes, ranked = _fof(spark, d)
-    orbits = T.fof_orbits(nodes, ranked, BOX).select("fof_id", "root_id", "snapnum", "scale_factor", "r")
-    central = T.branches(nodes, ranked.where("rank = 0")).select(F.col("fof_id"), "snapnum", "mass", "scale_factor")
+    nodes = _fof(spark, d)
+    orbits = T.fof_orbits(nodes, BOX).select(F.col("tree_id").alias("fof_id"), "root_id", "snapnum", "scale_factor", "r")
+    central = T.branches(nodes, nodes.where(f"snapnum = {LAST_SNAP} and first_in_fof = node_id")).select(F.col("tree_id").alias("fof_id"), "snapnum", "mass", "scale_factor")
     virial = T.r200_track(central, OMEGA0, OMEGA_LAMBDA).select("fof_id", "snapnum", "r200")
     return rounded(orbits.join(virial, ["fof_id", "snapnum"]).select("fof_id", "root_id", *bigint("snapnum"), "scale_factor", "r", "r200"), scale_factor=9, r=6, r200=6)
 
@@ -490,11 +488,7 @@ def r200_track(spark, d):
 
 @query
 def merger_tree_edges(spark, d):
-    nodes = load(spark, d, "nodes")
-    lines = spark.read.parquet(f"{d}/lineitem.parquet").selectExpr("l_orderkey as prog_id", "l_linenumber as sibling_rank").distinct()
-    own = nodes.selectExpr("tree_id", "node_id as prog_id", "snapnum as sibling_snap")
-    siblings = lines.join(own, "prog_id").selectExpr("tree_id", "prog_id", "cast(sibling_rank as long) as sibling_rank", "prog_id * 10 + sibling_rank as sibling_id", "sibling_snap")
-    found = T.tree_edges(nodes, siblings, min_snap=55)
+    found = T.tree_edges(_fof(spark, d), min_snap=55)
     return rounded(found.select("tree_id", "src", "dst", *bigint("src_snap", "dst_snap"), "x"), x=6)
 
 
@@ -505,8 +499,7 @@ def halo_scatter(spark, d):
     p = load(spark, d, "particles").select("pid", "x", "y", "z").crossJoin(F.broadcast(halo))  # one halo
     near = p.select("pid", *[wrap(F.col(c) - F.col(f"h{c}"), BOX).alias(f"d{c}") for c in "xyz"], "r200").where("dx * dx + dy * dy + dz * dz < r200 * r200")
     parts = near.select(F.lit("particle").alias("kind"), F.col("pid").alias("id"), "dx", "dy", "dz")
-    nodes, ranked = _fof(spark, d)
-    orbits = T.fof_orbits(nodes.where("fof_id = 40"), ranked.where("fof_id = 40"), BOX).select("root_id", "scale_factor", "dx", "dy", "dz")
+    orbits = T.fof_orbits(_fof(spark, d).where("tree_id = 40"), BOX).select("root_id", "scale_factor", "dx", "dy", "dz")
     epoch = spark.createDataFrame([(1.0,)], "group_a double")
     subs = X.tolerance_join(orbits, epoch, "scale_factor", "group_a", 1e-4).select(F.lit("subhalo").alias("kind"), F.col("root_id").alias("id"), "dx", "dy", "dz")
     return rounded(parts.unionByName(subs), dx=6, dy=6, dz=6)

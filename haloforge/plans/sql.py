@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from haloforge.plans.standins import MEMBERS, OMEGA0, OMEGA_LAMBDA, cte
+from haloforge.plans.standins import FIRST_IN_FOF, MEMBERS, NEXT_IN_FOF, OMEGA0, OMEGA_LAMBDA, cte
 
 SQL: dict[str, str] = {}
 NAN = "'nan'::double"
@@ -211,7 +211,13 @@ _TRACK = """walk as (
 ),
 track as (select w.root_id, w.depth, n.* from walk w join nodes n on n.node_id = w.node_id where n.main_prog <> -1)"""
 add("main_progenitor_track", f"select tree_id, root_id, depth::bigint as depth, snapnum::bigint as snapnum, node_id, {rnd('redshift', 9)} as redshift, {rnd('mass', 6)} as mass, {rnd('m200', 4)} as m200 from track", N, _TRACK, recursive=True)
-add("main_progenitor_track_snap", f"select tree_id, root_id, depth::bigint as depth, snapnum::bigint as snapnum, node_id, {rnd('mass', 6)} as mass from track where tree_id % 4 = 0", N, _TRACK, recursive=True)
+add("main_progenitor_track_snap", f"""
+select root_id, root_snap::bigint as root_snap, depth::bigint as depth, snapnum::bigint as snapnum, node_id, {rnd('mass', 6)} as mass from hop where snapnum > tail
+""", N, """known as (select *, main_prog as prog, snapnum - 1 as prog_snap, min(snapnum) over (partition by tree_id) as tail from nodes),
+hop as (
+  select node_id as root_id, snapnum as root_snap, 0 as depth, snapnum, node_id, prog, prog_snap, mass, tail from known k where tree_id % 4 = 0 and not exists (select 1 from known m where m.prog = k.node_id and m.prog_snap = k.snapnum)
+  union all select h.root_id, h.root_snap, h.depth + 1, k.snapnum, k.node_id, k.prog, k.prog_snap, k.mass, h.tail from hop h join known k on k.snapnum = h.prog_snap and k.node_id = h.prog
+)""", recursive=True)
 add("first_progenitor_track", f"select a.tree_id, a.node_id, {rnd('a.redshift', 9)} as redshift, {rnd('b.mass', 6)} as next_mass from track a join nodes b on b.node_id = a.main_prog", N, _TRACK, recursive=True)
 add("first_progenitor_chain", "select root_id, depth::bigint as depth, node_id from walk where exists (select 1 from nodes m where (m.node_id = walk.node_id and m.main_prog <> -1) or m.main_prog = walk.node_id)", N, _TRACK, recursive=True)
 add("main_branch_length", "select tree_id, root_id, count(*) as n from track group by 1, 2", N, _TRACK, recursive=True)
@@ -242,14 +248,19 @@ select case when near then u1 else u2 + 0.5::double end as cx, case when near th
         (y - min(y) over ()) / (case when max(y) over () > min(y) over () then max(y) over () - min(y) over () else 1 end) * 9 as v
       from (select log10(m0) as x, zform as y from pop where n_nodes > 10)))) group by 1, 2
 """, N, H, _TRACK, _STATS, _POP, recursive=True)
-add("fof_members", "select first_in_fof, row_number() over (partition by first_in_fof order by halo_id) - 1 as rank, halo_id from halos", H)
-
-_FOF = f"""heads as (select fof_id, tree_id, row_number() over (partition by fof_id order by tree_id) - 1 as rank, tree_id = max(tree_id) over (partition by fof_id) as last from nodes where redshift = 0),
-own as (select t.fof_id, h.rank, h.last, t.root_id, t.snapnum, t.scale_factor, t.mass, {', '.join(f't.{c} * t.scale_factor as {c}' for c in 'xyz')}, {', '.join(f't.{c} * sqrt(t.scale_factor) as {c}' for c in ('vx', 'vy', 'vz'))} from track t join heads h on h.tree_id = t.tree_id),
+_LISTS = f"""fof as (select *, {FIRST_IN_FOF}, {NEXT_IN_FOF} from nodes),
+list as (
+  select fof_id, snapnum, node_id as first_in_fof, 0 as rank, node_id, next_in_fof from fof where node_id = first_in_fof
+  union all select l.fof_id, l.snapnum, l.first_in_fof, l.rank + 1, f.node_id, f.next_in_fof from list l join fof f on f.fof_id = l.fof_id and f.node_id = l.next_in_fof
+)"""
+add("fof_members", "select fof_id as tree_id, first_in_fof, rank::bigint as rank, node_id, next_in_fof = -1 as last from list", N, _LISTS, recursive=True)
+
+_FOF = f"""heads as (select fof_id, node_id, rank, next_in_fof = -1 as last from list where snapnum = 60),
+own as (select t.fof_id, h.rank, h.last, t.root_id, t.snapnum, t.scale_factor, t.mass, {', '.join(f't.{c} * t.scale_factor as {c}' for c in 'xyz')}, {', '.join(f't.{c} * sqrt(t.scale_factor) as {c}' for c in ('vx', 'vy', 'vz'))} from track t join heads h on h.node_id = t.root_id),
 orbits as (select s.fof_id, s.root_id, s.snapnum, s.scale_factor, s.mass, s.last, c.mass as central_mass, {', '.join(wrap(f'(s.{c} - c.{c})', '(100.0::double * s.scale_factor)') + f' as d{c}' for c in 'xyz')}, {', '.join(f's.{c} - c.{c} as d{c}' for c in ('vx', 'vy', 'vz'))}
   from own s join own c on c.fof_id = s.fof_id and c.snapnum = s.snapnum and c.rank = 0 where s.rank > 0)"""
-add("fof_orbits", "select fof_id, root_id, snapnum::bigint as snapnum, " + ", ".join(f"{rnd(c, 6)} as {c}" for c in ("dx", "dy", "dz", "dvx", "dvy", "dvz", "mass")) + " from orbits where not last", N, _TRACK, _FOF, recursive=True)
-add("orbit_relative", "select root_id, snapnum::bigint as snapnum, " + ", ".join(f"{rnd(c, 6)} as {c}" for c in ("dx", "dy", "dz")) + " from orbits", N, _TRACK, _FOF, recursive=True)
+add("fof_orbits", "select fof_id, root_id, snapnum::bigint as snapnum, " + ", ".join(f"{rnd(c, 6)} as {c}" for c in ("dx", "dy", "dz", "dvx", "dvy", "dvz", "mass")) + " from orbits where not last", N, _TRACK, _LISTS, _FOF, recursive=True)
+add("orbit_relative", "select root_id, snapnum::bigint as snapnum, " + ", ".join(f"{rnd(c, 6)} as {c}" for c in ("dx", "dy", "dz")) + " from orbits", N, _TRACK, _LISTS, _FOF, recursive=True)
 
 
 def _r200(mass: str, a: str) -> str:
@@ -257,14 +268,18 @@ def _r200(mass: str, a: str) -> str:
     return f"pow(3.0::double * {mass} / (4.0::double * pi()) / 200.0::double / {rho}, 1.0::double / 3.0::double) * {a}"
 
 
-add("orbit_radius", f"select fof_id, root_id, snapnum::bigint as snapnum, {rnd('scale_factor', 9)} as scale_factor, {rnd('sqrt(dx * dx + dy * dy + dz * dz)', 6)} as r, {rnd(_r200('central_mass', 'scale_factor'), 6)} as r200 from orbits where not last", N, _TRACK, _FOF, recursive=True)
+add("orbit_radius", f"select fof_id, root_id, snapnum::bigint as snapnum, {rnd('scale_factor', 9)} as scale_factor, {rnd('sqrt(dx * dx + dy * dy + dz * dz)', 6)} as r, {rnd(_r200('central_mass', 'scale_factor'), 6)} as r200 from orbits where not last", N, _TRACK, _LISTS, _FOF, recursive=True)
 add("r200_track", f"select node_id, {rnd(_r200('mass', 'scale_factor'), 7)} as r200 from track", N, _TRACK, recursive=True)
 add("merger_tree_edges", f"""
-select tree_id, node_id as src, main_prog as dst, src_snap, dst_snap, 0.0::double as x from steps
-union all select tree_id, node_id, main_prog * 10 + l_linenumber, src_snap, dst_snap, {rnd('l_linenumber * 0.1::double', 6)} from steps join (select distinct l_orderkey, l_linenumber from lineitem) on l_orderkey = main_prog
-""", N, _TRACK, "steps as (select t.tree_id, t.node_id, t.main_prog, t.snapnum::bigint as src_snap, n.snapnum::bigint as dst_snap from track t join nodes n on n.node_id = t.main_prog where t.depth = 0 or t.snapnum >= 55)", recursive=True)
+select fof_id as tree_id, node_id as src, main_prog as dst, src_snap, dst_snap, 0.0::double as x from steps
+union all select s.fof_id, s.node_id, b.node_id, s.src_snap, b.snapnum, {rnd('b.rank * 0.1::double', 6)} from steps s join beside b on b.first = s.main_prog
+""", N, _TRACK, _LISTS, """steps as (select t.fof_id, t.node_id, t.main_prog, t.snapnum::bigint as src_snap, n.snapnum::bigint as dst_snap from track t join nodes n on n.node_id = t.main_prog where t.depth = 0 or t.snapnum >= 55),
+beside as (
+  select f.node_id as first, 1 as rank, n.node_id, n.snapnum::bigint as snapnum, n.next_in_fof as after from fof f join fof n on n.node_id = f.next_in_fof
+  union all select b.first, b.rank + 1, n.node_id, n.snapnum::bigint, n.next_in_fof from beside b join fof n on n.node_id = b.after
+)""", recursive=True)
 _D = [wrap(f"(p.{c} - h.{c})") for c in "xyz"]
 add("halo_scatter", f"""
 select 'particle' as kind, pid as id, {', '.join(f'{rnd(v, 6)} as d{c}' for c, v in zip('xyz', _D, strict=True))} from particles p, halos h where halo_id = 40 and {' + '.join(f'{v} * {v}' for v in _D)} < r200 * r200
 union all select 'subhalo', root_id, {', '.join(rnd(f'd{c}', 6) for c in 'xyz')} from orbits where fof_id = 40 and not last and abs(scale_factor - 1) < 1e-4
-""", P, H, N, _TRACK, _FOF, recursive=True)
+""", P, H, N, _TRACK, _LISTS, _FOF, recursive=True)

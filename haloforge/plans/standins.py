@@ -76,6 +76,10 @@ NODES = {
     "vy": f"400 * ({hashed('o_orderkey * 32452867', 100057)} - cast(0.5 as double))",
     "vz": f"400 * ({hashed('o_orderkey * 67867979', 100069)} - cast(0.5 as double))",
 }
+#: Lists of a FOF group's nodes at a snapshot, over nodes; the order isn't that of ids.
+_LIST = "over (partition by fof_id, snapnum order by tree_id * 7 % 5, tree_id desc)"
+FIRST_IN_FOF = f"first_value(node_id) {_LIST} as first_in_fof"
+NEXT_IN_FOF = f"coalesce(lead(node_id) {_LIST}, -1) as next_in_fof"
 _TABLES = {"particles": ("lineitem", PARTICLES), "halos": ("customer", HALOS), "subhalos": ("supplier", SUBHALOS), "galaxies": ("part", GALAXIES), "nodes": ("orders", NODES)}
 
 
