@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from haloforge.registry import QUERIES, SQL
+from haloforge.registry import FORMER, QUERIES, SQL
 
 from .conftest import DATA
 
@@ -29,10 +29,10 @@ def rows(frame, columns):
 
 
 def test_all_have_sql():
-    assert set(QUERIES) == set(SQL) and len(QUERIES) == 72
+    assert set(QUERIES) == set(SQL) and len(QUERIES) == 76
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(FORMER)))
 def test_query(spark, duck, name):
     a, b = QUERIES[name](spark, DATA).toPandas(), duck.sql(SQL[name]).df()
     columns = sorted(a.columns)

@@ -2,24 +2,27 @@
 
 import collections
 
-from haloforge.plans import queries, whole
+from haloforge.operators import tree as T
+from haloforge.plans import queries
 from haloforge.plans.standins import load, members
+from haloforge.registry import QUERIES
 
 from .conftest import DATA
 
 
-def test_joins_take_all_rows(spark, monkeypatch):
-    monkeypatch.setattr(whole, "PLACES", 7)  # ranges over many buckets
-    monkeypatch.setattr(whole, "TREES", 11)
+def test_joins_take_all_rows(spark):
     nodes, halos = load(spark, DATA, "nodes").collect(), load(spark, DATA, "halos").collect()
-    run = lambda name: whole.QUERIES[name](spark, DATA).collect()
+    run = lambda name: QUERIES[name](spark, DATA).collect()
     by = {(n.tree_id, n.snapnum): n for n in nodes}
     want = sorted(by[n.tree_id, n.snapnum - 2].node_id for n in nodes if (n.tree_id, n.snapnum - 2) in by)
     assert sorted(r.node_id for r in run("node_lookup_all")) == want
     start, at = {}, 0
     for tree, size in sorted(collections.Counter(n.tree_id for n in nodes).items()):
         start[tree], at = at, at + size
-    assert sorted((r.tree_id, r.node_id, r.start_offset, r.snapnum) for r in run("tree_slice_all")) == sorted((n.tree_id, n.node_id, start[n.tree_id], n.snapnum) for n in nodes)
+    want = sorted((n.tree_id, n.node_id, start[n.tree_id], n.snapnum) for n in nodes)
+    narrow = T.slices(load(spark, DATA, "nodes"), queries._trees(spark, DATA), 11, 7)  # ranges over many buckets
+    for found in (run("tree_slice_all"), narrow.collect()):
+        assert sorted((r.tree_id, r.node_id, r.start_offset, r.snapnum) for r in found) == want
     want = sorted((n.node_id, h.halo_id) for n in nodes for h in halos if abs(n.scale_factor - 1 / (1 + h.halo_id / 8)) < 1e-4)
     assert sorted((r.node_id, r.halo_id) for r in run("tolerance_match_all")) == want
     tree = {n.node_id: n.tree_id for n in nodes}
