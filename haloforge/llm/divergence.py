@@ -156,7 +156,8 @@ def _heavy(src: np.ndarray, term: np.ndarray, share: np.ndarray, absent: np.ndar
 
 
 def _tile(key: tuple, rows: pa.Table) -> pa.Table:
-    """Rows of one slice of terms and two blocks of sources: a row without a term for each source, and postings."""
+    """Rows of one slice of terms and two blocks of sources: a row without a term for each source, and postings.  Of the slice's
+    terms, those that no source of the two blocks has are known by their number."""
     lang, first, second = (key[k].as_py() for k in (0, 1, 2))
     names = sorted(set(rows["source"].to_pylist()), key=str.encode)
     number = {x: k for k, x in enumerate(names)}
@@ -168,10 +169,14 @@ def _tile(key: tuple, rows: pa.Table) -> pa.Table:
     low, high = np.flatnonzero(block == first), np.flatnonzero(block == second)
     total = np.zeros((len(low), len(high)), dtype=np.int64)
     heavy, share, terms = np.asarray(rows["heavy"].fill_null(False)), np.asarray(rows["share"].fill_null(0)), rows["term"].combine_chunks()
+    left = int(np.asarray(rows["slice_terms"].fill_null(0)).max())
     for which, add in ((heavy, _heavy), (~heavy & ~head, _light)):
         if which.any():
             own = terms.filter(pa.array(which)).dictionary_encode()
-            total += add(src[which], np.asarray(own.indices, dtype=np.int64), share[which], absent, low, high, len(own.dictionary))
+            n_terms = len(own.dictionary)
+            total += add(src[which], np.asarray(own.indices, dtype=np.int64), share[which], absent, low, high, n_terms)
+            left -= n_terms
+    total += left * np.abs(absent[low][:, None] - absent[high][None, :])
     a, b = np.nonzero(np.ones_like(total) if first != second else np.triu(np.ones_like(total), 1))
     name = np.array(names, dtype=object)
     columns = [pa.array([lang] * len(a), pa.string()), pa.array(name[low[a]], pa.string()), pa.array(name[high[b]], pa.string()), pa.array(total[a, b])]
@@ -182,9 +187,12 @@ def _pairs(posts: DataFrame, of: DataFrame, heavy: float) -> DataFrame:
     """lang, source, item, value: each two sources of a language, both ways."""
     is_heavy = F.col("n_sources") >= heavy * F.col("lang_sources")
     common = ["lang", "block", "n_blocks", "source", "absent"]
-    rows = posts.select(*common, F.pmod(F.xxhash64("term"), "n_slices").cast("int").alias("slice"), "term", "share", is_heavy.alias("heavy"))
+    of_term = F.pmod(F.xxhash64("term"), "n_slices").cast("int").alias("slice")
+    rows = posts.select(*common, of_term, "term", "share", is_heavy.alias("heavy"), F.lit(None).cast("long").alias("slice_terms"))
+    sizes = posts.where("is_first").groupBy("lang", of_term).agg(F.count("*").alias("slice_terms"))
     none = [F.lit(None).cast(t).alias(c) for c, t in (("term", "binary"), ("share", "long"), ("heavy", "boolean"))]
-    rows = rows.unionByName(of.select(*common, F.explode(F.expr("sequence(0, n_slices - 1)")).alias("slice"), *none))
+    heads = of.select(*common, F.explode(F.expr("sequence(0, n_slices - 1)")).alias("slice"), *none)
+    rows = rows.unionByName(heads.join(sizes, ["lang", "slice"], "left"))
     rows = rows.select("*", F.explode(F.expr("sequence(0, n_blocks - 1)")).alias("other"))
     rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("other", "n_blocks")
     tiles = rows.groupBy("lang", "low", "high", "slice").applyInArrow(_tile, "lang string, a string, b string, value long")
