@@ -6,7 +6,8 @@ words.  All later passes read the written blocks, and only distinct words of blo
 *Exchange.*  A word goes to the class where the likelihood of the training text's class bigrams rises most (Kneser and Ney,
 1993), all other words where they are.  The ``HEADS`` most frequent words do so in ``ROUNDS`` rounds over a written table of
 their neighbours with counts, one row a word; in a round a word of ``TURNS`` moves, all on the counts from before the round,
-so that results don't depend on partitions.  Class counts, of fixed size, go to all executors; each round's moves, ``HEADS``
+so that results don't depend on partitions.  Moves that bring nothing together, though each would alone, are halved, those of the
+greatest gain staying, until the likelihood rises.  Class counts, of fixed size, go to all executors; each round's moves, ``HEADS``
 at most, come back.  Every other training word makes one such exchange, from a class that holds them all, by the
 classes on both sides of its occurrences, wherever they are.  The end of a text has a class of its own, and stands before each text.
 
@@ -42,7 +43,7 @@ TURNS = 4
 STRENGTH = 10.0
 #: The byte that stands for an unknown word's class.
 UNKNOWN = 255
-_BLOCK_BYTES = 1 << 24
+_BLOCK_BYTES = 1 << 23
 #: Words of others than heads whose classes are chosen at once.
 _WORDS_AT_ONCE = 1 << 14
 
@@ -162,26 +163,28 @@ def exchange_gains(grid: np.ndarray, own: int, after: np.ndarray, before: np.nda
     after, before: the word's neighbours by class; twice: how often it follows itself, counted in both of them.
     """
     grid, after, before = grid.astype(np.float64), after.astype(np.float64), before.astype(np.float64)
-    n = after.sum()
+    # Sizes of classes as those before and after: without the word, but with its neighbours.
+    rows, columns, n_rows, n_columns = grid.sum(axis=1), grid.sum(axis=0), after.sum(), before.sum()
+    rows[own] -= n_rows
+    columns[own] -= n_columns
     after[own] -= twice
     before[own] -= twice
     grid[own] -= after
     grid[:, own] -= before
     grid[own, own] -= twice
-    rows, columns = grid.sum(axis=1), grid.sum(axis=0)
     right, left = _g(grid + after) - _g(grid), _g(grid + before[:, None]) - _g(grid)
     at = np.diag(grid)
     both = _g(at + after + before + twice) - _g(at)
-    return right.sum(axis=1) - np.diag(right) + left.sum(axis=0) - np.diag(left) + both - (_g(rows + n) - _g(rows)) - (_g(columns + n) - _g(columns))
+    return right.sum(axis=1) - np.diag(right) + left.sum(axis=0) - np.diag(left) + both - (_g(rows + n_rows) - _g(rows)) - (_g(columns + n_columns) - _g(columns))
 
 
 def _moves(grid: np.ndarray, kind: np.ndarray, turn: int) -> Callable:
-    """Words whose turn it is -> word, class, of those that move.  Class 0, the end's, and the last, the others', are no one else's."""
+    """Words whose turn it is -> word, class, gain, of those that move.  Class 0, the end's, and the last, the others', are no one else's."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = len(grid)
         for batch in batches:
-            word, to = [], []
+            word, to, rise = [], [], []
             for k, w in enumerate(batch.column(0).to_pylist()):
                 if w == 0 or w == len(kind) - 1 or w % TURNS != turn:
                     continue
@@ -195,7 +198,8 @@ def _moves(grid: np.ndarray, kind: np.ndarray, turn: int) -> Callable:
                 if gains[best - 1] > gains[kind[w] - 1] + 1e-6:
                     word.append(w)
                     to.append(best)
-            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(to, pa.int32())], ["word", "to"])
+                    rise.append(float(gains[best - 1] - gains[kind[w] - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int32()), pa.array(to, pa.int32()), pa.array(rise, pa.float64())], ["word", "to", "gain"])
 
     return run
 
@@ -210,13 +214,23 @@ def head_classes(blocks: DataFrame, words: list[bytes], classes: int = CLASSES,
     before = pairs.groupBy(F.col("second").alias("word")).agg(F.collect_list(F.struct("first", "n")).alias("b"))
     near = materialize(after.join(before, "word").selectExpr("word", "a.second as after", "a.n as n_after", "b.first as before", "b.n as n_before"), "contexts")
     drop_table(pairs)
-    grids = []
-    for k in range(rounds + 1):
-        grid = _grid(near.select("word", "after", "n_after").mapInArrow(_cells(kind, classes + 1), "cell long, n long"), classes + 1)
-        grids.append(grid)
-        if k < rounds:
-            for r in near.mapInArrow(_moves(grid, kind, k % TURNS), "word int, to int").collect():
-                kind[r.word] = r.to
+
+    def counted(kind: np.ndarray) -> np.ndarray:
+        return _grid(near.select("word", "after", "n_after").mapInArrow(_cells(kind, classes + 1), "cell long, n long"), classes + 1)
+
+    grids = [counted(kind)]
+    for k in range(rounds):
+        moves = near.mapInArrow(_moves(grids[-1], kind, k % TURNS), "word int, to int, gain double").collect()
+        moves.sort(key=lambda r: (-r.gain, r.word))
+        while moves:
+            trial = kind.copy()
+            trial[[r.word for r in moves]] = [r.to for r in moves]
+            grid = counted(trial)
+            if likelihood(grid) > likelihood(grids[-1]):
+                kind = trial
+                grids.append(grid)
+                break
+            moves = moves[: len(moves) // 2]
     drop_table(near)
     return kind, grids
 
