@@ -9,13 +9,14 @@ at least ``min_words`` words long, or the whole of a shorter item.
 
 No admitted overlap is lost for want of a mask: of the stretches of 13, 14, 15, 16 and 20 words with a quarter of the words
 changed, wherever they stand, each has a window that some mask of ``MASKS`` finds whole (tests try them all), and longer
-stretches hold such a one.  An item of ``SHORTEST`` to 12 words has masks made for its length by rule until the same holds.
+stretches hold such a one.  An item of 1 to 12 words has masks made for its length by rule until the same holds.
 
 A window's places are kept as a list for each text, mask and hash, on both sides of the join, so that a text of a short
 period makes one row there and not one for each pair of windows.
 
 Defined results: words are lower-cased, split at ASCII white space and compared without ASCII marks at their ends;
-null texts are empty and give nothing; items under ``SHORTEST`` words give nothing; benchmark rows of one text are
+null texts are empty and give nothing; items without a word give nothing, and of one, two or three words none may be
+changed; ``drop_contaminated`` leaves documents that hold no more than such an item; ids that aren't integers are null; benchmark rows of one text are
 found by all their ids; repeated rows of documents give one row, and of several texts under one doc_id the longest
 stretch counts; ties between shifts go to the least; null doc_ids and other columns are left out of the result and
 don't matter; empty tables give no rows.
@@ -43,7 +44,6 @@ from haloforge.llm.words import PLACES, hash_words, mix
 MASKS = ("11101011", "11001000111", "10110111", "1110001011", "1111100001", "1010001111", "11010111", "111111")
 #: Items shorter than this have masks of their own.
 LEAST = 13
-SHORTEST = 4
 SPREAD = 16
 _MARKS = re.compile(r"[!-/:-@\[-`{-~]+")
 
@@ -61,6 +61,8 @@ def _places(mask: str) -> np.ndarray:
 def short_masks(n: int, share: float = 0.75) -> tuple[str, ...]:
     """Masks that find a whole item of n words, however few of its inner words as ``share`` allows are changed: of those with
     as many compared words as the item may keep, but no more than five, always the one next that finds most of what is left."""
+    if n == 1:
+        return ("1",)
     changed = n - int(np.ceil(share * n - 1e-9))
     left = {sum(1 << k for k in range(n) if k not in c) for c in itertools.combinations(range(1, n - 1), changed)}
     weight = min(n - changed, 5)
@@ -80,7 +82,7 @@ def short_masks(n: int, share: float = 0.75) -> tuple[str, ...]:
 def masks_for(lengths: Iterable[int]) -> list[tuple[int, str]]:
     """(number, mask): the fixed ones if an item is long enough for them, and those of each length of a short item."""
     lengths = set(lengths)
-    short = sorted(n for n in lengths if SHORTEST <= n < LEAST)
+    short = sorted(n for n in lengths if 0 < n < LEAST)
     return [*(enumerate(MASKS) if any(n >= LEAST for n in lengths) else ()), *((100 * n + k, m) for n in short for k, m in enumerate(short_masks(n)))]
 
 
@@ -248,8 +250,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.75, min
     return best.join(ids, "item").select("doc_id", "item_id", (-F.col("b.minus_at")).alias("start_word"), "b.n_words", "b.n_same", "b.item_words")
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that hold a passage of a benchmark item; null doc_ids stay."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least_words: int = 4) -> DataFrame:
+    """``docs`` without those that hold a passage of a benchmark item; doc_ids that are null or no integers stay.  One to three words
+    are no passage: items of fewer words than ``least_words`` drop nothing."""
     name = fresh(docs, "bad")
-    bad = contaminated(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(bad, bad[name] == docs["doc_id"], "left_anti")
+    bad = materialize(contaminated(docs, benchmark).where(F.col("item_words") >= least_words).select(F.col("doc_id").alias(name)).distinct(), "bad")
+    return docs.join(bad, bad[name] == docs["doc_id"].try_cast("long"), "left_anti")
