@@ -12,7 +12,8 @@ lower-cased and runs of ASCII white space count as one space, so that a passage
 
 The chunks of a stretch may have their copies in different documents; that is rare but in text that repeats one word.
 
-Documents are cut twice, for counts and for places: nothing but (digest, document) is shuffled for unique chunks.
+Documents are cut twice, for counts and for places.  The first time (digest, document) is shuffled of all chunks; the second time a bitmap of
+fixed size lets those through that may be shared, and few others, so most unique chunks' places aren't shuffled.
 
 Defined results: null and empty texts have no chunk; rows with one doc_id are one document, so repeated rows aren't
 repeats of each other; a null doc_id is left out; exact copies are one long repeat each; the document of least id
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haloforge.llm.arrow import keyed_texts, text_blocks
+from haloforge.llm.bitmap import BITS, broadcast_bitmap, unpacked
 from haloforge.llm.store import materialize
 from haloforge.llm.words import WHITE, mix, span_hashes, word_bounds
 
@@ -123,8 +125,11 @@ def _digests(bits: int, within: bool) -> Callable:
     return run
 
 
-def _placed(bits: int) -> Callable:
+def _placed(bits: int, bitmap) -> Callable:
+    """The chunks whose digest may be in the bitmap."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, shift = unpacked(bitmap), np.uint64(64 - BITS)
         names = ["digest", "start", "length", "words"]
         for keys, texts in text_blocks(batches):
             found = list(chunks(texts, bits))
@@ -136,7 +141,8 @@ def _placed(bits: int) -> Callable:
                 before, after = np.concatenate([[0], n[:-1]]), np.concatenate([n[1:], [0]])
                 beside.append(c[3] | before[: len(n)] << _BESIDE | after[: len(n)] << _AFTER)
             columns = [pa.array(np.concatenate([c[k] for c in found]), pa.int64() if k == 0 else pa.int32()) for k in range(3)] + [pa.array(np.concatenate(beside), pa.int64())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, dtype=np.int64), sizes)), pa.array(number.astype(np.int32)), *columns], ["doc_id", "number", *names])
+            kept = pa.array(known[np.asarray(columns[0]).view(np.uint64) >> shift])
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(keys, dtype=np.int64), sizes)), pa.array(number.astype(np.int32)), *columns], ["doc_id", "number", *names]).filter(kept)
 
     return run
 
@@ -151,7 +157,7 @@ def repeated_stretches(docs: DataFrame, min_words: int = MIN_WORDS, bits: int =
     shared = each.groupBy("digest").agg(*ends).where("places > 1" if within else "first_doc < last_doc").select("digest", "first_doc")
     # A written table, so that adaptive execution can split a digest that very many documents have.
     shared = materialize(shared, "shared")
-    placed = texts.mapInArrow(_placed(bits), "doc_id long, number int, digest long, start int, length int, words long")
+    placed = texts.mapInArrow(_placed(bits, broadcast_bitmap(shared, "digest")), "doc_id long, number int, digest long, start int, length int, words long")
     met = placed.join(shared, "digest").select("doc_id", "number", "start", "length", "words", "first_doc").distinct()
     island = F.col("number") - F.row_number().over(Window.partitionBy("doc_id").orderBy("number", "start", "length"))
     runs = met.withColumn("island", island).groupBy("doc_id", "island")
@@ -167,7 +173,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, bits: int = 5, p
     row of ``docs`` is one column, so no name clashes."""
     cuts = repeated_stretches(docs, min_words, bits, passage=passage).where("first_doc_id < doc_id")
     lists = cuts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("cuts"))
-    joined = docs.select(F.struct("*").alias("doc")).join(lists, F.col("doc_id") == F.col("doc.doc_id"), "left")
+    joined = docs.select(F.struct("*").alias("doc")).join(lists, F.col("doc_id") == F.col("doc.doc_id").try_cast("long"), "left")
     zero, text = F.lit(0).cast("long"), F.col("doc.text")
     begin = F.transform(F.concat(F.array(F.struct(zero.alias("start"), zero.alias("end"))), F.col("cuts")), lambda c: c["end"])
     stop = F.concat(F.transform("cuts", lambda c: c["start"]), F.array(F.length(text).cast("long")))
