@@ -377,8 +377,6 @@ _MAIL = re.compile(r"[^\W_][\w .%+@()\[\]-]*[^\W_]")
 
 def _plausible(kind: int, text: str) -> bool:
     """What the field marks must have the parts that its kind can't be without."""
-    if len(text) > 80:
-        return False
     if kind == 0:
         at = _AT.search(text)
         return bool(at and _DOT.search(text, at.end()) and any(c.isalnum() for c in text[: at.start()]) and _MAIL.fullmatch(text))
