@@ -6,7 +6,7 @@ covariance of all, documents are ordered by Mahalanobis distance and the closest
 determinant falls any more; the start that ends at the lesser one counts.  A document further than ``CUTOFF`` is an outlier.  Sums, products and quantile sketches are aggregated before they
 are shuffled, so a source with most of the rows is no burden; groups' estimates are joined, never collected.
 
-With ``pooled``, as the registered query has it, a language and source with fewer than ``LEAST`` documents that pass the
+A language and source with fewer than ``LEAST`` documents that pass the
 base rules is judged by the estimate over its whole language, and where that has fewer, too, by the one over all rows,
 however few: every document is judged at every size.
 
@@ -14,8 +14,7 @@ A dimension's scatter counts as the larger of its own and ``FLOORS``, which adds
 difference isn't an outlier.
 
 Defined results: a null or empty text has no word and fails the base rules; a null language or source is a group of
-its own; without ``pooled``, groups with fewer than ``LEAST`` documents that pass the base rules judge none of them;
-each row is judged, repeated rows alike; a null doc_id passes; other columns don't matter; an empty table gives no rows.
+its own; each row is judged, repeated rows alike; a null doc_id passes; other columns don't matter; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -182,16 +181,13 @@ def _levels(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out, places
 
 
-def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50, pooled: bool = False) -> DataFrame:
+def judge(docs: DataFrame, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance2."""
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     rows = materialize(statistics(docs).withColumn("base_failed", failed).select("*", *_vector()), "statistics")
-    if pooled:
-        chosen, places = _levels(rows)
-        at = rows.join(places, F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")))
-        rows = at.drop("lang", "source").withColumnsRenamed({"to_lang": "lang", "to_source": "source"})
-    else:
-        chosen, rows = rows.where("not base_failed").select("lang", "source", *VECTOR), rows.withColumn("level", F.lit(0))
+    chosen, places = _levels(rows)
+    at = rows.join(places, F.col("lang").eqNullSafe(F.col("own_lang")) & F.col("source").eqNullSafe(F.col("own_source")))
+    rows = at.drop("lang", "source").withColumnsRenamed({"to_lang": "lang", "to_source": "source"})
     judged = _distance(_joined(rows, estimates(chosen), "left"))
     kept = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= CUTOFF)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.col("d2").alias("distance2"))
