@@ -182,7 +182,8 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands:
     # Digests are hashed once more, so that no text's place in the order has to do with its label.
     order = F.xxhash64("digest")
     # Of a text's copies, one row is read again: that of the least doc_id.
-    needed = signed.join(members.select("digest").distinct(), "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("id"))
+    chosen = materialize(members.select("digest").distinct(), "chosen")
+    needed = signed.join(chosen, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("id"))
     needed = materialize(needed.select("id", F.col("digest").alias("own")), "needed")
     # A bitmap of fixed size keeps most other rows from being shuffled with their texts; the join decides.
     bitmap = broadcast_bitmap(needed.select(F.xxhash64("own", "id").alias("hash")), "hash")
@@ -205,7 +206,7 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands:
     labelled = materialize(left, "labelled")
     rest = _rest(labelled, held, threshold)
     found = materialize(_verified(rest, held, threshold), "similar")
-    for old in (shared, members, needed, leaders, held, pairs, labelled, rest):
+    for old in (shared, members, chosen, needed, leaders, held, pairs, labelled, rest):
         drop_table(old)
     # Only what the second step found is joined anew.
     labels = components(first.select("digest", "label").union(found))
