@@ -132,6 +132,7 @@ def judge_pages(pages: DataFrame, rules: DataFrame, links: DataFrame | None = No
     places = rows.select("host", "path").union(named.select("host", "path")).distinct()
     ruled = materialize(judge_by_rules(places, rules), "ruled")
     blocked = named.join(ruled, ["host", "path"]).where("rule_verdict = 'block'").select("group").distinct()
+    blocked = materialize(blocked, "blocked")  # a written table, so that a group of very many aliases can be split
     aliases = named.join(blocked, "group", "left_semi").select("name").distinct().withColumn("alias_blocked", F.lit(True))
     aliases = materialize(aliases, "aliases")
     verdict = F.coalesce("rule_verdict", F.when(F.col("alias_blocked"), F.lit("block")), F.lit("allow"))
