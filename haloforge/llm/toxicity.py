@@ -29,7 +29,8 @@ from pyspark.sql import types as T
 
 from haloforge.llm.arrow import fresh, keyed_texts, text_blocks
 from haloforge.llm.decontam import plain
-from haloforge.llm.store import materialize
+from haloforge.llm.bitmap import broadcast_bitmap, unpacked
+from haloforge.llm.store import drop_table, materialize
 from haloforge.llm.words import PLACES, hash_words, mix
 
 BITS = 22
@@ -75,6 +76,30 @@ def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(texts)
 
 
+def _found_in(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """places -> place, n: in how many of a task's rows it is."""
+    n = np.zeros(1 << BITS, dtype=np.int64)
+    for batch in batches:
+        n += np.bincount(np.asarray(batch.column(0).flatten()), minlength=len(n))
+    place = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(n[place])], ["place", "n"])
+
+
+def _only(bitmap) -> Callable:
+    """(label, doc_id, places) -> the same, with the bitmap's places alone."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = unpacked(bitmap)
+        for batch in batches:
+            places = batch.column(2)
+            flat = np.asarray(places.flatten())
+            kept = known[flat]
+            ends = np.concatenate([[0], np.cumsum(kept)])[np.concatenate([[0], np.cumsum(np.asarray(places.value_lengths(), dtype=np.int64))])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat[kept]))], ["label", "doc_id", "places"])
+
+    return run
+
+
 class Ftrl:
     """FTRL-proximal (McMahan et al., 2013) with one rate for each coordinate; the last coordinate is the bias, without L1."""
 
@@ -178,6 +203,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     # At most ``sample`` ids are sent to the texts, so that no other text is moved.
     texts = keyed_texts(docs).join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     ready = materialize(texts.select("text", "label", "doc_id").mapInArrow(_places, "label long, doc_id long, places array<int>"), "labelled")
+    # Places that too few rows have are learnt by no model: they go before a training task holds the rows.
+    often = ready.select("places").mapInArrow(_found_in, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).where(F.col("n") >= least_docs)
+    often = broadcast_bitmap(often.select(F.shiftleft("place", 64 - BITS).alias("hash")), "hash", BITS)
+    before, ready = ready, materialize(ready.mapInArrow(_only(often), "label long, doc_id long, places array<int>"), "labelled")
+    drop_table(before)
     # Each model is one task over the bounded sample, read where it is written; the tasks run side by side.
     one = lambda fold: ready.coalesce(1).mapInArrow(_train(fold, epochs, least_docs, alpha, beta, l1, l2), "place long, label long, value double")
     found = one(None)
