@@ -57,9 +57,9 @@ def test_quality_finds_outliers_among_many(spark):
     word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 8)))
     rows = [(k, " ".join(word() for _ in range(r.randint(60, 300))), "en", "a") for k in range(300)]
     rows += [(1000 + k, " ".join(word() + "###" for _ in range(150)), "en", "a") for k in range(60)]
-    rows += [(2000 + k, " ".join(word() + "###" for _ in range(150)), None, "b") for k in range(10)]  # too few to judge
+    rows += [(2000 + k, " ".join(word() + "###" for _ in range(150)), None, "b") for k in range(10)]  # too few for an estimate of their own
     found = {x.doc_id: x.kept for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
-    assert all(found[k] for k in range(300)) and not any(found[1000 + k] for k in range(60)) and all(found[2000 + k] for k in range(10))
+    assert all(found[k] for k in range(300)) and not any(found[1000 + k] for k in range(60)) and not any(found[2000 + k] for k in range(10))
 
 
 def test_quality_every_dimension_can_reject(spark):
@@ -89,7 +89,7 @@ def test_quality_judges_small_groups(spark):
     junk = {1000: ("en", "s1"), 1001: ("en", "rare"), 1002: (None, "b"), 1003: (None, None), 1004: ("de", "s1")}
     rows += [(k, " ".join(word() + "###" for _ in range(150)), *group) for k, group in junk.items()]
     rows += [(2000, " ".join(word() for _ in range(100)), "de", "s2")]
-    found = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), pooled=True).collect()}
+    found = {x.doc_id: x for x in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
     assert len(found) == len(rows) and all(x.distance2 is not None for x in found.values())
     assert {k for k, x in found.items() if not x.kept} == set(junk)
 
@@ -560,3 +560,11 @@ def test_pipeline_of_odd_rows(spark, odd_docs):
         docs = stage(spark, docs, DATA)
         assert docs.count() > 0, name
     assert len(ODD_TEXTS) == 11
+
+
+def test_long_spelled_addresses(spark):
+    """A span counts whatever its length."""
+    for name in ("anna", "q" * 60, "q" * 200):
+        text = f"write to {name} (at) bbbbbbbbbbbb dot com today"
+        found = pii.detect(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+        assert found.spans == f"email:9:{len(text) - 6}", name

@@ -378,3 +378,22 @@ def test_repeats_of_odd_rows(spark, odd_docs, no_docs):
     assert kept[1] == rows[0][1] and kept[2] == rows[1][1].replace(text, "") and kept[3] == rows[2][1] and kept[4] is None
     assert chunkdedup.repeated_stretches(no_docs).count() == 0 and chunkdedup.remove_repeats(odd_docs).count() == odd_docs.count()
     assert len(ODD_TEXTS) == 11
+
+
+def test_ids_that_are_no_integers(spark):
+    """Such ids are null to the operators, and their rows stay as they are."""
+    r = random.Random(21)
+    passage = words(r, 80)
+    docs = spark.createDataFrame([("a1", f"{words(r, 5)} {passage}"), ("7", f"{passage} {words(r, 5)}"), ("8", f"{passage} {words(r, 9)}"), ("b2", words(r, 40)), (None, passage)], "doc_id string, text string")
+    bench = spark.createDataFrame([("q", passage), ("3", passage)], "item_id string, text string")
+    assert {x.doc_id for x in decontam.drop_contaminated(docs, bench).collect()} == {"a1", "b2", None}
+    cut = {x.doc_id: x.text for x in chunkdedup.remove_repeats(docs).collect()}
+    assert cut.keys() == {"a1", "7", "8", "b2", None} and passage in cut["7"] and passage in cut["a1"] and passage not in cut["8"]
+
+
+def test_items_of_one_to_three_words(spark):
+    bench = spark.createDataFrame([(1, "alpha beta gamma"), (2, "Delta"), (3, "eta theta"), (4, "")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "alpha beta, gamma and more"), (2, "alpha beta one gamma"), (3, "a delta. eta THETA"), (4, None), (5, "thetas eta")], SCHEMA)
+    found = {(x.doc_id, x.item_id, x.start_word, x.n_words) for x in decontam.contaminated(docs, bench).collect()}
+    assert found == {(1, 1, 0, 3), (3, 2, 1, 1), (3, 3, 2, 2)}
+    assert decontam.drop_contaminated(docs, bench).count() == 5 and decontam.drop_contaminated(docs, bench, least_words=3).count() == 4
