@@ -94,6 +94,13 @@ def rank_of_rows(rows: DataFrame, key: str, out: str) -> DataFrame:
     return rows.withColumn("__inside", inside).join(starts, key).withColumn(out, F.col("__start") + F.col("__inside")).drop("__start", "__inside")
 
 
+def type_positions(particles: DataFrame) -> DataFrame:
+    """With ``position``: the rank of each row among those of its type, by row_id."""
+    ranked = rank_from_zero(particles.withColumn("__key", F.shiftleft(F.col("ptype").cast("long"), 56) + F.col("row_id")), "__key", "__rank").drop("__key")
+    first = type_offsets(particles).select("ptype", "first")
+    return ranked.join(first, "ptype").withColumn("position", F.col("__rank") - F.col("first")).select(*particles.columns, "position")
+
+
 def type_counts(particles: DataFrame) -> DataFrame:
     return particles.groupBy("ptype").agg(F.count("*").alias("n"))
 

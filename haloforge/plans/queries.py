@@ -11,11 +11,12 @@ from haloforge.cosmology import SimHeader
 from haloforge.functions.columns import wrap
 from haloforge.operators import grid as G
 from haloforge.operators import profiles as P
+from haloforge.operators import runs as L
 from haloforge.operators import selection as S
 from haloforge.operators import spatial as X
 from haloforge.operators import transform as R
 from haloforge.operators import tree as T
-from haloforge.plans.standins import BOX, FIRST_IN_FOF, LAST_SNAP, NEXT_IN_FOF, OMEGA0, OMEGA_LAMBDA, load, members
+from haloforge.plans.standins import BOX, FIRST_IN_FOF, LAST_SNAP, NEXT_IN_FOF, OMEGA0, OMEGA_LAMBDA, group_lists, load, typed_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 EDGE = (5.0, 50.0, 95.0)  # near two borders of the box
@@ -144,9 +145,24 @@ def region_cuboid(spark, d):
     return S.particles_in_region(load(spark, d, "particles"), MIDDLE, (2.0, 3.0, 4.0), "cuboid").select("pid")
 
 
+def _group_members(spark, d):
+    groups, particles = group_lists(spark, d)
+    return L.group_members(groups, particles, groups)
+
+
+@query
+def group_members(spark, d):
+    return _group_members(spark, d).select("halo_id", *bigint("member_rank"), "pid", "bound")
+
+
+@query
+def subhalo_members_by_type(spark, d):
+    return L.members_by_type(*typed_lists(spark, d)).select("sub_id", *bigint("ptype", "member_rank"), "pid")
+
+
 @query
 def region_fof(spark, d):
-    return S.particles_in_region(load(spark, d, "particles"), region="FOF", members=members(spark, d)).select("pid", *bigint("ptype"))
+    return S.particles_in_region(load(spark, d, "particles"), region="FOF", members=_group_members(spark, d)).select("pid", *bigint("ptype"))
 
 
 @query

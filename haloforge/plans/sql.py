@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from haloforge.plans.standins import FIRST_IN_FOF, MEMBERS, NEXT_IN_FOF, OMEGA0, OMEGA_LAMBDA, cte
+from haloforge.plans.standins import FIRST_IN_FOF, IS_BOUND, MEMBERS, NEXT_IN_FOF, OMEGA0, OMEGA_LAMBDA, PARTICLES, cte
 
 SQL: dict[str, str] = {}
 NAN = "'nan'::double"
@@ -82,6 +82,14 @@ add("select_with_ptype", "select pid, ptype::bigint as ptype from q where dx * d
 add("region_sphere", "select pid from q where dx * dx + dy * dy + dz * dz <= 225", P, near(MIDDLE, False))
 add("region_cuboid", "select pid from q where abs(dx) <= 10 and abs(dy) <= 15 and abs(dz) <= 20", P, near(MIDDLE, False))
 add("region_fof", "select pid, ptype::bigint as ptype from particles where pid in (select pid from members)", P, MEMBERS)
+add("group_members", f"""
+select halo_id, row_number() over (partition by halo_id order by not bound, l_orderkey, l_linenumber, pid) - 1 as member_rank, pid, bound
+from (select o_custkey as halo_id, {PARTICLES['pid']} as pid, {IS_BOUND} as bound, l_orderkey, l_linenumber from lineitem join orders on l_orderkey = o_orderkey)
+""")
+add("subhalo_members_by_type", f"""
+select sub_id, ptype::bigint as ptype, row_number() over (partition by sub_id, ptype order by l_orderkey, l_linenumber, pid) - 1 as member_rank, pid
+from (select l_suppkey as sub_id, {PARTICLES['ptype']} as ptype, {PARTICLES['pid']} as pid, l_orderkey, l_linenumber from lineitem)
+""")
 add("field_halos", f"select halo_id, {rnd('m200', 6)} as m200 from halos where structuretype = 10 and m200 > 0", H)
 add("nth_parent_halo", "select halo_id from halos where host_id = -1 order by row_id limit 1 offset 5", H)
 add("parent_halo_count", "select count(*) as n from halos where host_id = -1", H)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from haloforge.operators.transform import rank_from_zero, running_sum
+from haloforge.work import materialize
 
 BOX = 100.0
 #: Snapshots end here; an order's snapshot counts back from its customer's last order.
@@ -105,4 +109,38 @@ def members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, lines["l_orderkey"] == orders["o_orderkey"]).selectExpr("o_custkey as halo_id", f"{PARTICLES['pid']} as pid")
 
 
+#: Files that a group catalogue is in, and which lines are bound.
+FILES, IS_BOUND = 3, "l_linenumber % 4 <> 0"
+
+
+def group_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """groups (row_id, file, halo_id, length, offset, offset_unbound) and particles (file, position, pid, bound), as files list them: a group is
+    a customer, its members are the orders' lines, by order and line; a file has its groups by halo_id."""
+    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("lineitem", "orders"))
+    own = lines.join(orders.select("o_orderkey", "o_custkey"), lines["l_orderkey"] == orders["o_orderkey"])
+    own = own.selectExpr("o_custkey as halo_id", f"o_custkey % {FILES} as file", f"{PARTICLES['pid']} as pid", f"{IS_BOUND} as bound", "l_orderkey", "l_linenumber")
+    own = own.withColumn("rank", F.row_number().over(Window.partitionBy("halo_id", "bound").orderBy("l_orderkey", "l_linenumber", "pid")) - 1)
+    key = F.shiftleft("file", 48) + F.col("halo_id")
+    sizes = own.groupBy("file", "halo_id").agg(F.count_if("bound").alias("held"), F.count_if(~F.col("bound")).alias("loose")).withColumn("key", key)
+    for count, out in (("held", "offset"), ("loose", "offset_unbound")):
+        sizes = running_sum(sizes, "key", count, out)
+    starts = sizes.groupBy("file").agg(F.min("offset").alias("a"), F.min("offset_unbound").alias("b"))
+    sizes = rank_from_zero(sizes.join(starts, "file").withColumns({"offset": F.col("offset") - F.col("a"), "offset_unbound": F.col("offset_unbound") - F.col("b")}), "key", "row_id")
+    sizes = materialize(sizes.select("row_id", "file", "halo_id", (F.col("held") + F.col("loose")).alias("length"), "offset", "offset_unbound"), "groups")
+    placed = own.join(sizes.drop("row_id", "length"), ["file", "halo_id"])
+    return sizes, placed.select("file", (F.col("rank") + F.when(F.col("bound"), F.col("offset")).otherwise(F.col("offset_unbound"))).alias("position"), "pid", "bound")
+
+
+def typed_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """subhalos (sub_id, offset_type, len_type) and particles (ptype, position, pid): a subhalo is a supplier, and has its lines."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr("l_suppkey as sub_id", *[f"{PARTICLES[c]} as {c}" for c in ("ptype", "pid")], "l_orderkey", "l_linenumber")
+    own = lines.withColumn("rank", F.row_number().over(Window.partitionBy("ptype", "sub_id").orderBy("l_orderkey", "l_linenumber", "pid")) - 1)
+    sizes = own.groupBy("ptype", "sub_id").agg(F.count("*").alias("n")).withColumn("key", F.shiftleft(F.col("ptype").cast("long"), 48) + F.col("sub_id"))
+    sizes = running_sum(sizes, "key", "n", "start")
+    sizes = sizes.join(sizes.groupBy("ptype").agg(F.min("start").alias("a")), "ptype").withColumn("start", F.col("start") - F.col("a"))
+    sizes = materialize(sizes.select("ptype", "sub_id", "n", "start"), "sizes")
+    arrays = [F.array(*[F.coalesce(F.max(F.when(F.col("ptype") == t, F.col(c))), F.lit(0)) for t in range(6)]).alias(out) for c, out in (("start", "offset_type"), ("n", "len_type"))]
+    return sizes.groupBy("sub_id").agg(*arrays), own.join(sizes, ["ptype", "sub_id"]).select("ptype", (F.col("start") + F.col("rank")).alias("position"), "pid")
+
+
 MEMBERS = f"members as (select o_custkey as halo_id, {PARTICLES['pid']} as pid from lineitem join orders on l_orderkey = o_orderkey)"

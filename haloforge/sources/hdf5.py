@@ -52,20 +52,20 @@ _PARTICLE |= _scalars(u="InternalEnergies|InternalEnergy", rho="Densities|Densit
 
 #: (entity, convention) -> group, columns.  ``a|b``: the first that is there; a missing dataset is null.
 LAYOUTS: dict[tuple[str, str], tuple[str, dict[str, tuple[str, int | None]]]] = {
-    ("halos", "SUBFIND"): ("Group", _vector(_XYZ, "GroupPos") | _vector(_V, "GroupVel") | _scalars(mass="GroupMass", m200="Group_M_Crit200", r200="Group_R_Crit200", npart="GroupLen", n_sub="GroupNsubs", first_sub="GroupFirstSub")),
-    ("subhalos", "SUBFIND"): ("Subhalo", _vector(_XYZ, "SubhaloPos") | _vector(_V, "SubhaloVel") | _scalars(mass="SubhaloMass", len="SubhaloLen", group_id="SubhaloGroupNr|SubhaloGrNr")),
-    ("halos", "EAGLE"): ("FOF", _vector(_XYZ, "GroupCentreOfPotential") | _scalars(mass="GroupMass", m200="Group_M_Crit200", r200="Group_R_Crit200", npart="GroupLength", n_sub="NumOfSubhalos", first_sub="FirstSubhaloID")),
-    ("subhalos", "EAGLE"): ("Subhalo", _vector(_XYZ, "CentreOfPotential") | _vector(_V, "Velocity") | _scalars(mass="Mass", group_id="GroupNumber", sub_rank="SubGroupNumber")),
+    ("halos", "SUBFIND"): ("Group", _vector(_XYZ, "GroupPos") | _vector(_V, "GroupVel") | _scalars(mass="GroupMass", m200="Group_M_Crit200", r200="Group_R_Crit200", npart="GroupLen", n_sub="GroupNsubs", first_sub="GroupFirstSub", offset_type="GroupOffsetType")),
+    ("subhalos", "SUBFIND"): ("Subhalo", _vector(_XYZ, "SubhaloPos") | _vector(_V, "SubhaloVel") | _scalars(mass="SubhaloMass", len="SubhaloLen", len_type="SubhaloLenType", offset_type="SubhaloOffsetType", group_id="SubhaloGroupNr|SubhaloGrNr")),
+    ("halos", "EAGLE"): ("FOF", _vector(_XYZ, "GroupCentreOfPotential") | _scalars(mass="GroupMass", m200="Group_M_Crit200", r200="Group_R_Crit200", npart="GroupLength", n_sub="NumOfSubhalos", first_sub="FirstSubhaloID", offset="GroupOffset")),
+    ("subhalos", "EAGLE"): ("Subhalo", _vector(_XYZ, "CentreOfPotential") | _vector(_V, "Velocity") | _scalars(mass="Mass", group_id="GroupNumber", sub_rank="SubGroupNumber", len_type="SubLengthType", offset="SubOffset")),
     ("halos", "VELOCIRAPTOR"): ("/", _scalars(halo_id="ID", host_id="hostHaloID", structuretype="Structuretype", n_sub="numSubStruct", npart="npart", mass="Mass_tot", m200="Mass_200crit", mfof="Mass_FOF", r200="R_200crit", ekin="Ekin", epot="Epot", x="Xcminpot", y="Ycminpot", z="Zcminpot", vx="VXcminpot", vy="VYcminpot", vz="VZcminpot", x_cm="Xc", y_cm="Yc", z_cm="Zc", x_mbp="Xcmbp", y_mbp="Ycmbp", z_mbp="Zcmbp", so_m200="SO_Mass_200.000000_rhocrit", so_r200="SO_R_200.000000_rhocrit")),
     ("halo_groups", "VELOCIRAPTOR"): ("/", _scalars(length="Group_Size", offset="Offset", offset_unbound="Offset_unbound", file_id="File_id")),
     ("halo_particles", "VELOCIRAPTOR"): ("/", _scalars(pid="Particle_IDs")),
     ("tree_nodes", "SUBFIND"): ("TreeHalos", _vector(_XYZ, "SubhaloPos") | _vector(_V, "SubhaloVel") | _scalars(tree_id="TreeID", tree_index="TreeIndex", snapnum="SnapNum", group_nr="GroupNr", subhalo_nr="SubhaloNr", mass="SubhaloMass", m200="Group_M_Crit200", vdisp="SubhaloVelDisp", vmax="SubhaloVmax", rmax="SubhaloVmaxRad", main_prog="TreeMainProgenitor", first_prog="TreeFirstProgenitor", prog="TreeProgenitor", next_prog="TreeNextProgenitor", desc="TreeDescendant", first_desc="TreeFirstDescendant", next_desc="TreeNextDescendant", first_in_fof="TreeFirstHaloInFOFgroup", next_in_fof="TreeNextHaloInFOFgroup")),
     ("tree_snapshots", "SUBFIND"): ("TreeTimes", _scalars(redshift="Redshift", scale_factor="Time")),
     ("tree_table", "SUBFIND"): ("TreeTable", _scalars(tree_id="TreeID", length="Length", start_offset="StartOffset")),
-    ("tree_nodes", "TREEFROG"): ("Snap_", _scalars(node_id="ID", prog="Progenitor", prog_snap="ProgenitorSnap", root_tail_snap="RootTailSnap", host_id="hostHaloID", mass="Mass_tot", m200="Mass_200crit", x="Xcminpot", y="Ycminpot", z="Zcminpot", vx="VXc", vy="VYc", vz="VZc", vdisp="sigV", vmax="Vmax", rmax="Rmax")),
+    ("tree_nodes", "TREEFROG"): ("Snap_", _scalars(node_id="ID", prog="Progenitor", prog_snap="ProgenitorSnap", root_tail_snap="RootTailSnap", root_head="RootHead", root_tail="RootTail", root_head_snap="RootHeadSnap", mfof="Mass_FOF", host_id="hostHaloID", mass="Mass_tot", m200="Mass_200crit", x="Xcminpot", y="Ycminpot", z="Zcminpot", vx="VXc", vy="VYc", vz="VZc", vdisp="sigV", vmax="Vmax", rmax="Rmax")),
     ("galaxies", "SHARK"): ("galaxies", _scalars(x="position_x", y="position_y", z="position_z", vx="velocity_x", vy="velocity_y", vz="velocity_z", mstar_disk="mstars_disk", mstar_bulge="mstars_bulge", mgas_disk="mgas_disk", mgas_bulge="mgas_bulge", matom_disk="matom_disk", matom_bulge="matom_bulge")),
 }
-_OWN_SCHEMA = {"halo_groups": "row_id bigint, length bigint, offset bigint, offset_unbound bigint, file_id bigint", "halo_particles": "row_id bigint, pid bigint, bound boolean", "tree_snapshots": "snapnum int, redshift double, scale_factor double"}
+_OWN_SCHEMA = {"halo_groups": "row_id bigint, file int, length bigint, offset bigint, offset_unbound bigint, file_id bigint", "halo_particles": "row_id bigint, file int, position bigint, pid bigint, bound boolean", "tree_snapshots": "snapnum int, redshift double, scale_factor double"}
 #: Whether a file's particles are bound, by its suffix.
 _BOUND = {".catalog_particles": True, ".catalog_particles.unbound": False}
 _SUFFIX = {("halos", "VELOCIRAPTOR"): ".properties", ("halo_groups", "VELOCIRAPTOR"): ".catalog_groups", ("halo_particles", "VELOCIRAPTOR"): ".catalog_particles"}
@@ -134,7 +134,7 @@ class Hdf5Reader(DataSourceReader):
         if self.entity == "halo_particles" and "suffix" not in options:
             self.suffixes = [k for k, v in _BOUND.items() if options.get("bound", str(v)).lower() == str(v).lower()]
         self.comoving = options.get("comoving", "false").lower() == "true"
-        self.schema = schema
+        self.schema, self.lists = schema, {f.name for f in schema.fields if f.dataType.simpleString().startswith("array")}
         if self.entity != "particles" and (self.entity, self.convention) not in LAYOUTS:
             raise ValueError(f"no layout for {self.entity} of {self.convention}")
         self.picked: dict[str, set] = {}
@@ -179,8 +179,9 @@ class Hdf5Reader(DataSourceReader):
             with ThreadPoolExecutor(16) as pool:  # opening a file is waiting
                 found = list(pool.map(lambda name: self._groups(name, table), files))
             row_id = 0
-            for name, groups in zip(files, found, strict=True):
+            for number, (name, groups) in enumerate(zip(files, found, strict=True)):
                 for group, n, fixed in groups:
+                    fixed = fixed | {"file": number}
                     if suffix in _BOUND:
                         fixed = fixed | {"bound": _BOUND[suffix]}
                     if all(fixed[k] in v for k, v in self.picked.items() if k in fixed):
@@ -190,17 +191,21 @@ class Hdf5Reader(DataSourceReader):
 
     def read(self, part: _Rows) -> Iterator[pa.RecordBatch]:
         columns = _PARTICLE if self.entity == "particles" else LAYOUTS[(self.entity, self.convention)][1]
-        columns = {c: d for c, d in columns.items() if c in self.schema.names}
+        wanted = set(self.schema.names) | ({"tree_index"} if "node_id" in self.schema.names else set())
+        columns = {c: d for c, d in columns.items() if c in wanted}
         with _h5py().File(part.file, "r") as f:
-            group, out = f[part.group], {"row_id": np.arange(part.row_id, part.row_id + part.n)}
+            group, out = f[part.group], {"row_id": np.arange(part.row_id, part.row_id + part.n), "position": np.arange(part.first, part.first + part.n)}
+            held: dict[str, np.ndarray] = {}  # a dataset of several columns is read once
             for column, (names, k) in columns.items():
                 found = next((x for x in names.split("|") if x in group), None)
                 if found is not None:
-                    values = group[found][part.first : part.first + part.n]
-                    out[column] = (values[:, k or 0] if values.ndim > 1 else values)
+                    if found not in held:
+                        held[found] = group[found][part.first : part.first + part.n]
+                    values, whole = held[found], column in self.lists
+                    out[column] = values if whole or values.ndim == 1 else values[:, k or 0]
         if self.entity == "tree_snapshots":
             out["snapnum"] = out["row_id"]
-        for name in ("ptype", "snapnum", "scale_factor", "bound"):
+        for name in ("ptype", "snapnum", "scale_factor", "bound", "file"):
             if name in part.fixed:
                 out[name] = np.full(part.n, part.fixed[name])
         if part.fixed.get("table_mass"):
@@ -213,11 +218,19 @@ class Hdf5Reader(DataSourceReader):
                         out[c] = out[c] * part.fixed["h"] / (part.fixed["scale_factor"] if c in "xyz" else 1.0)
         if self.entity in ("halos", "subhalos") and "halo_id" not in out:
             out["halo_id"] = out["row_id"]
+        if "tree_index" in out and "node_id" not in out:
+            out["node_id"] = out["tree_index"]
         kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_()}
         arrays = []
         for c in self.schema.fields:
             kind = kinds.get(c.dataType.simpleString())
-            arrays.append(pa.nulls(part.n, kind or pa.list_(pa.int64())) if c.name not in out or kind is None else pa.array(out[c.name]).cast(kind, safe=False))
+            if c.name not in out:
+                arrays.append(pa.nulls(part.n, kind or pa.list_(pa.int64())))
+            elif kind is None:  # one list a row
+                values = np.asarray(out[c.name]).reshape(part.n, -1)
+                arrays.append(pa.ListArray.from_arrays(pa.array(np.arange(part.n + 1, dtype=np.int32) * values.shape[1]), pa.array(values.ravel().astype(np.int64))))
+            else:
+                arrays.append(pa.array(out[c.name]).cast(kind, safe=False))
         yield pa.RecordBatch.from_arrays(arrays, self.schema.names)
 
 

@@ -29,7 +29,7 @@ def rows(frame, columns):
 
 
 def test_all_have_sql():
-    assert set(QUERIES) == set(SQL) and len(QUERIES) == 76
+    assert set(QUERIES) == set(SQL) and len(QUERIES) == 78
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(FORMER)))
