@@ -265,9 +265,9 @@ def _requests(words: list[bytes], kind: np.ndarray) -> Callable:
 
 
 def _answers(grid: np.ndarray) -> Callable:
-    """Requests sorted by word -> block, place, n, kind.
+    """Requests sorted by word -> block, places, n, kinds (a byte each): a row for each block that a batch has requests of.
 
-    The class is that of the greatest gain to first order; a word that no training text has has class -1.
+    The class is that of the greatest gain to first order; a word that no training text has has class UNKNOWN.
     """
     classes = len(grid) - 1
     full = np.log(grid + 1.0)
@@ -290,10 +290,14 @@ def _answers(grid: np.ndarray) -> Callable:
             profile = np.bincount((of[a:b] - at) * 2 * (classes + 1) + feature[a:b], minlength=len(some) * 2 * (classes + 1)).reshape(len(some), -1)
             gains = profile @ weights - some[:, None] * size
             found[at : at + _WORDS_AT_ONCE] = np.where(some > 0, gains.argmax(axis=1) + 1, -1)
-        yield pa.RecordBatch.from_arrays(
-            [rows["block"].combine_chunks(), rows["place"].combine_chunks(), pa.array(n[ids]), pa.array(found[ids].astype(np.int16))],
-            ["block", "place", "n", "kind"],
-        )
+        found[n == 0] = UNKNOWN
+        block = np.asarray(rows["block"])
+        order = np.argsort(block, kind="stable")
+        cuts = np.append(np.flatnonzero(np.diff(block[order], prepend=block[order[:1]] - 1)), len(order)).astype(np.int32)
+        lists = lambda values: pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))
+        kinds = np.ascontiguousarray(found[ids][order].astype(np.uint8))
+        columns = [pa.array(block[order[cuts[:-1]]]), lists(np.asarray(rows["place"])[order]), lists(n[ids][order])]
+        yield pa.RecordBatch.from_arrays([*columns, pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(cuts), pa.py_buffer(kinds)])], ["block", "places", "n", "kinds"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -323,8 +327,9 @@ def _texts(words: list[bytes], n_heads: np.ndarray, kind: np.ndarray, n_all: int
                 ids, tokens, lengths = _head_ids(batch, k, heads), _of(batch, "tokens", k), _of(batch, "lengths", k)
                 n, of = np.append(n_heads, 0)[ids], kind[ids]
                 if batch.column("answers")[k].is_valid:
-                    place, n_found, kind_found = (np.asarray(c) for c in batch.column("answers")[k].values.flatten())
-                    n[place], of[place] = n_found, kind_found
+                    place, n_found, kind_found = batch.column("answers")[k].values.flatten()
+                    place = np.asarray(place.flatten())
+                    n[place], of[place] = np.asarray(n_found.flatten()), _bytes(kind_found)[0]
                 of[n == 0] = UNKNOWN
                 doc = np.repeat(np.arange(len(lengths)), lengths)
                 base = np.log10((n + 0.1) / (n_all + 0.1 * (n_words + 1)))[tokens]
@@ -402,16 +407,20 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", classes: int
     blocks = materialize(encode(docs, key, text), "blocks")
     vocabulary = materialize(counts(blocks), "vocabulary")
     n_all, n_words, once = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count_if(F.col("n") == 1)).first()
-    # At most ``heads`` words; the end is the first of them, wherever it stands by its count.
-    top = [(bytes(r.word), r.n) for r in vocabulary.orderBy(F.desc("n"), "word").limit(heads).collect()]
+    # At most ``heads`` words; the end is the first of them, wherever it stands by its count.  Words by the power of two of their count
+    # tell how far down the heads can be, so that tasks send few others.
+    powers = sorted(vocabulary.groupBy(F.floor(F.log2("n")).alias("power")).count().collect(), key=lambda r: -r.power)
+    enough = [r.power for k, r in enumerate(powers) if sum(x["count"] for x in powers[: k + 1]) >= heads]
+    often = vocabulary.where(F.col("n") >= (1 << enough[0])) if enough else vocabulary
+    top = [(bytes(r.word), r.n) for r in often.orderBy(F.desc("n"), "word").limit(heads).collect()]
     ends = vocabulary.where(F.col("word") == F.lit(b"")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     top = [(b"", ends), *[x for x in top if x[0]]]
     words, n_heads = [w for w, _ in top], np.array([n for _, n in top], dtype=np.int64)
     drop_table(vocabulary)
     kind, grids = head_classes(blocks, words, classes, rounds)
     asked = blocks.select("block", "held", "lengths", "words", "tokens").mapInArrow(_requests(words, kind), "block long, place int, word binary, near binary")
-    told = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_answers(grids[-1]), "block long, place int, n long, kind short")
-    told = told.groupBy(F.col("block").alias("of_block")).agg(F.collect_list(F.struct("place", "n", "kind")).alias("answers"))
+    told = asked.repartition("word").sortWithinPartitions("word").mapInArrow(_answers(grids[-1]), "block long, places array<int>, n array<long>, kinds binary")
+    told = told.groupBy(F.col("block").alias("of_block")).agg(F.collect_list(F.struct("places", "n", "kinds")).alias("answers"))
     with_answers = blocks.join(told, F.col("block") == F.col("of_block"), "left").select("doc_ids", "held", "lengths", "words", "tokens", "answers")
     texts = with_answers.mapInArrow(_texts(words, n_heads, kind, n_all, n_words), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, logs double, kinds binary")
     texts = materialize(texts, "classes")
