@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CELL = ("ix", "iy", "iz")
+#: Cells of a tile along an axis.
+TILE = 32
 
 
 def _coordinates(particles: DataFrame, values: str | Column, shape: Sequence[int], limits: Sequence[float]) -> DataFrame:
@@ -52,21 +56,71 @@ def kernel(sigma: float, truncate: float = 4.0) -> list[tuple[int, float]]:
     return [(o, w / total) for o, w in raw]
 
 
-def gaussian_filter(grid: DataFrame, shape: Sequence[int], sigma: float = 1.0, boundary: str = "reflect") -> DataFrame:
-    """Three passes, one an axis.  ``reflect`` mirrors at the border (d c b a | a b c d | d c b a), ``wrap`` is periodic."""
+def _images(at: Column, n: int, reach: int, boundary: str) -> Column:
+    """All places from -reach to n + reach - 1 where a cell is seen, itself or by the boundary's rule."""
+    turns = range(-(reach // n) - 1, reach // n + 2)
+    seen = [at + m * n for m in turns] if boundary == "wrap" else [x for m in turns for x in (at + 2 * n * m, -1 - at + 2 * n * m)]
+    return F.filter(F.array(*seen), lambda x: (x >= -reach) & (x < n + reach))
+
+
+def _spread(cells: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The sum of weighted neighbours along each axis in turn, of the inner cells."""
+    for axis in range(3):
+        n = cells.shape[axis] - len(weights) + 1
+        out = np.zeros((*cells.shape[:axis], n, *cells.shape[axis + 1 :]))
+        for k, w in enumerate(weights):
+            out += w * np.take(cells, range(k, k + n), axis=axis)
+        cells = out
+    return cells
+
+
+def _filter_tile(weights: list[float], shape: Sequence[int], size: int) -> Callable:
+    """Rows (tile, place, value) of a tile and what is around it -> ix, iy, iz, value of the tile's cells that a row reaches."""
+    reach = len(weights) // 2
+    wide = size + 2 * reach
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        tile = key[0].as_py()
+        tiles = [-(-n // size) for n in shape]
+        corner = [tile // (tiles[1] * tiles[2]) * size, tile // tiles[2] % tiles[1] * size, tile % tiles[2] * size]
+        place, value = np.asarray(rows["place"]), np.asarray(rows["value"], dtype=np.float64)
+        cells, there = np.zeros(wide**3), np.zeros(wide**3)
+        np.add.at(cells, place, value)
+        there[place] = 1.0
+        found = _spread(cells.reshape(wide, wide, wide), np.array(weights))
+        reached = _spread(there.reshape(wide, wide, wide), np.ones(len(weights))) > 0
+        for axis in range(3):  # the last tile of an axis may be cut
+            kept = [slice(None)] * 3
+            kept[axis] = slice(0, shape[axis] - corner[axis])
+            found, reached = found[tuple(kept)], reached[tuple(kept)]
+        at = np.nonzero(reached)
+        return pa.table({**{c: (x + o).astype(np.int32) for c, x, o in zip(CELL, at, corner, strict=True)}, "value": found[at]})
+
+    return run
+
+
+def gaussian_filter(grid: DataFrame, shape: Sequence[int], sigma: float = 1.0, boundary: str = "reflect", tile: int | None = None) -> DataFrame:
+    """A pass an axis, in tiles of ``tile`` cells an axis.  ``reflect`` mirrors at the border (d c b a | a b c d | d c b a), ``wrap`` is
+    periodic.  Cells that no row reaches have no row.
+
+    A row goes to its tile and, where it is within the kernel's reach of others, to these: the only exchange there is.  In a task a
+    tile is a dense array, and all three passes are array arithmetic.
+    """
     if boundary not in ("reflect", "wrap"):
         raise ValueError("boundary is 'reflect' or 'wrap'")
-    steps = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(w).alias("w")) for o, w in kernel(sigma)])
-    for axis, n in zip(CELL, shape, strict=True):
-        rest = [c for c in CELL if c != axis]
-        each = grid.select(*rest, axis, "value", F.explode(steps).alias("k"))
-        if boundary == "wrap":
-            to = F.pmod(F.col(axis) + F.col("k.o"), F.lit(n))
-        else:
-            folded = F.pmod(F.col(axis) + F.col("k.o"), F.lit(2 * n))
-            to = F.when(folded < n, folded).otherwise(2 * n - 1 - folded)
-        grid = each.groupBy(*[to.cast("int").alias(c) if c == axis else F.col(c) for c in CELL]).agg(F.sum(F.col("value") * F.col("k.w")).alias("value"))
-    return grid
+    weights = [w for _, w in kernel(sigma)]
+    reach = len(weights) // 2
+    size = max(TILE, 2 * reach) if tile is None else tile
+    wide, tiles = size + 2 * reach, [-(-n // size) for n in shape]
+    rows = grid.select(*CELL, "value")
+    for k, (c, n) in enumerate(zip(CELL, shape, strict=True)):
+        rows = rows.withColumn(f"p{k}", F.explode(_images(F.col(c), n, reach, boundary)))
+        low, high = F.greatest(F.floor((F.col(f"p{k}") - reach) / size), F.lit(0)), F.least(F.floor((F.col(f"p{k}") + reach) / size), F.lit(tiles[k] - 1))
+        rows = rows.withColumn(f"t{k}", F.explode(F.sequence(low, high)))
+    number = (F.col("t0") * tiles[1] + F.col("t1")) * tiles[2] + F.col("t2")
+    inner = [(F.col(f"p{k}") - F.col(f"t{k}") * size + reach) for k in range(3)]
+    placed = rows.select(number.alias("tile"), ((inner[0] * wide + inner[1]) * wide + inner[2]).cast("int").alias("place"), F.col("value").cast("double").alias("value"))
+    return placed.groupBy("tile").applyInArrow(_filter_tile(weights, tuple(shape), size), "ix int, iy int, iz int, value double")
 
 
 def smooth_to_grid(particles: DataFrame, values: str | Column, shape: Sequence[int], limits: Sequence[float], method: str = "NGP", sigma: float = 1.0, filter_sigma: float | None = None, boundary: str = "reflect") -> DataFrame:
