@@ -26,6 +26,12 @@ def schema(name: str) -> T.StructType:
 
 #: Of each particle column: the factor to cgs units, and the powers of the scale factor and of h that its values hold.
 UNITS = {
+    "pid": ("one", 0, 0),
+    "metallicity": ("one", 0, 0),
+    "stellar_age": ("one", 0, 0),
+    "stellar_gen": ("one", 0, 0),
+    "sfr": ("mass_rate", 0, 0),
+    "stellar_init_mass": ("mass", 0, -1),
     **{c: ("length", 1, -1) for c in ("x", "y", "z", "hsml")},
     **{c: ("velocity", 0.5, 0) for c in ("vx", "vy", "vz")},
     "mass": ("mass", 0, -1),
@@ -35,13 +41,19 @@ UNITS = {
 }
 
 
-def with_units(df):
-    """``df`` with unit metadata on each particle column that has units."""
+def unit_of(column: str) -> tuple[float, float, float]:
+    """The factor to cgs units, and the powers of the scale factor and of h that a particle column's values hold."""
     from haloforge import cosmology as c
 
     mass, length, speed = 1e10 * c.SOLAR_MASS_IN_CGS, c.KPC_IN_CGS, c.KM_PER_SEC_IN_CGS
-    cgs = {"length": length, "velocity": speed, "mass": mass, "velocity2": speed**2, "density": mass / length**3}
-    for name, (kind, a, h) in UNITS.items():
+    cgs = {"one": 1.0, "length": length, "velocity": speed, "mass": mass, "velocity2": speed**2, "density": mass / length**3, "mass_rate": c.SOLAR_MASS_IN_CGS / c.YEAR_IN_CGS}
+    kind, a, h = UNITS[column]
+    return cgs[kind], float(a), float(h)
+
+
+def with_units(df):
+    """``df`` with unit metadata on each particle column that has units."""
+    for name in UNITS:
         if name in df.columns:
-            df = df.withMetadata(name, {"cgs_factor": cgs[kind], "a_exponent": float(a), "h_exponent": float(h)})
+            df = df.withMetadata(name, dict(zip(("cgs_factor", "a_exponent", "h_exponent"), unit_of(name), strict=True)))
     return df

@@ -3,7 +3,7 @@
 Options: path; entity (particles, halos, subhalos, halo_groups, halo_particles, tree_nodes, tree_table, tree_snapshots,
 galaxies); convention (SWIFT, GADGET4, AREPO, GADGET, SUBFIND, EAGLE, VELOCIRAPTOR, TREEFROG, SHARK); comoving; suffix.
 ``columns`` names those that are wanted, ``positions_only`` stands for the positions, ``hires_only`` leaves low-resolution types out and
-``ptypes`` names types; a filter on ptype or snapnum picks groups, too.  Datasets of other columns and groups aren't read.
+``ptypes`` names types; ``mass_block`` is the name of the masses' dataset, if it is none of the usual ones; a filter on ptype or snapnum picks groups, too.  Datasets of other columns and groups aren't read.
 
 A layout lists for each canonical column the dataset (and component) it comes from; a task reads one range of rows
 of one group of one file.  Without h5py everything else in the library works.
@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
-from haloforge.cosmology import LOW_RES_TYPES, SimHeader, redshift, scale_factor
-from haloforge.schemas import DDL
+from haloforge.cosmology import GAS, LOW_RES_TYPES, STAR, SimHeader, redshift, scale_factor
+from haloforge.schemas import DDL, unit_of
 from haloforge.sources.files import all_parts, numbered
 from haloforge.sources.store import dialect
 
@@ -133,6 +133,7 @@ class Hdf5Reader(DataSourceReader):
         self.suffixes = [options["suffix"]] if "suffix" in options else [_SUFFIX.get((self.entity, self.convention), ".hdf5")]
         if self.entity == "halo_particles" and "suffix" not in options:
             self.suffixes = [k for k, v in _BOUND.items() if options.get("bound", str(v)).lower() == str(v).lower()]
+        self.mass_block = options.get("mass_block", "Masses")
         self.comoving = options.get("comoving", "false").lower() == "true"
         self.schema, self.lists = schema, {f.name for f in schema.fields if f.dataType.simpleString().startswith("array")}
         if self.entity != "particles" and (self.entity, self.convention) not in LAYOUTS:
@@ -190,7 +191,7 @@ class Hdf5Reader(DataSourceReader):
         return out
 
     def read(self, part: _Rows) -> Iterator[pa.RecordBatch]:
-        columns = _PARTICLE if self.entity == "particles" else LAYOUTS[(self.entity, self.convention)][1]
+        columns = _PARTICLE | _scalars(mass=f"{self.mass_block}|Masses|Mass|DynamicalMasses") if self.entity == "particles" else LAYOUTS[(self.entity, self.convention)][1]
         wanted = set(self.schema.names) | ({"tree_index"} if "node_id" in self.schema.names else set())
         columns = {c: d for c, d in columns.items() if c in wanted}
         with _h5py().File(part.file, "r") as f:
@@ -240,20 +241,39 @@ class _Written(WriterCommitMessage):
     counts: list[int]
 
 
-#: Canonical columns as datasets: (dataset, columns).
-_WRITTEN = [("Coordinates", ["x", "y", "z"]), ("Velocities", ["vx", "vy", "vz"]), ("ParticleIDs", ["pid"]), ("Masses", ["mass"]), ("Potential", ["potential"]), ("InternalEnergies", ["u"]), ("Densities", ["rho"]), ("SmoothingLength", ["hsml"]), ("Metallicity", ["metallicity"]), ("StarFormationRate", ["sfr"]), ("StellarFormationTime", ["stellar_age"])]
+def datasets(kind: str, ptype: int, mass_block: str = "Masses", ics: bool = False) -> list[tuple[str, list[str]]]:
+    """(dataset, columns) of a type as a dialect names them.  Initial conditions have no densities, metals, star formation or stellar data."""
+    many = kind.upper() == "SWIFT"
+    out = [("Coordinates", ["x", "y", "z"]), ("Velocities", ["vx", "vy", "vz"]), ("ParticleIDs", ["pid"]), (mass_block, ["mass"]), ("Potential", ["potential"])]
+    if ptype == GAS:
+        out += [("InternalEnergies" if many else "InternalEnergy", ["u"]), ("SmoothingLengths" if many else "SmoothingLength", ["hsml"])]
+        out += [] if ics else [("Densities" if many else "Density", ["rho"]), ("Metallicity", ["metallicity"]), ("StarFormationRate", ["sfr"])]
+    if ptype == STAR and not ics:
+        out += [("Metallicity", ["metallicity"]), ("StellarFormationTime", ["stellar_age"]), ("StellarInitMass", ["stellar_init_mass"]), ("ID_Generations", ["stellar_gen"])]
+    return out
+
+
+#: Names of a dataset's unit attributes.
+_UNIT_ATTRIBUTES = ("CGSConversionFactor", "aexp-scale-exponent", "h-scale-exponent")
 N_TYPES = 6
 
 
 class Hdf5Writer(DataSourceArrowWriter):
-    """Each task writes a file ``path.<partition>.hdf5`` with the types' groups; at the end all get the header of the convention, with the
-    counts of all.  Options: path, on a store that all tasks and the driver reach; convention; header, as ``header_option`` gives it;
-    selection, seven numbers with commas between.  A column that a type has no value for is left out of its group."""
+    """Each task writes a file ``path.<number>.hdf5`` with the types' groups, and unit attributes with each dataset; at the end all get the
+    header of the convention, with the counts of all, and ``path.hdf5`` shows them as one file: its datasets are virtual, and lie in the
+    others.  If one task has all rows, its file is that one.
+
+    Options: path, on a store that all tasks and the driver reach; convention; header, as ``header_option`` gives it; selection, seven
+    numbers with commas between; mass_block, the masses' dataset; run_label; periodic; ics.  A column that a type has no value for is left
+    out of its group; where a type has values for some rows only, the others are NaN, or 0 of integers.
+    """
 
     def __init__(self, options: dict, schema):
         self.path, self.kind, self.names = options["path"], options.get("convention", "GADGET"), schema.names
         self.header = SimHeader(**json.loads(options["header"]))
         self.selection = [float(x) for x in options["selection"].split(",")] if "selection" in options else None
+        truth = lambda name, default: options.get(name, default).lower() == "true"
+        self.mass_block, self.label, self.periodic, self.ics = options.get("mass_block", "Masses"), options.get("run_label"), truth("periodic", "true"), truth("ics", "false")
         if "ptype" not in self.names:
             raise ValueError("particles to write have a ptype")
 
@@ -269,34 +289,84 @@ class Hdf5Writer(DataSourceArrowWriter):
                 for t in np.unique(types).tolist():
                     some = batch.filter(pa.array(types == t))
                     group = f[f"PartType{t}"] if f"PartType{t}" in f else f.create_group(f"PartType{t}")
-                    for dataset, columns in _WRITTEN:
-                        held = [some.column(self.names.index(c)) for c in columns if c in self.names]
-                        if len(held) < len(columns) or any(c.null_count == len(c) for c in held):
-                            continue
-                        values = np.stack([c.to_numpy(zero_copy_only=False) for c in held], axis=1) if len(columns) > 1 else held[0].to_numpy(zero_copy_only=False)
-                        if dataset not in group:
-                            group.create_dataset(dataset, shape=(0, *values.shape[1:]), maxshape=(None, *values.shape[1:]), dtype=values.dtype, chunks=(65_536, *values.shape[1:]))
-                        group[dataset].resize(counts[t] + some.num_rows, axis=0)
-                        group[dataset][counts[t] :] = values
+                    self._append(group, t, counts[t], some)
                     counts[t] += some.num_rows
+            for t in range(N_TYPES):
+                for dataset, _ in datasets(self.kind, t, self.mass_block, self.ics) if counts[t] else ():
+                    if dataset in f[f"PartType{t}"]:
+                        self._grow(f[f"PartType{t}"][dataset], counts[t])
         return _Written(name, counts)
 
+    def _grow(self, dataset, n: int) -> None:
+        had = len(dataset)
+        if n > had:
+            dataset.resize(n, axis=0)
+            dataset[had:n] = np.nan if dataset.dtype.kind == "f" else 0
+
+    def _append(self, group, ptype: int, had: int, rows: pa.RecordBatch) -> None:
+        for dataset, columns in datasets(self.kind, ptype, self.mass_block, self.ics):
+            held = [rows.column(self.names.index(c)) for c in columns if c in self.names]
+            if len(held) < len(columns) or any(c.null_count == len(c) for c in held):
+                continue
+            held = [c.fill_null(0) if pa.types.is_integer(c.type) else c for c in held]
+            values = np.stack([c.to_numpy(zero_copy_only=False) for c in held], axis=1) if len(columns) > 1 else held[0].to_numpy(zero_copy_only=False)
+            if dataset not in group:
+                group.create_dataset(dataset, shape=(0, *values.shape[1:]), maxshape=(None, *values.shape[1:]), dtype=values.dtype, chunks=(65_536, *values.shape[1:]))
+                for attribute, value in zip(_UNIT_ATTRIBUTES, unit_of(columns[0]), strict=True):
+                    group[dataset].attrs[attribute] = value
+            self._grow(group[dataset], had)  # rows before, that had no value
+            group[dataset].resize(had + rows.num_rows, axis=0)
+            group[dataset][had : had + rows.num_rows] = values
+
+    def _head(self, f, counts: list[int], total: list[int], n_files: int) -> None:
+        for group, attributes in dialect(self.header, self.kind, total, self.selection, self.label, self.periodic).items():
+            own = f[group] if group in f else f.create_group(group)
+            for name, value in (attributes | ({"NumPart_ThisFile": counts, "NumFilesPerSnapshot": n_files} if group == "Header" else {})).items():
+                own.attrs[name] = value
+
     def commit(self, messages: list[_Written | None]) -> None:
-        """Number the files that have rows, and write their headers."""
+        """Number the files that have rows, write their headers, and the file that shows them as one."""
         import os
 
         told = [m for m in messages if m is not None]
         used = [m for m in told if sum(m.counts)] or told[:1]
         total = [sum(m.counts[t] for m in used) for t in range(N_TYPES)]
-        for k, m in enumerate(used):
+        names = [f"{self.path}.{k}.hdf5" if len(used) > 1 else f"{self.path}.hdf5" for k in range(len(used))]
+        for m, name in zip(used, names, strict=True):
             with _h5py().File(m.file, "a") as f:
-                for group, attributes in dialect(self.header, self.kind, total, self.selection).items():
-                    own = f[group] if group in f else f.create_group(group)
-                    for name, value in (attributes | ({"NumPart_ThisFile": m.counts, "NumFilesPerSnapshot": len(used)} if group == "Header" else {})).items():
-                        own.attrs[name] = value
-            os.replace(m.file, f"{self.path}.{k}.hdf5" if len(used) > 1 else f"{self.path}.hdf5")
+                self._head(f, m.counts, total, len(used))
+            os.replace(m.file, name)
+        if len(used) > 1:
+            self._show_as_one(names, [m.counts for m in used], total)
         self.abort([m for m in told if m not in used])
 
+    def _show_as_one(self, names: list[str], counts: list[list[int]], total: list[int]) -> None:
+        import os
+
+        with _h5py().File(f"{self.path}.hdf5", "w") as whole:
+            self._head(whole, total, total, 1)
+            for t in range(N_TYPES):
+                if not total[t]:
+                    continue
+                group = whole.create_group(f"PartType{t}")
+                layouts: dict = {}
+                at = 0
+                for name, own in zip(names, counts, strict=True):
+                    if not own[t]:
+                        continue
+                    with _h5py().File(name, "r") as f:
+                        for dataset, columns in datasets(self.kind, t, self.mass_block, self.ics):
+                            if dataset in f[f"PartType{t}"]:
+                                part = f[f"PartType{t}"][dataset]
+                                if dataset not in layouts:
+                                    layouts[dataset] = _h5py().VirtualLayout(shape=(total[t], *part.shape[1:]), dtype=part.dtype), columns
+                                layouts[dataset][0][at : at + own[t]] = _h5py().VirtualSource(os.path.basename(name), f"PartType{t}/{dataset}", shape=part.shape)
+                    at += own[t]
+                for dataset, (layout, columns) in layouts.items():
+                    group.create_virtual_dataset(dataset, layout, fillvalue=np.nan if layout.dtype.kind == "f" else 0)
+                    for attribute, value in zip(_UNIT_ATTRIBUTES, unit_of(columns[0]), strict=True):
+                        group[dataset].attrs[attribute] = value
+
     def abort(self, messages: list[_Written | None]) -> None:
         import os
 

@@ -18,19 +18,23 @@ def header_row(header: SimHeader, num_part: Sequence[int] | None = None) -> tupl
     )
 
 
-def dialect(header: SimHeader, kind: str, num_part: Sequence[int], selection: Sequence[float] | None = None) -> dict[str, dict]:
-    """Groups of header attributes as other programs name them: SWIFT, GADGET4 (AREPO too), or the older form."""
-    common = {"NumPart_Total": list(num_part), "NumPart_ThisFile": list(num_part), "MassTable": [0.0] * len(num_part), "NumFilesPerSnapshot": 1}
+def dialect(header: SimHeader, kind: str, num_part: Sequence[int], selection: Sequence[float] | None = None, run_label: str | None = None, periodic: bool = True) -> dict[str, dict]:
+    """Groups of header attributes as other programs name them: SWIFT, GADGET4 (AREPO too), or the older form.  Counts beyond 32 bits are in two words."""
+    low, high = [int(n) & 0xFFFFFFFF for n in num_part], [int(n) >> 32 for n in num_part]
+    common = {"NumPart_Total": low, "NumPart_Total_HighWord": high, "NumPart_ThisFile": list(num_part), "MassTable": [0.0] * len(num_part), "NumFilesPerSnapshot": 1, "Flag_Entropy_ICs": 1}
+    common |= {"RunLabel": kind if run_label is None else run_label, "Periodic": int(periodic)}
+    if selection is not None:
+        if len(selection) != 7:
+            raise ValueError("a selection is centre (3), velocity (3) and extent")
+        common |= {"Halo Centre": list(selection[:3]), "Halo Systemic Velocity": list(selection[3:6]), "Halo Extent": selection[6]}
     kind = kind.upper()
     if kind == "SWIFT":
-        out = {"Header": common | {"Scale-factor": header.scale_factor, "BoxSize": [header.box_size] * 3}, "Cosmology": {"Omega_cdm": header.omega0 - (header.omega_bar or 0.0), "Omega_b": header.omega_bar or 0.0, "Omega_lambda": header.omega_lambda, "h": header.hubble}}
+        out = {"Header": common | {"Scale-factor": header.scale_factor, "BoxSize": [header.box_size] * 3, "Dimension": 3}, "Cosmology": {"Omega_cdm": header.omega0 - (header.omega_bar or 0.0), "Omega_b": header.omega_bar or 0.0, "Omega_lambda": header.omega_lambda, "h": header.hubble}}
     elif kind in ("GADGET4", "AREPO"):
         out = {"Header": common | {"Time": header.scale_factor, "Redshift": header.redshift, "BoxSize": header.box_size}, "Parameters": {"Omega0": header.omega0, "OmegaLambda": header.omega_lambda, "HubbleParam": header.hubble}}
     else:
-        out = {"Header": common | {"Time": header.scale_factor, "Redshift": header.redshift, "BoxSize": header.box_size, "Omega0": header.omega0, "OmegaLambda": header.omega_lambda, "HubbleParam": header.hubble, "Flag_Sfr": 0, "Flag_Cooling": 0, "Flag_StellarAge": 0, "Flag_Metals": 0, "Flag_Feedback": 0}}
+        out = {"Header": common | {"Time": header.scale_factor, "Redshift": header.redshift, "BoxSize": header.box_size, "Omega0": header.omega0, "OmegaLambda": header.omega_lambda, "HubbleParam": header.hubble, "Flag_Sfr": 0, "Flag_Cooling": 0, "Flag_StellarAge": 0, "Flag_Metals": 0, "Flag_Feedback": 0, "Flag_DoublePrecision": 0}}
     if selection is not None:
-        if len(selection) != 7:
-            raise ValueError("a selection is centre (3), velocity (3) and extent")
         out["Selection"] = {"Centre": list(selection[:3]), "Velocity": list(selection[3:6]), "Extent": selection[6]}
     return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import pickle
 
 import numpy as np
@@ -9,8 +10,9 @@ import numpy as np
 
 class Dataset:
     def __init__(self, values):
-        self.values = np.asarray(values)
+        self.values, self.attrs = np.asarray(values), {}
 
+    dtype = property(lambda self: self.values.dtype)
     shape = property(lambda self: self.values.shape)
     ndim = property(lambda self: self.values.ndim)
 
@@ -30,6 +32,41 @@ class Dataset:
         self.values = grown
 
 
+class VirtualSource:
+    def __init__(self, path, name, shape):
+        self.path, self.name, self.shape = path, name, shape
+
+
+class VirtualLayout:
+    def __init__(self, shape, dtype):
+        self.shape, self.dtype, self.parts = shape, np.dtype(dtype), []
+
+    def __setitem__(self, at, source):
+        assert at.stop - at.start == source.shape[0], "a source has as many rows as its place"
+        self.parts.append((at, source))
+
+
+class VirtualDataset:
+    """Rows of other files, looked up when they are read."""
+
+    def __init__(self, layout, fill, path):
+        self.layout, self.fill, self.path, self.attrs = layout, fill, path, {}
+
+    dtype = property(lambda self: self.layout.dtype)
+    shape = property(lambda self: self.layout.shape)
+    ndim = property(lambda self: len(self.layout.shape))
+
+    def __len__(self):
+        return self.layout.shape[0]
+
+    def __getitem__(self, at):
+        values = np.full(self.layout.shape, self.fill, dtype=self.dtype)
+        for place, source in self.layout.parts:
+            with File(os.path.join(os.path.dirname(self.path), source.path)) as f:
+                values[place] = f[source.name][:]
+        return values[at]
+
+
 class Group:
     def __init__(self, attrs=None, **held):
         self.attrs, self.held = attrs or {}, held
@@ -61,6 +98,9 @@ class Group:
         self.held[name] = Group()
         return self.held[name]
 
+    def create_virtual_dataset(self, name, layout, fillvalue):
+        self.held[name] = VirtualDataset(layout, fillvalue, File.written)
+
     def create_dataset(self, name, shape, maxshape, dtype, chunks):
         self.held[name] = Dataset(np.zeros(shape, dtype=dtype))
 
@@ -68,10 +108,13 @@ class Group:
 class File(Group):
     #: Names of the datasets that were asked for.
     touched: list[str] = []
+    written = ""
 
     def __init__(self, path, mode="r"):
         super().__init__()
         self.path, self.mode = path, mode
+        if mode == "w":
+            File.written = path
         if mode != "w":
             with open(path, "rb") as f:
                 self.attrs, self.held = pickle.load(f)

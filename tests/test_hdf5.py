@@ -218,11 +218,13 @@ def test_written_and_read_again(tmp_path, kind):
         messages.append(writer.write(iter(table.to_batches(max_chunksize=2))))
     writer = hdf5.Hdf5Writer({"path": str(tmp_path / "out"), "convention": kind, "header": hdf5.header_option(header), "selection": "1,2,3,0,0,0,4"}, schema)
     writer.commit(messages)
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["out.0.hdf5", "out.1.hdf5"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["out.0.hdf5", "out.1.hdf5", "out.hdf5"]
     h = hdf5.snapshot_header(str(tmp_path / "out.0.hdf5"), kind)
     assert h.num_part == (4, 4, 0, 0, 4, 0) and h.mass_table == (0.0,) * 6 and h.n_files == 2 and h.omega0 == pytest.approx(0.3) and h.scale_factor == 0.5
     with fake.File(str(tmp_path / "out.1.hdf5")) as f:
-        assert f["Selection"].attrs["Extent"] == 4 and list(f["Header"].attrs["NumPart_ThisFile"]) == [1, 2, 0, 0, 2, 0] and "InternalEnergies" not in f["PartType1"]
+        assert f["Selection"].attrs["Extent"] == 4 and list(f["Header"].attrs["NumPart_ThisFile"]) == [1, 2, 0, 0, 2, 0] and "InternalEnergies" not in f["PartType1"] and "InternalEnergy" not in f["PartType1"]
+    whole = hdf5.snapshot_header(str(tmp_path / "out.hdf5"), kind)  # shows both as one
+    assert whole.num_part == h.num_part and whole.n_files == 1
     back, _ = load(tmp_path / "out", convention=kind)
     want = sorted((r[:9] + (r[9],)) for part in rows for r in part)
     got = sorted((r.pid, r.ptype, r.x, r.y, r.z, r.vx, r.vy, r.vz, r.mass, None if r.u != r.u else r.u) for r in back.itertuples())
@@ -241,3 +243,42 @@ def test_halo_lists_follow_their_files(spark, tmp_path):
         want += ids
         (tmp_path / f"halos.{k}").write_text("# head\n" + "".join(f"{i} 0 0 1.0 5 {' '.join(['1.0'] * 12)}\n" for i in ids))
     assert [r.halo_id for r in text.halo_list(spark, str(tmp_path / "halos.*")).orderBy("row_id").collect()] == want
+
+
+@pytest.mark.parametrize("kind", ["SWIFT", "GADGET4", "GADGET"])
+def test_written_names_and_units(tmp_path, kind):
+    """Datasets by dialect and type, with units; options of the header; values that some rows lack; counts beyond 32 bits."""
+    from pyspark.sql.types import StructType
+
+    gas, star = "u double, rho double, hsml double, metallicity double, sfr double", "stellar_age double, stellar_init_mass double, stellar_gen int"
+    schema = StructType.fromDDL(f"pid bigint, ptype int, x double, y double, z double, mass double, {gas}, {star}")
+    kinds = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64()}
+    arrow = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in schema.fields])
+    value = lambda k, t: (k, t, 0.1 * k, 0.2 * k, 0.3 * k, 2.0, *((1.0 + k, 2.0, 3.0, 0.02, 0.5) if t == 0 else (None, None, None, 0.03 if t == 4 else None, None)), *((0.4, 1.5, 3) if t == 4 and k % 2 else (None,) * 3))
+    options = {"path": str(tmp_path / "o"), "convention": kind, "header": hdf5.header_option(SimHeader(scale_factor=0.5, box_size=9.0)), "mass_block": "DynMass", "run_label": "test run", "periodic": "false"}
+    writer = hdf5.Hdf5Writer(options, schema)
+    told = []
+    for part, batches in enumerate([[[(1, 0), (2, 4)], [(3, 4), (4, 0)], [(6, 4)]], [[(8, 1)], [(9, 4)]]]):
+        own = hdf5.Hdf5Writer(options | {"path": str(tmp_path / f"part{part}")}, schema)
+        told.append(own.write(iter([pa.Table.from_pylist([dict(zip(schema.names, value(*r), strict=True)) for r in b], schema=arrow).to_batches()[0] for b in batches])))
+    writer.commit(told)
+    many = kind == "SWIFT"
+    with fake.File(str(tmp_path / "o.hdf5")) as f:
+        assert f["Header"].attrs["RunLabel"] == "test run" and f["Header"].attrs["Periodic"] == 0 and list(f["Header"].attrs["NumPart_Total"]) == [2, 1, 0, 0, 4, 0]
+        assert set(f["PartType0"].held) == {"Coordinates", "ParticleIDs", "DynMass", "InternalEnergies" if many else "InternalEnergy", "Densities" if many else "Density", "SmoothingLengths" if many else "SmoothingLength", "Metallicity", "StarFormationRate"}
+        assert set(f["PartType4"].held) == {"Coordinates", "ParticleIDs", "DynMass", "Metallicity", "StellarFormationTime", "StellarInitMass", "ID_Generations"} and set(f["PartType1"].held) == {"Coordinates", "ParticleIDs", "DynMass"}
+        star = f["PartType4"]
+        assert star["ParticleIDs"][:].tolist() == [2, 3, 6, 9] and star["ID_Generations"][:].tolist() == [0, 3, 0, 3]
+        assert np.array_equal(star["StellarInitMass"][:], [np.nan, 1.5, np.nan, 1.5], equal_nan=True)
+        for g, d, a, h in (("PartType0", "Coordinates", 1, -1), ("PartType4", "StellarInitMass", 0, -1), ("PartType1", "ParticleIDs", 0, 0)):
+            assert (f[g][d].attrs["aexp-scale-exponent"], f[g][d].attrs["h-scale-exponent"]) == (a, h) and f[g][d].attrs["CGSConversionFactor"] > 0
+    back, _ = load(tmp_path / "o", convention=kind, mass_block="DynMass")
+    assert sorted(back.pid) == [1, 2, 3, 4, 6, 8, 9] and (back.mass == 2.0).all() and back.set_index("pid").u[4] == 5.0 and back.set_index("pid").metallicity[9] == 0.03
+    ics = hdf5.Hdf5Writer(options | {"path": str(tmp_path / "i"), "ics": "true"}, schema)
+    ics.commit([ics.write(iter([pa.Table.from_pylist([dict(zip(schema.names, value(1, 0), strict=True))], schema=arrow).to_batches()[0]]))])
+    with fake.File(str(tmp_path / "i.hdf5")) as f:
+        assert set(f["PartType0"].held) == {"Coordinates", "ParticleIDs", "DynMass", "InternalEnergies" if many else "InternalEnergy", "SmoothingLengths" if many else "SmoothingLength"}
+    from haloforge.sources.store import dialect
+
+    large = dialect(SimHeader(), kind, [5_000_000_000, 1, 0, 0, 0, 0], [1, 2, 3, 4, 5, 6, 7])["Header"]
+    assert large["NumPart_Total"][0] + (large["NumPart_Total_HighWord"][0] << 32) == 5_000_000_000 and large["Halo Centre"] == [1, 2, 3] and large["Halo Systemic Velocity"] == [4, 5, 6]
