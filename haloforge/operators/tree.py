@@ -67,10 +67,12 @@ def _next_places(trees: np.ndarray, node: np.ndarray, to: np.ndarray) -> np.ndar
     return place[rank[len(node) :]]
 
 
-def _walk(pointer: str, include_terminal: bool) -> Callable:
+def _walk(include_terminal: bool) -> Callable:
+    """Rows with their pointer as ``__to`` and whether a branch starts there as ``__root`` -> root_id, depth and the other columns."""
+
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        trees, node, to = (rows[c].to_numpy(dtype=np.int64) for c in ("tree_id", "node_id", pointer))
-        following = _next_places(trees, node, np.where(rows[pointer].isna(), -1, to) if rows[pointer].hasnans else to)
+        trees, node, to = (rows[c].to_numpy(dtype=np.int64) for c in ("tree_id", "node_id", "__to"))
+        following = _next_places(trees, node, to)
         last = to == -1
         following[last | (following == np.arange(len(to)))] = -1
         at = root = np.flatnonzero(rows["__root"].to_numpy(dtype=bool))
@@ -84,7 +86,7 @@ def _walk(pointer: str, include_terminal: bool) -> Callable:
             depths.append(np.full(int(kept.sum()), depth, dtype=np.int32))
             on = following[at] >= 0
             at, root, depth = following[at[on]], root[on], depth + 1
-        rows = rows.drop(columns=["__root"])
+        rows = rows.drop(columns=["__root", "__to"])
         where, roots, depths = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (where, roots, depths))
         out = rows.iloc[where].reset_index(drop=True)
         out.insert(0, "root_id", node[roots])
@@ -94,22 +96,21 @@ def _walk(pointer: str, include_terminal: bool) -> Callable:
     return run
 
 
-def _followed(marked: DataFrame, pointer: str, include_terminal: bool) -> DataFrame:
+def _followed(marked: DataFrame, include_terminal: bool) -> DataFrame:
     """As ``_walk``, of trees of any size: no tree is brought to one task."""
     marked = materialize(marked, "nodes")
     key = F.struct("tree_id", "node_id")
-    links = marked.select(key.alias("node"), F.when(F.col(pointer) != -1, F.struct("tree_id", F.col(pointer).alias("node_id"))).alias("to"))
+    links = marked.select(key.alias("node"), F.when(F.col("__to") != -1, F.struct("tree_id", F.col("__to").alias("node_id"))).alias("to"))
     paths = follow(links, marked.where("__root").select(key.alias("node")))
     found = paths.select(F.col("root.node_id").alias("root_id"), F.col("depth").cast("int").alias("depth"), F.col("node.tree_id").alias("tree_id"), F.col("node.node_id").alias("node_id"))
-    columns = [c for c in marked.columns if c != "__root"]
-    met = found.join(marked, ["tree_id", "node_id"]).select("root_id", "depth", *columns)
-    return met if include_terminal else met.where(F.col(pointer) != -1)
+    met = found.join(marked if include_terminal else marked.where("__to <> -1"), ["tree_id", "node_id"])
+    return met.select("root_id", "depth", *[c for c in marked.columns if c not in ("__root", "__to")])
 
 
 def branches(nodes: DataFrame, roots: DataFrame | None = None, pointer: str = "main_prog", include_terminal: bool = False, tree_rows: int | None = None) -> DataFrame:
     """root_id, depth and all columns of ``nodes``, for each node on the branch that starts at each root.
 
-    roots (tree_id, node_id); by default the nodes that no pointer leads to.  The last node, whose pointer is -1, is left out unless
+    roots (tree_id, node_id); by default the nodes that no pointer leads to.  The last node, whose pointer is -1 or null, is left out unless
     ``include_terminal``; a branch also ends where a pointer leads to no node.  Nodes without a tree_id raise a ``ValueError``
     (``branches_by_snapshot`` needs none).  Trees of more than ``tree_rows`` nodes are followed across tasks.
     """
@@ -120,16 +121,16 @@ def branches(nodes: DataFrame, roots: DataFrame | None = None, pointer: str = "m
     else:
         given = roots.select("tree_id", "node_id").distinct().withColumn("__given", F.lit(True))
         marked = nodes.join(given, ["tree_id", "node_id"], "left").withColumn("__root", F.coalesce("__given", F.lit(False))).drop("__given")
-    marked = marked.select(*nodes.columns, "__root")
+    marked = marked.select(*nodes.columns, "__root", F.coalesce(F.col(pointer).cast("long"), F.lit(-1)).alias("__to"))
     schema = T.StructType([T.StructField("root_id", T.LongType()), T.StructField("depth", T.IntegerType()), *nodes.schema.fields])
     sizes = nodes.groupBy("tree_id").agg(F.count("*").alias("__size"))
     large = materialize(sizes.where(F.col("tree_id").isNull() | (F.col("__size") > (TREE_ROWS if tree_rows is None else tree_rows))), "large-trees")
     if large.isEmpty():
-        return _by_tree(marked, _walk(pointer, include_terminal), schema)
+        return _by_tree(marked, _walk(include_terminal), schema)
     if not large.where("tree_id is null").isEmpty():
         raise ValueError("nodes without a tree_id: follow them by snapshot and id")
     small = marked.join(large, "tree_id", "left_anti").select(marked.columns)
-    return _by_tree(small, _walk(pointer, include_terminal), schema).union(_followed(marked.join(large, "tree_id", "left_semi").select(marked.columns), pointer, include_terminal))
+    return _by_tree(small, _walk(include_terminal), schema).union(_followed(marked.join(large, "tree_id", "left_semi").select(marked.columns), include_terminal))
 
 
 def branches_by_snapshot(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -206,12 +207,9 @@ def fof_members(nodes: DataFrame, snapnum: int | None = None) -> DataFrame:
     """nodes (tree_id, node_id, first_in_fof, next_in_fof) -> tree_id, first_in_fof, rank, node_id, last: each group's members in the
     order of its list, from the first, of rank 0, on.  With ``snapnum`` the groups of that snapshot alone."""
     own = nodes if snapnum is None else nodes.where(F.col("snapnum") == snapnum)
-    own = materialize(own.select("tree_id", "node_id", "first_in_fof", "next_in_fof"), "groups")
-    named = lambda c: F.struct("tree_id", F.col(c).alias("node_id"))
-    links = own.select(named("node_id").alias("node"), F.when(F.col("next_in_fof") != -1, named("next_in_fof")).alias("to"))
-    found = follow(links, own.select(named("first_in_fof").alias("node")))
-    found = found.select("root", "depth", "node.tree_id", "node.node_id").join(own.select("tree_id", "node_id", "next_in_fof"), ["tree_id", "node_id"])
-    return found.select("tree_id", F.col("root.node_id").alias("first_in_fof"), F.col("depth").cast("int").alias("rank"), "node_id", (F.col("next_in_fof") == -1).alias("last"))
+    own = own.select("tree_id", "node_id", "first_in_fof", "next_in_fof")
+    found = branches(own, own.select("tree_id", F.col("first_in_fof").alias("node_id")), "next_in_fof", include_terminal=True)
+    return found.select("tree_id", F.col("root_id").alias("first_in_fof"), F.col("depth").alias("rank"), "node_id", (F.coalesce("next_in_fof", F.lit(-1)) == -1).alias("last"))
 
 
 def fof_orbits(nodes: DataFrame, box: float, snapnum: int | None = None, corrected: bool = False, groups: DataFrame | None = None) -> DataFrame:
@@ -261,10 +259,8 @@ def tree_edges(nodes: DataFrame, min_snap: int = 55, roots: DataFrame | None = N
     kept = main.where((F.col("depth") == 0) | (F.col("snapnum") >= min_snap))
     steps = kept.select("tree_id", F.col("node_id").alias("src"), F.col(pointer).alias("dst"), F.col("snapnum").alias("src_snap"))
     steps = materialize(steps.join(snaps, ["tree_id", "dst"]), "steps")
-    named = lambda c: F.struct("tree_id", F.col(c).alias("node_id"))
-    links = nodes.select(named("node_id").alias("node"), F.when(F.col("next_prog") != -1, named("next_prog")).alias("to"))
-    aside = follow(links, steps.select(named("dst").alias("node"))).where("depth > 0")
-    aside = aside.select("root.tree_id", F.col("root.node_id").alias("dst"), F.col("node.node_id").alias("sibling"), (F.col("depth") * 0.1).alias("x"))
+    aside = branches(nodes.select("tree_id", "node_id", "next_prog"), steps.select("tree_id", F.col("dst").alias("node_id")), "next_prog", include_terminal=True).where("depth > 0")
+    aside = aside.select("tree_id", F.col("root_id").alias("dst"), F.col("node_id").alias("sibling"), (F.col("depth") * 0.1).alias("x"))
     further = steps.drop("dst_snap").join(aside, ["tree_id", "dst"]).select("tree_id", "src", F.col("sibling").alias("dst"), "src_snap", "x").join(snaps, ["tree_id", "dst"])
     columns = ["tree_id", "src", "dst", "src_snap", "dst_snap", "x"]
     return steps.withColumn("x", F.lit(0.0)).select(columns).union(further.select(columns))

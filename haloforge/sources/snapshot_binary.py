@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from haloforge.cosmology import GAS, LOW_RES_TYPES, STAR, SimHeader
@@ -81,6 +81,12 @@ def block_names(path: str, kind: str | int = "SNAP2", id_bytes: int = 4) -> list
     return sorted(directory(path, 2, id_bytes).items(), key=lambda x: x[1])
 
 
+def block_table(spark: SparkSession, path: str, kind: str | int = "SNAP2", id_bytes: int = 4) -> DataFrame:
+    """file, tag, offset of each named block of a file, or of each file of a list with commas between: a row a block."""
+    rows = [(name, tag, at) for name in path.split(",") for tag, at in block_names(name, kind, id_bytes)]
+    return spark.createDataFrame(rows, "file string, tag string, offset bigint")
+
+
 @dataclass
 class _Rows(InputPartition):
     file: str

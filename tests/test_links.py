@@ -65,7 +65,7 @@ def test_large_trees_as_small_ones(spark, terminal):
     rows = []
     for t in range(6):
         n = r.choice([1, 3, 40])
-        rows += [(t, k, 60 - k, r.choice([-1, 999, k, *range(k + 1, min(k + 3, n))]), float(k)) for k in range(n)]
+        rows += [(t, k, 60 - k, r.choice([-1, None, 999, k, *range(k + 1, min(k + 3, n))]), float(k)) for k in range(n)]
     nodes = spark.createDataFrame(rows, NODES)
     each = [{tuple(x) for x in tree.branches(nodes, include_terminal=terminal, tree_rows=most).collect()} for most in (1000, 10, 0)]
     assert each[0] == each[1] == each[2] and len(each[0]) > 30
@@ -80,7 +80,7 @@ def test_tree_of_a_million_nodes(spark):
     k = F.col("id")
     nodes = spark.range(1_000_000, numPartitions=4).select(F.lit(7).cast("long").alias("tree_id"), k.alias("node_id"), (1000 - k % 1000).cast("int").alias("snapnum"), F.when(k % 1000 == 999, -1).otherwise(k + 1).alias("main_prog"))
     found = tree.branches(nodes, nodes.where("node_id % 250000 = 0"), tree_rows=100_000)
-    assert "MapInPandas" not in tree._followed(nodes.limit(5).withColumn("__root", F.lit(True)), "main_prog", True)._jdf.queryExecution().toString()
+    assert "MapInPandas" not in tree._followed(nodes.limit(5).withColumns({"__root": F.lit(True), "__to": F.col("main_prog")}), True)._jdf.queryExecution().toString()
     got = found.groupBy("root_id").agg(F.count("*").alias("n"), F.max("depth").alias("d"), F.max(F.col("node_id") - F.col("root_id")).alias("last")).collect()
     assert sorted(map(tuple, got)) == [(250_000 * j, 999, 998, 998) for j in range(4)]
 

@@ -69,6 +69,8 @@ def test_binary_snapshot(spark, tmp_path, kind, n_files):
     assert header.box_size == 100.0 and header.redshift == 1.0 and header.num_part == tuple(total)
     if kind == 2:
         assert [t for t, _ in snapshot_binary.block_names(first)][:4] == ["HEAD", "POS", "VEL", "ID"]
+        table = snapshot_binary.block_table(spark, f"{first},{first}").collect()
+        assert sorted({(r.tag, r.offset) for r in table}) == sorted(snapshot_binary.block_names(first)) and len(table) == 2 * len(snapshot_binary.block_names(first))
     else:
         with pytest.raises(ValueError):
             snapshot_binary.block_names(first, "SNAP1")
