@@ -58,6 +58,17 @@ def _lists(values: np.ndarray, sizes: np.ndarray | None = None) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(values))
 
 
+def _packed(ids: np.ndarray) -> bytes:
+    """Numbers of 32 bits, all lowest bytes first, then all second ones and so on, compressed."""
+    return pa.compress(np.ascontiguousarray(ids.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def _tokens(batch: pa.RecordBatch, k: int) -> np.ndarray:
+    n = int(_of(batch, "lengths", k).sum())
+    planes = np.frombuffer(pa.decompress(batch.column("tokens")[k].as_buffer(), 4 * n, codec="zstd"), dtype=np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<i4").ravel()
+
+
 def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, held, text) -> a row a block; the end of a text is the empty word."""
     context = TaskContext.get()
@@ -66,6 +77,11 @@ def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, sizes, first = spans(batch.column(2), ~WHITE)
         lengths = np.diff(first) + 1
         ids, words = encoded(data, np.insert(sizes, first[1:], 0))
+        # Frequent words have small numbers, so that most tokens' higher bytes are 0.
+        order = np.argsort(-np.bincount(ids, minlength=len(words)), kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        ids, words = rank[ids], words.take(pa.array(order))
         learnt = np.repeat(~np.asarray(batch.column(1)), lengths)
         n = np.bincount(ids[learnt], minlength=len(words))
         columns = [
@@ -75,13 +91,13 @@ def _encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _lists(lengths.astype(np.int32)),
             pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.binary())),
             _lists(n.astype(np.int32)),
-            _lists(ids.astype(np.int32)),
+            pa.array([_packed(ids)], pa.binary()),
         ]
         yield pa.RecordBatch.from_arrays(columns, ["block", "doc_ids", "held", "lengths", "words", "n", "tokens"])
         number += 1
 
 
-_BLOCK_SCHEMA = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, words array<binary>, n array<int>, tokens array<int>"
+_BLOCK_SCHEMA = "block long, doc_ids array<long>, held array<boolean>, lengths array<int>, words array<binary>, n array<int>, tokens binary"
 
 
 def encode(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -118,7 +134,7 @@ def _pairs(words: list[bytes]) -> Callable:
         width = len(heads) + 1
         for batch in batches:
             for k in range(batch.num_rows):
-                seq = _head_ids(batch, k, heads)[_of(batch, "tokens", k)][_learnt(batch, k)]
+                seq = _head_ids(batch, k, heads)[_tokens(batch, k)][_learnt(batch, k)]
                 found, n = np.unique(np.concatenate([[0], seq[:-1]]) * width + seq, return_counts=True) if len(seq) else (seq, seq)
                 yield pa.RecordBatch.from_arrays([pa.array((found // width).astype(np.int32)), pa.array((found % width).astype(np.int32)), pa.array(n.astype(np.int64))], ["first", "second", "n"])
 
@@ -243,7 +259,7 @@ def _requests(words: list[bytes], kind: np.ndarray) -> Callable:
         heads = pa.array(words, pa.binary())
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, tokens = _head_ids(batch, k, heads), _of(batch, "tokens", k)
+                ids, tokens = _head_ids(batch, k, heads), _tokens(batch, k)
                 others = np.flatnonzero(ids == len(heads))
                 seq = tokens[_learnt(batch, k)]
                 c = kind[ids[seq]].astype(np.uint8)
@@ -324,7 +340,7 @@ def _texts(words: list[bytes], n_heads: np.ndarray, kind: np.ndarray, n_all: int
         heads = pa.array(words, pa.binary())
         for batch in batches:
             for k in range(batch.num_rows):
-                ids, tokens, lengths = _head_ids(batch, k, heads), _of(batch, "tokens", k), _of(batch, "lengths", k)
+                ids, tokens, lengths = _head_ids(batch, k, heads), _tokens(batch, k), _of(batch, "lengths", k)
                 n, of = np.append(n_heads, 0)[ids], kind[ids]
                 if batch.column("answers")[k].is_valid:
                     place, n_found, kind_found = batch.column("answers")[k].values.flatten()
