@@ -12,16 +12,16 @@ BITS = 25
 
 
 def broadcast_bitmap(hashes: DataFrame, column: str, bits: int = BITS):
-    """One bit for each value of the hashes' high ``bits`` bits, sent to all executors.  At most 2**(bits - 3) rows, its bytes,
-    come to the driver."""
-    byte = F.shiftrightunsigned(column, 64 - bits + 3).alias("byte")
-    bit = F.expr(f"shiftleft(1, cast(7 - (shiftrightunsigned(`{column}`, {64 - bits}) & 7) as int))").alias("bit")
-    used = hashes.select(byte, bit).groupBy("byte").agg(F.bit_or("bit").alias("bit")).toPandas()
-    held = np.zeros(1 << (bits - 3), dtype=np.uint8)
-    held[used["byte"].to_numpy("int64")] = used["bit"].to_numpy("uint8")
+    """One bit for each value of the hashes' high ``bits`` bits, sent to all executors.  At most 2**(bits - 6) rows, its words,
+    come to the driver, as Arrow."""
+    word = F.shiftrightunsigned(column, 64 - bits + 6).alias("word")
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 63 as int))").alias("bit")
+    used = hashes.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    held = np.zeros(1 << (bits - 6), dtype="<i8")
+    held[used["word"].to_numpy()] = used["bits"].to_numpy()
     return hashes.sparkSession.sparkContext.broadcast(held.tobytes())
 
 
 def unpacked(shared) -> np.ndarray:
     """In a task: for each value of the high bits, whether it is there."""
-    return np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8)).view(bool)
+    return np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8), bitorder="little").view(bool)
