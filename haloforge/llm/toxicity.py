@@ -214,7 +214,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, epochs: int
     for fold in range(FOLDS):
         found = found.union(one(fold))
     found = materialize(found, "model")
-    margins = found.where("place = -1").toPandas()  # at most ``sample`` rows
+    margins = found.where("place = -1").toArrow()  # at most ``sample`` rows
     slope, shift = platt(margins["value"].to_numpy(), margins["label"].to_numpy())
     model = found.where("place >= 0").select("place", (F.col("value") * slope).alias("weight"))
     bias = found.sparkSession.createDataFrame([(1 << BITS, shift)], "place long, weight double")
@@ -239,8 +239,8 @@ def _score(shared) -> Callable[[list[str]], np.ndarray]:
 
 
 def _broadcast(docs: DataFrame, model: DataFrame):
-    found = model.toPandas()  # at most 2**BITS + 1 rows, and by the L1 term far fewer
-    return docs.sparkSession.sparkContext.broadcast((found["place"].to_numpy("int64"), found["weight"].to_numpy("float64")))
+    found = model.toArrow()  # at most 2**BITS + 1 rows, and by the L1 term far fewer
+    return docs.sparkSession.sparkContext.broadcast((found["place"].to_numpy(), found["weight"].to_numpy()))
 
 
 def score(docs: DataFrame, model: DataFrame) -> DataFrame:
