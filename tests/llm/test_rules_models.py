@@ -568,3 +568,20 @@ def test_long_spelled_addresses(spark):
         text = f"write to {name} (at) bbbbbbbbbbbb dot com today"
         found = pii.detect(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
         assert found.spans == f"email:9:{len(text) - 6}", name
+
+
+def test_pipeline_of_odd_and_of_no_rows(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, extra columns; then empty tables."""
+    odd = spark.createDataFrame([(i, t, "en", None if i % 3 else "s", i, "x") for i, t in enumerate(ODD_TEXTS)] + [(None, "a text alone", None, None, None, None), (3, ODD_TEXTS[3], "en", "s", 0, "x")], "doc_id long, text string, lang string, source string, n_chars long, label string")
+    labels = spark.createDataFrame([(0, 1, 0), (5, None, 1), (None, 1, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, None), (2, ""), (3, "two words"), (None, "one two three four five six")], "item_id long, text string")
+    for name, (docs, lab, items) in {"odd": (odd, labels, bench), "none": (odd.limit(0), labels.limit(0), bench.limit(0))}.items():
+        for table, rows in (("documents", docs), ("labels", lab), ("benchmark", items)):
+            rows.write.parquet(f"{tmp_path}/{name}/{table}.parquet")
+        found = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        if name == "none":
+            assert not found
+            continue
+        ids = [r.doc_id for r in found if r.start == 0]
+        # A null text is an empty one, and of 0 and 1 the least id stays; 9 and 10 are both "tie", and 3 comes twice.
+        assert None in ids and len(ids) == len(set(ids)) and set(ids) == {None, 0, *range(2, 10)}
