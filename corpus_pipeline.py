@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet to the shared folder and read again as the
 next stage's docs.  All stages but the last return the columns of ``documents``.
+
+Defined results: null texts are empty to all stages: scored by the bias alone, near copies of empty texts, and one piece, the end id alone;
+texts without a word are near copies where they are equal; rows with a null doc_id or one that is no integer are scored, cut and packed as others are, take part in near-dedup with a
+null id, and are never dropped as contaminated; repeated rows are near copies, of which one stays; columns besides those of
+``documents`` are left out; without labels nothing is toxic, without benchmark items nothing is contaminated; empty documents give no
+rows.
 """
 
 from __future__ import annotations
