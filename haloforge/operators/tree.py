@@ -107,13 +107,8 @@ def _followed(marked: DataFrame, include_terminal: bool) -> DataFrame:
     return met.select("root_id", "depth", *[c for c in marked.columns if c not in ("__root", "__to")])
 
 
-def branches(nodes: DataFrame, roots: DataFrame | None = None, pointer: str = "main_prog", include_terminal: bool = False, tree_rows: int | None = None) -> DataFrame:
-    """root_id, depth and all columns of ``nodes``, for each node on the branch that starts at each root.
-
-    roots (tree_id, node_id); by default the nodes that no pointer leads to.  The last node, whose pointer is -1 or null, is left out unless
-    ``include_terminal``; a branch also ends where a pointer leads to no node.  Nodes without a tree_id raise a ``ValueError``
-    (``branches_by_snapshot`` needs none).  Trees of more than ``tree_rows`` nodes are followed across tasks.
-    """
+def _over_trees(nodes: DataFrame, roots: DataFrame | None, pointer: str, include_terminal: bool, tree_rows: int | None, f: Callable | None = None, schema=None, whole: Callable | None = None) -> DataFrame:
+    """Branches of all trees; or, of trees that fit in a task, ``f`` of a frame with many trees' branches, and of the others ``whole``."""
     if roots is None:
         # Chain heads of the same pointer, within the tree.
         led_to = nodes.select("tree_id", F.col(pointer).alias("node_id")).where("node_id <> -1").distinct().withColumn("__led", F.lit(True))
@@ -122,15 +117,30 @@ def branches(nodes: DataFrame, roots: DataFrame | None = None, pointer: str = "m
         given = roots.select("tree_id", "node_id").distinct().withColumn("__given", F.lit(True))
         marked = nodes.join(given, ["tree_id", "node_id"], "left").withColumn("__root", F.coalesce("__given", F.lit(False))).drop("__given")
     marked = marked.select(*nodes.columns, "__root", F.coalesce(F.col(pointer).cast("long"), F.lit(-1)).alias("__to"))
-    schema = T.StructType([T.StructField("root_id", T.LongType()), T.StructField("depth", T.IntegerType()), *nodes.schema.fields])
+    walk = _walk(include_terminal)
+    if f is None:
+        schema = T.StructType([T.StructField("root_id", T.LongType()), T.StructField("depth", T.IntegerType()), *nodes.schema.fields])
+        run, whole = walk, lambda found: found
+    else:
+        run = lambda rows: f(walk(rows))
     sizes = nodes.groupBy("tree_id").agg(F.count("*").alias("__size"))
     large = materialize(sizes.where(F.col("tree_id").isNull() | (F.col("__size") > (TREE_ROWS if tree_rows is None else tree_rows))), "large-trees")
     if large.isEmpty():
-        return _by_tree(marked, _walk(include_terminal), schema)
+        return _by_tree(marked, run, schema)
     if not large.where("tree_id is null").isEmpty():
         raise ValueError("nodes without a tree_id: follow them by snapshot and id")
     small = marked.join(large, "tree_id", "left_anti").select(marked.columns)
-    return _by_tree(small, _walk(include_terminal), schema).union(_followed(marked.join(large, "tree_id", "left_semi").select(marked.columns), include_terminal))
+    return _by_tree(small, run, schema).union(whole(_followed(marked.join(large, "tree_id", "left_semi").select(marked.columns), include_terminal)))
+
+
+def branches(nodes: DataFrame, roots: DataFrame | None = None, pointer: str = "main_prog", include_terminal: bool = False, tree_rows: int | None = None) -> DataFrame:
+    """root_id, depth and all columns of ``nodes``, for each node on the branch that starts at each root.
+
+    roots (tree_id, node_id); by default the nodes that no pointer leads to.  The last node, whose pointer is -1 or null, is left out unless
+    ``include_terminal``; a branch also ends where a pointer leads to no node.  Nodes without a tree_id raise a ``ValueError``
+    (``branches_by_snapshot`` needs none).  Trees of more than ``tree_rows`` nodes are followed across tasks.
+    """
+    return _over_trees(nodes, roots, pointer, include_terminal, tree_rows)
 
 
 def branches_by_snapshot(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -183,7 +193,7 @@ def _assembly(least: int) -> Callable:
         trees, roots, m200, redshift = (rows[c].to_numpy() for c in ("tree_id", "root_id", "m200", "redshift"))
         begin = np.flatnonzero(np.concatenate([[True], (trees[1:] != trees[:-1]) | (roots[1:] != roots[:-1])]))
         out = []
-        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(rows)], strict=True):
+        for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(rows)], strict=True) if len(rows) else ():
             m, z = m200[a:b], redshift[a:b]
             zform = alpha = grown = 0.0
             if len(m) > least:
@@ -203,6 +213,18 @@ def assembly_statistics(track: DataFrame, least: int = 10) -> DataFrame:
     return _by_tree(track.select("tree_id", "root_id", "depth", "m200", "redshift"), _assembly(least), _STATISTICS, "root_id", "depth")
 
 
+def assembly_of_trees(nodes: DataFrame, roots: DataFrame | None = None, pointer: str = "main_prog", least: int = 10, tree_rows: int | None = None) -> DataFrame:
+    """``assembly_statistics`` of ``branches``, in the pass that walks them: branches aren't moved again."""
+    inside = _assembly(least)
+
+    def f(found: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((found["depth"].to_numpy(), found["root_id"].to_numpy(), found["tree_id"].to_numpy()))
+        return inside(found.iloc[order].reset_index(drop=True))
+
+    own = nodes.select("tree_id", "node_id", pointer, "m200", "redshift")
+    return _over_trees(own, roots, pointer, False, tree_rows, f, _STATISTICS, lambda found: assembly_statistics(found, least))
+
+
 def fof_members(nodes: DataFrame, snapnum: int | None = None) -> DataFrame:
     """nodes (tree_id, node_id, first_in_fof, next_in_fof) -> tree_id, first_in_fof, rank, node_id, last: each group's members in the
     order of its list, from the first, of rank 0, on.  With ``snapnum`` the groups of that snapshot alone."""

@@ -425,7 +425,7 @@ def main_branch_length(spark, d):
 
 
 def _statistics(spark, d):
-    return T.assembly_statistics(T.branches(load(spark, d, "nodes")))
+    return T.assembly_of_trees(load(spark, d, "nodes"))
 
 
 @query
@@ -446,7 +446,7 @@ def recent_accretion(spark, d):
 def _population(spark, d):
     nodes, halos = load(spark, d, "nodes"), S.field_halos(load(spark, d, "halos"))
     of_field = nodes.join(halos.select(F.col("halo_id").alias("tree_id")), "tree_id", "left_semi").select(nodes.columns)
-    return T.assembly_statistics(T.branches(of_field)).where("n_nodes > 5")
+    return T.assembly_of_trees(of_field).where("n_nodes > 5")
 
 
 @query

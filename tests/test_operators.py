@@ -227,6 +227,17 @@ def test_assembly(spark):
     assert (few.n_nodes, few.zform, few.alpha, few.dm_over_m) == (10, 0, 0, 0)
 
 
+@pytest.mark.parametrize("most", [1000, 12, 0])
+def test_assembly_while_walking(spark, most):
+    """As of branches that are walked first; a tree beyond the size for a task, and one whose only node is its last."""
+    r = np.random.default_rng(9)
+    rows = [(t, 100 * t + k, 60 - k, 100 * t + k + 1 if k + 1 < n else -1, float(m), 0.25 * k) for t, n in enumerate((14, 1, 30, 12)) for k, m in enumerate(np.sort(r.random(n))[::-1] + 0.01)]
+    nodes = frame(spark, rows, "tree_id long, node_id long, snapnum int, main_prog long, m200 double, redshift double")
+    want = sorted(map(tuple, tree.assembly_statistics(tree.branches(nodes)).collect()))
+    assert len(want) == 3 and sorted(map(tuple, tree.assembly_of_trees(nodes, tree_rows=most).collect())) == want
+    assert tree.assembly_of_trees(nodes.limit(0)).count() == 0
+
+
 def test_link_chains(spark):
     links = frame(spark, [(9, 0, 8), (8, 0, 7), (7, 0, 6), (9, 1, 3), (5, 0, 4)], "desc_id long, prog_rank int, prog_id long")
     found = {tuple(r) for r in tree.link_chains(links).collect()}
