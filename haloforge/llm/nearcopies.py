@@ -183,7 +183,8 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands:
     order = F.xxhash64("digest")
     # Of a text's copies, one row is read again: that of the least doc_id.
     chosen = materialize(members.select("digest").distinct(), "chosen")
-    needed = signed.join(chosen, "digest", "left_semi").groupBy("digest").agg(F.min("doc_id").alias("id"))
+    # Copies are counted out before they meet the chosen texts: a row a text on both sides.
+    needed = signed.groupBy("digest").agg(F.min("doc_id").alias("id")).join(chosen, "digest", "left_semi")
     needed = materialize(needed.select("id", F.col("digest").alias("own")), "needed")
     # A bitmap of fixed size keeps most other rows from being shuffled with their texts; the join decides.
     bitmap = broadcast_bitmap(needed.select(F.xxhash64("own", "id").alias("hash")), "hash")
