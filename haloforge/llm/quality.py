@@ -3,8 +3,9 @@
 Each document's statistics become a vector.  For each language and source, the centre and the scatter of the
 ``SUPPORT`` share of documents that lie closest together are sought (minimum covariance determinant): from two starts on, medians with median deviations and the mean with the
 covariance of all, documents are ordered by Mahalanobis distance and the closest are averaged anew (C-steps), until no
-determinant falls any more; the start that ends at the lesser one counts.  A document further than ``CUTOFF`` is an outlier.  Sums, products and quantile sketches are aggregated before they
-are shuffled, so a source with most of the rows is no burden; groups' estimates are joined, never collected.
+determinant falls any more; the start that ends at the lesser one counts.  A document further than ``CUTOFF`` is an outlier.
+A step passes the statistics once: sums and products are added up by narrow shells of distance before they are shuffled, and the
+inmost shells up to the share are taken, so a source with most of the rows is no burden; groups' estimates are joined, never collected.
 
 A language and source with fewer than ``LEAST`` documents that pass the
 base rules is judged by the estimate over its whole language, and where that has fewer, too, by the one over all rows,
@@ -19,20 +20,19 @@ its own; each row is judged, repeated rows alike; a null doc_id passes; other co
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haloforge.llm.store import materialize
+from haloforge.llm.store import drop_table, materialize
 
 WHITE = " \\t-\\r"
 #: The vector: ln of words, letters a word, ln of symbols a hundred words, of repeated lines and of repeated words a hundred words.
 VECTOR = ("v1", "v2", "v3", "v4", "v5")
 FLOORS = (0.5, 0.6, 0.7, 0.4, 0.8)
 SUPPORT = 0.75
-#: Steps go on until no group's ln of the determinant falls by more than STILL; quantile sketches let it rise a little.
+#: Shells of squared distance for each factor of e: rows in one, 0.8 % wide, count as equally far.
+SHELLS = 128
+#: Steps go on until no group's ln of the determinant falls by more than STILL; shells let it rise a little.
 STILL = 1e-3
 MOST_STEPS = 40
 LEAST = 40
@@ -94,74 +94,98 @@ def _vector() -> list[Column]:
     return [F.log(n).alias("v1"), (F.col("word_chars") / n).alias("v2"), rate("n_symbols").alias("v3"), rate("n_dup_lines").alias("v4"), rate("n_repeat_words").alias("v5")]
 
 
+# Expressions over the vector's dimensions are written as SQL text: they are many, and each call of a Column's method costs a
+# round trip to the JVM.
+_D = range(len(VECTOR))
+_PAIRS = [(i, j) for i in _D for j in range(i + 1)]
+_CENTRE = [f"m{i}" for i in _D]
+_FACTOR = [f"l{i}{j}" for i, j in _PAIRS]
+_MOMENTS = [*[f"avg({v}) AS m{i}" for i, v in enumerate(VECTOR)], *[f"covar_pop({VECTOR[i]}, {VECTOR[j]}) AS c{i}{j}" for i, j in _PAIRS]]
+#: ln of the scatter's determinant.
+_LOG_DETERMINANT = " + ".join(f"2 * ln(l{i}{i})" for i in _D)
+KEY = ("start", *GROUP)
+
+
 def _distance(rows: DataFrame) -> DataFrame:
     """With d2, by forward substitution against the Cholesky factor l_ij and the centre m_i of the row's group."""
     for i, v in enumerate(VECTOR):
-        before = [F.col(f"l{i}{j}") * F.col(f"y{j}") for j in range(i)]
-        rows = rows.withColumn(f"y{i}", (F.col(v) - F.col(f"m{i}") - reduce(add, before, F.lit(0.0))) / F.col(f"l{i}{i}"))
-    d2 = reduce(add, [F.col(f"y{i}") * F.col(f"y{i}") for i in range(len(VECTOR))])
-    return rows.withColumn("d2", d2)
+        rest = " - ".join([v, f"m{i}", *[f"l{i}{j} * y{j}" for j in range(i)]])
+        rows = rows.selectExpr("*", f"({rest}) / l{i}{i} AS y{i}")
+    return rows.selectExpr("*", " + ".join(f"y{i} * y{i}" for i in _D) + " AS d2")
 
 
 def _factor(groups: DataFrame) -> DataFrame:
-    """The keys, m_i and the scatter s_ij -> the keys, m_i, l_ij.  The bound on the diagonal makes it definite."""
-    for i in range(len(VECTOR)):
-        for j in range(i + 1):
-            rest = F.col(f"s{i}{j}") - reduce(add, [F.col(f"l{i}{k}") * F.col(f"l{j}{k}") for k in range(j)], F.lit(0.0))
-            groups = groups.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-6))) if i == j else rest / F.col(f"l{j}{j}"))
-    return groups.select("start", *GROUP, *[f"m{i}" for i in range(len(VECTOR))], *[f"l{i}{j}" for i in range(len(VECTOR)) for j in range(i + 1)])
+    """The keys, old, m_i and the scatter s_ij -> the keys, old, m_i, l_ij.  The bound on the diagonal makes it definite."""
 
+    def rest(i: int, j: int) -> str:
+        return " - ".join([f"s{i}{j}", *[f"l{i}{k} * l{j}{k}" for k in range(j)]])
 
-def _joined(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
-    """``rows`` have level, lang and source."""
-    same = (F.col("level") == F.col("g_level")) & F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
-    return rows.join(groups, same, how)
+    for j in _D:
+        groups = groups.selectExpr("*", f"sqrt(greatest({rest(j, j)}, 1e-6D)) AS l{j}{j}")
+        groups = groups.selectExpr("*", *[f"({rest(i, j)}) / l{j}{j} AS l{i}{j}" for i in _D if i > j])
+    return groups.select(*KEY, "old", *_CENTRE, *_FACTOR)
 
 
-def _bounded(variance: Column, i: int) -> Column:
-    return F.greatest(variance, F.lit(FLOORS[i] ** 2))
+def _scatter(factor: float) -> list[str]:
+    """s_ij from the covariance c_ij, with the bounds on the diagonal."""
+    times = [f"double({factor}) * c{i}{j}" for i, j in _PAIRS]
+    return [f"{_bounded(t, i) if i == j else t} AS s{i}{j}" for t, (i, j) in zip(times, _PAIRS, strict=True)]
 
 
-def _log_determinant() -> Column:
-    return reduce(add, [2 * F.log(f"l{i}{i}") for i in range(len(VECTOR))])
+def _joined(rows: DataFrame, groups: DataFrame, how: str = "inner") -> DataFrame:
+    """``rows`` have level, lang and source."""
+    same = (F.col("level") == F.col("g_level")) & F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
+    return rows.join(groups, same, how)
 
 
-def _same_keys(names: list[str], prefix: str) -> Column:
-    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(prefix + c)) for c in names])
+def _bounded(variance: str, i: int) -> str:
+    return f"greatest({variance}, double({FLOORS[i] ** 2}))"
 
 
 def estimates(rows: DataFrame) -> DataFrame:
     """One row for each level, language and source with ``LEAST`` rows or more, and for the top level whatever it has: its
     centre m_i and Cholesky factor l_ij.  Rows without a level are all of level 0."""
-    d = range(len(VECTOR))
     if "level" not in rows.columns:
         rows = rows.withColumn("level", F.lit(0))
-    name = [F.col(c[2:]).alias(c) for c in GROUP]
-    middle = rows.groupBy(*name).agg(F.count("*").alias("n"), *[F.percentile_approx(v, 0.5, 10_000).alias(f"m{i}") for i, v in enumerate(VECTOR)]).where((F.col("n") >= LEAST) | (F.col("g_level") == TOP))
-    spread = _joined(rows, middle).groupBy(*GROUP).agg(*[F.first(f"m{i}").alias(f"m{i}") for i in d], *[F.percentile_approx(F.abs(F.col(v) - F.col(f"m{i}")), 0.5, 10_000).alias(f"mad{i}") for i, v in enumerate(VECTOR)])
-    start = [(_bounded(F.pow(1.4826 * F.col(f"mad{i}"), F.lit(2)), i) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in d for j in range(i + 1)]
-    moments = [*[F.avg(v).alias(f"m{i}") for i, v in enumerate(VECTOR)], *[F.covar_pop(VECTOR[i], VECTOR[j]).alias(f"c{i}{j}") for i in d for j in range(i + 1)]]
-
-    def scatter(of: DataFrame, factor: float) -> DataFrame:
-        return of.select("start", *GROUP, *[f"m{i}" for i in d], *[(_bounded(factor * F.col(f"c{i}{j}"), i) if i == j else factor * F.col(f"c{i}{j}")).alias(f"s{i}{j}") for i in d for j in range(i + 1)])
-
-    whole = rows.groupBy(*name).agg(F.count("*").alias("n"), *moments).where((F.col("n") >= LEAST) | (F.col("g_level") == TOP)).withColumn("start", F.lit(1))
-    groups = spread.select(F.lit(0).alias("start"), *GROUP, *[f"m{i}" for i in d], *start).unionByName(scatter(whole, 1.0))
-    groups = materialize(_factor(groups), "groups")
-    key = ["start", *GROUP]
+    middle = [f"percentile_approx({v}, 0.5D, 10000) AS p{i}" for i, v in enumerate(VECTOR)]
+    whole = rows.groupBy(*[F.col(c[2:]).alias(c) for c in GROUP]).agg(F.count("*").alias("n"), *map(F.expr, [*middle, *_MOMENTS]))
+    # A written table, so that adaptive execution can split a group with most of the rows.
+    whole = materialize(whole.where((F.col("n") >= LEAST) | (F.col("g_level") == TOP)), "groups")
+    medians = [f"p{i}" for i in _D]
+    spread = _joined(rows, whole.select(*GROUP, *medians)).groupBy(*GROUP, *medians)
+    spread = spread.agg(*[F.expr(f"percentile_approx(abs({v} - p{i}), 0.5D, 10000) AS mad{i}") for i, v in enumerate(VECTOR)])
+    apart = [f"{_bounded(f'pow(1.4826D * mad{i}, 2)', i) if i == j else '0D'} AS s{i}{j}" for i, j in _PAIRS]
+    starts = spread.selectExpr("0 AS start", *GROUP, "double(null) AS old", *[f"p{i} AS m{i}" for i in _D], *apart)
+    starts = starts.unionByName(whole.selectExpr("1 AS start", *GROUP, "double(null) AS old", *_CENTRE, *_scatter(1.0)))
+    groups = materialize(_factor(starts), "groups")
+    drop_table(whole)
     for _ in range(MOST_STEPS):
-        far = _distance(_joined(rows, groups)).select(*key, *VECTOR, "d2")
-        edge = far.groupBy(*key).agg(F.percentile_approx("d2", SUPPORT, 10_000).alias("edge")).select(*[F.col(c).alias(f"e_{c}") for c in key], "edge")
-        near = far.join(edge, _same_keys(key, "e_")).where(F.col("d2") <= F.col("edge"))
-        before, groups = groups, materialize(_factor(scatter(near.groupBy(*key).agg(*moments), CONSISTENCY)), "groups")
-        old = before.select(*[F.col(c).alias(f"e_{c}") for c in key], _log_determinant().alias("old"))
-        falls = groups.join(old, _same_keys(key, "e_")).agg(F.max(F.col("old") - _log_determinant())).first()[0]
+        before, groups = groups, materialize(_factor(_closest(rows, groups).selectExpr(*KEY, "old", *_CENTRE, *_scatter(CONSISTENCY))), "groups")
+        drop_table(before)
+        falls = groups.selectExpr(f"max(old - ({_LOG_DETERMINANT}))").first()[0]
         if falls is None or falls <= STILL:
             break
     # Of the starts, the one that ends at the lesser determinant.
-    columns = [c for c in groups.columns if c not in key]
-    best = groups.groupBy(*GROUP).agg(F.min_by(F.struct(*columns), F.struct(_log_determinant(), F.col("start"))).alias("b"))
-    return materialize(best.select(*GROUP, *[F.col(f"b.{c}").alias(c) for c in columns]), "groups")
+    best = groups.groupBy(*GROUP).agg(F.min_by(F.struct(*_CENTRE, *_FACTOR), F.struct(F.expr(_LOG_DETERMINANT), "start")).alias("b"))
+    return materialize(best.select(*GROUP, "b.*"), "groups")
+
+
+def _closest(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """A C-step in one pass over the rows: ``KEY``, old (ln of the determinant so far), and of the closest rows the mean m_i and the
+    covariance c_ij.  Moments about the centre are summed by shells of distance, which are few; the inmost shells are added up, the
+    last of them by the share that makes their rows ``SUPPORT`` of all, so that the number is the same in each step."""
+    off = [f"({v} - m{i})" for i, v in enumerate(VECTOR)]
+    sums = {"n": "1"} | {f"t{i}": off[i] for i in _D} | {f"t{i}{j}": f"{off[i]} * {off[j]}" for i, j in _PAIRS}
+    known = [f"first({c}) AS {c}" for c in ("old", *_CENTRE)]
+    far = _distance(_joined(rows, groups.drop("old").selectExpr("*", f"{_LOG_DETERMINANT} AS old")))
+    far = far.selectExpr(*KEY, *VECTOR, "old", *_CENTRE, f"floor({SHELLS} * ln(greatest(d2, 1e-9D))) AS shell")
+    shells = far.groupBy(*KEY, "shell").agg(*map(F.expr, [*known, *[f"sum({e}) AS {name}" for name, e in sums.items()]]))
+    of = Window.partitionBy(*KEY)
+    inside = F.coalesce(F.sum("n").over(of.orderBy("shell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    near = shells.select("*", (SUPPORT * F.sum("n").over(of) - inside).alias("room")).where("room > 0")
+    near = near.selectExpr("*", "least(1D, room / n) AS share")
+    near = near.groupBy(*KEY).agg(*map(F.expr, [*known, *[f"sum(share * {name}) AS {name}" for name in sums]]))
+    return near.selectExpr(*KEY, "old", *[f"m{i} + t{i} / n AS m{i}" for i in _D], *[f"t{i}{j} / n - (t{i} / n) * (t{j} / n) AS c{i}{j}" for i, j in _PAIRS])
 
 
 def _levels(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -99,6 +99,52 @@ def test_quality_query_judges_every_document(spark):
     assert len(found) == spark.read.parquet(f"{DATA}/documents.parquet").count() and all(x.distance2 is not None for x in found)
 
 
+def brute_estimate(v):
+    """Minimum covariance determinant by whole sorts from two starts: centre and scatter, with the operator's bounds."""
+    low = np.array(quality.FLOORS) ** 2
+
+    def bounded(s):
+        return s + np.diag(np.maximum(low - np.diag(s), 0))
+
+    middle = np.median(v, axis=0)
+    starts = [(middle, bounded(np.diag((1.4826 * np.median(np.abs(v - middle), axis=0)) ** 2))), (v.mean(axis=0), bounded(np.cov(v.T, bias=True)))]
+    ends = []
+    for centre, scatter in starts:
+        for _ in range(60):
+            d2 = ((v - centre) @ np.linalg.inv(scatter) * (v - centre)).sum(axis=1)
+            near = v[np.argsort(d2, kind="stable")[: math.ceil(quality.SUPPORT * len(v))]]
+            before, centre, scatter = scatter, near.mean(axis=0), bounded(quality.CONSISTENCY * np.cov(near.T, bias=True))
+            if np.allclose(before, scatter, atol=1e-9):
+                break
+        ends.append((np.linalg.slogdet(scatter)[1], centre, scatter))
+    return min(ends, key=lambda e: e[0])[1:]
+
+
+def test_quality_verdicts_as_brute_force(spark):
+    """Verdicts of a whole table, small groups pooled, are those of an estimate by numpy, but for one document in 200."""
+    docs = spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    groups = {r.doc_id: (r.lang, r.source) for r in docs.select("doc_id", "lang", "source").collect()}
+    rows = {r.doc_id: r for r in quality.judge(docs).collect()}
+    vector = {k: [math.log(max(r.n_words, 1)), r.word_chars / max(r.n_words, 1), *(math.log1p(100 * x / max(r.n_words, 1)) for x in (r.n_symbols, r.n_dup_lines, r.n_repeat_words))] for k, r in rows.items()}
+    passed = [k for k, r in rows.items() if not r.base_failed]
+    pools = collections.defaultdict(list)
+    for k in passed:
+        lang, source = groups[k]
+        for pool in ((lang, source), (lang,), ()):
+            pools[pool].append(vector[k])
+    made, wrong = {}, []
+    for k in passed:
+        lang, source = groups[k]
+        pool = next(p for p in ((lang, source), (lang,), ()) if len(pools[p]) >= quality.LEAST or not p)
+        if pool not in made:
+            made[pool] = brute_estimate(np.array(pools[pool]))
+        centre, scatter = made[pool]
+        d = np.array(vector[k]) - centre
+        if rows[k].kept != (d @ np.linalg.solve(scatter, d) <= quality.CUTOFF):
+            wrong.append(k)
+    assert len(made) > 1 and len(wrong) <= len(passed) / 200, (len(wrong), len(passed))
+
+
 def test_quality_distance_as_numpy(spark):
     """The estimate is a fixed point: the mean and scatter of the rows that it has nearest."""
     rng = np.random.default_rng(3)
