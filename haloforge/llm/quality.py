@@ -30,8 +30,10 @@ WHITE = " \\t-\\r"
 VECTOR = ("v1", "v2", "v3", "v4", "v5")
 FLOORS = (0.5, 0.6, 0.7, 0.4, 0.8)
 SUPPORT = 0.75
-#: Shells of squared distance for each factor of e: rows in one, 0.8 % wide, count as equally far.
-SHELLS = 128
+#: Shells of squared distance for each factor of e: rows in one, 3 % wide, count as equally far.  So do those nearer than the
+#: first and further than the second of ``REACH``: the closest rows' mean is 5 / ``CONSISTENCY`` once an estimate has settled.
+SHELLS = 32
+REACH = (0.05, 100.0)
 #: Steps go on until no group's ln of the determinant falls by more than STILL; shells let it rise a little.
 STILL = 1e-3
 MOST_STEPS = 40
@@ -178,7 +180,7 @@ def _closest(rows: DataFrame, groups: DataFrame) -> DataFrame:
     sums = {"n": "1"} | {f"t{i}": off[i] for i in _D} | {f"t{i}{j}": f"{off[i]} * {off[j]}" for i, j in _PAIRS}
     known = [f"first({c}) AS {c}" for c in ("old", *_CENTRE)]
     far = _distance(_joined(rows, groups.drop("old").selectExpr("*", f"{_LOG_DETERMINANT} AS old")))
-    far = far.selectExpr(*KEY, *VECTOR, "old", *_CENTRE, f"floor({SHELLS} * ln(greatest(d2, 1e-9D))) AS shell")
+    far = far.selectExpr(*KEY, *VECTOR, "old", *_CENTRE, f"floor({SHELLS} * ln(least(greatest(d2, double({REACH[0]})), double({REACH[1]})))) AS shell")
     shells = far.groupBy(*KEY, "shell").agg(*map(F.expr, [*known, *[f"sum({e}) AS {name}" for name, e in sums.items()]]))
     of = Window.partitionBy(*KEY)
     inside = F.coalesce(F.sum("n").over(of.orderBy("shell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
