@@ -153,8 +153,10 @@ def codebooks(rows: DataFrame, parts: int = PARTS, entries: int = ENTRIES, round
     books = np.array([r.vector for r in first], dtype=np.int64).reshape(len(first), parts, width).transpose(1, 0, 2).copy()
     for _ in range(rounds):
         sums = rows.select("vector").mapInArrow(_sums(books), "part int, entry int, place int, n long, total long")
-        for r in sums.groupBy("part", "entry", "place").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toLocalIterator():
-            books[r.part, r.entry, r.place] = r.total // r.n
+        # In one job: an iterator over the rows would run one for each shuffle partition.
+        met = sums.groupBy("part", "entry", "place").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).toArrow()
+        part, entry, place, n, total = (c.to_numpy() for c in met.columns)
+        books[part, entry, place] = total // n
     return books
 
 

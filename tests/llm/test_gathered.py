@@ -87,6 +87,28 @@ def test_codes_of_odd_vectors(spark):
         vectorcodes.compress(spark.createDataFrame([(1, [1.0] * 12, 0)], VECTORS)).count()
 
 
+def test_rounds_run_as_many_jobs_over_many_partitions(spark):
+    """What a round gathers comes in one job, however many partitions it was shuffled to."""
+    r = random.Random(5)
+    rows = vectorcodes.integer_vectors(spark.createDataFrame([(k, [r.gauss(0, 0.3) for _ in range(16)], 0) for k in range(60)], VECTORS))
+    settings = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(s) for s in settings]
+    jobs, books = [], []
+    try:
+        for n in (2, 40):
+            for name, value in zip(settings, (str(n), "false"), strict=True):
+                spark.conf.set(name, value)
+            spark.sparkContext.setJobGroup(f"rounds-{n}", "rounds")
+            books.append(vectorcodes.codebooks(rows, rounds=3))
+            jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"rounds-{n}")))
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for name, value in zip(settings, before, strict=True):
+            spark.conf.set(name, value)
+    assert (books[0] == books[1]).all()
+    assert jobs[0] == jobs[1] > 0
+
+
 def test_codes_of_the_table(spark):
     a = queries.op11_vector_codes(spark, DATA).toPandas()
     alike(a, of_sql("op11_vector_codes", embeddings=f"{DATA}/embeddings.parquet"))
