@@ -7,8 +7,11 @@
 3. Buckets whose other texts aren't all joined yet are settled by prefix filtering: two sets of a similarity share one of
    their rarest shingles, so only texts that do are compared, and of a bucket's pairs only those that lie in two
    classes so far.  No pair of a bucket is lost, and in neither step are all pairs of a bucket made.
-4. A comparison counts the shared distinct shingles of both whole texts.  A leader's comparisons are dealt over
-   several tasks.  Classes are connected components of the pairs at ``threshold`` or more.
+4. Of each text a sketch says, for each of 1024 cells, whether an odd number of its shingles lies there.  Sketches differ
+   in no more cells than the sets have shingles apart, so pairs whose sketches differ in too many are surely not similar
+   and their shingles aren't sent.  The other pairs are compared: that counts the shared distinct shingles of both whole
+   texts.  A leader's comparisons are dealt over as many tasks as they need.  Classes are connected components of the
+   pairs at ``threshold`` or more.
 
 With 24 bands of 5 coordinates, a pair of similarity 0.8 shares a bucket with a chance of 0.9999; similar pairs of
 larger classes have many ways to meet.
@@ -36,8 +39,11 @@ from haloforge.llm.dartminhash import bands, signatures
 from haloforge.llm.store import drop_table, materialize
 from haloforge.llm.words import hash_words, runs, shingles
 
-_SPREAD = 64
 LEADERS = 8
+#: A leader's comparisons that meet in one group, on average.
+_TOGETHER = 64
+#: A sketch has 2**_CELLS bits.
+_CELLS = 10
 
 
 def _digest(text: str) -> bytes:
@@ -66,24 +72,46 @@ def _sign(size: int, n_bands: int, rows: int, weighted: bool) -> Callable:
     return run
 
 
+def _sketch(held: np.ndarray) -> np.ndarray:
+    """A bit for each cell of the hashes' high bits: whether an odd number of them lies there; int64."""
+    cells = np.bincount((held >> np.uint64(64 - _CELLS)).astype(np.int64), minlength=1 << _CELLS)
+    return np.packbits((cells & 1).astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _shingle_rows(size: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_blocks(batches):
             words, first = hash_words(texts)
-            held = [shingles(words[a:b], size).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(held, pa.binary())], ["digest", "held"])
+            held = [shingles(words[a:b], size) for a, b in zip(first[:-1], first[1:], strict=True)]
+            columns = [pa.array(keys, pa.binary()), pa.array([len(x) for x in held], pa.int64()), pa.array([_sketch(x) for x in held], pa.list_(pa.int64())), pa.array([x.tobytes() for x in held], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["digest", "n", "sketch", "held"])
 
     return run
 
 
 def _maybe(bitmap) -> Callable:
-    """(doc_id, digest, text, hash) -> those whose hash may be in the bitmap, without it."""
+    """(any columns, hash) -> rows whose hash may be in the bitmap, without it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, shift = unpacked(bitmap), np.uint64(64 - BITS)
         for batch in batches:
-            found = known[batch.column(3).to_numpy().view(np.uint64) >> shift]
-            yield batch.select([0, 1, 2]).filter(pa.array(found))
+            *rest, last = range(batch.num_columns)
+            found = known[batch.column(last).to_numpy().view(np.uint64) >> shift]
+            yield batch.select(rest).filter(pa.array(found))
+
+    return run
+
+
+def _maybe_shared(bitmap) -> Callable:
+    """(digest, n, bands) -> one row for each band that may be in the bitmap."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, shift = unpacked(bitmap), np.uint64(64 - BITS)
+        for batch in batches:
+            buckets = batch.column(2).flatten()
+            found = known[buckets.to_numpy().view(np.uint64) >> shift]
+            take = pa.array(np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())[found])
+            yield pa.RecordBatch.from_arrays([buckets.filter(pa.array(found)), batch.column(0).take(take), batch.column(1).take(take)], ["bucket", "digest", "n"])
 
     return run
 
@@ -113,13 +141,38 @@ def _compare(threshold: float) -> Callable:
     return run
 
 
+def _of(held: DataFrame, digests: DataFrame) -> DataFrame:
+    """digest, held: most texts that aren't among ``digests`` are left out before any shuffle; a join decides."""
+    bitmap = broadcast_bitmap(digests.select(F.xxhash64("digest").alias("hash")), "hash")
+    return held.select("digest", "held", F.xxhash64("digest").alias("hash")).mapInArrow(_maybe(bitmap), "digest binary, held binary")
+
+
+def _likely(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
+    """pairs (leader, member) without those that can't be similar: similar sets of ``a`` and ``b`` shingles have at most
+    (a + b) (1 - threshold) / (1 + threshold) apart, and sketches differ in at most as many cells."""
+    texts = held.select("digest", "n", "sketch")
+    a, b = (texts.select(F.col("digest").alias(name), F.col("n").alias(f"{name}_n"), F.col("sketch").alias(f"{name}_sketch")) for name in ("leader", "member"))
+    cells = F.zip_with("leader_sketch", "member_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(cells, F.lit(0), lambda total, x: total + x)
+    most = F.lit((1 - threshold) / (1 + threshold)) * (F.col("leader_n") + F.col("member_n")) + 1e-6
+    return pairs.join(a, "leader").join(b, "member").where(apart <= most).select("leader", "member")
+
+
 def _verified(pairs: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
-    """pairs (leader, member) -> (a, b) at the threshold or more."""
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("member"), F.lit(_SPREAD)).cast("int"))
-    members = pairs.join(held.withColumnRenamed("digest", "member"), "member").select("leader", "part", "member", "held")
-    leaders = pairs.select("leader", "part").distinct().join(held.withColumnRenamed("digest", "leader"), "leader").select("leader", "part", F.lit(None).cast("binary").alias("member"), "held")
-    rows = leaders.union(members).repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("member").asc_nulls_first())
-    return rows.mapInArrow(_compare(threshold), "a binary, b binary")
+    """pairs (leader, member) -> a written table (a, b) of those at the threshold or more."""
+    likely = materialize(_likely(pairs, held, threshold), "likely")
+    busy = likely.groupBy(F.col("leader").alias("busy")).agg(F.ceil(F.count("*") / F.lit(_TOGETHER)).alias("parts")).where("parts > 1")
+    busy = materialize(busy, "busy")
+    dealt = likely.join(busy, F.col("leader") == F.col("busy"), "left").withColumn("part", F.pmod(F.xxhash64("member"), F.coalesce("parts", F.lit(1))))
+    members = dealt.select(F.col("member").alias("digest"), "leader", "part", "member")
+    leaders = dealt.select("leader", "part").distinct().select(F.col("leader").alias("digest"), "leader", "part", F.lit(None).cast("binary").alias("member"))
+    own = _of(held, likely.select(F.explode(F.array("leader", "member")).alias("digest")))
+    rows = leaders.union(members).join(own, "digest").select("leader", "part", "member", "held")
+    rows = rows.repartition("leader", "part").sortWithinPartitions("leader", "part", F.col("member").asc_nulls_first())
+    found = materialize(rows.mapInArrow(_compare(threshold), "a binary, b binary"), "similar")
+    for old in (likely, busy):
+        drop_table(old)
+    return found
 
 
 def _near_size(a: str, b: str, threshold: float) -> Column:
@@ -147,8 +200,8 @@ def _rest(members: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     ends = sized.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max(F.struct("label_size", "label")).alias("most"))
     ends = materialize(ends.where("low <> high").select("bucket", F.col("most.label").alias("common")), "ends")
     mixed = members.join(ends, "bucket")
-    texts = mixed.groupBy("digest", "label", "n").agg(F.max(F.col("label") != F.col("common")).alias("few"))
-    spelled = texts.join(held, "digest").select("digest", "label", "n", "few", "held").mapInArrow(_spell, "digest binary, label binary, n long, few boolean, shingle long")
+    texts = materialize(mixed.groupBy("digest", "label", "n").agg(F.max(F.col("label") != F.col("common")).alias("few")), "texts")
+    spelled = texts.join(_of(held, texts), "digest").select("digest", "label", "n", "few", "held").mapInArrow(_spell, "digest binary, label binary, n long, few boolean, shingle long")
     spelled = materialize(spelled, "spelled")
     often = materialize(spelled.groupBy("shingle").agg(F.count("*").alias("found_in")).where("found_in > 1"), "often")
     shared = spelled.join(often, "shingle")
@@ -163,7 +216,7 @@ def _rest(members: DataFrame, held: DataFrame, threshold: float) -> DataFrame:
     other = (F.col("label") != F.col("leader_label")) & (~F.col("few") | (F.col("leader") < F.col("digest")))
     met = prefix.join(few, "shingle").where(other & enough & _near_size("n", "leader_n", threshold))
     pairs = materialize(met.select("leader", F.col("digest").alias("member")).distinct(), "pairs")
-    for old in (sizes, ends, spelled, often, prefix):
+    for old in (sizes, ends, texts, spelled, often, prefix):
         drop_table(old)
     return pairs
 
@@ -178,7 +231,10 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands:
     signed = materialize(texts.mapInArrow(_sign(size, n_bands, rows, weighted), "doc_id long, digest binary, n long, bands array<long>"), "signatures")
     distinct = signed.groupBy("digest").agg(F.min(F.struct("n", "bands")).alias("s")).select("digest", "s.n", F.explode("s.bands").alias("bucket"))
     shared = materialize(distinct.groupBy("bucket").count().where("count > 1").select("bucket"), "shared")
-    members = materialize(distinct.join(shared, "bucket").select("bucket", "digest", "n"), "members")
+    # Most bands are of one text alone, and a bitmap keeps them from being shuffled; the join decides.
+    bitmap = broadcast_bitmap(shared, "bucket")
+    maybe = signed.select("digest", "n", "bands").mapInArrow(_maybe_shared(bitmap), "bucket long, digest binary, n long").distinct()
+    members = materialize(maybe.join(shared, "bucket").select("bucket", "digest", "n"), "members")
     # Digests are hashed once more, so that no text's place in the order has to do with its label.
     order = F.xxhash64("digest")
     # Of a text's copies, one row is read again: that of the least doc_id.
@@ -186,27 +242,27 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5, n_bands:
     # Copies are counted out before they meet the chosen texts: a row a text on both sides.
     needed = signed.groupBy("digest").agg(F.min("doc_id").alias("id")).join(chosen, "digest", "left_semi")
     needed = materialize(needed.select("id", F.col("digest").alias("own")), "needed")
-    # A bitmap of fixed size keeps most other rows from being shuffled with their texts; the join decides.
+    # Another keeps most other rows from being shuffled with their texts; the join decides.
     bitmap = broadcast_bitmap(needed.select(F.xxhash64("own", "id").alias("hash")), "hash")
     with_digest = texts.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"), "text").withColumn("hash", F.xxhash64("digest", "doc_id"))
     with_digest = with_digest.mapInArrow(_maybe(bitmap), "doc_id long, digest binary, text string")
-    once = with_digest.join(needed.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("digest") == F.col("own")), "left_semi").select("digest", "text")
-    once = once.mapInArrow(_shingle_rows(size), "digest binary, held binary")
-    held = materialize(once.groupBy("digest").agg(F.min("held").alias("held")), "shingles")
+    # Whatever row of a digest is left, its text is the same; grouped once more by what they are joined by, texts are shuffled once.
+    once = with_digest.groupBy("digest").agg(F.min("text").alias("text")).join(needed.hint("merge"), F.col("digest") == F.col("own"), "left_semi")
+    held = materialize(once.mapInArrow(_shingle_rows(size), "digest binary, n long, sketch array<long>, held binary"), "shingles")
 
     slot = F.pmod(order, F.lit(LEADERS))
     leaders = members.groupBy("bucket", slot.alias("slot")).agg(F.min(F.struct(order.alias("order"), "digest", "n")).alias("who")).select("bucket", F.col("who.digest").alias("leader"), F.col("who.n").alias("leader_n"))
     leaders = materialize(leaders, "leaders")
     met = members.join(leaders, "bucket").where((F.col("digest") != F.col("leader")) & _near_size("n", "leader_n", threshold))
     pairs = materialize(met.select("leader", F.col("digest").alias("member")).distinct(), "pairs")
-    edges = materialize(_verified(pairs, held, threshold), "similar")
+    edges = _verified(pairs, held, threshold)
     first = materialize(components(edges).withColumnRenamed("node", "digest"), "labels")
     # A leader has met all of its bucket.
     left = members.join(leaders.select("bucket", F.col("leader").alias("digest")), ["bucket", "digest"], "left_anti")
     left = left.join(first, "digest", "left").select("bucket", "digest", "n", F.coalesce("label", "digest").alias("label"))
     labelled = materialize(left, "labelled")
     rest = _rest(labelled, held, threshold)
-    found = materialize(_verified(rest, held, threshold), "similar")
+    found = _verified(rest, held, threshold)
     for old in (shared, members, chosen, needed, leaders, held, pairs, labelled, rest):
         drop_table(old)
     # Only what the second step found is joined anew.

@@ -90,6 +90,44 @@ def test_chains_of_near_copies(spark):
     assert found == brute_classes(texts)
 
 
+def shuffled_mb(spark, run):
+    """What ``run`` gives, and the MB that it wrote to shuffles."""
+    sc = spark.sparkContext
+
+    def stages():
+        sc._jsc.sc().listenerBus().waitUntilEmpty()
+        found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+        return {x.stageId(): x.shuffleWriteBytes() / 1e6 for x in map(found.apply, range(found.size()))}
+
+    before = stages()
+    return run(), sum(mb for k, mb in stages().items() if k not in before)
+
+
+def test_texts_that_cannot_be_similar_are_not_sent(spark):
+    """Of 60 texts in common buckets every pair shares many shingles, too few for a class; two are near copies."""
+    r = random.Random(8)
+    base = words(r, 600).split()
+    texts = {}
+    for k in range(60):
+        at = r.randrange(528)
+        texts[k] = " ".join([*base[:at], *words(r, 72).split(), *base[at + 72 :]])
+    texts[60] = texts[7] + " the end"
+    docs = spark.createDataFrame(list(texts.items()), SCHEMA).repartition(4)
+    found, mb = shuffled_mb(spark, lambda: nearcopies.near_copies(docs).collect())
+    assert {x.doc_id: x.class_id for x in found} == brute_classes(texts) == {k: 7 if k == 60 else k for k in texts}
+    assert mb < 2
+
+
+@pytest.mark.parametrize("n", (1, 40, 400, 3000))
+def test_sketches_never_differ_in_more_cells_than_sets(n):
+    rng = np.random.default_rng(n)
+    for apart in (0, 1, n // 10, n):
+        a = rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1)
+        b = np.concatenate([a[apart:], rng.integers(0, 1 << 63, apart // 2).astype(np.uint64)])
+        cells = int(np.bitwise_count((nearcopies._sketch(a) ^ nearcopies._sketch(b)).view(np.uint64)).sum())
+        assert cells <= len(set(a.tolist()) ^ set(b.tolist())) and (apart == 0) == (cells == 0)
+
+
 def test_repetition_is_no_difference(spark):
     """Sets are compared: a text ten times over is its near copy, whatever its words' counts."""
     r = random.Random(17)
