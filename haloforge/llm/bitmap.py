@@ -25,3 +25,10 @@ def broadcast_bitmap(hashes: DataFrame, column: str, bits: int = BITS):
 def unpacked(shared) -> np.ndarray:
     """In a task: for each value of the high bits, whether it is there."""
     return np.unpackbits(np.frombuffer(shared.value, dtype=np.uint8), bitorder="little").view(bool)
+
+
+def maybe_in(shared, hashes: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """In a task: for each 64-bit hash, whether it may be in the bitmap, which isn't unpacked for that."""
+    at = hashes.view(np.uint64) >> np.uint64(64 - bits)
+    held = np.frombuffer(shared.value, dtype=np.uint8)[at >> np.uint64(3)]
+    return (held >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)

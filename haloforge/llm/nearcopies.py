@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haloforge.llm.arrow import keyed_texts, text_blocks
-from haloforge.llm.bitmap import BITS, broadcast_bitmap, unpacked
+from haloforge.llm.bitmap import broadcast_bitmap, maybe_in
 from haloforge.llm.components import components
 from haloforge.llm.dartminhash import bands, signatures
 from haloforge.llm.store import drop_table, materialize
@@ -93,10 +93,9 @@ def _maybe(bitmap) -> Callable:
     """(any columns, hash) -> rows whose hash may be in the bitmap, without it."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, shift = unpacked(bitmap), np.uint64(64 - BITS)
         for batch in batches:
             *rest, last = range(batch.num_columns)
-            found = known[batch.column(last).to_numpy().view(np.uint64) >> shift]
+            found = maybe_in(bitmap, batch.column(last).to_numpy())
             yield batch.select(rest).filter(pa.array(found))
 
     return run
@@ -106,10 +105,9 @@ def _maybe_shared(bitmap) -> Callable:
     """(digest, n, bands) -> one row for each band that may be in the bitmap."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, shift = unpacked(bitmap), np.uint64(64 - BITS)
         for batch in batches:
             buckets = batch.column(2).flatten()
-            found = known[buckets.to_numpy().view(np.uint64) >> shift]
+            found = maybe_in(bitmap, buckets.to_numpy())
             take = pa.array(np.repeat(np.arange(batch.num_rows), batch.column(2).value_lengths().to_numpy())[found])
             yield pa.RecordBatch.from_arrays([buckets.filter(pa.array(found)), batch.column(0).take(take), batch.column(1).take(take)], ["bucket", "digest", "n"])
 

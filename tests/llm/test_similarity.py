@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from haloforge.llm import chunkdedup, decontam, linededup, nearcopies, queries
+from haloforge.llm import bitmap, chunkdedup, decontam, linededup, nearcopies, queries
 from haloforge.llm.components import components
 from haloforge.llm.dartminhash import signatures
 from haloforge.llm.words import hash_words
@@ -118,6 +118,14 @@ def test_texts_that_cannot_be_similar_are_not_sent(spark):
     assert mb < 2
 
 
+def test_bitmap_reads_as_unpacked(spark):
+    hashes = np.random.default_rng(3).integers(-(1 << 63), 1 << 63, 500, dtype=np.int64)
+    held = bitmap.broadcast_bitmap(spark.createDataFrame([(int(x),) for x in hashes[:200]], "h long"), "h", 12)
+    found = bitmap.maybe_in(held, hashes, 12)
+    assert found[:200].all() and 0 < found[200:].sum() < 100
+    assert (found == bitmap.unpacked(held)[hashes.view(np.uint64) >> np.uint64(52)]).all()
+
+
 @pytest.mark.parametrize("n", (1, 40, 400, 3000))
 def test_sketches_never_differ_in_more_cells_than_sets(n):
     rng = np.random.default_rng(n)
