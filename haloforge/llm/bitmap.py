@@ -4,19 +4,37 @@ the more there are, the less it keeps out."""
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: 4 MB.
 BITS = 25
 
 
+def _word(column: str, bits: int) -> Column:
+    return F.shiftrightunsigned(column, 64 - bits + 6)
+
+
+def _bit(column: str, bits: int) -> Column:
+    return F.shiftrightunsigned(column, 64 - bits).bitwiseAND(F.lit(63)).cast("int")
+
+
+def bitmap_words(hashes: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    """(word, bits): one bit for each value of the hashes' high ``bits`` bits; at most 2**(bits - 6) rows."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), _bit(column, bits)).alias("bit")
+    return hashes.select(_word(column, bits).alias("word"), bit).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def only_maybe_in(rows: DataFrame, words: DataFrame, column: str, bits: int = BITS) -> DataFrame:
+    """The rows whose hash may be in the bitmap, without Python: its words, of bounded number, are broadcast."""
+    here = (_word(column, bits) == F.col("word")) & (F.getbit("bits", _bit(column, bits)) == 1)
+    return rows.join(F.broadcast(words), here, "left_semi")
+
+
 def broadcast_bitmap(hashes: DataFrame, column: str, bits: int = BITS):
     """One bit for each value of the hashes' high ``bits`` bits, sent to all executors.  At most 2**(bits - 6) rows, its words,
     come to the driver, as Arrow."""
-    word = F.shiftrightunsigned(column, 64 - bits + 6).alias("word")
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(`{column}`, {64 - bits}) & 63 as int))").alias("bit")
-    used = hashes.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    used = bitmap_words(hashes, column, bits).toArrow()
     held = np.zeros(1 << (bits - 6), dtype="<i8")
     held[used["word"].to_numpy()] = used["bits"].to_numpy()
     return hashes.sparkSession.sparkContext.broadcast(held.tobytes())

@@ -16,9 +16,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from haloforge.llm.bitmap import bitmap_words, only_maybe_in
 from haloforge.llm.store import materialize
 
 WHITE = " \t\n\x0b\x0c\r"
+#: Of the bitmap of frequent lines: at most 2**18 words.
+_BITS = 24
 
 
 def _lines(text: Column) -> Column:
@@ -39,7 +42,8 @@ def frequent_line_positions(docs: DataFrame, min_docs: int = 10, min_chars: int
     """(doc_id, text_hash, drop): where each document has lines that ``min_docs`` documents or more have.
 
     Counts are added up before they are shuffled.  Lines meet the frequent ones in joins of written tables, so that a line
-    that most documents have can be split over tasks.  How many lines are frequent has no bound, so they are never broadcast.
+    that most documents have can be split over tasks.  How many lines are frequent has no bound, so they are never broadcast:
+    a bitmap of fixed size is, which keeps most other lines from being shuffled, and the join decides.
     """
     rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     loose = F.transform(_lines(F.lower("text")), lambda line: F.btrim(line, F.lit(WHITE)))
@@ -49,7 +53,7 @@ def frequent_line_positions(docs: DataFrame, min_docs: int = 10, min_chars: int
     placed = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(_lines(F.col("text"))).alias("at", "line"))
     loose_hash = _hash(F.btrim(F.lower("line"), F.lit(WHITE)))
     candidates = (
-        placed.select("*", *loose_hash)
+        only_maybe_in(placed.select("*", *loose_hash), bitmap_words(often, "h1", _BITS), "h1", _BITS)
         .join(often.hint("merge"), ["h1", "h2"], "left_semi")
         .select("doc_id", "text_hash", "at", _key(F.col("line")).alias("key"))
         .where(F.length("key") >= min_chars)

@@ -4,6 +4,7 @@ import collections
 import itertools
 import math
 import random
+import string
 import re
 
 import numpy as np
@@ -308,6 +309,25 @@ def test_line_counts_are_of_documents(spark):
     assert got == {k: "" for k in range(9)} | {9: "other"}
 
 
+def test_lines_of_one_document_are_not_sent(spark):
+    """Of 3000 lines one is frequent: texts of the others stay where they are."""
+    r = random.Random(17)
+    rows = [(k, "\n".join(["Same line", *("".join(r.choices(string.ascii_letters, k=1000)) for _ in range(50))])) for k in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4).localCheckpoint()
+    found, mb = shuffled_mb(spark, lambda: linededup.frequent_line_positions(docs).collect())
+    assert {x.doc_id: x.drop for x in found} == {k: [0] for k in range(60)}
+    assert mb < 0.5
+
+
+def test_line_dedup_with_a_full_bitmap(spark, monkeypatch):
+    """Lines that a bitmap lets through by chance are decided by the join."""
+    monkeypatch.setattr(linededup, "_BITS", 8)
+    rows = [(k, "\n".join([f"one {k}", f"Two {k % 300}", f"two {k % 400} ", f"three {k % 1200}"])) for k in range(3600)]
+    counts = collections.Counter(x for _, text in rows for x in {line.strip().lower() for line in text.split("\n")})
+    want = {k: "\n".join(x for x in text.split("\n") if counts[x.strip().lower()] < 10) for k, text in rows}
+    assert {x.doc_id: x.text for x in linededup.dedup_lines(spark.createDataFrame(rows, SCHEMA)).collect()} == want
+
+
 def test_chunks_resist_insertions():
     r = random.Random(9)
     passage = words(r, 300)
