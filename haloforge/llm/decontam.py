@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haloforge.llm.arrow import fresh, keyed_texts, text_blocks
+from haloforge.llm.arrow import fresh, frugal, keyed_texts, text_blocks
 from haloforge.llm.bitmap import BITS, broadcast_bitmap, unpacked
 from haloforge.llm.store import materialize
 from haloforge.llm.words import PLACES, hash_words, mix
@@ -134,6 +134,7 @@ def _seeds_of_items(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _hits(masks: list[tuple[int, str]], bitmap, bits: int) -> Callable:
+    @frugal
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = unpacked(bitmap)
         for batch in batches:

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from haloforge.llm.arrow import keyed_texts, text_blocks
+from haloforge.llm.arrow import frugal, keyed_texts, text_blocks
 from haloforge.llm.store import materialize
 from haloforge.llm.tokens import encoder
 
@@ -69,6 +69,7 @@ class _Windows:
 def _pack_partition(path: str, end_id: int, length: int, most: int, top_up: bool, with_ids: bool) -> Callable:
     names = [x.split()[0] for x in _PIECES.split(", ")] + ["ids"] * with_ids
 
+    @frugal
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = encoder(path)
         high = TaskContext.get().partitionId() << 32

@@ -25,9 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from haloforge.llm.arrow import fresh, keyed_texts, text_blocks
+from haloforge.llm.arrow import frugal, keyed_texts, text_blocks
 from haloforge.llm.decontam import plain
 from haloforge.llm.bitmap import broadcast_bitmap, unpacked
 from haloforge.llm.store import drop_table, materialize
@@ -62,6 +61,7 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out_text), np.concatenate(out_place).astype(np.int64)
 
 
+@frugal
 def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, label, doc_id) -> label, doc_id, distinct places."""
     for batch in batches:
@@ -76,6 +76,7 @@ def _places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at += len(texts)
 
 
+@frugal
 def _found_in(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """places -> place, n: in how many of a task's rows it is."""
     n = np.zeros(1 << BITS, dtype=np.int64)
@@ -88,6 +89,7 @@ def _found_in(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _only(bitmap) -> Callable:
     """(label, doc_id, places) -> the same, with the bitmap's places alone."""
 
+    @frugal
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = unpacked(bitmap)
         for batch in batches:
@@ -136,6 +138,7 @@ class Ftrl:
 def _train(fold: int | None, epochs: int, least_docs: int, alpha: float, beta: float, l1: float, l2: float) -> Callable:
     """A model of all rows -> place, weight; of all rows but a fold -> place -1, and label and margin of the fold's rows."""
 
+    @frugal
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, labels, places = [], [], []
         for batch in batches:
@@ -171,8 +174,6 @@ def _train(fold: int | None, epochs: int, least_docs: int, alpha: float, beta: f
             out = [k for j, k in enumerate(order) if j % FOLDS == fold]
             columns = np.full(len(out), -1), np.array([labels[k] for k in out]), np.array([w[places[k]].sum() for k in out])
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["place", "label", "value"])
-        del places
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -247,6 +248,7 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, score) of every row of ``docs``."""
     shared = _broadcast(docs, model)
 
+    @frugal
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = _score(shared)
         for keys, texts in text_blocks(batches):
@@ -256,16 +258,16 @@ def score(docs: DataFrame, model: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, learn_from: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """``docs`` without rows that score ``threshold`` or more.  Rows are scored where they lie: nothing is shuffled."""
-    shared, name, at = _broadcast(docs, train(learn_from, labels)), fresh(docs, "score"), docs.columns.index("text")
+    """``docs`` without rows that score ``threshold`` or more.  Rows are scored where they lie: nothing is shuffled, and of a
+    row only its text goes to Python and its score comes back."""
+    shared = _broadcast(docs, train(learn_from, labels))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("double")
+    @frugal
+    def scores(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         score = _score(shared)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                some = batch.slice(k, 512)
-                found = score([x or "" for x in some.column(at).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(found)], [*some.schema.names, name])
+            parts = (batch.slice(k, 512) for k in range(0, len(batch), 512))
+            yield pa.array(np.concatenate([np.zeros(0), *(score([x or "" for x in part.to_pylist()]) for part in parts)]))
 
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(run, schema).where(F.col(name) < threshold).drop(name)
+    return docs.where(scores("text") < threshold)

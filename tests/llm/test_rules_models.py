@@ -6,6 +6,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -14,7 +15,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from haloforge.llm import decontam, pii, quality, queries, store, toxicity, urlrules
+from haloforge.llm import decontam, nearcopies, packing, pii, quality, queries, store, toxicity, urlrules
+from haloforge.llm.arrow import frugal
 from haloforge.llm.words import PLACES, hash_words, mix, span_hashes
 
 from .conftest import DATA, ODD_TEXTS
@@ -339,6 +341,35 @@ def test_toxicity_on_held_out_rows(spark):
     assert n[1, 1] >= 0.85 * (n[1, 1] + n.get((1, 0), 0)) and n[1, 1] >= 0.97 * (n[1, 1] + n.get((0, 1), 0)), n
 
 
+def test_drop_toxic_sends_texts_alone(spark):
+    """Other columns stay in Spark, and no text comes back from Python."""
+    docs = spark.createDataFrame([(k, f"word {k}", "en") for k in range(9)], "doc_id long, text string, lang string")
+    kept = toxicity.drop_toxic(docs, spark.createDataFrame([], "doc_id long, toxic long"), docs)
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "ArrowEvalPython [scores(text" in plan
+    assert sorted(kept.collect()) == sorted(docs.collect())
+
+
+def test_a_worker_gives_memory_back():
+    """What tasks have freed doesn't stay with the worker, though something above it does."""
+    def held_mb():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    kept = []
+
+    def run(batches):
+        for n in batches:
+            pieces = [np.ones(12_000) for _ in range(n)]
+            kept.append(pieces[-1])
+            yield n
+
+    before = held_mb()
+    assert list(run([2000])) == [2000] and held_mb() > before + 100
+    assert list(frugal(run)([2000])) == [2000] and held_mb() < before + 60
+    for each in (toxicity._places, toxicity._found_in, toxicity._only(None), toxicity._train(None, 1, 3, 1, 1, 3, 0.1), nearcopies._shingle_rows(5), packing._pack_partition("", 1, 2048, 64, True, False)):
+        assert each.__wrapped__.__name__ in ("run", "_places", "_found_in")
+
+
 def test_drop_toxic_of_odd_rows(spark, odd_docs, no_docs):
     """All columns pass unchanged, whatever their names; rows are judged each by its own text."""
     labels = spark.createDataFrame([(k, k % 2) for k in range(11)], "doc_id long, toxic int")
