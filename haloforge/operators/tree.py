@@ -12,7 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,14 +68,21 @@ def _next_places(trees: np.ndarray, node: np.ndarray, to: np.ndarray) -> np.ndar
 
 
 def _walk(include_terminal: bool) -> Callable:
-    """Rows with their pointer as ``__to`` and whether a branch starts there as ``__root`` -> root_id, depth and the other columns."""
+    """Rows with their pointer as ``__to`` -> root_id, depth and the other columns.  Branches start where ``__root`` says; without it, at
+    rows that no pointer leads to."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         trees, node, to = (rows[c].to_numpy(dtype=np.int64) for c in ("tree_id", "node_id", "__to"))
         following = _next_places(trees, node, to)
         last = to == -1
+        if "__root" in rows:
+            starts = rows["__root"].to_numpy(dtype=bool)
+        else:
+            led = np.zeros(len(to), dtype=bool)
+            led[following[~last & (following >= 0)]] = True
+            starts = ~led[_next_places(trees, node, node)]  # rows of the same id are led to together
         following[last | (following == np.arange(len(to)))] = -1
-        at = root = np.flatnonzero(rows["__root"].to_numpy(dtype=bool))
+        at = root = np.flatnonzero(starts)
         where, roots, depths, depth = [], [], [], 0
         while len(at):
             if depth > len(to):
@@ -86,7 +93,7 @@ def _walk(include_terminal: bool) -> Callable:
             depths.append(np.full(int(kept.sum()), depth, dtype=np.int32))
             on = following[at] >= 0
             at, root, depth = following[at[on]], root[on], depth + 1
-        rows = rows.drop(columns=["__root", "__to"])
+        rows = rows.drop(columns=["__root", "__to"], errors="ignore")
         where, roots, depths = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (where, roots, depths))
         out = rows.iloc[where].reset_index(drop=True)
         out.insert(0, "root_id", node[roots])
@@ -109,14 +116,7 @@ def _followed(marked: DataFrame, include_terminal: bool) -> DataFrame:
 
 def _over_trees(nodes: DataFrame, roots: DataFrame | None, pointer: str, include_terminal: bool, tree_rows: int | None, f: Callable | None = None, schema=None, whole: Callable | None = None) -> DataFrame:
     """Branches of all trees; or, of trees that fit in a task, ``f`` of a frame with many trees' branches, and of the others ``whole``."""
-    if roots is None:
-        # Chain heads of the same pointer, within the tree.
-        led_to = nodes.select("tree_id", F.col(pointer).alias("node_id")).where("node_id <> -1").distinct().withColumn("__led", F.lit(True))
-        marked = nodes.join(led_to, ["tree_id", "node_id"], "left").withColumn("__root", F.col("__led").isNull()).drop("__led")
-    else:
-        given = roots.select("tree_id", "node_id").distinct().withColumn("__given", F.lit(True))
-        marked = nodes.join(given, ["tree_id", "node_id"], "left").withColumn("__root", F.coalesce("__given", F.lit(False))).drop("__given")
-    marked = marked.select(*nodes.columns, "__root", F.coalesce(F.col(pointer).cast("long"), F.lit(-1)).alias("__to"))
+    to = F.coalesce(F.col(pointer).cast("long"), F.lit(-1)).alias("__to")
     walk = _walk(include_terminal)
     if f is None:
         schema = T.StructType([T.StructField("root_id", T.LongType()), T.StructField("depth", T.IntegerType()), *nodes.schema.fields])
@@ -126,11 +126,34 @@ def _over_trees(nodes: DataFrame, roots: DataFrame | None, pointer: str, include
     sizes = nodes.groupBy("tree_id").agg(F.count("*").alias("__size"))
     large = materialize(sizes.where(F.col("tree_id").isNull() | (F.col("__size") > (TREE_ROWS if tree_rows is None else tree_rows))), "large-trees")
     if large.isEmpty():
-        return _by_tree(marked, run, schema)
+        return _by_tree(_marked(nodes, roots, to), run, schema)
     if not large.where("tree_id is null").isEmpty():
         raise ValueError("nodes without a tree_id: follow them by snapshot and id")
-    small = marked.join(large, "tree_id", "left_anti").select(marked.columns)
-    return _by_tree(small, run, schema).union(whole(_followed(marked.join(large, "tree_id", "left_semi").select(marked.columns), include_terminal)))
+    small, others = (nodes.join(large, "tree_id", how).select(nodes.columns) for how in ("left_anti", "left_semi"))
+    near = None if roots is None else roots.join(large, "tree_id", "left_anti")
+    return _by_tree(_marked(small, near, to), run, schema).union(whole(_followed(_marked_apart(others, roots, to), include_terminal)))
+
+
+def _marked(nodes: DataFrame, roots: DataFrame | None, to: Column) -> DataFrame:
+    """Nodes dealt out by tree, with ``to``, and with ``__root`` if roots are given: their rows come beside the nodes', so the exchange of the walk is
+    the only one (a join by tree and id would be another)."""
+    if roots is None:
+        return nodes.repartition("tree_id").select("*", to)
+    given = roots.select("tree_id", "node_id").where("tree_id is not null and node_id is not null").distinct()
+    rows = nodes.withColumn("__given", F.lit(False)).unionByName(given.withColumn("__given", F.lit(True)), allowMissingColumns=True)
+    of_id = F.bool_or("__given").over(Window.partitionBy("tree_id", "node_id"))
+    return rows.repartition("tree_id").withColumn("__root", of_id).where("not __given").select(*nodes.columns, "__root", to)
+
+
+def _marked_apart(nodes: DataFrame, roots: DataFrame | None, to: Column) -> DataFrame:
+    """Nodes with ``__root`` and ``to``, by joins whose keys have the id too: a large tree is dealt to many tasks."""
+    rows = nodes.select("*", to)
+    if roots is None:
+        # Chain heads of the same pointer, within the tree.
+        led_to = rows.select("tree_id", F.col("__to").alias("node_id")).where("node_id <> -1").distinct().withColumn("__led", F.lit(True))
+        return rows.join(led_to, ["tree_id", "node_id"], "left").select(*nodes.columns, F.col("__led").isNull().alias("__root"), "__to")
+    given = roots.select("tree_id", "node_id").distinct().withColumn("__given", F.lit(True))
+    return rows.join(given, ["tree_id", "node_id"], "left").select(*nodes.columns, F.coalesce("__given", F.lit(False)).alias("__root"), "__to")
 
 
 def branches(nodes: DataFrame, roots: DataFrame | None = None, pointer: str = "main_prog", include_terminal: bool = False, tree_rows: int | None = None) -> DataFrame:
@@ -229,17 +252,22 @@ def fof_members(nodes: DataFrame, snapnum: int | None = None) -> DataFrame:
     """nodes (tree_id, node_id, first_in_fof, next_in_fof) -> tree_id, first_in_fof, rank, node_id, last: each group's members in the
     order of its list, from the first, of rank 0, on.  With ``snapnum`` the groups of that snapshot alone."""
     own = nodes if snapnum is None else nodes.where(F.col("snapnum") == snapnum)
-    own = own.select("tree_id", "node_id", "first_in_fof", "next_in_fof")
+    own = materialize(own.select("tree_id", "node_id", "first_in_fof", "next_in_fof"), "lists")  # for sizes, roots and the walk
     found = branches(own, own.select("tree_id", F.col("first_in_fof").alias("node_id")), "next_in_fof", include_terminal=True)
     return found.select("tree_id", F.col("root_id").alias("first_in_fof"), F.col("depth").alias("rank"), "node_id", (F.coalesce("next_in_fof", F.lit(-1)) == -1).alias("last"))
 
 
+#: What ``fof_orbits`` reads of nodes, besides the groups' lists.
+ORBIT_COLUMNS = ("tree_id", "node_id", "main_prog", "snapnum", "scale_factor", "mass", "x", "y", "z", "vx", "vy", "vz")
+
+
 def fof_orbits(nodes: DataFrame, box: float, snapnum: int | None = None, corrected: bool = False, groups: DataFrame | None = None) -> DataFrame:
     """Orbits of the members of a snapshot's FOF groups about the central one's branch, in physical units.
 
     Members are those that the groups' lists lead to (``fof_members``); by default of the last snapshot; groups (tree_id, first_in_fof):
     these alone.  The last of a list is left out, as users of the method have it, unless ``corrected``.  -> tree_id, first_in_fof,
-    root_id, rank, depth, snapnum, scale_factor, dx, dy, dz, dvx, dvy, dvz, mass, r, v_r.
+    root_id, rank, depth, snapnum, scale_factor, dx, dy, dz, dvx, dvy, dvz, mass, r, v_r.  Nodes are read several times:
+    a written table serves best, and of those with the same id its first row counts.
     """
     if snapnum is None:
         snapnum = nodes.agg(F.max("snapnum")).first()[0]
@@ -247,7 +275,7 @@ def fof_orbits(nodes: DataFrame, box: float, snapnum: int | None = None, correct
     if groups is not None:
         members = members.join(groups.select("tree_id", "first_in_fof").distinct(), ["tree_id", "first_in_fof"], "left_semi")
     used = materialize(members if corrected else members.where("rank = 0 or not last"), "members")
-    track = branches(nodes.drop("first_in_fof", "rank"), used).join(used.select("tree_id", F.col("node_id").alias("root_id"), "first_in_fof", "rank"), ["tree_id", "root_id"])
+    track = branches(nodes.select(*ORBIT_COLUMNS), used).join(used.select("tree_id", F.col("node_id").alias("root_id"), "first_in_fof", "rank"), ["tree_id", "root_id"])
     a, group = F.col("scale_factor"), ["tree_id", "first_in_fof"]
     own = [(F.col(c) * a).alias(c) for c in ("x", "y", "z")] + [(F.col(c) * F.sqrt(a)).alias(c) for c in ("vx", "vy", "vz")]
     physical = materialize(track.select(*group, "root_id", "rank", "depth", "snapnum", "scale_factor", "mass", *own), "tracks")

@@ -17,6 +17,7 @@ from haloforge.operators import spatial as X
 from haloforge.operators import transform as R
 from haloforge.operators import tree as T
 from haloforge.plans.standins import BOX, FIRST_IN_FOF, LAST_SNAP, NEXT_IN_FOF, OMEGA0, OMEGA_LAMBDA, group_lists, load, typed_lists
+from haloforge.work import materialize
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 EDGE = (5.0, 50.0, 95.0)  # near two borders of the box
@@ -468,6 +469,11 @@ def _fof(spark, d):
     return nodes.withColumns({"member": F.col("tree_id"), "tree_id": F.col("fof_id"), "next_prog": F.col("next_in_fof")})
 
 
+def _written(nodes: DataFrame) -> DataFrame:
+    """What orbits need of nodes, as they read them several times; of nodes with the same id the first row of the table counts."""
+    return materialize(nodes.select(*T.ORBIT_COLUMNS, "first_in_fof", "next_in_fof"), "nodes")
+
+
 @query
 def fof_members(spark, d):
     found = T.fof_members(_fof(spark, d))
@@ -476,22 +482,24 @@ def fof_members(spark, d):
 
 @query
 def fof_orbits(spark, d):
-    found = T.fof_orbits(_fof(spark, d), BOX)
+    found = T.fof_orbits(_written(_fof(spark, d)), BOX)
     keys = ("dx", "dy", "dz", "dvx", "dvy", "dvz", "mass")
     return rounded(found.select(F.col("tree_id").alias("fof_id"), "root_id", *bigint("snapnum"), *keys), **dict.fromkeys(keys, 6))
 
 
 @query
 def orbit_relative(spark, d):
-    found = T.fof_orbits(_fof(spark, d), BOX, corrected=True)
+    found = T.fof_orbits(_written(_fof(spark, d)), BOX, corrected=True)
     return rounded(found.select("root_id", *bigint("snapnum"), "dx", "dy", "dz"), dx=6, dy=6, dz=6)
 
 
 @query
 def orbit_radius(spark, d):
     nodes = _fof(spark, d)
+    nodes = _written(nodes)
     orbits = T.fof_orbits(nodes, BOX).select(F.col("tree_id").alias("fof_id"), "root_id", "snapnum", "scale_factor", "r")
-    central = T.branches(nodes, nodes.where(f"snapnum = {LAST_SNAP} and first_in_fof = node_id")).select(F.col("tree_id").alias("fof_id"), "snapnum", "mass", "scale_factor")
+    own = nodes.select("tree_id", "node_id", "main_prog", "snapnum", "scale_factor", "mass")
+    central = T.branches(own, nodes.where(f"snapnum = {LAST_SNAP} and first_in_fof = node_id")).select(F.col("tree_id").alias("fof_id"), "snapnum", "mass", "scale_factor")
     virial = T.r200_track(central, OMEGA0, OMEGA_LAMBDA).select("fof_id", "snapnum", "r200")
     return rounded(orbits.join(virial, ["fof_id", "snapnum"]).select("fof_id", "root_id", *bigint("snapnum"), "scale_factor", "r", "r200"), scale_factor=9, r=6, r200=6)
 
@@ -515,7 +523,7 @@ def halo_scatter(spark, d):
     p = load(spark, d, "particles").select("pid", "x", "y", "z").crossJoin(F.broadcast(halo))  # one halo
     near = p.select("pid", *[wrap(F.col(c) - F.col(f"h{c}"), BOX).alias(f"d{c}") for c in "xyz"], "r200").where("dx * dx + dy * dy + dz * dz < r200 * r200")
     parts = near.select(F.lit("particle").alias("kind"), F.col("pid").alias("id"), "dx", "dy", "dz")
-    orbits = T.fof_orbits(_fof(spark, d).where("tree_id = 40"), BOX).select("root_id", "scale_factor", "dx", "dy", "dz")
+    orbits = T.fof_orbits(_written(_fof(spark, d).where("tree_id = 40")), BOX).select("root_id", "scale_factor", "dx", "dy", "dz")
     epoch = spark.createDataFrame([(1.0,)], "group_a double")
     subs = X.tolerance_join(orbits, epoch, "scale_factor", "group_a", 1e-4).select(F.lit("subhalo").alias("kind"), F.col("root_id").alias("id"), "dx", "dy", "dz")
     return rounded(parts.unionByName(subs), dx=6, dy=6, dz=6)
