@@ -303,7 +303,7 @@ def tree_edges(nodes: DataFrame, min_snap: int = 55, roots: DataFrame | None = N
 
     The walk ends after the first edge to a snapshot before ``min_snap``.
     """
-    nodes = materialize(nodes, "nodes")
+    nodes = materialize(nodes.select(*dict.fromkeys(("tree_id", "node_id", "snapnum", pointer, "next_prog"))), "nodes")
     snaps = nodes.select("tree_id", F.col("node_id").alias("dst"), F.col("snapnum").alias("dst_snap"))
     main = branches(nodes, roots, pointer)
     kept = main.where((F.col("depth") == 0) | (F.col("snapnum") >= min_snap))

@@ -55,6 +55,26 @@ def test_no_nodes_and_no_roots(nodes):
     assert tree.branches(none).count() == 0 and tree.branches(nodes, none).count() == 0 and tree.branches(none, nodes).count() == 0
 
 
+def test_tree_edges_write_what_they_use(spark, monkeypatch):
+    written, write = {}, tree.materialize
+
+    def noted(df, name):
+        written.setdefault(name, df.columns)
+        return write(df, name)
+
+    monkeypatch.setattr(tree, "materialize", noted)
+    found = tree.tree_edges(queries._fof(spark, DATA), min_snap=55)
+    assert written["nodes"] == ["tree_id", "node_id", "snapnum", "main_prog", "next_prog"]
+    assert found.columns == ["tree_id", "src", "dst", "src_snap", "dst_snap", "x"] and found.where("x > 0").count() > 0
+
+
+def test_tree_edges_of_repeated_nodes(spark):
+    rows = [(1, 10, 60, 11, -1), (1, 11, 59, -1, 12), (1, 11, 59, -1, 12), (1, 12, 59, -1, -1)]
+    nodes = spark.createDataFrame(rows, "tree_id long, node_id long, snapnum int, main_prog long, next_prog long")
+    found = sorted((r.src, r.dst, r.dst_snap, round(r.x, 3)) for r in tree.tree_edges(nodes).collect())
+    assert found == [(10, 11, 59, 0.0)] * 2 + [(10, 12, 59, 0.1)] * 4
+
+
 def test_orbit_radius_reads_its_nodes_written_once(spark, monkeypatch):
     written, write = [], queries.materialize
     monkeypatch.setattr(queries, "materialize", lambda df, name: written.append(df) or write(df, name))
